@@ -111,7 +111,7 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     """True for each key that occurs twice or more."""
     out = np.zeros(len(keys), bool)
     if len(keys):
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         s = keys[order]
         same = np.zeros(len(s) + 1, bool)
         same[1:-1] = s[1:] == s[:-1]

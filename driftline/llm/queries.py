@@ -15,6 +15,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, wide_ids
 
@@ -28,5 +34,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(lengths(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op8_packing, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_quality, op8_packing, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
