@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, line_dedup
 from .shared import table
 
 
@@ -15,6 +16,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "text")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -34,5 +39,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(lengths(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_quality, op8_packing, op9_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_format(chat.reply_pairs(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op4_quality, op8_packing, op9_token_counts, op10_preference_pairs)}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op10_preference_pairs": chat.ORACLE_SQL}
