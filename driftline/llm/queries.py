@@ -26,6 +26,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, wide_ids
 
@@ -43,5 +55,5 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_format(chat.reply_pairs(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op4_quality, op8_packing, op9_token_counts, op10_preference_pairs)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op4_quality, op5_decontamination, op7_jaccard_join, op8_packing, op9_token_counts, op10_preference_pairs)}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op10_preference_pairs": chat.ORACLE_SQL}
