@@ -32,6 +32,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_classes
 
@@ -55,5 +61,5 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_format(chat.reply_pairs(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op4_quality, op5_decontamination, op7_jaccard_join, op8_packing, op9_token_counts, op10_preference_pairs)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op4_quality, op5_decontamination, op6_main_text, op7_jaccard_join, op8_packing, op9_token_counts, op10_preference_pairs)}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op10_preference_pairs": chat.ORACLE_SQL}
