@@ -20,6 +20,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "text")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -61,5 +67,5 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_format(chat.reply_pairs(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op4_quality, op5_decontamination, op6_main_text, op7_jaccard_join, op8_packing, op9_token_counts, op10_preference_pairs)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op3_suffix_dedup, op4_quality, op5_decontamination, op6_main_text, op7_jaccard_join, op8_packing, op9_token_counts, op10_preference_pairs)}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op10_preference_pairs": chat.ORACLE_SQL}
