@@ -1,0 +1,24 @@
+"""Crawl planning: tables of pages and links in, plans out; nothing is fetched."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import urls as u
+from .urls import root_domain
+
+
+def top_per(df: DataFrame, keys: list[str], order: list, limit: Column | int, rank: str = "rank") -> DataFrame:
+    """The first rows of each key, with their rank. Spark keeps only that many per key and task before the shuffle."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= limit)
+
+
+def adopt_redirected_hosts(log: DataFrame, sites: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(site_id, from_host, to_host, adopted): sites whose first good observation led to another host of the same root, which
+    isn't a site's yet."""
+    first = log.where("status = 200").groupBy("site_id", "host").agg(F.min_by("final_url", F.struct("fetched_at", "event_id")).alias("adopted"))
+    first = first.select("site_id", F.col("host").alias("from_host"), "adopted", u.host(F.col("adopted")).alias("to_host")).where("to_host <> from_host")
+    roots = root_domain(first.select(F.col("from_host").alias("host")).unionByName(first.select(F.col("to_host").alias("host"))).distinct(), suffixes)
+    same = first.join(roots.toDF("from_host", "from_root"), "from_host").join(roots.toDF("to_host", "to_root"), "to_host").where("from_root = to_root")
+    return same.join(sites.select(F.col("host").alias("to_host")), "to_host", "left_anti").select("site_id", "from_host", "to_host", "adopted")
