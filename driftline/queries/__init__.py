@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("urls", "status")
+MODULES = ("urls", "status", "text")
 
 
 def collected() -> tuple[dict, dict[str, str]]:
