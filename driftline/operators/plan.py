@@ -22,3 +22,12 @@ def adopt_redirected_hosts(log: DataFrame, sites: DataFrame, suffixes: DataFrame
     roots = root_domain(first.select(F.col("from_host").alias("host")).unionByName(first.select(F.col("to_host").alias("host"))).distinct(), suffixes)
     same = first.join(roots.toDF("from_host", "from_root"), "from_host").join(roots.toDF("to_host", "to_root"), "to_host").where("from_root = to_root")
     return same.join(sites.select(F.col("host").alias("to_host")), "to_host", "left_anti").select("site_id", "from_host", "to_host", "adopted")
+
+
+def discover_candidates(edges: DataFrame, known: DataFrame, max_depth: int = 4) -> DataFrame:
+    """edges(page_id, dst, depth) -> (url, n, first_page, depth): linked pages that known(url) lacks, in classes and shapes that can be
+    pages, at most max_depth deep. URLs are reduced to one row each before the anti-join."""
+    url = F.col("dst")
+    fine = (F.length(url) <= u.MAX_SCOPED_CHARS) & (u.query(url) == "") & (u.url_class(url) == "page") & ~u.has_opaque_id(url) & (F.col("depth") + 1 <= max_depth)
+    per = edges.where(fine).groupBy(url.alias("url")).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"), (F.min("depth") + 1).alias("depth"))
+    return per.join(known, "url", "left_anti")

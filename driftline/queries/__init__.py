@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("urls", "status", "text", "detect")
+MODULES = ("urls", "status", "text", "detect", "extract")
 
 
 def collected() -> tuple[dict, dict[str, str]]:
