@@ -31,3 +31,98 @@ def discover_candidates(edges: DataFrame, known: DataFrame, max_depth: int = 4)
     fine = (F.length(url) <= u.MAX_SCOPED_CHARS) & (u.query(url) == "") & (u.url_class(url) == "page") & ~u.has_opaque_id(url) & (F.col("depth") + 1 <= max_depth)
     per = edges.where(fine).groupBy(url.alias("url")).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"), (F.min("depth") + 1).alias("depth"))
     return per.join(known, "url", "left_anti")
+
+
+def crawl_depths(links: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:
+    """links(src, dst), seeds(url) -> (url, depth): least number of links from a seed, up to max_depth. Each round joins the frontier alone
+    and drops what was reached before; a checkpoint keeps plans short where the session has a folder for it."""
+    reached = seeds.select("url").distinct().withColumn("depth", F.lit(0))
+    frontier = reached
+    durable = links.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if durable:
+        links.sparkSession.sparkContext.setCheckpointDir(durable)
+    for depth in range(1, max_depth + 1):
+        fresh = frontier.join(links, frontier["url"] == links["src"]).select(F.col("dst").alias("url")).distinct()
+        frontier = fresh.join(reached, "url", "left_anti").withColumn("depth", F.lit(depth))
+        if durable:
+            frontier = frontier.checkpoint()
+        reached = reached.unionByName(frontier)
+    return reached
+
+
+def due_pages(pages: DataFrame, sites: DataFrame, now: Column) -> DataFrame:
+    """Pages of sites(site_id, interval_sec, sweep_sec) to check at `now`, longest waiting first: what the time since the last check
+    allows (an hour for pages that are gone), at most max(5, live pages * interval / sweep) a site."""
+    joined = pages.join(sites, "site_id")
+    live = F.count_if(~F.col("gone")).over(Window.partitionBy("site_id"))
+    waited = F.unix_timestamp(now) - F.unix_timestamp("last_checked")
+    every = F.when(F.col("gone"), F.greatest("sweep_sec", F.lit(3600))).otherwise(F.col("sweep_sec"))
+    due = joined.withColumn("most", F.greatest(F.lit(5), F.ceil(live * F.col("interval_sec") / F.col("sweep_sec")))).where(F.col("last_checked").isNull() | (waited < 0) | (waited >= every))
+    return top_per(due, ["site_id"], [F.col("last_checked").asc_nulls_first(), "depth", "url"], F.col("most"))
+
+
+def due_files(files: DataFrame, now: Column, sweep_sec: int, most: int = 10) -> DataFrame:
+    """Files to check: never checked first, documents first among them, then the longest waiting."""
+    never = F.when(F.col("last_checked").isNull(), 0).otherwise(1)
+    document = F.when(u.path(F.col("url")).rlike(r"(?i)\.(?:pdf|docx?|xlsx?|pptx?|odt|ods|odp|epub|rtf|csv|key|pages|numbers)$"), 0).otherwise(1)
+    due = files.where(F.col("last_checked").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("last_checked") >= sweep_sec))
+    return top_per(due, ["site_id"], [never, F.when(never == 0, document), F.col("last_checked").asc_nulls_first(), document, "first_seen", "url"], most)
+
+
+def tracked_set(pages: DataFrame, most: int) -> DataFrame:
+    """pages(site_id, url, tracked, in_scope, gone, status, depth, first_seen) -> (site_id, url, tracked) after demoting pages out of scope and,
+    over budget, the deepest and newest, and promoting live ones, shallowest and oldest, into what room is left."""
+    kept = pages.withColumn("tracked", F.col("tracked") & F.col("in_scope"))
+    live = F.col("tracked") & ~F.col("gone")
+    order = ["depth", "first_seen", "url"]
+    by = Window.partitionBy("site_id", live)
+    kept = kept.withColumn("place", F.row_number().over(by.orderBy(*order))).withColumn("live", F.count_if(live).over(Window.partitionBy("site_id")))
+    fits = F.when(live, F.col("place") <= most).otherwise(F.col("tracked"))
+    can = ~F.col("tracked") & ~F.col("gone") & F.col("in_scope") & F.col("status").between(200, 299)
+    kept = kept.withColumn("can", can).withColumn("turn", F.row_number().over(Window.partitionBy("site_id", "can").orderBy(*order)))
+    return kept.select("site_id", "url", (fits | (F.col("can") & (F.col("turn") <= most - F.col("live")))).alias("tracked"))
+
+
+def reprobe_queue(pages: DataFrame, now: Column, silent_most: int = 10) -> DataFrame:
+    """Untracked pages to try again, by tier: never fetched, failed for a while (10 minutes), missing (15), others (6 hours). Of those that
+    are only backfill, known since the baseline, at most ten a site."""
+    age = F.unix_timestamp(now) - F.unix_timestamp("last_checked")
+    s = F.col("status")
+    tier = (
+        F.when(s.isNull(), 0)
+        .when(s.between(200, 299), None)
+        .when((s <= 0) | (s == 429) | (s >= 500), F.when(age >= 600, 1))
+        .when(s.isin(404, 410), F.when(age >= 900, 2))
+        .otherwise(F.when(age >= 21_600, 3))
+    )
+    rows = pages.withColumn("tier", tier).where("tier is not null").withColumn("loud", (F.col("tier") == 2) | (F.col("first_seen") > F.col("baseline_at")))
+    order = ["tier", "depth", F.col("last_checked").asc_nulls_first(), "url"]
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("site_id", "loud").orderBy(*order))).where(F.col("loud") | (F.col("nth") <= silent_most))
+    return rows.select("site_id", "url", "tier", "loud", F.row_number().over(Window.partitionBy("site_id").orderBy(*order)).alias("rank"))
+
+
+def evict(pages: DataFrame, cap: int) -> DataFrame:
+    """(site_id, url): untracked pages over the cap, worth least first: never fetched ones of sitemaps, deepest and newest, then dead or
+    redirecting ones, longest unchecked."""
+    never = F.col("status").isNull() & (F.col("source") == "sitemap")
+    dead = F.col("gone") | F.col("status").isin(404, 410, 301)
+    rows = pages.withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("site_id"))).where(~F.col("tracked") & (never | F.coalesce(dead, F.lit(False))))
+    order = [F.when(never, 0).otherwise(1), F.when(never, F.col("depth")).desc(), F.when(never, F.col("first_seen")).desc(), "last_checked", "url"]
+    return top_per(rows, ["site_id"], order, F.col("known") - cap).select("site_id", "url")
+
+
+def admit(candidates: DataFrame, budget: int) -> DataFrame:
+    """candidates(site_id, url, kind, seen) with admitted: code before fresh before stale, then first seen, `budget` a site; the others stay
+    pending."""
+    kind = F.when(F.col("kind") == "code", 0).when(F.col("kind") == "fresh", 1).otherwise(2)
+    best = candidates.groupBy("site_id", "url").agg(F.min(F.struct(kind.alias("k"), "seen")).alias("b"))
+    rank = F.row_number().over(Window.partitionBy("site_id").orderBy("b.k", "b.seen", "url"))
+    return best.select("site_id", "url", (rank <= budget).alias("admitted"))
+
+
+def discover_files(edges: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
+    """edges(page_id, dst) -> (url, n): documents linked from pages, on hosts within roots(root), that known(url) lacks."""
+    from .urls import within_domain
+
+    files = edges.where(u.url_class(F.col("dst")) == "file").groupBy(F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("n")).withColumn("host", u.host(F.col("url")))
+    return within_domain(files, roots).join(known, "url", "left_anti").select("url", "n")
