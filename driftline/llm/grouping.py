@@ -62,7 +62,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     state, now = None, written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        # written, so that the join has plain exchanges on both sides, whose hot nodes the engine can split
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
         # large star: neighbours above a node go to its least neighbour
         up = written(now.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
         # small star: a node and its lower neighbours go to the least of them

@@ -28,6 +28,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SPLIT, RECALL, DEPTH, BRUTE = 0.7, 0.998, 3, 256
 #: Coordinates of a sketch, one byte each, and the equal ones from which a pair is proposed (0.8 has 51 on average).
 SKETCH, SKETCH_EQUAL = 64, 37
+#: Equal ones from which a set of a large bucket is taken for nearly its leader.
+SKETCH_SAME = 58
 #: Sets, and tokens of sets, of one block of a group.
 BLOCK_SETS, BLOCK_TOKENS = 1024, 2_000_000
 
@@ -115,20 +117,38 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, n long, keys array<long>, sketch binary")
 
 
-def _children(rows: DataFrame) -> DataFrame:
-    """The next level: a row per coordinate that its bucket draws, with the bucket of the set's byte there."""
+def _split(rows: DataFrame, last: bool) -> DataFrame:
+    """The next level of rows (key, node, n, sketch, leader, leader_sketch): (key, node, n, sketch, b).
+
+    A set that is nearly the bucket's leader is tied to it (b) and goes no further: who is linked with it is close enough to the
+    leader to meet that one. Others get a row per coordinate that their bucket draws, with the bucket of the set's byte there.
+    At the last level all are tied to the leader.
+    """
     bar = np.uint64(int(2**64 / (SPLIT * SKETCH)))
 
     def run(batches):
         for batch in batches:
-            key = batch.column(0).to_numpy().view(np.uint64)
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH)
-            row, at = np.nonzero(mixed(key[:, None] + np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) < bar)
-            child = mixed(key[row] * np.uint64(31) + (at.astype(np.uint64) << np.uint64(8)) + sketch[row, at] + np.uint64(1))
-            out = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *out.columns[1:]], ["key", "node", "n", "sketch"])
+            key, node, n = (batch.column(k) for k in range(3))
+            own, head = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (3, 5))
+            leader = batch.column(4).to_numpy()
+            is_leader = node.to_numpy() == leader
+            tied = ~is_leader & (last | ((own == head).sum(axis=1) >= SKETCH_SAME))
+            at = pa.array(np.flatnonzero(tied))
+            gone = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([gone, node.take(at), gone, pa.nulls(len(at), pa.binary()), batch.column(4).take(at)], _SPLIT_NAMES)
+            if last:
+                continue
+            stay = np.flatnonzero(~tied)
+            keys = key.to_numpy().view(np.uint64)[stay]
+            row, at = np.nonzero(mixed(keys[:, None] + np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) < bar)
+            child = mixed(keys[row] * np.uint64(31) + (at.astype(np.uint64) << np.uint64(8)) + own[stay[row], at] + np.uint64(1))
+            pick = pa.array(stay[row])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), node.take(pick), n.take(pick), batch.column(3).take(pick), pa.nulls(len(pick), pa.int64())], _SPLIT_NAMES)
+
+    return rows.select("key", "node", "n", "sketch", "leader", "leader_sketch").mapInArrow(run, "key long, node long, n long, sketch binary, b long")
 
-    return rows.mapInArrow(run, "key long, node long, n long, sketch binary")
+
+_SPLIT_NAMES = ["key", "node", "n", "sketch", "b"]
 
 
 def _brute(rows: DataFrame) -> DataFrame:
@@ -165,10 +185,11 @@ def proposals(nodes: DataFrame) -> DataFrame:
         large = met.where(F.col("size") > BRUTE).select("key", "node", "n", "sketch")
         if large.isEmpty():
             return out
-        if level < DEPTH:
-            rows = _children(large)
-    least = written(large.groupBy("key").agg(F.min("node").alias("b")), "least")
-    return out.unionByName(large.select("key", F.col("node").alias("a")).join(least, "key").where("a <> b").select("a", "b"))
+        leaders = large.groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.sketch").alias("leader_sketch"))
+        split = written(_split(large.join(written(leaders, "leaders").hint("shuffle_hash"), "key"), level == DEPTH), "split")
+        out = out.unionByName(split.where("b is not null").select(F.col("node").alias("a"), "b"))
+        rows = split.where("b is null").drop("b")
+    return out
 
 
 def _linked(sets: list[np.ndarray]) -> np.ndarray:
