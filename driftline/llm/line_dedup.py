@@ -66,19 +66,23 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     gone = found.join(firsts.hint("shuffle_hash"), ["key", "chunk"]).where(~place.eqNullSafe(F.col("first")))
     gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("chunk_no").alias("gone"))
 
-    own = [c for c in docs.columns if c != "text"]
-    slim = docs.withColumn("text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("d")
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_hash") == F.col("g.text_hash"))
-    both = slim.join(gone.alias("g"), same, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.coalesce("g.gone", F.array().cast("array<int>")).alias("_gone"))
-    cut = _cut(both).withColumn("_stay", F.array_except(F.sequence(F.lit(0), F.size("spans") - 1), F.col("_gone")))
+    # what else a row holds travels in one struct, so that no name of it meets a name used here
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    slim = docs.select(rest, F.col("doc_id").cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    gone = gone.toDF("gone_doc", "gone_hash", "gone")
+    both = slim.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("hash") == F.col("gone_hash")), "left")
+    both = both.select("rest", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    cut = _cut(both).withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("spans") - 1), F.col("gone")))
     size = lambda a, i: a + F.get(F.col("spans"), i)["to"] - F.get(F.col("spans"), i)["from"]
-    return cut.select(
-        *own,
-        F.array_join(F.transform("_stay", lambda i: _joined(F.get(F.col("spans"), i))), "\n").alias("text"),
+    cut = cut.select(
+        "rest",
+        F.array_join(F.transform("stay", lambda i: _joined(F.get(F.col("spans"), i))), "\n").alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.aggregate("_gone", F.lit(0), size).cast("long").alias("n_removed_lines"),
-        F.size("_gone").cast("long").alias("n_removed_chunks"),
-    ).select(*docs.columns, *added)
+        F.aggregate("gone", F.lit(0), size).cast("long").alias("n_removed_lines"),
+        F.size("gone").cast("long").alias("n_removed_chunks"),
+    )
+    return cut.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns), *added)
 
 
 ORACLE_SQL = f"""
