@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("urls", "status", "text", "detect", "extract", "plan")
+MODULES = ("urls", "status", "text", "detect", "extract", "plan", "streams")
 
 
 def collected() -> tuple[dict, dict[str, str]]:
