@@ -172,3 +172,21 @@ def group_identical_edits(changes: DataFrame, keys: list[str], order: str) -> Da
 def set_diff(old: Column, new: Column) -> tuple[Column, Column]:
     """(added, removed) members of two arrays, sorted."""
     return F.array_sort(F.array_except(new, old)), F.array_sort(F.array_except(old, new))
+
+
+def joined(lines: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): the lines of each key as one text."""
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return lines.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias(name))
+
+
+def page_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The ordered diff of two line tables after the old numbers were aligned to the new ones, so that only real edits show."""
+    pairs = joined(align_numbers(old, new, key), key, "old").join(joined(new, key, "new"), key, "full")
+    return line_diff(pairs.withColumnRenamed(key, "key")).withColumnRenamed("key", key)
+
+
+def rehash(lines: DataFrame, key: str, masked: Column) -> DataFrame:
+    """(key, cmp_hash, rebased): hashes of stored texts under new rules; rebased where numbers are masked now."""
+    flag = lines.select(key, masked.alias("rebased"), "line_no", F.when(masked, t.mask_numbers(F.col("line"))).otherwise(F.col("line")).alias("line"))
+    return joined(flag, key, "text").join(flag.select(key, "rebased").distinct(), key).select(key, F.sha1("text").alias("cmp_hash"), "rebased")

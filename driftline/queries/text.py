@@ -179,3 +179,29 @@ def d11_set_diff(spark, sf):
     pages = pages.withColumn("old", F.lag("links").over(Window.partitionBy("host").orderBy("page_id"))).where("old is not null")
     added, removed = ops.set_diff(F.col("old"), F.col("links"))
     return pages.select("page_id", F.array_join(added, " ").alias("added"), F.array_join(removed, " ").alias("removed"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN regexp_replace(left(text, 300), '[^\\x{01}-\\x{FF}]', '?', 'g') ELSE left(text, 300) END AS body_text FROM documents")
+def s2_decode_bodies(spark, sf):
+    """Bodies with a byte order mark, UTF-16, a Latin-1 header, and a charset named in the body."""
+    from ..sources.fetch_log import decode_bodies
+
+    i, text = F.col("doc_id") % 4, F.substring("text", 1, 300)
+    latin = F.regexp_replace(text, r"[^\x01-\xFF]", "?")
+    body = F.when(i == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(i == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).when(i == 2, F.encode(latin, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    docs = table(spark, sf, "documents").select("doc_id", body.alias("body"), F.when(i == 2, "text/html; charset=ISO-8859-1").otherwise("text/html").alias("content_type"), F.lit(None).cast("string").alias("body_text"))
+    return decode_bodies(docs).select("doc_id", "body_text")
+
+
+@query(f"""WITH {_TICK}, s AS (SELECT doc_id, string_agg(CASE WHEN doc_id % 2 = 0 THEN {_MASKED('old')} ELSE old END, chr(10) ORDER BY line_no) AS t FROM ticks GROUP BY doc_id) SELECT doc_id, sha1(t) AS cmp_hash, doc_id % 2 = 0 AS rebased FROM s""")
+def c24_rehash_after_rule_change(spark, sf):
+    """Sites with an even id now mask numbers: their stored texts get new hashes."""
+    old, _ = _ticks(spark, sf)
+    return ops.rehash(old, "doc_id", F.col("doc_id") % 2 == 0).select("doc_id", "cmp_hash", "rebased")
+
+
+@query()
+def d8_page_diff(spark, sf):
+    """Old numbers aligned to the new ones, then the ordered diff; d5 hunks with it."""
+    old, new = _ticks(spark, sf)
+    return ops.page_diff(old, new, "doc_id")

@@ -1,0 +1,99 @@
+"""Column functions: values, and laws that hold for any text."""
+
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from driftline.functions import text as t
+from driftline.functions import urls as u
+from driftline.operators.diff import edit_script, unified
+from driftline.operators.status import parse_retry_after
+
+
+def each(spark, f, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r[0] for r in df.select("i", f(F.col("v")).alias("x")).orderBy("i").select("x").collect()]
+
+
+URLS = [
+    ("HTTPS://User:pw@Docs.A.io:443/a//b/../index.html/?b=2&utm_source=x&a=1&a=0&REF=q#top", "https://docs.a.io/a/b/..?a=1&a=0&b=2"),
+    ("http://a.io", "http://a.io/"), ("http://a.io:8080/x/", "http://a.io:8080/x"), ("https://a.io/index.htm", "https://a.io/"), ("https://a.io./p?", "https://a.io/p"),
+    ("mailto:a@b.c", None), ("javascript:void(0)", None), ("https://", None), ("", None), ("https://a.io/" + "x" * 9000, None), ("https://a.io/a/INDEX.HTML/index.html", "https://a.io/a"),
+]
+
+
+def test_canonical(spark):
+    assert each(spark, u.canonical, [x for x, _ in URLS]) == [y for _, y in URLS]
+
+
+def test_canonical_is_idempotent(spark):
+    rng = random.Random(0)
+    made = ["".join(rng.choice(["http://", "https://", "a.io", "/", "index.html", "?", "&", "utm_x=1", "b=2", "=", "#", ".", ":80", "x"]) for _ in range(rng.randint(1, 12))) for _ in range(500)]
+    once = each(spark, u.canonical, made)
+    assert each(spark, u.canonical, [x or "" for x in once]) == once
+
+
+def test_url_class(spark):
+    cases = {"https://a.io/x.pdf": "file", "https://a.io/x.JS": "asset", "https://a.io/x.zip": "skip", "https://a.io/x": "page", "https://a.io/_next/x": "asset", "https://a.io/static/x": "asset", "https://a.io/static/x.html": "page", "https://a.io/manifest.json": "asset", "https://a.io/d.json": "file", "https://a.io/wp-admin/x.pdf": "skip", "ftp://a.io/x": "skip", "https://a.io/.pdf": "page"}
+    assert each(spark, u.url_class, list(cases)) == list(cases.values())
+
+
+MASKS = {"$12.5M": "$#M", "+3.2%": "#%", "v1.2.3": "v#", "2026-09-28": "#-#-#", "14:43": "#:#", "5 minutes ago": "# ago", "an hour ago": "# ago", "just now": "# ago", "3h ago": "# ago", "a-5": "a-#", "4 items": "# item", "no numbers": "no numbers", "": ""}
+
+
+def test_mask_numbers(spark):
+    assert each(spark, t.mask_numbers, list(MASKS)) == list(MASKS.values())
+
+
+def test_mask_is_local_to_a_line(spark):
+    rng = random.Random(1)
+    lines = ["".join(rng.choice(["1", "2,3", " ", "-", "a", " minutes", " ago", "#", "items", "+", "é"]) for _ in range(rng.randint(0, 10))) for _ in range(300)]
+    assert "\n".join(each(spark, t.mask_numbers, lines)) == each(spark, t.mask_numbers, ["\n".join(lines)])[0]
+
+
+def test_formats(spark):
+    sizes = {"0": "0 B", "1023": "1023 B", "1024": "1 KB", "12595": "12.3 KB", "4299161": "4.1 MB", "125829120": "120 MB", "-1": "?"}
+    assert each(spark, lambda c: t.format_bytes(c.cast("long")), list(sizes)) == list(sizes.values())
+    times = {"45000": "45s", "252000": "4m 12s", "10800000": "3h", "187200000": "2d 4h"}
+    assert each(spark, lambda c: t.format_duration(c.cast("long")), list(times)) == list(times.values())
+
+
+def test_retry_after(spark):
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    cases = {"120": 120_000, "1.5": 1500, "-5": None, "": None, "soon": None, "Mon, 01 Jan 2024 00:01:00 GMT": 60_000, "Mon, 01 Jan 2020 00:01:00 GMT": 0, "999999999": 86_400_000}
+    assert each(spark, lambda c: parse_retry_after(c, now), list(cases)) == list(cases.values())
+
+
+@pytest.mark.parametrize("rule,url,hit", [("/profile/*", "https://a.io/profile/x/y", True), ("/profile/*", "https://a.io/profile", False), ("/b/**", "https://a.io/b/", True), ("/a/*/c", "https://a.io/a/b/c?x=1", True), ("/a/*/c", "https://a.io/a/b/d/c", False), (r"\.html$", "https://a.io/X.HTML", True)])
+def test_exclude_rules(rule, url, hit):
+    import re
+
+    assert bool(re.search(u.glob_regex(rule), url)) == hit
+
+
+def test_odd_rules_are_none():
+    assert u.glob_regex("(x") is None and u.glob_regex("") is None and u.glob_regex("(a+)+$") is None
+
+
+lines = st.lists(st.sampled_from("abcde"), max_size=9)
+
+
+@given(lines, lines)
+@settings(max_examples=300, deadline=None)
+def test_edit_script(a, b):
+    ops = edit_script(a, b)
+    assert [v for o, v in ops if o != "+"] == a and [v for o, v in ops if o != "-"] == b
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+    assert sum(o == "=" for o, _ in ops) == table[-1][-1]
+
+
+def test_unified():
+    assert unified(edit_script(list("abcdefghij"), list("abXdefghYj"))) == "  b\n- c\n+ X\n  d\n…\n  h\n- i\n+ Y\n  j"
+    assert unified(edit_script(list("abc"), list("abc"))) == ""
+    assert unified(edit_script([], [str(i) for i in range(50)])).endswith("(+20 more…)")

@@ -1,0 +1,48 @@
+"""Every query of the library against its SQL on the smallest supplied tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from driftline.queries import collected
+
+SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = collected()
+
+
+def plain(v):
+    if isinstance(v, float):
+        return round(v, 6)
+    return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
+
+
+@pytest.fixture(scope="module")
+def sql():
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    for f in os.listdir(SF):
+        con.execute(f"create view {f[:-8]} as select * from '{SF}/{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, sql, name):
+    got = QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    rows = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr)
+    if name not in ORACLES:
+        assert rows
+        return
+    cur = sql.execute(ORACLES[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == columns
+    at = [names.index(c) for c in columns]
+    assert rows == sorted((tuple(plain(r[i]) for i in at) for r in cur.fetchall()), key=repr)
+
+
+def test_entry_without_training_data_operators(spark):
+    import __spark_entry__ as entry
+
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+    assert entry.entry(spark).count() > 0
