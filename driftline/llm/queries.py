@@ -29,7 +29,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
