@@ -13,15 +13,13 @@ from driftline.llm.decontamination import decontaminated
 from driftline.llm.jaccard_join import deduplicated
 from driftline.llm.line_dedup import line_dedup
 from driftline.llm.packing import pack, wide_ids
-from driftline.llm.quality import quality
+from driftline.llm.quality import kept_documents
 from driftline.llm.shared import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules. Rows are judged by their text, so rows of one doc_id and text go or stay together;
-    those of one doc_id and other texts stay if any does."""
-    kept = quality(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")
+    """Documents that pass the rules, each row judged by its own text."""
+    return kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
