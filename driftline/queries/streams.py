@@ -64,3 +64,37 @@ def k7_late_and_future_rows(spark, sf):
         one = df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def _ticker_log(spark, sf):
+    """The log as that of pages with one ticking number: two versions, one mask."""
+    version = F.when(F.col("hash").isin("v0", "v1"), "v0").when(F.col("hash").isNotNull(), "v1")
+    return fold_log(fetch(spark, sf)).drop("url").withColumn("hash", version).withColumn("mask", F.when(F.col("hash").isNotNull(), "m"))
+
+
+@query()
+def c6_held_numeric_changes(spark, sf):
+    """Number-only changes that stood long enough: the fold's 'number' events."""
+    return folds.fold(_ticker_log(spark, sf), ["site_id"], folds.page_step).where("kind = 'number'")
+
+
+@query()
+def c7_learn_ticking_lines(spark, sf):
+    """Masks that three numeric changes within six hours teach: the fold's 'learned' events, with time run 400 times as fast, as the log is
+    sparse."""
+    return folds.fold(_ticker_log(spark, sf).withColumn("at", F.floor(F.col("at") / 400)), ["site_id"], folds.page_step).where("kind = 'learned'")
+
+
+@query(f"WITH {FETCH_SQL} SELECT event_id, site_id, status FROM obs WHERE status >= 500")
+def k8_notify_sink(spark, sf):
+    """The events of a batch that is written twice, read back from where deliveries take them."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-sink-")
+    path = f"{shared.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    events = fetch(spark, sf).where("status >= 500").select("event_id", "site_id", "status")
+    write = windows.notify_sink(path)
+    for _ in range(2):
+        write(events, 0)
+    return spark.read.parquet(f"{path}/batch=0")

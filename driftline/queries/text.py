@@ -205,3 +205,9 @@ def d8_page_diff(spark, sf):
     """Old numbers aligned to the new ones, then the ordered diff; d5 hunks with it."""
     old, new = _ticks(spark, sf)
     return ops.page_diff(old, new, "doc_id")
+
+
+@query()
+def d5_unified_hunks(spark, sf):
+    """A line of context around each change, of documents against their changed version."""
+    return ops.line_diff(_pairs(spark, sf)).select("key", "unified")
