@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as u
+from ..sources.shared import shared_dir
 from .urls import root_domain
 
 
@@ -35,17 +36,13 @@ def discover_candidates(edges: DataFrame, known: DataFrame, max_depth: int = 4)
 
 def crawl_depths(links: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:
     """links(src, dst), seeds(url) -> (url, depth): least number of links from a seed, up to max_depth. Each round joins the frontier alone
-    and drops what was reached before; a checkpoint keeps plans short where the session has a folder for it."""
+    and drops what was reached before; a checkpoint in the shared folder keeps plans short."""
     reached = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     frontier = reached
-    durable = links.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if durable:
-        links.sparkSession.sparkContext.setCheckpointDir(durable)
+    links.sparkSession.sparkContext.setCheckpointDir(shared_dir(links.sparkSession))
     for depth in range(1, max_depth + 1):
         fresh = frontier.join(links, frontier["url"] == links["src"]).select(F.col("dst").alias("url")).distinct()
-        frontier = fresh.join(reached, "url", "left_anti").withColumn("depth", F.lit(depth))
-        if durable:
-            frontier = frontier.checkpoint()
+        frontier = fresh.join(reached, "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         reached = reached.unionByName(frontier)
     return reached
 

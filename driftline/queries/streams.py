@@ -88,11 +88,11 @@ def c7_learn_ticking_lines(spark, sf):
 @query(f"WITH {FETCH_SQL} SELECT event_id, site_id, status FROM obs WHERE status >= 500")
 def k8_notify_sink(spark, sf):
     """The events of a batch that is written twice, read back from where deliveries take them."""
-    import tempfile
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-sink-")
-    path = f"{shared.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    from ..sources.shared import shared_dir
+
+    path = f"{shared_dir(spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
     events = fetch(spark, sf).where("status >= 500").select("event_id", "site_id", "status")
     write = windows.notify_sink(path)
     for _ in range(2):
