@@ -26,7 +26,7 @@ from .shared import written
 
 WIDTH, GRAM = 200, 40
 #: Different contexts of one gram that one task sorts; grams with more are decided by counting passages.
-SORTED = 512
+SORTED = 8192
 
 
 def anchors(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -174,10 +174,13 @@ def repeats(before: list[bytes], after: list[bytes]) -> list[list[tuple[int, int
     out: list[list[tuple[int, int]]] = [[] for _ in after]
     order = sorted(range(len(after)), key=after.__getitem__)
     farthest = max(map(len, before))
+    rank = [0] * len(before)
+    for place, x in enumerate(sorted(range(len(before)), key=before.__getitem__)):
+        rank[x] = place
     for h, first, last, parent in intervals([common(after[x], after[y]) for x, y in zip(order, order[1:], strict=False)]):
         if WIDTH - h > farthest:
             continue
-        members = sorted(order[first : last + 1], key=before.__getitem__)
+        members = sorted(order[first : last + 1], key=rank.__getitem__)
         shared = [common(before[x], before[y]) for x, y in zip(members, members[1:], strict=False)]
         for k, x in enumerate(members):
             left = max(shared[k - 1] if k else 0, shared[k] if k < len(shared) else 0)
@@ -194,8 +197,8 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
             n, doc, text_hash, at = (group.column(k).to_pylist() for k in (2, 4, 5, 6))
             found = repeats([x.as_py() for x in group.column(8)], [x.as_py() for x in group.column(9)])
             for k, each in enumerate(found):
-                if n[k] == 1:  # others are repeated whole
-                    rows += [(doc[k], text_hash[k], at[k] - d1, at[k] - d0 + WIDTH) for d0, d1 in each]
+                if n[k] == 1 and each:  # others are repeated whole; all passages of an anchor overlap at it, so they cover one stretch
+                    rows.append((doc[k], text_hash[k], at[k] - max(d for _, d in each), at[k] - min(d for d, _ in each) + WIDTH))
             if len(rows) > 20_000:
                 yield _spans(rows)
                 rows = []
