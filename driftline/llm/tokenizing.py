@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Distinct pieces remembered per worker; at more, the memory starts anew (results don't depend on it).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 #: A run of Latin letters, which normalisation only lower-cases, and marks that always start a token of their own.
 _LETTERS_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#%$&|]*)")
 _LOWER = re.compile("[a-zß-öø-ÿ]+")
@@ -45,6 +45,33 @@ class _Numbers(dict):
         return k
 
 
+class _Pool:
+    """Id lists by number, end to end in one array."""
+
+    def __init__(self, dtype: np.dtype):
+        self.ids, self.used, self.n = np.zeros(1 << 16, dtype), 0, 0
+        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The lists of the next len(sizes) numbers."""
+        last, end = self.n + len(sizes), self.used + len(ids)
+        while len(self.at) < last:
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        while len(self.ids) < end:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.size[self.n : last] = sizes
+        self.at[self.n : last] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : end] = ids
+        self.n, self.used = last, end
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the lists of these numbers end to end, their sizes)."""
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.at[numbers] - (ends - sizes), sizes) + np.arange(total)], sizes
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
@@ -68,9 +95,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.words, self.parts = _Numbers(), _Numbers()
-        self.head, self.tail = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.of_words, self.of_parts = _Pool(self.dtype), _Pool(self.dtype)
 
     def _library(self, words: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -90,15 +115,7 @@ class WordEncoder:
         rest = iter(self._library(whole))
         pieces = [next(rest) if x is None else x for x in pieces]
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        total, first, last = int(n.sum()), len(self.parts) - len(new), len(self.parts)
-        while len(self.at) < last:
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        while len(self.pool) < self.used + total:
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.size[first:last] = n
-        self.at[first:last] = self.used + np.cumsum(n) - n
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(pieces), self.dtype, total)
-        self.used += total
+        self.of_parts.add(np.fromiter(chain.from_iterable(pieces), self.dtype, int(n.sum())), n)
 
     def _learn(self) -> None:
         """The one or two parts of each word that the last texts brought: letters, then marks."""
@@ -117,11 +134,8 @@ class WordEncoder:
                 head.append(part(w))
                 tail.append(none)
         self._learn_parts()
-        first, last = len(self.words) - len(new), len(self.words)
-        while len(self.head) < last:
-            self.head, self.tail = (np.concatenate([x, np.zeros_like(x)]) for x in (self.head, self.tail))
-        self.head[first:last] = head
-        self.tail[first:last] = tail
+        ids, sizes = self.of_parts.take(np.column_stack([head, tail]).ravel())
+        self.of_words.add(ids, sizes.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text), as encode_batch(add_special_tokens=False) gives."""
@@ -139,14 +153,8 @@ class WordEncoder:
                 words[k] = len(cut)
                 where += map(number, cut)
         self._learn()
-        w = np.array(where, np.int64)
-        parts = np.column_stack([self.head[w], self.tail[w]]).ravel()
-        sizes = self.size[parts]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        some = np.flatnonzero(sizes)
-        ids = self.pool[np.repeat((self.at[parts] - (ends - sizes))[some], sizes[some]) + np.arange(total)]
-        stops = np.concatenate([[0], ends])[2 * np.cumsum(words)]
+        ids, sizes = self.of_words.take(np.array(where, np.int64))
+        stops = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(words)]
         return ids, np.diff(stops, prepend=0)
 
 
