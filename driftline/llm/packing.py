@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .tokenizing import default_path, encoded, encoder
+from .tokenizing import default_path, encoded
 
 #: Tokens of a sequence; open windows per task; a gap of fewer tokens is padded rather than filled with a cut.
 SEQUENCE, OPEN, SMALL_GAP = 2048, 32, 16
@@ -97,12 +97,12 @@ class _Windows:
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, sequence: int = SEQUENCE, open_windows: int = OPEN, small_gap: int = SMALL_GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(sequence_id, offset, doc_id, start, length, doc_tokens, row_id, ids): where each piece of each document lies.
 
-    ids are little-endian integers of the tokenizer's width. Null and empty texts are packed as end_id alone; a null
+    ids are little-endian unsigned 32-bit integers. Null and empty texts are packed as end_id alone; a null
     doc_id stays null; repeated rows are packed each (row_id tells them apart); other columns are ignored; an empty table
     gives no rows. A sequence_id is unique, with the packing task in its upper bits.
     """
     tokenizer = tokenizer or default_path()
-    width = encoder(tokenizer).dtype.itemsize
+    width = 4
 
     def first_round(batches):
         from pyspark import TaskContext
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, sequenc
         task, row = TaskContext.get().partitionId(), 0
         windows = _Windows(task << 32, sequence, open_windows, small_gap, width)
         for keys, ids, at in encoded(batches, tokenizer, end_id):
-            data = ids.tobytes()
+            data = ids.astype("<u4").tobytes()
             for k, key in enumerate(keys.to_pylist()):
                 n = int(at[k + 1] - at[k])
                 windows.add(key, 0, n, n, (task << 32) + row, data[at[k] * width : at[k + 1] * width])
@@ -151,10 +151,3 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, sequenc
     for x in tables[1:]:
         out = out.unionByName(x)
     return out.drop("open")
-
-
-def wide_ids(column: str, width: int = 2):
-    """A Spark column: little-endian ids of 2 bytes as 4 bytes each; of 4 bytes as they are."""
-    if width == 4:
-        return F.col(column)
-    return F.unhex(F.regexp_replace(F.hex(column), "(....)", "$10000"))

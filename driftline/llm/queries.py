@@ -51,10 +51,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack, wide_ids
+    from .packing import pack
 
     packed = pack(table(spark, sf_dir, "documents"), end_id=1)
-    return packed.select("doc_id", "start", "length", F.crc32(wide_ids("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

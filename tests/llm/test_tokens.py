@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from driftline.llm.packing import pack, wide_ids
+from driftline.llm.packing import pack
 from driftline.llm.token_counts import length_histogram, lengths
 from driftline.llm.token_files import packed, read_tokens, unpacked, write_tokens
 from driftline.llm.tokenizing import WordEncoder, default_path
@@ -86,7 +86,7 @@ def test_packing(spark, encoder, size, windows, monkeypatch):
     if size == 64:  # several tasks in the later rounds
         monkeypatch.setattr("driftline.llm.packing.LEFTOVER_TOKENS", 500)
     rows = documents()
-    out = pack(frame(spark), sequence=size, open_windows=windows).withColumn("crc", F.crc32(wide_ids("ids"))).collect()
+    out = pack(frame(spark), sequence=size, open_windows=windows).withColumn("crc", F.crc32("ids")).collect()
     want = defaultdict(list)
     for r, ids in zip(rows, library(encoder, [r[1] for r in rows], [1]), strict=True):
         want[r[0]].append(ids)
@@ -97,12 +97,12 @@ def test_packing(spark, encoder, size, windows, monkeypatch):
     assert len(by_row) == len(rows)
     for pieces in by_row.values():
         pieces.sort(key=lambda p: p.start)
-        ids = [i for p in pieces for i in np.frombuffer(p.ids, "<u2").tolist()]
+        ids = [i for p in pieces for i in np.frombuffer(p.ids, "<u4").tolist()]
         assert ids in want[pieces[0].doc_id] and all(p.doc_tokens == len(ids) for p in pieces)
         want[pieces[0].doc_id].remove(ids)
         at = 0
         for p in pieces:
-            assert p.start == at and p.length == len(p.ids) // 2 and p.crc == crc(np.frombuffer(p.ids, "<u2"))
+            assert p.start == at and p.length == len(p.ids) // 4 and p.crc == crc(np.frombuffer(p.ids, "<u4"))
             at += p.length
     fills = []
     for pieces in by_sequence.values():
