@@ -28,10 +28,12 @@ def adopt_redirected_hosts(log: DataFrame, sites: DataFrame, suffixes: DataFrame
 def discover_candidates(edges: DataFrame, known: DataFrame, max_depth: int = 4) -> DataFrame:
     """edges(page_id, dst, depth) -> (url, n, first_page, depth): linked pages that known(url) lacks, in classes and shapes that can be
     pages, at most max_depth deep. URLs are reduced to one row each before the anti-join."""
-    url = F.col("dst")
-    fine = (F.length(url) <= u.MAX_SCOPED_CHARS) & (u.query(url) == "") & (u.url_class(url) == "page") & ~u.has_opaque_id(url) & (F.col("depth") + 1 <= max_depth)
-    per = edges.where(fine).groupBy(url.alias("url")).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"), (F.min("depth") + 1).alias("depth"))
-    return per.join(known, "url", "left_anti")
+    # The URL is taken as an aggregate, so that conditions on it stay above and aren't worked out again in every link's parsing.
+    per = edges.groupBy("dst").agg(F.max("dst").alias("url"), F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"), (F.min("depth") + 1).alias("depth"))
+    url = F.col("url")
+    fine = (F.length(url) <= u.MAX_SCOPED_CHARS) & (u.query(url) == "") & (u.url_class(url) == "page") & ~u.has_opaque_id(url) & (F.col("depth") <= max_depth)
+    seen = known.groupBy("url").agg(F.max("url").alias("seen"))  # likewise: the conditions are inferred for this side too
+    return per.where(fine).drop("dst").join(seen.select("seen"), F.col("url") == F.col("seen"), "left_anti")
 
 
 def crawl_depths(links: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:
@@ -121,5 +123,5 @@ def discover_files(edges: DataFrame, known: DataFrame, roots: DataFrame) -> Data
     """edges(page_id, dst) -> (url, n): documents linked from pages, on hosts within roots(root), that known(url) lacks."""
     from .urls import within_domain
 
-    files = edges.where(u.url_class(F.col("dst")) == "file").groupBy(F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("n")).withColumn("host", u.host(F.col("url")))
+    files = edges.groupBy("dst").agg(F.max("dst").alias("url"), F.count(F.lit(1)).alias("n")).where(u.url_class(F.col("url")) == "file").withColumn("host", u.host(F.col("url")))
     return within_domain(files, roots).join(known, "url", "left_anti").select("url", "n")
