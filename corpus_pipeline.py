@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftline.llm.decontamination import decontaminated
 from driftline.llm.jaccard_join import deduplicated
 from driftline.llm.line_dedup import line_dedup
-from driftline.llm.packing import pack, wide_ids
+from driftline.llm.packing import pack
 from driftline.llm.quality import kept_documents
 from driftline.llm.shared import table, written
 
@@ -24,7 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the chunks that repeat; one of which nothing is left goes. n_chars follows the text."""
-    out = line_dedup(docs).where((F.col("n_removed_chunks") == 0) | (F.length(F.trim(F.translate("text", "\n\t\r", "   "))) > 0))
+    # written first: a condition on the kept text would else be worked out again below the join, with all that leads to it
+    out = written(line_dedup(docs), "kept-lines").where((F.col("n_removed_chunks") == 0) | (F.length(F.trim(F.translate("text", "\n\t\r", "   "))) > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
@@ -40,7 +41,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     packed = pack(docs, end_id=1)
-    return packed.select("doc_id", "start", "length", F.crc32(wide_ids("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", repeated_lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark_leaks), ("packing", packing)]
