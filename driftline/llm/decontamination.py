@@ -44,31 +44,39 @@ def _words(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return span_hashes(text, starts, ends), of
 
 
-def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int, int]:
-    """(score, equal words, a_from, a_to, b_from, b_to) of a best local alignment of two word sequences.
+def _path(same: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(score, rows, columns, equal) of a best local alignment of two word sequences, given which of their words are the same.
 
-    One row of the table per word of a, all of b at once: with a gap score per word, the best way along a row is a
+    rows and columns are the words before each step of the path and after its last; equal has a flag per step. One row of
+    the table per word of the first, all of the second at once: with a gap score per word, the best way along a row is a
     running maximum. The way back is walked once.
     """
-    n, m = len(a), len(b)
+    n, m = same.shape
     h = np.zeros((n + 1, m + 1), np.int32)
     ramp = np.arange(m + 1, dtype=np.int32) * -GAP
     for i in range(1, n + 1):
         row = h[i]
-        row[1:] = np.maximum(h[i - 1, :-1] + np.where(b == a[i - 1], MATCH, MISMATCH), h[i - 1, 1:] + GAP)
+        row[1:] = np.maximum(h[i - 1, :-1] + np.where(same[i - 1], MATCH, MISMATCH), h[i - 1, 1:] + GAP)
         np.maximum(row, 0, out=row)
         np.maximum(np.maximum.accumulate(row + ramp) - ramp, row, out=row)
     i, j = divmod(int(h.argmax()), m + 1)
-    best, to_a, to_b, equal = int(h[i, j]), i, j, 0
+    best, at, equal = int(h[i, j]), [(i, j)], []
     while h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if a[i - 1] == b[j - 1] else MISMATCH):
-            equal += int(a[i - 1] == b[j - 1])
+        if h[i, j] == h[i - 1, j - 1] + (MATCH if same[i - 1, j - 1] else MISMATCH):
+            equal.append(bool(same[i - 1, j - 1]))
             i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + GAP:
-            i -= 1
         else:
-            j -= 1
-    return best, equal, i, to_a, j, to_b
+            equal.append(False)
+            i, j = (i - 1, j) if h[i, j] == h[i - 1, j] + GAP else (i, j - 1)
+        at.append((i, j))
+    rows, columns = np.array(at[::-1]).T
+    return best, rows, columns, np.array(equal[::-1], bool)
+
+
+def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int, int]:
+    """(score, equal words, a_from, a_to, b_from, b_to) of a best local alignment of two word sequences."""
+    score, rows, columns, equal = _path(a[:, None] == b)
+    return score, int(equal.sum()), int(rows[0]), int(rows[-1]), int(columns[0]), int(columns[-1])
 
 
 def _leak(score: int, equal: int, from_b: int, to_b: int, item_words: int) -> bool:
@@ -76,6 +84,52 @@ def _leak(score: int, equal: int, from_b: int, to_b: int, item_words: int) -> bo
     return equal >= min(MIN_WORDS, item_words) and score >= IDENTITY * MATCH * span and (span >= COVERAGE * item_words or equal >= LONG_WORDS)
 
 
+def _part(rows: np.ndarray, columns: np.ndarray, equal: np.ndarray, item_words: int) -> tuple | None:
+    """(score, equal words, a_from, a_to, b_from, b_to) of the part of a path, between two of its equal words, that counts
+    as a leak and has most equal words; None if no part does.
+
+    Of the parts that end at a step, the longest that keeps the share of the best score holds all others, so one start
+    per end is tried: the first from which the score less its bar doesn't fall.
+    """
+    both = (np.diff(rows) > 0) & (np.diff(columns) > 0)
+    score = np.append(0, np.cumsum(np.where(equal, MATCH, np.where(both, MISMATCH, GAP))))
+    count = np.append(0, np.cumsum(equal))
+    over = score - IDENTITY * MATCH * (columns - columns[0])
+    least = np.minimum.accumulate(np.where(np.append(equal, False), over, np.inf))
+    best = None
+    for to in np.flatnonzero(np.append(False, equal)):
+        at = int(np.searchsorted(-least, -over[to]))
+        if at < to and (best is None or count[to] - count[at] > best[1]):
+            got = tuple(int(x) for x in (score[to] - score[at], count[to] - count[at], rows[at], rows[to], columns[at], columns[to]))
+            best = got if _leak(got[0], got[1], got[4], got[5], item_words) else best
+    return best
+
+
+def _least(item_words: int) -> float:
+    """A passage that counts scores no less: each of its item words brings IDENTITY of MATCH, and it has so many of them."""
+    return IDENTITY * MATCH * max(min(MIN_WORDS, item_words), min(COVERAGE * item_words, LONG_WORDS))
+
+
+def _passages(same: np.ndarray, item_words: int) -> list[tuple]:
+    """All parts of alignments that count as leaks, by place. What lies before and after an accepted one is aligned again;
+    a path without such a part gives up its equal words, and its stretch is aligned without them."""
+    out, todo = [], [(0, len(same))]
+    while todo:
+        low, high = todo.pop()
+        score, rows, columns, equal = _path(same[low:high])
+        if score < _least(item_words) or not equal.any():
+            continue
+        got = _part(rows, columns, equal, item_words)
+        if got:
+            got = (*got[:2], got[2] + low, got[3] + low, *got[4:])
+            out.append(got)
+            todo += [(low, got[2]), (got[3], high)]
+        else:
+            same[low + rows[:-1][equal], columns[:-1][equal]] = False
+            todo.append((low, high))
+    return sorted(out, key=lambda x: x[2])
+
+
 def _surprise(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
     """Occurrences in the whole corpus of each of the item words (sorted hashes), and of all words."""
 
@@ -144,18 +198,19 @@ class _Items:
         for item, starts in sorted(self.places(words).items()):
             b = self.words[self.at[item] : self.at[item + 1]]
             m = len(b)
-            for group in np.split(starts, np.flatnonzero(np.diff(starts) > m + SLACK) + 1):
-                # a stretch of text between the outermost seeds and as long as the item on both sides, in overlapping windows
-                low, high = max(0, int(group[0]) - SLACK), min(len(words), int(group[-1]) + m + SLACK)
-                step = 2 * m + 2 * SLACK
-                best = None
-                for at in range(low, high, step):
-                    to = min(high, at + step + m + SLACK)
-                    got = smith_waterman(words[at:to], b)
-                    if (best is None or got[0] > best[0]) and _leak(got[0], got[1], got[4], got[5], m):
-                        best = (got[0], got[1], at + got[2], at + got[3], got[4], got[5])
-                if best:
-                    yield item, m, best
+            # a passage that counts has no more put-in words than equal ones, so it takes 2 * m words of the document at most
+            for group in np.split(starts, np.flatnonzero(np.diff(starts) > 3 * m + 2 * SLACK) + 1):
+                at, high = max(0, int(group[0]) - m - SLACK), min(len(words), int(group[-1]) + 2 * m + SLACK)
+                while at < high:
+                    # each window is whole for what starts in its first part; the rest is left to the next
+                    to = min(high, at + 4 * m + 2 * SLACK)
+                    step = to if to == high else to - 2 * m
+                    past = step
+                    for got in _passages(words[at:to, None] == b, m):
+                        if at + got[2] < step:
+                            past = max(past, at + got[3])
+                            yield item, m, (got[0], got[1], at + got[2], at + got[3], got[4], got[5])
+                    at = past
 
 
 def _items(benchmark: DataFrame) -> list[_Items]:
@@ -188,7 +243,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts and items match nothing; a null doc_id or item_id is carried as null; repeated rows are reported
     each, repeated items once; empty tables give no rows; other columns are ignored. Words are letters and digits of
-    lower-case text, other signs part them. Of equally good alignments the first is taken.
+    lower-case text, other signs part them. Places of an item in a document don't overlap; of equally good alignments the
+    first is taken.
     """
     spark, low = docs.sparkSession, _lower(docs, "doc_id")
     out = None

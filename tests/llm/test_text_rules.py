@@ -99,6 +99,25 @@ def test_leaks(spark):
     assert leaks(frame(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def places(spark, docs, item):
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rng = random.Random(60)
+    rows = [(i, f"{words(rng, 70)} {d} {words(rng, 70)}", "en", "s", 1) for i, d in enumerate(docs)]
+    out = [[] for _ in docs]
+    for r in leaks(frame(spark, rows), benchmark).collect():
+        out[r.doc_id].append((r.item_from, r.item_to))
+    return [sorted(x) for x in out]
+
+
+def test_leaks_of_parts_and_of_copies_in_a_row(spark):
+    """Two ends of an item around other words, without its middle, and copies back to back: each place is reported."""
+    w = [f"w{i}" for i in range(59)]
+    ends, halves = [(0, 18), (41, 59)], " ".join
+    changed = halves(w[:18] + [f"x{i}" for i in range(23)] + w[41:])
+    got = places(spark, [changed, halves(w[:18] + w[41:]), halves(w[:18]), halves(w * 3), halves(w[:18] + w[:18]), halves(w[:10])], halves(w))
+    assert got == [ends, ends, [(0, 18)], [(0, 59)] * 3, [(0, 18)] * 2, []]
+
+
 W = " ".join(["alpha beta gamma"] * 15)
 PAGES = [
     (f'<body><div class="topnav"><a href="#">Home</a><a>News</a></div><div id="page"><div class="article-content"><h1>Title here</h1><p>{W}</p><ul><li><a href="x">one link</a></li><li>two</li></ul><div class="ad-slot">Buy now</div><p>{W} &eacute;t&eacute; x&nbsp;y</p></div><div class="sidebar-right"><p>{W}</p></div><div id="comments"><div class="comment"><p>{W}</p></div></div></div><footer>c</footer></body>', f"Title here {W} one link two {W} été x y"),
