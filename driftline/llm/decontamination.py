@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare word n-grams propose (document, item) places, Smith-Waterman scores them.
+"""Benchmark decontamination: shared word n-grams propose (document, item) places, Smith-Waterman scores them.
 
-A seed is an n-gram of an item that is too improbable under the corpus's own word frequencies to be there by chance;
-unlike a count of the n-gram itself, that bar doesn't fall when an item has leaked often. A document that holds a
-seed of an item is aligned with it, word by word, around each group of seeds; the alignment stands edits,
-insertions and left-out words.
+Every n-gram of an item is a seed, whatever its frequency, so what is found in a document doesn't depend on the rest of
+the corpus. A document that holds a seed of an item is aligned with it, word by word, around each group of seeds; the
+alignment stands edits, insertions and left-out words. Places where common words met by chance are put aside first, by
+the best score of their alignment, many at a time.
 """
 
 from __future__ import annotations
@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from .arrays import pieces, runs, span_hashes, utf8, windows
 
-#: Words of a seed. Bits of surprise (sum over its words of -log2 frequency, less log2 of the corpus's length) from which
-#: a seed is rare.
-SEED, RARE_BITS = 3, 4.0
+#: Words of a seed.
+SEED = 3
 #: Alignment: score of equal words, of a replaced word and of a word on one side only.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A place counts from MIN_WORDS equal words in its alignment (all words of a shorter item), and from this share of the best
@@ -27,6 +26,8 @@ MIN_WORDS, IDENTITY, COVERAGE, LONG_WORDS = 8, 0.5, 0.3, 24
 BLOCK_WORDS = 2_000_000
 #: Seeds of one item further apart than this many words more than the item has are other places.
 SLACK = 20
+#: Shared seeds worked on at once (a document's are together), and cells of a row of the alignments scored at once.
+HITS, ROW_CELLS = 500_000, 50_000
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[:0x80] = True
@@ -130,26 +131,23 @@ def _passages(same: np.ndarray, item_words: int) -> list[tuple]:
     return sorted(out, key=lambda x: x[2])
 
 
-def _surprise(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
-    """Occurrences in the whole corpus of each of the item words (sorted hashes), and of all words."""
+def _best_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The score of a best local alignment of each row of a with the same row of b."""
+    ramp = np.arange(a.shape[1] + 1, dtype=np.int32) * -GAP
+    h, best = np.zeros((len(a), a.shape[1] + 1), np.int32), np.zeros(len(a), np.int32)
+    for j in range(b.shape[1]):
+        row = h + GAP
+        np.maximum(row[:, 1:], h[:, :-1] + np.where(a == b[:, j : j + 1], np.int32(MATCH), np.int32(MISMATCH)), out=row[:, 1:])
+        np.maximum(row, 0, out=row)
+        h = np.maximum.accumulate(row + ramp, axis=1) - ramp
+        np.maximum(best, h.max(axis=1), out=best)
+    return best
 
-    def run(batches):
-        total, n = np.zeros(len(words), np.int64), 0
-        for batch in batches:
-            text, offsets = utf8(batch.column(1))
-            for first, last in runs(offsets):
-                got, _ = _words(text[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-                at = np.searchsorted(words, got)
-                at[at == len(words)] = 0
-                total += np.bincount(at[words[at] == got], minlength=len(words))
-                n += len(got)
-        at = np.append(np.flatnonzero(total), -1)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(total[at[:-1]], n))], ["word", "n"])
 
-    rows = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()  # one row per item word
-    counts = np.zeros(len(words) + 1, np.int64)
-    counts[rows["word"]] = rows["n"]
-    return counts[:-1], int(counts[-1])
+def _spans(words: np.ndarray, low: np.ndarray, high: np.ndarray, other: int) -> np.ndarray:
+    """words[low:high] of each span as a row, filled up with a word that nothing else is."""
+    at = low[:, None] + np.arange(int((high - low).max()))
+    return np.where(at < high[:, None], words[np.minimum(at, len(words) - 1)], np.uint64(other))
 
 
 class _Items:
@@ -158,59 +156,86 @@ class _Items:
     def __init__(self, ids: list, words: np.ndarray, of: np.ndarray):
         self.ids, self.n = ids, len(ids)
         self.words, self.at = words, np.searchsorted(of, np.arange(len(ids) + 1))
-        self.known = np.unique(words)
         self.of = of
-
-    def seed(self, counts: np.ndarray, total: int) -> None:
-        bits = -np.log2((counts + 1) / (total + len(counts)))
-        at = np.searchsorted(self.known, self.words)
-        keys, item, place, rare = [], [], [], []
+        keys, item, place = [], [], []
         sizes = np.diff(self.at)
-        for width in range(1, SEED + 1):  # an item of fewer words is one seed, however common
+        for width in range(1, SEED + 1):  # an item of fewer words is one seed
             found, first = windows(self.words, self.of, width)
             use = sizes[self.of[first]] == width if width < SEED else np.ones(len(first), bool)
-            own = sum(bits[at[first + k]] for k in range(width)) if len(first) else np.zeros(0)
-            enough = (own - np.log2(max(total, 1)) >= RARE_BITS) | (sizes[self.of[first]] <= SEED)
-            keys.append(found[use] + np.uint64(width)), item.append(self.of[first][use]), place.append((first - self.at[self.of[first]])[use]), rare.append(enough[use])
-        key, self.item, self.place, rare = (np.concatenate(x) for x in (keys, item, place, rare))
-        # an item of common words alone keeps its rarest seeds: none is left without
-        missing = np.setdiff1d(np.unique(self.item), self.item[rare])
-        rare |= np.isin(self.item, missing)
-        order = np.argsort(key[rare], kind="stable")
-        self.key, self.item, self.place = key[rare][order], self.item[rare][order], self.place[rare][order]
+            keys.append(found[use] + np.uint64(width)), item.append(self.of[first][use]), place.append((first - self.at[self.of[first]])[use])
+        key, self.item, self.place = (np.concatenate(x) for x in (keys, item, place))
+        order = np.argsort(key, kind="stable")
+        self.key, self.item, self.place = key[order], self.item[order], self.place[order]
         self.widths = [w for w in range(1, SEED + 1) if w == SEED or (sizes == w).any()]
 
-    def places(self, words: np.ndarray) -> dict[int, np.ndarray]:
-        """For each item that the document shares seeds with: start of the item in the document, as each seed has it."""
-        hits = []
+    def hits(self, words: np.ndarray, of: np.ndarray):
+        """(first word, from, to) of each window of words that is a seed, and where it stands in key; parts of about HITS seeds."""
+        first, lo, hi = [], [], []
         for width in self.widths:
-            found, first = windows(words, np.zeros(len(words), np.int64), width)
+            found, at = windows(words, of, width)
             found = found + np.uint64(width)
-            lo, hi = np.searchsorted(self.key, found), np.searchsorted(self.key, found, "right")
-            for k in np.flatnonzero(hi > lo):
-                hits += [(int(self.item[s]), int(first[k] - self.place[s])) for s in range(lo[k], hi[k])]
-        out: dict[int, set] = {}
-        for item, start in hits:
-            out.setdefault(item, set()).add(start)
-        return {item: np.array(sorted(x)) for item, x in out.items()}
-
-    def leaks(self, words: np.ndarray):
-        for item, starts in sorted(self.places(words).items()):
-            b = self.words[self.at[item] : self.at[item + 1]]
-            m = len(b)
+            left, right = np.searchsorted(self.key, found), np.searchsorted(self.key, found, "right")
+            some = right > left
+            first.append(at[some]), lo.append(left[some]), hi.append(right[some])
+        first, lo, hi = (np.concatenate(x) for x in (first, lo, hi))
+        order = np.argsort(first, kind="stable")
+        first, lo, hi = first[order], lo[order], hi[order]
+        before = np.append(0, np.cumsum(hi - lo))[np.searchsorted(of[first], of[first])]  # up to the document
+        cuts = np.flatnonzero(np.diff(before // HITS)) + 1
+        for part in np.split(np.arange(len(first)), cuts):
+            if len(part):
+                yield first[part], lo[part], hi[part]
+
+    def stretches(self, words: np.ndarray, of: np.ndarray, bounds: np.ndarray):
+        """(document, item, from, to) of the stretches of words around the seeds that a document shares with an item."""
+        for first, lo, hi in self.hits(words, of):
+            n = hi - lo
+            k = np.repeat(np.arange(len(n)), n)
+            seed = lo[k] + np.arange(len(k)) - (np.cumsum(n) - n)[k]
+            doc, item, start = of[first[k]], self.item[seed], first[k] - self.place[seed]
+            order = np.lexsort((start, item, doc))
+            doc, item, start = doc[order], item[order], start[order]
+            m = self.at[item + 1] - self.at[item]
             # a passage that counts has no more put-in words than equal ones, so it takes 2 * m words of the document at most
-            for group in np.split(starts, np.flatnonzero(np.diff(starts) > 3 * m + 2 * SLACK) + 1):
-                at, high = max(0, int(group[0]) - m - SLACK), min(len(words), int(group[-1]) + 2 * m + SLACK)
-                while at < high:
-                    # each window is whole for what starts in its first part; the rest is left to the next
-                    to = min(high, at + 4 * m + 2 * SLACK)
-                    step = to if to == high else to - 2 * m
-                    past = step
-                    for got in _passages(words[at:to, None] == b, m):
-                        if at + got[2] < step:
-                            past = max(past, at + got[3])
-                            yield item, m, (got[0], got[1], at + got[2], at + got[3], got[4], got[5])
-                    at = past
+            new = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start) > 3 * m[1:] + 2 * SLACK)
+            head, tail = np.append(0, np.flatnonzero(new) + 1), np.append(np.flatnonzero(new), len(doc) - 1)
+            doc, item, m = doc[head], item[head], m[head]
+            low, high = np.maximum(bounds[doc], start[head] - m - SLACK), np.minimum(bounds[doc + 1], start[tail] + 2 * m + SLACK)
+            use = self.likely(words, item, low, high)
+            yield from zip(doc[use].tolist(), item[use].tolist(), low[use].tolist(), high[use].tolist(), strict=True)
+
+    def likely(self, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """False for stretches whose best score is below that of any passage that counts."""
+        m, out = self.at[item + 1] - self.at[item], np.ones(len(item), bool)
+        least = np.maximum(np.minimum(MIN_WORDS, m), np.minimum(COVERAGE * m, LONG_WORDS)) * IDENTITY * MATCH
+        size = high - low
+        order = np.lexsort((size, m))
+        order = order[size[order] <= ROW_CELLS]  # longer ones are aligned anyway
+        done = 0
+        while done < len(order):
+            part = order[done : done + max(1, ROW_CELLS // int(size[order[done]]))]
+            part = part[: max(1, ROW_CELLS // int(size[part].max()))]
+            done += len(part)
+            got = _best_scores(_spans(words, low[part], high[part], 0), _spans(self.words, self.at[item[part]], self.at[item[part] + 1], 1))
+            out[part] = got >= least[part]
+        return out
+
+    def leaks(self, words: np.ndarray, of: np.ndarray, documents: int):
+        """(document, item, words of the item, place) of each passage that counts."""
+        bounds = np.searchsorted(of, np.arange(documents + 1))
+        for doc, item, at, high in self.stretches(words, of, bounds):
+            b, base = self.words[self.at[item] : self.at[item + 1]], int(bounds[doc])
+            m = len(b)
+            while at < high:
+                # each window is whole for what starts in its first part; the rest is left to the next
+                to = min(high, at + 4 * m + 2 * SLACK)
+                step = to if to == high else to - 2 * m
+                past = step
+                for got in _passages(words[at:to, None] == b, m):
+                    if at + got[2] < step:
+                        past = max(past, at + got[3])
+                        yield doc, item, m, (got[0], got[1], at + got[2] - base, at + got[3] - base, got[4], got[5])
+                at = past
 
 
 def _items(benchmark: DataFrame) -> list[_Items]:
@@ -249,7 +274,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark, low = docs.sparkSession, _lower(docs, "doc_id")
     out = None
     for items in _items(benchmark):
-        items.seed(*_surprise(low, items.known))
         shared = spark.sparkContext.broadcast(items)  # BLOCK_WORDS words at most
 
         def run(batches, shared=shared):
@@ -259,17 +283,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = []
                 for first, last in runs(offsets):
                     words, of = _words(text[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-                    hit = np.zeros(last - first, bool)
-                    for width in own.widths:
-                        found, at = windows(words, of, width)
-                        found = found + np.uint64(width)
-                        k = np.searchsorted(own.key, found)
-                        k[k == len(own.key)] = 0
-                        hit[of[at[own.key[k] == found]]] = True
-                    bounds = np.searchsorted(of, np.arange(last - first + 1))
-                    for d in np.flatnonzero(hit):
-                        for item, m, (score, equal, a0, a1, b0, b1) in own.leaks(words[bounds[d] : bounds[d + 1]]):
-                            rows.append((batch.column(0)[first + int(d)].as_py(), own.ids[item], score, m, equal, a0, a1, b0, b1))
+                    for d, item, m, (score, equal, a0, a1, b0, b1) in own.leaks(words, of, last - first):
+                        rows.append((batch.column(0)[first + d].as_py(), own.ids[item], score, m, equal, a0, a1, b0, b1))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 9)], [x.split()[0] for x in SCHEMA.split(", ")])
 
         found = low.mapInArrow(run, SCHEMA)

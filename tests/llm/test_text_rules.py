@@ -118,6 +118,19 @@ def test_leaks_of_parts_and_of_copies_in_a_row(spark):
     assert got == [ends, ends, [(0, 18)], [(0, 59)] * 3, [(0, 18)] * 2, []]
 
 
+def test_leaks_of_common_words(spark):
+    """A passage of an item whose words are common in the corpus is found as in a small corpus."""
+    rng = random.Random(61)
+    common = [words(rng, 1) for _ in range(8)]
+    part = [rng.choice(common) for _ in range(12)]
+    item = " ".join([*part, *(f"w{i}" for i in range(24))])
+    rows = [(0, f"{' '.join(f'a{i}' for i in range(40))} {' '.join(part)} {' '.join(f'b{i}' for i in range(40))}", "en", "s", 1)]
+    rows += [(1 + i, " ".join(f"{rng.choice(common)} c{rng.randrange(9)}" for _ in range(400)), "en", "s", 1) for i in range(100)]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for corpus in (rows[:1], rows):
+        assert [(r.doc_id, r.doc_from, r.doc_to, r.item_from, r.item_to) for r in leaks(frame(spark, corpus), benchmark).collect()] == [(0, 40, 52, 0, 12)]
+
+
 W = " ".join(["alpha beta gamma"] * 15)
 PAGES = [
     (f'<body><div class="topnav"><a href="#">Home</a><a>News</a></div><div id="page"><div class="article-content"><h1>Title here</h1><p>{W}</p><ul><li><a href="x">one link</a></li><li>two</li></ul><div class="ad-slot">Buy now</div><p>{W} &eacute;t&eacute; x&nbsp;y</p></div><div class="sidebar-right"><p>{W}</p></div><div id="comments"><div class="comment"><p>{W}</p></div></div></div><footer>c</footer></body>', f"Title here {W} one link two {W} été x y"),
