@@ -93,6 +93,12 @@ def t7_collapse_and_truncate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.collapse_blanks(F.substring("text", 1, 400)).alias("one_line"), t.truncate_line(F.col("text")).alias("cut"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(text, '[\\s\\v]+', ' ', 'g')) AS one_line, CASE WHEN length(text) > 180 THEN left(text, 180) || '…' ELSE text END AS cut FROM documents")
+def t7_collapse_whole_text(spark, sf):
+    """As t7_collapse_and_truncate, of whole texts: only truncate_line caps."""
+    return table(spark, sf, "documents").select("doc_id", t.collapse_blanks(F.col("text")).alias("one_line"), t.truncate_line(F.col("text")).alias("cut"))
+
+
 @query("""WITH d AS (SELECT o_orderkey, o_orderkey * 977 AS s, o_orderkey * 977 * 1000 + 7 AS n FROM orders)
 SELECT o_orderkey, CASE WHEN s >= 86400 THEN (s // 86400) || 'd' || CASE WHEN s % 86400 // 3600 > 0 THEN ' ' || (s % 86400 // 3600) || 'h' ELSE '' END
   WHEN s >= 3600 THEN (s // 3600) || 'h' || CASE WHEN s % 3600 // 60 > 0 THEN ' ' || (s % 3600 // 60) || 'm' ELSE '' END
@@ -181,18 +187,28 @@ def d11_set_diff(spark, sf):
     return pages.select("page_id", F.array_join(added, " ").alias("added"), F.array_join(removed, " ").alias("removed"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN regexp_replace(left(text, 300), '[^\\x{01}-\\x{FF}]', '?', 'g') ELSE left(text, 300) END AS body_text FROM documents")
-def s2_decode_bodies(spark, sf):
+def _decoded(spark, sf, text):
     """Bodies with a byte order mark, UTF-16, a Latin-1 header, and a charset named in the body."""
     from ..sources.fetch_log import decode_bodies
 
-    i, text = F.col("doc_id") % 4, F.substring("text", 1, 300)
+    i = F.col("doc_id") % 4
     latin = F.regexp_replace(text, r"[^\x01-\xFF]", "?")
     body = F.when(i == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(i == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).when(i == 2, F.encode(latin, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
     docs = table(spark, sf, "documents").select("doc_id", body.alias("body"), F.when(i == 2, "text/html; charset=ISO-8859-1").otherwise("text/html").alias("content_type"), F.lit(None).cast("string").alias("body_text"))
     return decode_bodies(docs).select("doc_id", "body_text")
 
 
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN regexp_replace(left(text, 300), '[^\\x{01}-\\x{FF}]', '?', 'g') ELSE left(text, 300) END AS body_text FROM documents")
+def s2_decode_bodies(spark, sf):
+    return _decoded(spark, sf, F.substring("text", 1, 300))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN regexp_replace(text, '[^\\x{01}-\\x{FF}]', '?', 'g') ELSE text END AS body_text FROM documents")
+def s2_decode_whole_bodies(spark, sf):
+    """As s2_decode_bodies, of whole texts."""
+    return _decoded(spark, sf, F.col("text"))
+
+
 @query(f"""WITH {_TICK}, s AS (SELECT doc_id, string_agg(CASE WHEN doc_id % 2 = 0 THEN {_MASKED('old')} ELSE old END, chr(10) ORDER BY line_no) AS t FROM ticks GROUP BY doc_id) SELECT doc_id, sha1(t) AS cmp_hash, doc_id % 2 = 0 AS rebased FROM s""")
 def c24_rehash_after_rule_change(spark, sf):
     """Sites with an even id now mask numbers: their stored texts get new hashes."""

@@ -46,3 +46,10 @@ def test_entry_without_training_data_operators(spark):
 
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
+
+
+def test_whole_texts_are_decoded_and_collapsed(spark):
+    long = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text and len(r.text) > 400}
+    decoded = {r.doc_id: r.body_text for r in QUERIES["s2_decode_whole_bodies"](spark, SF).collect()}
+    lines = {r.doc_id: r.one_line for r in QUERIES["t7_collapse_whole_text"](spark, SF).collect()}
+    assert long and all(len(decoded[i]) == len(x) and len(lines[i].split()) == len(x.split()) for i, x in long.items())
