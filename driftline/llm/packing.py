@@ -109,9 +109,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, sequenc
 
         task, row = TaskContext.get().partitionId(), 0
         windows = _Windows(task << 32, sequence, open_windows, small_gap, width)
-        for keys, ids, at in encoded(batches, tokenizer, end_id):
+        for rest, ids, at in encoded(batches, tokenizer, end_id):
             data = ids.astype("<u4").tobytes()
-            for k, key in enumerate(keys.to_pylist()):
+            for k, key in enumerate(rest.column(0).to_pylist()):
                 n = int(at[k + 1] - at[k])
                 windows.add(key, 0, n, n, (task << 32) + row, data[at[k] * width : at[k + 1] * width])
                 row += 1

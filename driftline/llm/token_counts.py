@@ -20,8 +20,8 @@ def lengths(docs: DataFrame, tokenizer: str | None = None, end_id: int | None =
     tokenizer = tokenizer or default_path()
 
     def run(batches):
-        for keys, _, at in encoded(batches, tokenizer, end_id):
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(at), pa.int64())], ["doc_id", "n_tokens"])
+        for rest, _, at in encoded(batches, tokenizer, end_id):
+            yield pa.RecordBatch.from_arrays([rest.column(0), pa.array(np.diff(at), pa.int64())], ["doc_id", "n_tokens"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_tokens long")

@@ -1,7 +1,8 @@
 """Token-id files: frequency-ranked ids in a byte-aligned variable-length code.
 
 Format (a Parquet table of blocks, written by Spark's committer, so a retried task leaves nothing behind):
-one row per block of whole documents, blocks and the documents in them in ascending (doc_id, ids) order.
+one row per block of whole documents, blocks and the documents in them in ascending doc_id order (rows of one doc_id by a
+hash of their ids).
 
   shard, block      position of the block; shards are ascending ranges of doc_id
   start             ids of the shard that stand before the block
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import utf8
@@ -27,9 +28,9 @@ from .shared import new_path, written
 from .tokenizing import default_path, encoded, encoder
 
 #: Ids in a block (a longer document is a block of its own), and in a shard.
-BLOCK_IDS, SHARD_IDS = 1 << 18, 4_000_000
-#: Shards at most; beyond, shards grow. Their totals, one row each, are summed on the driver.
-MOST_SHARDS = 20_000
+BLOCK_IDS, SHARD_IDS = 1 << 18, 8_000_000
+#: Shards whose totals are summed as one group: running totals go within groups and over the groups' sums.
+GROUP = 1024
 
 #: Bytes of the four codes that a control byte tells of.
 _SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -69,7 +70,8 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "d
     """(doc_id, n_tokens, ids): ids as little-endian integers of the encoder's width. Null text counts as empty."""
 
     def run(batches):
-        for keys, ids, at in encoded(batches, tokenizer, end_id):
+        for rest, ids, at in encoded(batches, tokenizer, end_id):
+            keys = rest.column(0)
             rows = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer((at * ids.itemsize).astype(np.int32)), pa.py_buffer(ids.tobytes())])
             yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(at), pa.int64()), rows], ["doc_id", "n_tokens", "ids"])
 
@@ -94,7 +96,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int | No
     """Encodes the whole text of every document and writes the files.
 
     Null and empty texts hold end_id alone; rows whose doc_id is null come first; repeated doc_ids keep all their
-    rows, in the order of their ids; other columns are ignored; an empty table gives files without blocks.
+    rows, in the order of a hash of their ids, by which shards can part them; other columns are ignored; an empty table gives files without blocks.
     """
     tokenizer = tokenizer or default_path()
     spark = docs.sparkSession
@@ -108,7 +110,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int | No
     rank_of = np.empty(vocabulary, np.uint32)
     rank_of[order] = np.arange(vocabulary, dtype=np.uint32)
     total = int(counts["n"].sum())
-    shards = min(MOST_SHARDS, max(1, -(-total // SHARD_IDS)))
+    shards = max(1, -(-total // SHARD_IDS))
 
     def code(batches):
         from pyspark import TaskContext
@@ -138,8 +140,9 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int | No
             yield flush()
 
     schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("payload", pa.binary())])
-    ranged = rows.select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
-    blocks = ranged.mapInArrow(code, "shard long, block long, start long, doc_ids array<long>, lengths array<long>, control binary, payload binary")
+    ordered = rows.select("doc_id", "ids", F.xxhash64("ids").alias("tie"))
+    ranged = ordered.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    blocks = ranged.drop("tie").mapInArrow(code, "shard long, block long, start long, doc_ids array<long>, lengths array<long>, control binary, payload binary")
     files = TokenFiles(new_path(spark, "token-blocks"), new_path(spark, "token-ranks"))
     blocks.write.option("compression", "zstd").parquet(files.blocks)
     spark.createDataFrame([(k, int(x)) for k, x in enumerate(order)], "rank long, token_id long").coalesce(1).write.parquet(files.ranks)
@@ -170,8 +173,14 @@ def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
                 )
 
     read = blocks.mapInArrow(decode, "shard long, doc_id long, in_shard long, n_tokens long, ids binary")
-    # One row per shard, at most MOST_SHARDS, so the running total is made on the driver and broadcast.
-    totals = blocks.select("shard", F.expr("aggregate(lengths, 0L, (a, x) -> a + x)").alias("n")).groupBy("shard").agg(F.sum("n").alias("n")).toPandas().sort_values("shard")
-    before = (totals["n"].cumsum() - totals["n"]).astype("int64") if len(totals) else []
-    starts = spark.createDataFrame([(int(s), int(b)) for s, b in zip(totals["shard"], before, strict=True)], "shard long, before long")
-    return read.join(F.broadcast(starts), "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids")
+    starts = written(_shard_starts(blocks), "shard-starts")  # a table whose size is known before the ids are read
+    return read.join(starts, "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids")
+
+
+def _shard_starts(blocks: DataFrame) -> DataFrame:
+    """(shard, before): ids of all shards before each. Only the groups' sums, a row per GROUP shards, meet in one task."""
+    per = blocks.groupBy("shard").agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("n")).withColumn("g", F.expr(f"shard div {GROUP}"))
+    earlier = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    groups = per.groupBy("g").agg(F.sum("n").alias("gn")).select("g", F.coalesce(F.sum("gn").over(earlier("g")), F.lit(0)).alias("group_before"))
+    within = Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return per.join(groups, "g").select("shard", (F.col("group_before") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("before"))

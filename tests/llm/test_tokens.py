@@ -1,7 +1,8 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from driftline.llm.packing import pack
 from driftline.llm.token_counts import length_histogram, lengths
 from driftline.llm.token_files import packed, read_tokens, unpacked, write_tokens
-from driftline.llm.tokenizing import WordEncoder, default_path
+from driftline.llm.tokenizing import WordEncoder, default_path, encoded
 
 from .common import SCHEMA, documents, frame
 
@@ -32,7 +33,7 @@ def crc(ids):
 @settings(max_examples=150, deadline=None)
 def test_encoder_is_the_library(texts):
     enc = _shared
-    ids, sizes = enc.encode(texts)
+    ids, sizes = encode(enc, texts)
     want = library(enc, texts, [])
     assert [len(x) for x in want] == list(sizes) and [i for x in want for i in x] == list(ids)
 
@@ -40,12 +41,26 @@ def test_encoder_is_the_library(texts):
 _shared = WordEncoder(default_path())
 
 
+def encode(encoder, texts):
+    data = [(t or "").encode() for t in texts]
+    return encoder.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+
+
+def test_encoder_parts_a_long_text(monkeypatch, encoder):
+    monkeypatch.setattr("driftline.llm.tokenizing.TEXT_BYTES", 100)
+    text = " ".join(f"Wört{i}'s {i}" for i in range(500)) + "x" * 500
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([None, text, "a b"])], ["doc_id", "text"])
+    got = [ids.tolist() for _, ids, _ in encoded([batch], default_path(), None)]
+    assert [i for x in got for i in x] == [i for x in library(encoder, [text, "a b"], []) for i in x]
+
+
 def test_encoder_forgets(monkeypatch, encoder):
-    monkeypatch.setattr("driftline.llm.tokenizing.CACHE_WORDS", 10)
+    monkeypatch.setattr("driftline.llm.tokenizing.CACHE_UNITS", 6000)
+    monkeypatch.setattr("driftline.llm.tokenizing.TEXT_BYTES", 1000)
     own = WordEncoder(default_path())
-    for rows in (documents(1), documents(2)):
-        texts = [r[1] for r in rows]
-        ids, sizes = own.encode(texts)
+    for rows in (documents(1), documents(2), documents(3)):
+        texts = [r[1] for r in rows if not r[1] or len(r[1]) < 9000]
+        ids, sizes = encode(own, texts)
         want = library(encoder, texts, [])
         assert [i for x in want for i in x] == list(ids)
 
@@ -63,11 +78,14 @@ def test_token_files(spark, encoder, monkeypatch):
     rows = documents()
     files = write_tokens(frame(spark), end_id=2)
     got = read_tokens(spark, files).orderBy("start").collect()
-    want = sorted(((r[0], tuple(x)) for r, x in zip(rows, library(encoder, [r[1] for r in rows], [2]), strict=True)), key=lambda x: (x[0] is not None, x[0] or 0, np.array(x[1], "<u2").tobytes()))
+    order = lambda x: (x[0] is not None, x[0] or 0)
+    want = sorted(((r[0], tuple(x)) for r, x in zip(rows, library(encoder, [r[1] for r in rows], [2]), strict=True)), key=order)
     at = 0
-    for g, (doc, ids) in zip(got, want, strict=True):
-        assert (g.doc_id, g.start, g.n_tokens) == (doc, at, len(ids)) and np.frombuffer(g.ids, "<u4").tolist() == list(ids)
-        at += len(ids)
+    for g in got:
+        assert g.start == at and g.n_tokens == len(g.ids) // 4
+        at += g.n_tokens
+    read = [(g.doc_id, tuple(np.frombuffer(g.ids, "<u4").tolist())) for g in got]
+    assert sorted(read, key=order) == read and Counter(read) == Counter(want)
     blocks = spark.read.parquet(files.blocks)
     assert blocks.select("shard").distinct().count() > 1 and blocks.count() > 3
     ranks = {r.rank: r.token_id for r in spark.read.parquet(files.ranks).collect()}
