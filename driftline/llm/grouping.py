@@ -52,12 +52,13 @@ def local_roots(linked: np.ndarray) -> np.ndarray:
         root = least
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, root): the least node of the connected component of every node that has an edge (a, b).
 
     Each round ties all neighbours of a node to the least one (first those above the node, then all), which shortens
     paths by about half; edges stay as many or fewer. Rounds are written to the shared folder. Nothing is collected but
-    a count and a checksum.
+    a count and a checksum. Paths of any length end after a few rounds more than the logarithm of their length; what isn't at
+    its end after most_rounds is an error.
     """
     state, now = None, written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(most_rounds):
@@ -74,4 +75,6 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if tuple(new) == state:
             break
         state = tuple(new)
+    else:
+        raise RuntimeError(f"components are still changing after {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

@@ -1,6 +1,9 @@
 import hashlib
+import itertools
 import random
+import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -78,31 +81,57 @@ def test_interval_tree():
     assert found == {(3, 1, 3, 1), (1, 0, 3, 0), (2, 4, 5, 0)}
 
 
+def shingles(text):
+    w = re.findall(r"[^ \t\n\v\f\r]+", text or "")
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_documents(rows, bar=0.8):
+    """(doc_id, text) -> (number of links, documents that links lead to), over all pairs."""
+    sets = {r[:2]: shingles(r[1]) for r in rows}
+    links, group = Counter(), {x: {x} for x in sets}
+    for x, y in itertools.combinations(sets, 2):
+        if sets[x] and sets[y] and len(sets[x] & sets[y]) >= bar * len(sets[x] | sets[y]):
+            links[x] += 1
+            links[y] += 1
+            if group[x] is not group[y]:
+                group[x] |= group[y]
+                for z in group[y]:
+                    group[z] = group[x]
+    return links, group
+
+
 def plain_classes(rows, bar=0.8):
-    sets = defaultdict(set)
-    for doc, text, *_ in rows:
-        if doc is not None:
-            w = (text or "").split()
-            sets[doc] |= {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    ids = sorted(sets)
-    links, root = Counter(), {i: i for i in ids}
-    for x in ids:
-        for y in ids:
-            if x < y and sets[x] and sets[y] and len(sets[x] & sets[y]) >= bar * len(sets[x] | sets[y]):
-                links[x] += 1
-                links[y] += 1
-                a, b = root[x], root[y]
-                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
-    return links, root
+    """The same by doc_id, for rows of which each has its own."""
+    links, group = plain_documents(rows, bar)
+    return Counter({k[0]: n for k, n in links.items()}), {k[0]: min((x[0] for x in g if x[0] is not None), default=None) for k, g in group.items()}
 
 
 def test_jaccard_join_is_brute_force(spark):
-    rows = [r for r in documents() if r[0] != 8]
-    got = jaccard_classes(frame(spark, rows)).collect()
-    links, root = plain_classes(rows)
-    assert len(got) == len(rows) and sum(links.values()) > 500
-    for r in got:
-        assert r.n_links == (0 if r.doc_id is None else links[r.doc_id]) and r.class_id == (None if r.doc_id is None else root[r.doc_id]), r
+    rows = documents() + [(None, documents()[1][1], "en", "s", 1)]
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_classes(frame(spark, rows)).collect())
+    links, group = plain_documents(rows)
+    least = lambda g: min((x[0] for x in g if x[0] is not None), default=None)
+    assert got == Counter((r[0], least(group[r[:2]]), links[r[:2]]) for r in rows) and sum(links.values()) > 500
+
+
+def test_jaccard_recall_on_supplied_tables(spark):
+    """All links of the documents of the small supplied table, against brute force by common shingles."""
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no table")
+    docs = spark.read.parquet(str(path))
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    sets, by = {i: shingles(t) for i, t in rows}, defaultdict(list)
+    for i, x in sets.items():
+        for k in x:
+            by[k].append(i)
+    common = Counter(p for x in by.values() for p in itertools.combinations(x, 2))
+    want = Counter(i for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) for i in (a, b))
+    got = {r.doc_id: r.n_links for r in jaccard_classes(docs).collect()}
+    assert all(got[i] <= want[i] for i in got)
+    print("recall", sum(got.values()) / sum(want.values()))
+    assert sum(got.values()) >= 0.99 * sum(want.values()) > 0
 
 
 def test_jaccard_join_of_a_large_group(spark):
@@ -129,18 +158,27 @@ def test_jaccard_join_of_a_large_group(spark):
 
 
 def test_deduplicated(spark):
-    rows = [r for r in documents() if r[0] != 8]
+    a, b, c = (words(random.Random(k), 40) for k in "abc")
+    rows = documents() + [(5000, a, "x", "s", 1), (5001, a, "x", "s", 1), (5001, b, "x", "s", 1), (5002, c, "x", "s", 1)]
+    rows += [(None, a, "x", "s", 1), (None, words(random.Random("d"), 40), "x", "s", 2), (None, words(random.Random("d"), 40), "x", "s", 1)]
     df = frame(spark, rows)
     out = deduplicated(df)
     assert out.columns == df.columns
-    _, root = plain_classes(rows)
-    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted(k for k, v in root.items() if k == v)
-    assert jaccard_classes(spark.createDataFrame([], SCHEMA)).count() == 0
+    _, group = plain_documents(rows)
+    kept = Counter((r.doc_id, r.text) for r in out.collect())
+    assert max(kept.values()) == 1 and {*kept} <= {*group}
+    for members in group.values():
+        own = [x for x in members if x in kept]
+        assert len(own) == 1 and own[0][0] == min((x[0] for x in members if x[0] is not None), default=None)
+    assert {(5000, a), (5001, b), (5002, c)} <= {*kept} and (5001, a) not in kept and (None, a) not in kept
+    assert jaccard_classes(spark.createDataFrame([], SCHEMA)).count() == 0 and deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (7, 7)] + [(rng.randrange(500, 600), rng.randrange(500, 600)) for _ in range(60)]
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(edges, "a long, b long"), 1)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     root = {x: x for e in edges for x in e}
     for _ in range(100):
