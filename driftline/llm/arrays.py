@@ -69,10 +69,14 @@ SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 def pieces(text: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, document) of every maximal run of bytes that `cut` (a table of 256 flags) doesn't hold."""
-    n = len(text)
+    return flagged(~cut[text], offsets)
+
+
+def flagged(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of every maximal run of flags within one document."""
+    n = len(inside)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~cut[text]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)

@@ -1,88 +1,160 @@
-"""Benchmark decontamination: shared word n-grams propose (document, item) places, Smith-Waterman scores them.
+"""Benchmark decontamination: shared rare word n-grams propose (document, item) places, Smith-Waterman scores them.
 
-Every n-gram of an item is a seed, whatever its frequency, so what is found in a document doesn't depend on the rest of
-the corpus. A document that holds a seed of an item is aligned with it, word by word, around each group of seeds; the
+An n-gram of an item is a seed unless one beside it is many times rarer in the corpus. So any SEED + 1 words in a row that a
+document has in common with an item hold a seed, whatever the size of the corpus, while an n-gram that stands everywhere
+proposes nothing where a rare one is beside it. Seeds of documents and items meet in a join; a bit field of fixed size,
+made of the items' n-grams, keeps other n-grams of the corpus out of it.
+
+The words around the seeds that a document shares with an item are joined with the item and aligned, word by word; the
 alignment stands edits, insertions and left-out words. Places where common words met by chance are put aside first, by
-the best score of their alignment, many at a time.
+the best score of their alignment, many at a time. An alignment keeps some rows of its table and works out the others again,
+so its memory grows with the root of the table's size.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import pieces, runs, span_hashes, utf8, windows
+from .arrays import flagged, runs, span_hashes, utf8, windows
+from .shared import written
 
-#: Words of a seed.
-SEED = 3
+#: Words of a seed; an n-gram so many times as frequent as one beside it is none.
+SEED, RARER = 3, 16
 #: Alignment: score of equal words, of a replaced word and of a word on one side only.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: A place counts from MIN_WORDS equal words in its alignment (all words of a shorter item), and from this share of the best
-#: score that its own length on the item allows, and if they cover this share of the item or LONG_WORDS words.
+#: A place counts from MIN_WORDS equal words in its alignment, and from this share of the best score that its own length on the
+#: item allows, and if they cover this share of the item or LONG_WORDS words. An item of fewer than MIN_WORDS words has to stand
+#: there whole and unchanged; one of fewer than SEED words counts only in a document that holds nothing else.
 MIN_WORDS, IDENTITY, COVERAGE, LONG_WORDS = 8, 0.5, 0.3, 24
-#: Item words held by one pass over the corpus; a larger benchmark is worked on in blocks of so many.
-BLOCK_WORDS = 2_000_000
+#: Bits of the field for each n-gram of the items, and of the whole field at least and at most, as powers of two.
+FIELD_BITS, LEAST_FIELD, MOST_FIELD = 16, 20, 27
 #: Seeds of one item further apart than this many words more than the item has are other places.
 SLACK = 20
-#: Shared seeds worked on at once (a document's are together), and cells of a row of the alignments scored at once.
-HITS, ROW_CELLS = 500_000, 50_000
+#: Cells of a row of the alignments scored at once; cells of an alignment's table that is kept whole.
+ROW_CELLS, WHOLE_TABLE = 50_000, 1_000_000
 
-_BREAKS = np.zeros(256, bool)
-_BREAKS[:0x80] = True
-for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
-    _BREAKS[_c] = False
+
+@lru_cache(maxsize=1)
+def _word_characters() -> np.ndarray:
+    """A flag for each code point: letters, digits and the marks on them."""
+    return np.array([unicodedata.category(chr(c))[0] in "LNM" for c in range(0x110000)])
 
 
 def _lower(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias(key), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return df.select(F.col(key).cast("long").alias(key), F.lower(text).alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def _words(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of each word: letters and digits of lower-case text."""
-    starts, ends, of = pieces(text, offsets, _BREAKS)
+    known = _word_characters()
+    inside = known[:128][np.minimum(text, 127)]
+    for lead, size in ((0xC2, 2), (0xE0, 3), (0xF0, 4)):  # the first bytes of characters of so many bytes start there
+        at = np.flatnonzero((text >= lead) & (text < (0xE0, 0xF0, 0xF8)[size - 2]))
+        if len(at):
+            code = (text[at] & (0xFF >> (size + 1))).astype(np.int64)
+            for k in range(1, size):
+                code = code << 6 | (text[at + k] & 0x3F)
+            flag = known[code]
+            for k in range(size):
+                inside[at + k] = flag
+    starts, ends, of = flagged(inside, offsets)
     return span_hashes(text, starts, ends), of
 
 
-def _path(same: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(score, rows, columns, equal) of a best local alignment of two word sequences, given which of their words are the same.
+def _grams(words: np.ndarray, of: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of the n-grams of SEED words of each document; a document of fewer words is one of its own length."""
+    sizes = np.bincount(of, minlength=documents)
+    keys, first = [], []
+    for width in range(1, SEED + 1):
+        found, at = windows(words, of, width)
+        if width < SEED:
+            use = sizes[of[at]] == width
+            found, at = found[use], at[use]
+        keys.append(found + np.uint64(width)), first.append(at)
+    return np.concatenate(keys), np.concatenate(first)
+
+
+def _next_row(row: np.ndarray, equal: np.ndarray, ramp: np.ndarray) -> np.ndarray:
+    """The next row of the table: with a gap score per word, the best way along a row is a running maximum."""
+    out = np.empty_like(row)
+    out[0] = 0
+    np.maximum(row[:-1] + np.where(equal, np.int32(MATCH), np.int32(MISMATCH)), row[1:] + np.int32(GAP), out=out[1:])
+    np.maximum(out, 0, out=out)
+    return np.maximum(np.maximum.accumulate(out + ramp) - ramp, out)
 
-    rows and columns are the words before each step of the path and after its last; equal has a flag per step. One row of
-    the table per word of the first, all of the second at once: with a gap score per word, the best way along a row is a
-    running maximum. The way back is walked once.
-    """
-    n, m = same.shape
-    h = np.zeros((n + 1, m + 1), np.int32)
-    ramp = np.arange(m + 1, dtype=np.int32) * -GAP
-    for i in range(1, n + 1):
-        row = h[i]
-        row[1:] = np.maximum(h[i - 1, :-1] + np.where(same[i - 1], MATCH, MISMATCH), h[i - 1, 1:] + GAP)
-        np.maximum(row, 0, out=row)
-        np.maximum(np.maximum.accumulate(row + ramp) - ramp, row, out=row)
-    i, j = divmod(int(h.argmax()), m + 1)
-    best, at, equal = int(h[i, j]), [(i, j)], []
-    while h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same[i - 1, j - 1] else MISMATCH):
-            equal.append(bool(same[i - 1, j - 1]))
-            i, j = i - 1, j - 1
-        else:
-            equal.append(False)
-            i, j = (i - 1, j) if h[i, j] == h[i - 1, j] + GAP else (i, j - 1)
-        at.append((i, j))
-    rows, columns = np.array(at[::-1]).T
-    return best, rows, columns, np.array(equal[::-1], bool)
+
+class _Pair:
+    """Two word sequences, and the pairs of equal words that don't count as equal any more."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b, self.given_up = a, b, {}
+        self.ramp = np.arange(len(b) + 1, dtype=np.int32) * np.int32(-GAP)
+
+    def equal(self, i: int) -> np.ndarray:
+        out = self.b == self.a[i]
+        if i in self.given_up:
+            out[self.given_up[i]] = False
+        return out
+
+    def give_up(self, rows: np.ndarray, columns: np.ndarray) -> None:
+        for i, j in zip(rows.tolist(), columns.tolist(), strict=True):
+            self.given_up.setdefault(i, []).append(j)
+
+    def path(self, low: int, high: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """(score, rows, columns, equal) of a best local alignment of a[low:high] with b.
+
+        rows and columns are the words before each step of the path and after its last; equal has a flag per step. Of equally good
+        ones the first is taken. Every `step`th row of the table is kept; on the way back the rows between are worked out again.
+        """
+        n, m = high - low, len(self.b)
+        step = 1 if n * m <= WHOLE_TABLE else int(n**0.5) + 1
+        row, kept, best, i, j = np.zeros(m + 1, np.int32), [], 0, 0, 0
+        for k in range(n):
+            if k % step == 0:
+                kept.append(row)
+            row = _next_row(row, self.equal(low + k), self.ramp)
+            if (top := int(row.max())) > best:
+                best, i, j = top, k + 1, int(row.argmax())
+        at, equal, first, rows = [(low + i, j)], [], i + 1, []
+        while best and i:
+            if i - 1 < first:  # the rows from a kept one on
+                first = (i - 1) // step * step
+                rows = [kept[first // step]]
+                for k in range(first, i):
+                    rows.append(_next_row(rows[-1], self.equal(low + k), self.ramp))
+            here, above = rows[i - first], rows[i - 1 - first]
+            if here[j] <= 0:
+                break
+            same = bool(self.equal(low + i - 1)[j - 1])
+            if here[j] == above[j - 1] + (MATCH if same else MISMATCH):
+                i, j = i - 1, j - 1
+            else:
+                same = False
+                i, j = (i - 1, j) if here[j] == above[j] + GAP else (i, j - 1)
+            equal.append(same)
+            at.append((low + i, j))
+        rows, columns = np.array(at[::-1]).T
+        return best, rows, columns, np.array(equal[::-1], bool)
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int, int]:
     """(score, equal words, a_from, a_to, b_from, b_to) of a best local alignment of two word sequences."""
-    score, rows, columns, equal = _path(a[:, None] == b)
+    score, rows, columns, equal = _Pair(a, b).path(0, len(a))
     return score, int(equal.sum()), int(rows[0]), int(rows[-1]), int(columns[0]), int(columns[-1])
 
 
 def _leak(score: int, equal: int, from_b: int, to_b: int, item_words: int) -> bool:
+    if item_words < MIN_WORDS:
+        return score == MATCH * item_words
     span = to_b - from_b
-    return equal >= min(MIN_WORDS, item_words) and score >= IDENTITY * MATCH * span and (span >= COVERAGE * item_words or equal >= LONG_WORDS)
+    return equal >= MIN_WORDS and score >= IDENTITY * MATCH * span and (span >= COVERAGE * item_words or equal >= LONG_WORDS)
 
 
 def _part(rows: np.ndarray, columns: np.ndarray, equal: np.ndarray, item_words: int) -> tuple | None:
@@ -108,25 +180,26 @@ def _part(rows: np.ndarray, columns: np.ndarray, equal: np.ndarray, item_words:
 
 def _least(item_words: int) -> float:
     """A passage that counts scores no less: each of its item words brings IDENTITY of MATCH, and it has so many of them."""
-    return IDENTITY * MATCH * max(min(MIN_WORDS, item_words), min(COVERAGE * item_words, LONG_WORDS))
+    if item_words < MIN_WORDS:
+        return MATCH * item_words
+    return IDENTITY * MATCH * max(MIN_WORDS, min(COVERAGE * item_words, LONG_WORDS))
 
 
-def _passages(same: np.ndarray, item_words: int) -> list[tuple]:
-    """All parts of alignments that count as leaks, by place. What lies before and after an accepted one is aligned again;
-    a path without such a part gives up its equal words, and its stretch is aligned without them."""
-    out, todo = [], [(0, len(same))]
+def _passages(pair: _Pair, low: int, high: int) -> list[tuple]:
+    """All parts of alignments of a[low:high] that count as leaks, by place. What lies before and after an accepted one is aligned
+    again; a path without such a part gives up its equal words, and its stretch is aligned without them."""
+    out, todo, item_words = [], [(low, high)], len(pair.b)
     while todo:
         low, high = todo.pop()
-        score, rows, columns, equal = _path(same[low:high])
+        score, rows, columns, equal = pair.path(low, high)
         if score < _least(item_words) or not equal.any():
             continue
         got = _part(rows, columns, equal, item_words)
         if got:
-            got = (*got[:2], got[2] + low, got[3] + low, *got[4:])
             out.append(got)
             todo += [(low, got[2]), (got[3], high)]
         else:
-            same[low + rows[:-1][equal], columns[:-1][equal]] = False
+            pair.give_up(rows[:-1][equal], columns[:-1][equal])
             todo.append((low, high))
     return sorted(out, key=lambda x: x[2])
 
@@ -144,155 +217,194 @@ def _best_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best
 
 
-def _spans(words: np.ndarray, low: np.ndarray, high: np.ndarray, other: int) -> np.ndarray:
-    """words[low:high] of each span as a row, filled up with a word that nothing else is."""
-    at = low[:, None] + np.arange(int((high - low).max()))
-    return np.where(at < high[:, None], words[np.minimum(at, len(words) - 1)], np.uint64(other))
-
-
-class _Items:
-    """The words and seeds of a block of items, as sorted arrays."""
-
-    def __init__(self, ids: list, words: np.ndarray, of: np.ndarray):
-        self.ids, self.n = ids, len(ids)
-        self.words, self.at = words, np.searchsorted(of, np.arange(len(ids) + 1))
-        self.of = of
-        keys, item, place = [], [], []
-        sizes = np.diff(self.at)
-        for width in range(1, SEED + 1):  # an item of fewer words is one seed
-            found, first = windows(self.words, self.of, width)
-            use = sizes[self.of[first]] == width if width < SEED else np.ones(len(first), bool)
-            keys.append(found[use] + np.uint64(width)), item.append(self.of[first][use]), place.append((first - self.at[self.of[first]])[use])
-        key, self.item, self.place = (np.concatenate(x) for x in (keys, item, place))
-        order = np.argsort(key, kind="stable")
-        self.key, self.item, self.place = key[order], self.item[order], self.place[order]
-        self.widths = [w for w in range(1, SEED + 1) if w == SEED or (sizes == w).any()]
-
-    def hits(self, words: np.ndarray, of: np.ndarray):
-        """(first word, from, to) of each window of words that is a seed, and where it stands in key; parts of about HITS seeds."""
-        first, lo, hi = [], [], []
-        for width in self.widths:
-            found, at = windows(words, of, width)
-            found = found + np.uint64(width)
-            left, right = np.searchsorted(self.key, found), np.searchsorted(self.key, found, "right")
-            some = right > left
-            first.append(at[some]), lo.append(left[some]), hi.append(right[some])
-        first, lo, hi = (np.concatenate(x) for x in (first, lo, hi))
-        order = np.argsort(first, kind="stable")
-        first, lo, hi = first[order], lo[order], hi[order]
-        before = np.append(0, np.cumsum(hi - lo))[np.searchsorted(of[first], of[first])]  # up to the document
-        cuts = np.flatnonzero(np.diff(before // HITS)) + 1
-        for part in np.split(np.arange(len(first)), cuts):
-            if len(part):
-                yield first[part], lo[part], hi[part]
-
-    def stretches(self, words: np.ndarray, of: np.ndarray, bounds: np.ndarray):
-        """(document, item, from, to) of the stretches of words around the seeds that a document shares with an item."""
-        for first, lo, hi in self.hits(words, of):
-            n = hi - lo
-            k = np.repeat(np.arange(len(n)), n)
-            seed = lo[k] + np.arange(len(k)) - (np.cumsum(n) - n)[k]
-            doc, item, start = of[first[k]], self.item[seed], first[k] - self.place[seed]
-            order = np.lexsort((start, item, doc))
-            doc, item, start = doc[order], item[order], start[order]
-            m = self.at[item + 1] - self.at[item]
-            # a passage that counts has no more put-in words than equal ones, so it takes 2 * m words of the document at most
-            new = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start) > 3 * m[1:] + 2 * SLACK)
-            head, tail = np.append(0, np.flatnonzero(new) + 1), np.append(np.flatnonzero(new), len(doc) - 1)
-            doc, item, m = doc[head], item[head], m[head]
-            low, high = np.maximum(bounds[doc], start[head] - m - SLACK), np.minimum(bounds[doc + 1], start[tail] + 2 * m + SLACK)
-            use = self.likely(words, item, low, high)
-            yield from zip(doc[use].tolist(), item[use].tolist(), low[use].tolist(), high[use].tolist(), strict=True)
-
-    def likely(self, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """False for stretches whose best score is below that of any passage that counts."""
-        m, out = self.at[item + 1] - self.at[item], np.ones(len(item), bool)
-        least = np.maximum(np.minimum(MIN_WORDS, m), np.minimum(COVERAGE * m, LONG_WORDS)) * IDENTITY * MATCH
-        size = high - low
-        order = np.lexsort((size, m))
-        order = order[size[order] <= ROW_CELLS]  # longer ones are aligned anyway
-        done = 0
-        while done < len(order):
-            part = order[done : done + max(1, ROW_CELLS // int(size[order[done]]))]
-            part = part[: max(1, ROW_CELLS // int(size[part].max()))]
-            done += len(part)
-            got = _best_scores(_spans(words, low[part], high[part], 0), _spans(self.words, self.at[item[part]], self.at[item[part] + 1], 1))
-            out[part] = got >= least[part]
-        return out
-
-    def leaks(self, words: np.ndarray, of: np.ndarray, documents: int):
-        """(document, item, words of the item, place) of each passage that counts."""
-        bounds = np.searchsorted(of, np.arange(documents + 1))
-        for doc, item, at, high in self.stretches(words, of, bounds):
-            b, base = self.words[self.at[item] : self.at[item + 1]], int(bounds[doc])
-            m = len(b)
-            while at < high:
-                # each window is whole for what starts in its first part; the rest is left to the next
-                to = min(high, at + 4 * m + 2 * SLACK)
-                step = to if to == high else to - 2 * m
-                past = step
-                for got in _passages(words[at:to, None] == b, m):
-                    if at + got[2] < step:
-                        past = max(past, at + got[3])
-                        yield doc, item, m, (got[0], got[1], at + got[2] - base, at + got[3] - base, got[4], got[5])
-                at = past
-
-
-def _items(benchmark: DataFrame) -> list[_Items]:
-    """The items, read once by id and in blocks. The benchmark is the query set: its words are held, BLOCK_WORDS at a time."""
-    blocks, ids, words, of, held = [], [], [], [], 0
-
-    def close():
-        nonlocal ids, words, of, held
-        if ids:
-            blocks.append(_Items(ids, np.concatenate(words), np.concatenate(of)))
-        ids, words, of, held = [], [], [], 0
-
-    for row in _lower(benchmark, "item_id").distinct().orderBy("item_id", "text").toLocalIterator():
-        text = np.frombuffer(row["text"].encode(), np.uint8)
-        got, _ = _words(text, np.array([0, len(text)]))
-        if len(got):
-            words.append(got), of.append(np.full(len(got), len(ids), np.int64)), ids.append(row["item_id"])
-            held += len(got)
-        if held >= BLOCK_WORDS:
-            close()
-    close()
-    return blocks
-
-
-SCHEMA = "doc_id long, item_id long, score long, item_words long, equal_words long, doc_from long, doc_to long, item_from long, item_to long"
+def _side_by_side(sequences: list[np.ndarray], other: int) -> np.ndarray:
+    """Each sequence as a row, filled up with a word that nothing else is."""
+    out = np.full((len(sequences), max(map(len, sequences))), other, np.uint64)
+    for row, x in zip(out, sequences, strict=True):
+        row[: len(x)] = x
+    return out
+
+
+def _likely(stretches: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
+    """False for stretches whose best score is below that of any passage that counts. Very long ones aren't judged."""
+    size, m = np.array([len(x) for x in stretches]), np.array([len(x) for x in items])
+    out = np.ones(len(size), bool)
+    order = np.lexsort((size, m))
+    order = order[size[order] <= ROW_CELLS]
+    done = 0
+    while done < len(order):
+        part = order[done : done + max(1, ROW_CELLS // max(1, int(size[order[done]])))]
+        part = part[: max(1, ROW_CELLS // max(1, int(size[part].max())))]
+        done += len(part)
+        got = _best_scores(_side_by_side([stretches[k] for k in part], 0), _side_by_side([items[k] for k in part], 1))
+        out[part] = got >= [_least(int(x)) for x in m[part]]
+    return out
+
+
+def _places(words: np.ndarray, item: np.ndarray):
+    """The passages of one stretch, in windows of a few times the item's length, each whole for what starts in its first part."""
+    at, m = 0, len(item)
+    while at < len(words):
+        to = min(len(words), at + 4 * m + 2 * SLACK)
+        step = to if to == len(words) else to - 2 * m
+        past = step
+        for got in _passages(_Pair(words[at:to], item), 0, to - at):
+            if at + got[2] < step:
+                past = max(past, at + got[3])
+                yield got[0], got[1], at + got[2], at + got[3], got[4], got[5]
+        at = past
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, m, words): a number for each distinct item, its words' hashes. Items without words are left out."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            text, offsets = utf8(batch.column(1))
+            words, of = _words(text, offsets)
+            at = np.searchsorted(of, np.arange(batch.num_rows + 1))
+            some = np.flatnonzero(np.diff(at))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number + np.arange(len(some))), batch.column(0).take(pa.array(some)), pa.array(np.diff(at)[some]), pa.array([words[at[k] : at[k + 1]].tobytes() for k in some], pa.binary())],
+                ["item", "item_id", "m", "words"],
+            )
+            number += len(some)
+
+    low = _lower(benchmark, "item_id").select("item_id", "text").distinct()
+    return written(low.mapInArrow(run, "item long, item_id long, m long, words binary"), "items")
+
+
+def _item_grams(items: DataFrame) -> DataFrame:
+    """(gram, item, m, place) of the n-grams of every item."""
+
+    def run(batches):
+        for batch in batches:
+            each = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+            of = np.repeat(np.arange(len(each)), [len(x) for x in each])
+            if not len(of):
+                continue
+            key, first = _grams(np.concatenate(each), of, len(each))
+            own, place = pa.array(of[first]), first - np.searchsorted(of, of[first])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(place)], ["gram", "item", "m", "place"])
+
+    return items.select("item", "m", "words").mapInArrow(run, "gram long, item long, m long, place long")
+
+
+def _field(grams: DataFrame) -> tuple[np.ndarray, int]:
+    """(words of a bit field with a bit for each gram, bits of a gram that number it). Its size has a fixed bound."""
+    bits = min(max((FIELD_BITS * grams.count()).bit_length(), LEAST_FIELD), MOST_FIELD)
+    number = f"shiftrightunsigned(gram, {64 - bits})"
+    marked = grams.selectExpr(f"shiftrightunsigned({number}, 6) AS at", f"shiftleft(1L, cast({number} & 63 AS int)) AS bit")
+    got = marked.groupBy("at").agg(F.bit_or("bit").alias("word")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got["at"].to_numpy(np.int64)] = got["word"].to_numpy(np.int64).view(np.uint64)
+    return out, bits
+
+
+def _hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, doc_id, text_hash, place) of the documents' n-grams that the items may have."""
+    field, bits = _field(grams)
+    shared = docs.sparkSession.sparkContext.broadcast(field)  # 2**MOST_FIELD bits at most
+
+    def run(batches):
+        own, shift = shared.value, np.uint64(64 - bits)
+        for batch in batches:
+            text, offsets = utf8(batch.column(1))
+            for first, last in runs(offsets):
+                words, of = _words(text[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                key, at = _grams(words, of, last - first)
+                number = key >> shift
+                hit = np.flatnonzero(own[number >> np.uint64(6)] >> (number & np.uint64(63)) & np.uint64(1))
+                key, at = key[hit], at[hit]
+                pick, place = pa.array(of[at] + first), at - np.searchsorted(of, of[at])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pick), batch.column(2).take(pick), pa.array(place)], ["gram", "doc_id", "text_hash", "place"])
+
+    return docs.mapInArrow(run, "gram long, doc_id long, text_hash long, place long")
+
+
+def _rare(grams: DataFrame, hits: DataFrame) -> DataFrame:
+    """The seeds: grams of the items that documents hold, but those that stand beside one of the same item that is held too and
+    RARER times rarer."""
+    counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("item").orderBy("place")
+    held = grams.join(counts, "gram", "left").withColumn("beside", F.least(F.lag("n").over(order), F.lead("n").over(order)))
+    return held.where(f"n is not null and (beside is null or n < {RARER} * beside)").select("gram", "item", "m", F.col("place").alias("item_place"))
+
+
+def _stretches(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item, at, words): the words around the seeds that a document shares with an item, from its word `at` on."""
+    by_item = met.groupBy("doc_id", "text_hash", "item", "m").agg(F.array_sort(F.collect_set(F.col("place") - F.col("item_place"))).alias("starts"))
+    by_doc = written(by_item.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "m", "starts")).alias("met")), "met")  # of one document
+    by_doc = by_doc.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text, offsets = utf8(batch.column(1).slice(k, 1))
+                words, _ = _words(text, offsets)
+                items, ats, parts = [], [], []
+                for x in batch.column(3)[k].as_py():
+                    m, starts = x["m"], np.array(x["starts"])
+                    # a passage that counts has no more put-in words than equal ones, so it takes 2 * m words of the document at most
+                    cut = np.flatnonzero(np.diff(starts) > 3 * m + 2 * SLACK)
+                    for head, tail in zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)], strict=True):
+                        low = max(0, int(head) - m - SLACK)
+                        items.append(x["item"]), ats.append(low), parts.append(words[low : int(tail) + 2 * m + SLACK].tobytes())
+                own = pa.array([k] * len(items))
+                short = pa.array([len(words)] * len(items), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(items, pa.int64()), short, pa.array(ats, pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "text_hash", "item", "doc_words", "at", "stretch"])
+
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    return docs.join(by_doc, same).select("doc_id", "text", "text_hash", "met").mapInArrow(run, "doc_id long, text_hash long, item long, doc_words long, at long, stretch binary")
+
+
+SCHEMA = "doc_id long, text_hash long, item_id long, score long, item_words long, equal_words long, doc_from long, doc_to long, item_from long, item_to long"
+
+
+def _aligned(rows: DataFrame) -> DataFrame:
+    """The passages of rows (doc_id, text_hash, item_id, doc_words, at, stretch, words)."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                stretch, item = ([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(k)] for k in (5, 6))
+                keys, out = [part.column(k).to_pylist() for k in range(5)], []
+                for k in np.flatnonzero(_likely(stretch, item)).tolist():
+                    doc, text_hash, item_id, doc_words, at = (x[k] for x in keys)
+                    m = len(item[k])
+                    if m >= SEED or m == doc_words:
+                        out += [(doc, text_hash, item_id, s, m, e, at + a0, at + a1, b0, b1) for s, e, a0, a1, b0, b1 in _places(stretch[k], item[k])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))], names)
+
+    return rows.select("doc_id", "text_hash", "item_id", "doc_words", "at", "stretch", "words").mapInArrow(run, SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row per document, item and place of a leaked passage: the alignment's score, equal words and word ranges.
+    """A row per document, item and place of a leaked passage: the alignment's score, equal words and word ranges; text_hash tells
+    documents of one doc_id apart.
 
     Null and empty texts and items match nothing; a null doc_id or item_id is carried as null; repeated rows are reported
-    each, repeated items once; empty tables give no rows; other columns are ignored. Words are letters and digits of
-    lower-case text, other signs part them. Places of an item in a document don't overlap; of equally good alignments the
-    first is taken.
+    each, repeated items once; empty tables give no rows; other columns are ignored. Words are letters, digits and marks on
+    them, of any script, in lower case; all else parts them. Places of an item in a document don't overlap; of equally good
+    alignments the first is taken.
     """
-    spark, low = docs.sparkSession, _lower(docs, "doc_id")
-    out = None
-    for items in _items(benchmark):
-        shared = spark.sparkContext.broadcast(items)  # BLOCK_WORDS words at most
-
-        def run(batches, shared=shared):
-            own = shared.value
-            for batch in batches:
-                text, offsets = utf8(batch.column(1))
-                rows = []
-                for first, last in runs(offsets):
-                    words, of = _words(text[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-                    for d, item, m, (score, equal, a0, a1, b0, b1) in own.leaks(words, of, last - first):
-                        rows.append((batch.column(0)[first + d].as_py(), own.ids[item], score, m, equal, a0, a1, b0, b1))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 9)], [x.split()[0] for x in SCHEMA.split(", ")])
-
-        found = low.mapInArrow(run, SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    low, items = _lower(docs, "doc_id"), _items(benchmark)
+    grams = written(_item_grams(items), "item-grams")
+    hits = written(_hits(low, grams), "gram-hits")
+    seeds = written(_rare(grams, hits), "seeds")
+    stretches = written(_stretches(low, hits.join(seeds, "gram")), "stretches")
+    return _aligned(stretches.join(items, "item"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no passage of an item was found."""
-    bad = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of docs in whose own text no passage of an item was found: rows of one doc_id, or of none, are judged each by its
+    text. Columns are kept, whatever their names; no rows give no rows."""
+    bad = written(leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaked")
+    own = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+    slim = docs.select(own.alias("own"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return slim.join(bad, F.col("own.id").eqNullSafe(F.col("_id")) & (F.col("own.hash") == F.col("_hash")), "left_anti").select("row.*")

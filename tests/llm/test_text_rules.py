@@ -131,6 +131,62 @@ def test_leaks_of_common_words(spark):
         assert [(r.doc_id, r.doc_from, r.doc_to, r.item_from, r.item_to) for r in leaks(frame(spark, corpus), benchmark).collect()] == [(0, 40, 52, 0, 12)]
 
 
+def test_leaks_are_brute_force(spark):
+    """Every document against every item: whole tables of the alignment, no seeds."""
+    rng = random.Random(62)
+    items = [(i, words(rng, rng.randint(9, 50))) for i in range(25)]
+    rows = []
+    for i in range(80):
+        w = items[rng.randrange(25)][1].split()
+        a = rng.randrange(len(w))
+        w = w[a : a + rng.randint(3, 50)]
+        for _ in range(rng.choice([0, 0, 1, len(w) // 6, len(w) // 3])):
+            k, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[k : k + (kind != 2)] = ([] if kind == 1 else [words(rng, 1)]) or ([] if len(w) > 1 else ["x"])
+        rows.append((i, f"{words(rng, rng.randint(0, 40))} {' '.join(w)} {words(rng, rng.randint(0, 40))}".strip(), "en", "s", 1))
+    got = leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    number = {w: k for k, w in enumerate({w for x in [*items, *rows] for w in x[1].split()})}
+    split = lambda x: np.array([number[w] for w in x.split()])
+    passes = lambda score, equal, span, m: equal >= 8 and score >= span and (span >= 0.3 * m or equal >= 24)
+    for doc, text, *_ in rows:
+        for item, own in items:
+            score, equal, _, _, b0, b1 = smith_waterman(split(text), split(own))
+            if passes(score, equal, b1 - b0, len(own.split())):
+                assert (doc, item) in found
+    for r in got:
+        a, b = split(rows[r.doc_id][1])[r.doc_from : r.doc_to], split(items[r.item_id][1])[r.item_from : r.item_to]
+        assert plain_alignment(a, b) >= r.score and passes(r.score, r.equal_words, len(b), r.item_words) and r.item_words == len(items[r.item_id][1].split())
+    assert len(found) > 30
+
+
+def test_leaks_of_short_and_quoted_items(spark):
+    """Signs of any script part words; an item of a word or two is no leak in running text, a short one has to be whole."""
+    ten = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(0, f"he said “{ten}” and went", "en", "s", 1), (1, "said “Yes” and yes", "en", "s", 1), (2, "¡Yes!", "en", "s", 1), (3, "so it—goes on—and", "en", "s", 1), (4, "so it goes — on", "en", "s", 1), (5, "東京。大阪、京都。奈良", "xx", "s", 1)]
+    benchmark = spark.createDataFrame([(0, ten.title()), (1, "Yes"), (2, "it goes on"), (3, "it went on"), (4, "大阪 京都 奈良")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.doc_from, r.doc_to) for r in leaks(frame(spark, rows), benchmark).collect()}
+    assert got == {(0, 0, 2, 12), (2, 1, 0, 1), (3, 2, 1, 4), (4, 2, 1, 4), (5, 4, 1, 4)}
+
+
+def test_leaks_of_a_long_item(spark, monkeypatch):
+    """An item of thousands of words: rows of the alignment's table are kept in part only."""
+    rng = random.Random(63)
+    item = words(rng, 2500).split()
+    rows = [(0, f"{words(rng, 300)} {' '.join(item[:900] + item[940:])} {words(rng, 30)}", "en", "s", 1), (1, words(rng, 3000), "en", "s", 1)]
+    got = leaks(frame(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [r.doc_id for r in got] == [0] and got[0].equal_words == 2460 and (got[0].item_from, got[0].item_to) == (0, 2500)
+
+
+def test_decontaminated_judges_rows_by_text(spark):
+    rng = random.Random(64)
+    item = words(rng, 30)
+    rows = [(1, words(rng, 40)), (1, f"x {item}"), (None, f"y {item}"), (None, words(rng, 40)), (None, None), (2, words(rng, 40)), (2, item)]
+    df = frame(spark, [(*r, "en", "s", 1) for r in rows])
+    out = decontaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert out.columns == df.columns and Counter((r.doc_id, r.text) for r in out.collect()) == Counter(r for r in rows if item not in (r[1] or ""))
+
+
 W = " ".join(["alpha beta gamma"] * 15)
 PAGES = [
     (f'<body><div class="topnav"><a href="#">Home</a><a>News</a></div><div id="page"><div class="article-content"><h1>Title here</h1><p>{W}</p><ul><li><a href="x">one link</a></li><li>two</li></ul><div class="ad-slot">Buy now</div><p>{W} &eacute;t&eacute; x&nbsp;y</p></div><div class="sidebar-right"><p>{W}</p></div><div id="comments"><div class="comment"><p>{W}</p></div></div></div><footer>c</footer></body>', f"Title here {W} one link two {W} été x y"),
