@@ -26,6 +26,10 @@ LAYOUTS: list[list[tuple[str, int, bool]]] = [
     [("header.masthead/h1", 3, False), *_in("header.masthead", _MENU), *_in("div.story", [("h1.headline", 9, True), ("p.byline", 4, True), *_TEXT, *_TEXT]), ("div.ads/div.ad", 8, False), *[("ul.pagination/li/a", 1, False)] * 4, *[("div.tags/a", 1, False)] * 4, ("div.login/form/label", 2, False), ("div.footer/p", 9, False)],
     [*_MENU, ("section.hero/a", 3, False), *_in("article", [("header/h1", 7, True), ("header/p/span", 4, True), *_TEXT, ("h3", 4, True), ("ul/li/a", 4, True), ("ul/li/a", 4, True), ("p/small", 6, True), ("ol/li/span", 8, True), ("section/h3", 3, True), ("section/p", 40, True)]), *[("section.comments/ul/li/p", 16, False)] * 3, ("footer/div/a", 2, False)],
     [*_in("header/nav", [("ul/li/a", 1, False)] * 5), *_in("main/div", [("h2", 6, True), *_TEXT, ("h3", 3, True), ("ul/li", 9, True), ("ul/li/a", 3, True), ("div/span", 7, True), ("p/label", 3, True), ("ol/li/a", 5, True), *_TEXT]), ("div.sidebar/ul/li", 4, False), ("form/button", 1, False), ("footer/span", 5, False)],
+    [("div.gdpr-consent/p", 20, False), ("div.gdpr-consent/button", 2, False), *[("div#topnav/ul/li/a", 2, False)] * 6, *_in("div#page/div.content", [("h1", 7, True), ("figure.image/figcaption", 9, True), *_TEXT]), *[("div.taboola/div/a", 7, False)] * 4, ("div.discussion/h3", 2, False), *[("div.discussion/div.message/p", 22, False)] * 4, ("div#bottom/p", 9, False)],
+    [("div.cookie-bar/span", 14, False), *[("ul.navigation/li/a", 1, False)] * 6, *_in("div.wrapper/article.post", [("h1.entry-title", 7, True), ("div.meta/span", 4, True), *_TEXT, ("figure/figcaption", 9, True), ("h2", 4, True), *_TEXT]), *[("div.outbrain/a", 8, False)] * 3, ("div#respond/form/label", 2, False), *[("ol.commentlist/li/article.comment/p", 20, False)] * 3, ("div.widget/h4", 2, False), *[("div.widget/ul/li/a", 3, False)] * 4],
+    [("div.consent/p", 18, False), *[("div.megamenu/a", 2, False)] * 8, *_in("main/div.article", [("h1", 7, True), *_TEXT, ("h3", 4, True), ("blockquote", 20, True), *_TEXT, ("h4", 3, True), *_TEXT, ("h5", 3, True), ("h6", 3, True), *_TEXT]), ("div.sponsor/p", 9, False), ("div.adsbygoogle/span", 6, False), ("div.signup/p", 11, False), *[("div.feedback/p", 15, False)] * 3, *[("div.recommendations/a", 7, False)] * 3, ("div.disclaimer/p", 15, False)],
+    [("div.notification/p", 12, False), ("div.toolbar/a", 2, False), *_in("article/div.text", [("h1", 7, True), *_TEXT, ("table/tr/th", 2, True), ("table/tr/td", 3, True), ("dl/dt", 2, True), ("dl/dd", 9, True)]), *[("aside/ul/li/a", 4, False)] * 4, *[("div.replies/div/p", 16, False)] * 3, *[("div.trending/ul/li/a", 6, False)] * 4, ("div.footer-links/a", 2, False)],
     [("div.modal/p", 15, False), ("div.subscribe/p", 11, False), *_in("body-main/div", [("h2", 6, True), *_TEXT, ("dl/dt", 2, True), ("dl/dd", 12, True)]), *[("div.social/a", 1, False)] * 4, *[("div.recommended/div/a", 6, False)] * 4, ("div.legal/p", 20, False)],
 ]
 

@@ -2,8 +2,11 @@
 
 A page is a sequence of words and tags. A word's score follows from the elements it lies in, a tag's score is negative;
 both are log-odds of being main text, counted on labelled pages. One scan finds the contiguous region of
-greatest sum. Blocks in it that lie in an element the labelled pages hold for boilerplate (an advert inside an article) are
-left out; everything else in it is kept.
+greatest sum. What scores negative inside it (an advert or a form within an article) is left out; all else in it is kept.
+
+Of the elements a word lies in, the nearest that tells something decides; boilerplate stays boilerplate down to its leaves.
+An element is no boilerplate for its class alone if most of its words lie in one element of content, as a page's body of
+class "has-sidebar" or a form around a whole page.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import math
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,56 +37,64 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements that an opening tag of the same group ends.
 _ENDS = {"p": "p", "li": "li", "dt": "d", "dd": "d", "tr": "tr", "td": "cell", "th": "cell", "option": "option"}
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: A word in no element that tells anything; the range of an element's log-odds; from which log-odds an element is boilerplate.
-PLAIN_WORD, CLIP, BOILERPLATE = 1.0, 3.0, -1.5
-#: Least cost of a tag.
-TAG_COST = 0.2
-
-
-def _features(tag: str, attributes: str) -> list[str]:
-    out = [tag]
+#: A word in no element that tells anything; the range of log-odds; those from which an element counts as content, as boilerplate
+#: (a section by its class, what is smaller by a class of nothing else).
+PLAIN_WORD, CLIP, CONTENT, BOILERPLATE, SMALL_BOILERPLATE = 1.0, 3.0, 1.5, -1.15, -2.2
+#: Least cost of a tag; added to counts.
+TAG_COST, SMOOTHING = 0.2, 0.1
+#: A class of these words first tells what an element has or stands in, not what it is (fixed values).
+_OF_STATE = frozenset("has no not with without is in on js tag category cat type format hide show toggle hentry status".split())
+#: Elements that are what their tag says, whatever stands in them; that never are boilerplate; that sections are made of (fixed values).
+_ALWAYS, _NEVER, _SECTIONS = frozenset("nav footer aside".split()), frozenset("html body main".split()), frozenset("article section div form header ul ol table dl fieldset".split())
+#: Elements that hold plain text (fixed values).
+_TEXTS = frozenset("p h1 h2 h3 h4 h5 h6".split())
+
+
+def _marks(attributes: str) -> list[list[str]]:
+    """The words of each class, id and role."""
+    out = []
     if "=" in attributes:
         for kind, *values in _MARKS.findall(attributes):
-            for word in re.findall(r"[a-z]+", "".join(values).lower()):
-                out.append(f"@{word}" if kind.lower() != "role" else f"role {word}")
+            for one in "".join(values).split():
+                if kind.lower() == "role":
+                    out.append([f"role {one.lower()}"])
+                elif own := [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", one)]:
+                    out.append(own)
     return out
 
 
-def blocks(page: str, weigh) -> list[tuple[str, float, bool, float]]:
-    """(text, score a word, is boilerplate, cost of the tags before it) of each block of text.
-
-    weigh(features, parent's (score, boilerplate)) gives an element's; blocks end at tags that aren't inline.
-    """
-    out: list[tuple[str, float, bool, float]] = []
-    stack: list[tuple[str, str, tuple]] = []
+def parsed(page: str) -> tuple[list[tuple[int, str, list]], list[tuple[str, int, list[str]]]]:
+    """(elements, blocks). An element is (its parent, tag, marks), in page order, the first is the page itself. A block is (text,
+    element that holds most of it, tags before it); blocks end at tags that aren't inline."""
+    elements: list[tuple[int, str, list]] = [(0, "", [])]
+    out: list[tuple[str, int, list[str]]] = []
+    stack: list[tuple[str, str, int]] = []  # tag, group, element around
     count: Counter = Counter()
-    state = (0.0, False)
-    # parts: text pieces of the current block by state
-    parts: list[tuple[str, tuple]] = []
-    cost = 0.0
+    own, parts, tags = 0, [], []
 
     def flush():
-        nonlocal parts, cost
+        nonlocal parts, tags
         if parts:
-            text = entities.unescape("".join(t for t, _ in parts))
-            words = " ".join(text.split())
+            words = " ".join(entities.unescape("".join(t for t, _ in parts)).split())
             if words:
-                longest = max(parts, key=lambda x: len(x[0].strip()))[1]
-                out.append((words, longest[0], longest[1], cost))
-                cost = 0.0
+                out.append((words, max(parts, key=lambda x: len(x[0].strip()))[1], tags))
+                tags = []
             parts = []
 
     def close(k: int):
-        nonlocal state
+        nonlocal own
         for _, group, _ in stack[k:]:
             count[group] -= 1
-        state = stack[k][2]
+        own = stack[k][2]
         del stack[k:]
 
+    def innermost(group: str) -> int:
+        return next(k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == group)
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            parts.append((page[at : m.start()], state))
+            parts.append((page[at : m.start()], own))
         at = m.end()
         name = m[3]
         if name is None:
@@ -90,96 +102,141 @@ def blocks(page: str, weigh) -> list[tuple[str, float, bool, float]]:
         tag = name.lower()
         if tag not in _INLINE:
             flush()
-            cost += weigh.tag(tag)
+            tags.append(tag)
         group = _ENDS.get(tag, tag)
         if m[2]:
             if count[group]:
-                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == group)
-                close(k)
+                close(innermost(group))
             continue
         if tag in _ENDS and tag != "p" and count[group]:
-            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == group)
+            k = innermost(group)
             if not any(x[0] in ("ul", "ol", "table", "dl", "select") for x in stack[k:]):
                 close(k)
         elif tag in _CLOSES_P and count["p"]:
-            close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == "p"))
+            close(innermost("p"))
         if tag in _VOID or m[4].endswith("/") and tag in ("path", "use"):
             continue
-        stack.append((tag, group, state))
+        stack.append((tag, group, own))
         count[group] += 1
-        state = weigh.element(_features(tag, m[4]), state)
+        elements.append((own, tag, _marks(m[4])))
+        own = len(elements) - 1
     if at < len(page):
-        parts.append((page[at:], state))
+        parts.append((page[at:], own))
     flush()
-    return out
+    return elements, out
 
 
 class Weights:
-    """Log-odds of element features, and costs of tags."""
-
-    def __init__(self, log_odds: dict[str, float], costs: dict[str, float]):
-        self.log_odds, self.costs = log_odds, costs
-        self.most = max(costs.values(), default=TAG_COST)
-
-    def element(self, features: list[str], parent: tuple[float, bool]) -> tuple[float, bool]:
-        own = [self.log_odds.get(f, 0.0) for f in features]
-        return max(-CLIP, min(CLIP, parent[0] + sum(own))), parent[1] or any(x <= BOILERPLATE for x in own)
-
-    def tag(self, tag: str) -> float:
-        return self.costs.get(tag, TAG_COST)
-
-
-class _Trace:
-    """For training: an element's state is the features of all elements it lies in."""
-
-    def __init__(self):
-        self.tags: list[list[str]] = [[]]
-
-    def element(self, features: list[str], parent: tuple) -> tuple:
-        before = parent[0] if isinstance(parent[0], frozenset) else frozenset()
-        return (before | frozenset(features), False)
-
-    def tag(self, tag: str) -> float:
-        self.tags[-1].append(tag)
-        return 0.0
+    """Log-odds of tags and of words of classes, and costs of tags."""
+
+    def __init__(self, tags: dict[str, float], words: dict[str, float], costs: dict[str, float]):
+        self.tags, self.words, self.costs = tags, words, costs
+
+    def by_marks(self, marks: list[list[str]]) -> float:
+        """Of the element's classes the one that tells most, each the mean of its words. Where boilerplate is named first, what
+        follows only says which part of it ("comment-body")."""
+        each = []
+        for own in marks:
+            if own[0] not in _OF_STATE:
+                odds = [self.words.get(w, 0.0) for w in own]
+                first = next((x for x in odds if x), 0.0)
+                each.append(sum(min(x, 0.0) if first < 0 else x for x in odds) / len(odds))
+        return max(each, key=lambda x: (abs(x), -x), default=0.0)
+
+    def scores(self, elements: list[tuple[int, str, list]], sizes: list[int]) -> tuple[list[float], list[bool]]:
+        """(what each element adds to the score of a word in it, whether it lies in content); sizes are words directly in each."""
+        tag_odds = [self.tags.get(tag, 0.0) for _, tag, _ in elements]
+        mark_odds = [self.by_marks(marks) if marks else 0.0 for _, _, marks in elements]
+        is_content = [mark > BOILERPLATE and (tag in ("main", "article") or mark >= CONTENT) for (_, tag, _), mark in zip(elements, mark_odds, strict=True)]
+        words, most = list(sizes), [0] * len(elements)  # words in each, and in the largest element of content below it
+        for k in range(len(elements) - 1, 0, -1):
+            parent = elements[k][0]
+            words[parent] += words[k]
+            most[parent] = max(most[parent], words[k] if is_content[k] else most[k])
+        out, within = [0.0] * len(elements), [False] * len(elements)
+        for k in range(1, len(elements)):
+            parent, tag, _ = elements[k]
+            own, odds = tag_odds[k], mark_odds[k]
+            around = most[k] and 2 * most[k] >= words[k]
+            if tag in _NEVER or tag not in _ALWAYS and around:
+                own, odds = max(own, 0.0), max(odds, 0.0) if tag in _NEVER or odds > SMALL_BOILERPLATE else odds
+            small = tag in _TEXTS or own >= CONTENT and tag not in _SECTIONS
+            if tag == "header" and not within[parent] and not around:
+                own = -CLIP  # the site's, as it neither lies in content nor holds it
+            if odds <= (SMALL_BOILERPLATE if small else BOILERPLATE):
+                own = odds
+            elif own > BOILERPLATE:
+                own = own + odds
+            before = out[parent]
+            out[k] = before if before <= BOILERPLATE else own if own <= BOILERPLATE else max(-1.0, min(CLIP, before + own))
+            within[k] = within[parent] or is_content[k] and out[k] > BOILERPLATE
+        return out, within
+
+    def judged(self, page: str) -> list[tuple[str, float, float]]:
+        """(text, score of all its words, cost of the tags before it) of each block. Boilerplate within content (an advert in an
+        article) costs nothing: the element around it holds both sides together."""
+        elements, found = parsed(page)
+        sizes, n = [0] * len(elements), [text.count(" ") + 1 for text, _, _ in found]
+        for (_, element, _), size in zip(found, n, strict=True):
+            sizes[element] += size
+        state, within = self.scores(elements, sizes)
+        out = []
+        for (text, element, tags), size in zip(found, n, strict=True):
+            x = state[element]
+            if x <= BOILERPLATE and within[element]:
+                out.append((text, 0.0, 0.0))
+            else:
+                score = size * (min(PLAIN_WORD + x, -PLAIN_WORD) if x <= BOILERPLATE else max(PLAIN_WORD + x, 0.1 * PLAIN_WORD))
+                out.append((text, score, sum(self.costs.get(t, TAG_COST) for t in tags)))
+        return out
 
 
 @lru_cache(maxsize=1)
 def learned() -> Weights:
-    """Weights from the labelled pages: by pages that have an element in and out of main text, for tags by blocks."""
-    inside, outside, tags_in, tags_out = Counter(), Counter(), Counter(), Counter()
+    """Weights from the labelled pages: by pages that have a tag, or a word of a class, in and out of main text; of tags' costs by
+    blocks."""
+    counts = {(kind, main): Counter() for kind in ("tag", "word", "block") for main in (True, False)}
     for page, labels in labelled_pages():
-        trace = _Trace()
-        found = blocks(page, trace)
+        elements, found = parsed(page)
         sides: dict[bool, set] = {True: set(), False: set()}
-        for (_, features, _, _), main in zip(found, labels, strict=True):
-            own = features if isinstance(features, frozenset) else frozenset()
-            sides[main] |= own
-            (tags_in if main else tags_out).update(f for f in own if not f.startswith(("@", "role")))
-        inside.update(sides[True])
-        outside.update(sides[False])
-    every = {*inside, *outside} - {"html", "body"}
-    log_odds = {f: max(-CLIP, min(CLIP, math.log((inside[f] + 0.25) / (outside[f] + 0.25)))) for f in every}
-    costs = {t: TAG_COST + math.log1p(tags_out[t] / (tags_in[t] + 1)) for t in {*tags_in, *tags_out}}
-    return Weights(log_odds, costs)
-
-
-def main_text(page: str | None, weights: Weights | None = None) -> str:
-    """The page's main text, blocks joined by one space; empty for null, for no text and where no word scores."""
-    weights = weights or learned()
-    found = blocks(page or "", weights)
-    best, best_range, run, start = 0.0, None, 0.0, 0
-    for k, (text, score, boilerplate, cost) in enumerate(found):
+        for (_, element, _), main in zip(found, labels, strict=True):
+            while element:
+                sides[main].add(element)
+                counts["block", main][elements[element][1]] += 1
+                element = elements[element][0]
+        for main, own in sides.items():
+            own = own - sides[not main]  # an element around both tells nothing
+            counts["tag", main].update({elements[k][1] for k in own} - {"html", "body"})
+            counts["word", main].update({w for k in own for w in chain.from_iterable(elements[k][2])})
+
+    def odds(kind: str) -> dict[str, float]:
+        yes, no = counts[kind, True], counts[kind, False]
+        least = lambda x: BOILERPLATE / 2 if kind == "tag" and yes[x] else -CLIP  # noqa: E731  a tag that content has is no boilerplate
+        return {x: max(least(x), min(CLIP, math.log((yes[x] + SMOOTHING) / (no[x] + SMOOTHING)))) for x in {*yes, *no}}
+
+    yes, no = counts["block", True], counts["block", False]
+    return Weights(odds("tag"), odds("word"), {t: TAG_COST + math.log1p(no[t] / (yes[t] + 1)) for t in {*yes, *no}})
+
+
+def best_region(blocks: list[tuple[float, float]]) -> tuple[int, int]:
+    """(first, last + 1) of the contiguous blocks (score, cost of what lies before it) of the greatest sum over zero, costs before the
+    first left out; of equal ones the one that ends first, then the shortest. (0, 0) if there is none."""
+    best, found, run, start = 0.0, (0, 0), 0.0, 0
+    for k, (score, cost) in enumerate(blocks):
         run -= cost
         if run <= 0:
             run, start = 0.0, k
-        words = text.count(" ") + 1
-        run += words * (min(PLAIN_WORD + score, -PLAIN_WORD) if boilerplate else max(PLAIN_WORD + score, 0.1 * PLAIN_WORD))
+        run += score
         if run > best:
-            best, best_range = run, (start, k + 1)
-    if best_range is None:
-        return ""
-    return " ".join(text for text, _, boilerplate, _ in found[slice(*best_range)] if not boilerplate)
+            best, found = run, (start, k + 1)
+    return found
+
+
+def main_text(page: str | None, weights: Weights | None = None) -> str:
+    """The page's main text, blocks joined by one space; empty for null, for no text and where no word scores."""
+    found = (weights or learned()).judged(page or "")
+    first, end = best_region([(score, cost) for _, score, cost in found])
+    return " ".join(text for text, score, _ in found[first:end] if score > 0)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
