@@ -8,7 +8,7 @@ import pytest
 
 from driftline.llm import chat
 from driftline.llm.decontamination import decontaminated, leaks, smith_waterman
-from driftline.llm.main_text import extracted, learned, main_text
+from driftline.llm.main_text import best_region, extracted, learned, main_text
 from driftline.llm.quality import best_threshold, quality
 
 from .common import SCHEMA, documents, frame, words
@@ -197,6 +197,40 @@ PAGES = [
 ]
 
 
+ARTICLE = [f"<h1>Title here</h1><p>{W}</p><p>{W} more</p>", f"Title here {W} {W} more"]
+MORE_PAGES = [
+    # what an element has or stands in isn't what it is
+    (f'<body class="single has-sidebar"><nav><a>x</a></nav>{ARTICLE[0]}<aside>{W}</aside></body>', ARTICLE[1]),
+    (f'<body class="sidebar-left"><div class="content">{ARTICLE[0]}</div></body>', ARTICLE[1]),
+    (f'<article class="post tag-login category-search">{ARTICLE[0]}</article>', ARTICLE[1]),
+    (f'<article><h2 class="section-header">Part one</h2><p>{W}</p><figure class="header-image"><img><figcaption>A caption of it</figcaption></figure><p>{W}</p></article>', f"Part one {W} A caption of it {W}"),
+    (f'<form id="whole"><div class="menu"><a>a</a></div><article>{ARTICLE[0]}</article></form>', ARTICLE[1]),
+    (f'<div class="sidebar-layout"><div id="content">{ARTICLE[0]}</div><div class="sidebar"><p>{W}</p></div></div>', ARTICLE[1]),
+    # names of boilerplate, also longer than the article
+    (f'<div class="gdpr-consent"><p>{W}</p></div><article>{ARTICLE[0]}</article><div class="taboola"><a>{W}</a></div>', ARTICLE[1]),
+    (f'<main>{ARTICLE[0]}</main><div class="discussion"><p>{W * 5}</p></div><div class="commentList"><article class="comment-body"><p>{W * 5}</p></article></div>', ARTICLE[1]),
+    (f'<article>{ARTICLE[0]}<section class="comments"><article><p>{W * 9}</p></article></section></article>', ARTICLE[1]),
+    (f'<article><h1>T</h1><div class="ad"><p>{W}</p></div><p>{W}</p><form><label>Mail</label></form><div class="newsletter-signup">{W}</div><p>{W}</p></article>', f"T {W} {W}"),
+    (f'<article><header><h1>T</h1><p>by one</p></header><p>{W}</p><footer>rights</footer></article>', f"T by one {W}"),
+]
+
+
+def test_main_text_of_marks():
+    for page, want in MORE_PAGES:
+        assert main_text(page) == want, page.replace(W, "W")
+
+
+def test_best_region_is_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        blocks = [(rng.choice([-3, -1, 0.5, 2, 4]), rng.choice([0, 0.2, 1, 2.5])) for _ in range(rng.randint(0, 12))]
+        total = lambda a, z, b=blocks: sum(x for x, _ in b[a:z]) - sum(c for _, c in b[a + 1 : z])
+        every = [(total(a, z), a, z) for a in range(len(blocks)) for z in range(a + 1, len(blocks) + 1)]
+        first, end = best_region(blocks)
+        most = max([x for x, _, _ in every], default=0)
+        assert (total(first, end) if end else 0) == pytest.approx(max(most, 0))
+
+
 def test_main_text(spark):
     for page, want in PAGES:
         assert main_text(page) == want
@@ -213,7 +247,7 @@ def test_main_text_is_linear():
     for part in ("<div>", "<p a='", "<", "<b ", "<script>", "<!--", "<li>x", '<a href="x', "</p>", "&amp"):
         main_text(part * 50_000)
     assert time.process_time() - began < 15
-    assert learned().log_odds["article"] > 0 > learned().log_odds["nav"]
+    assert learned().tags["article"] > 0 > learned().tags["nav"]
 
 
 def test_preference_pairs_are_the_sql(spark):
