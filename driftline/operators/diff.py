@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 
-HUNK_LINES, DIFF_BUDGET = 30, 20_000_000
+#: Changed lines shown; pairs of equal lines that a diff looks at, beyond which only counts of lines are compared.
+HUNK_LINES, DIFF_BUDGET = 30, 2_000_000
+#: Characters of a line that hunks show.
+LINE_CHARS = 180
 
 
 def lines_of(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, line_no, line), line_no from 0."""
-    return df.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    """(keys, line_no, line), line_no from 0: any line end parts lines, a last one starts no line, an empty text has none."""
+    lines = F.split(text, r"\r\n|\r|\n")
+    return df.select(*keys, F.posexplode(F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)).alias("line_no", "line"))
 
 
 def version_pairs(snapshots: DataFrame, keys: list[str], at: str = "at", hash_: str = "hash") -> DataFrame:
@@ -56,9 +64,55 @@ def line_diff_multiset(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.where("d <> 0").select(key, F.when(F.col("d") > 0, "+").otherwise("-").alias("op"), "line", F.abs("d").alias("n"))
 
 
+def split_lines(text: str | None) -> list[str]:
+    """Lines of a text: any line end parts them, a last one starts no line, an empty text has none."""
+    lines = re.split(r"\r\n|\r|\n", text or "")
+    return lines[:-1] if lines[-1] == "" else lines
+
+
+def _common(x: list[str], y: list[str], budget: int) -> list[tuple[int, int]] | None:
+    """Places of a longest common subsequence. Each line of x is put, at all its places in y from the last on, behind the longest chain
+    that ends before them; only the ends of the best chains are looked at. None if there are more than `budget` pairs of equal lines."""
+    at: dict[str, list[int]] = {}
+    for j, line in enumerate(y):
+        at.setdefault(line, []).append(j)
+    if sum(len(at.get(line, ())) for line in x) > budget:
+        return None
+    ends: list[int] = []
+    chains: list[tuple] = []  # of each length the chain whose end is least: (i, j, chain before)
+    for i, line in enumerate(x):
+        for j in reversed(at.get(line, ())):
+            k = bisect_left(ends, j)
+            link = (i, j, chains[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                chains.append(link)
+            else:
+                ends[k], chains[k] = j, link
+    out, link = [], chains[-1] if chains else None
+    while link:
+        out.append(link[:2])
+        link = link[2]
+    return out[::-1]
+
+
+def _counted(x: list[str], y: list[str]) -> list[tuple[str, str]]:
+    """What x has more often than y, then what y has more often: the last places of each line."""
+    more = lambda a, b: (Counter(a) - Counter(b), a)
+    out = []
+    for sign, (left, lines) in (("-", more(x, y)), ("+", more(y, x))):
+        found = []
+        for line in reversed(lines):
+            if left[line] > 0:
+                left[line] -= 1
+                found.append((sign, line))
+        out += reversed(found)
+    return out
+
+
 def edit_script(a: list[str], b: list[str], budget: int = DIFF_BUDGET) -> list[tuple[str, str]]:
-    """A shortest script of ('=', '-', '+') lines from a to b. Equal ends are cut off, lines that stand on one side only are no
-    matches; over the budget the middle is replaced whole."""
+    """A shortest script of ('=', '-', '+') lines from a to b, removed lines before added ones. Equal ends are cut off; with more equal
+    pairs than the budget, lines are counted instead, and only what one side has more often is told."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -66,66 +120,41 @@ def edit_script(a: list[str], b: list[str], budget: int = DIFF_BUDGET) -> list[t
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    common = set(x) & set(y)
-    xs, ys = [i for i, v in enumerate(x) if v in common], [j for j, v in enumerate(y) if v in common]
-    pairs: list[tuple[int, int]] = []
-    # furthest-reaching paths on lines both sides have, kept per number of edits for the way back
-    n, m, work = len(xs), len(ys), 0
-    reach, trail = {1: 0}, []
-    found = not (n and m)
-    for d in range(n + m + 1):
-        if found:
-            break
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else reach[k - 1] + 1
-            j = i - k
-            while i < n and j < m and x[xs[i]] == y[ys[j]]:
-                i, j = i + 1, j + 1
-            reach[k] = i
-            if i >= n and j >= m:
-                found = True
-                i, j = n, m
-                for e in range(d, -1, -1):
-                    before, k = trail[e], i - j
-                    p = k + 1 if k == -e or (k != e and before.get(k - 1, -1) < before.get(k + 1, -1)) else k - 1
-                    pi = before.get(p, 0)
-                    pj = pi - p
-                    while e and i > pi and j > pj or not e and i > 0 and j > 0:
-                        i, j = i - 1, j - 1
-                        pairs.append((xs[i], ys[j]))
-                    i, j = max(pi, 0), max(pj, 0)
-                break
-        work += 2 * d + 1
-        if work > budget:
-            pairs, found = [], True
+    pairs = _common(x, y, budget)
     out = [("=", v) for v in a[:head]]
-    i = j = 0
-    for p, q in [*sorted(pairs), (len(x), len(y))]:
-        out += [("-", v) for v in x[i:p]] + [("+", v) for v in y[j:q]]
-        if p < len(x) or q < len(y):
-            out.append(("=", x[p])) if p < len(x) and q < len(y) else None
-        i, j = p + 1, q + 1
-    return out + [("=", v) for v in (a[len(a) - tail :] if tail else [])]
+    if pairs is None:
+        out += _counted(x, y)
+    else:
+        i = j = 0
+        for p, q in pairs:
+            out += [("-", v) for v in x[i:p]] + [("+", v) for v in y[j:q]] + [("=", x[p])]
+            i, j = p + 1, q + 1
+        out += [("-", v) for v in x[i:]] + [("+", v) for v in y[j:]]
+    return out + [("=", v) for v in a[len(a) - tail :]]
 
 
 def unified(ops: list[tuple[str, str]], context: int = 1, most: int = HUNK_LINES) -> str:
-    """Changed lines with `context` lines around them, '…' between hunks, and how many more there are."""
-    near = [any(o != "=" for o, _ in ops[max(0, k - context) : k + context + 1]) for k in range(len(ops))]
+    """Changed lines with `context` lines around them, '…' between hunks, and how many changed lines more there are than are shown.
+    Runs of changes put removed lines first; over-long lines are cut."""
+    changed = [k for k, (o, _) in enumerate(ops) if o != "="]
     out: list[str] = []
-    left, shown = sum(o != "=" for o, _ in ops), False
-    for (o, v), keep in zip(ops, near, strict=True):
-        if not keep:
-            shown = shown and bool(out) and out[-1] != "…" and (out.append("…") or False)
-            continue
+    shown = end = 0
+    cut = lambda v: v if len(v) <= LINE_CHARS else v[:LINE_CHARS] + "…"
+    for k in changed:
+        for near in range(max(end, k - context), min(len(ops), k + context + 1)):
+            if out and near > end:
+                out.append("…")
+            end = near + 1
+            if len(out) >= most:
+                break
+            o, v = ops[near]
+            out.append(f"{' ' if o == '=' else o} {cut(v)}")
+            shown += o != "="
         if len(out) >= most:
             break
-        out.append(f"{' ' if o == '=' else o} {v[:180]}")
-        left -= o != "="
-        shown = True
-    while out and out[-1] == "…":
-        out.pop()
-    return "\n".join(out + ([f"(+{left} more…)"] if left else []))
+    out = out[:most]
+    left = len(changed) - shown
+    return "\n".join(out + ([f"… (+{left} more changed lines)"] if left else []))
 
 
 def pair_window(old: Column, new: Column, most: int = 180, before: int = 40) -> Column:
@@ -149,7 +178,7 @@ def line_diff(pairs: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for old, new in zip(frame["old"], frame["new"], strict=True):
-                ops = edit_script((old or "").split("\n"), (new or "").split("\n"))
+                ops = edit_script(split_lines(old), split_lines(new))
                 added, removed = [v for o, v in ops if o == "+"], [v for o, v in ops if o == "-"]
                 made = json.dumps([removed, added], ensure_ascii=False, separators=(",", ":"))
                 rows.append((added, removed, unified(ops), hashlib.sha1(made.encode()).hexdigest()))

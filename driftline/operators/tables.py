@@ -76,15 +76,28 @@ def ingest_sitemaps(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.posexplode(every).alias("pos", "e")).select("doc", "e.kind", F.col("pos").cast("long").alias("pos"), "e.loc")
 
 
-def sitemap_tree(docs: DataFrame, refs: DataFrame, roots: DataFrame, max_level: int = 3) -> DataFrame:
-    """docs(doc, ok), refs(doc, child), roots(site_id, doc) -> (site_id, n_docs, complete): sitemaps reached level by level, and whether all
-    of them could be read."""
-    reached = roots.select("site_id", "doc").distinct()
-    frontier = reached
-    for _ in range(max_level):
-        frontier = frontier.join(refs, "doc").select("site_id", F.col("child").alias("doc")).distinct().join(reached, ["site_id", "doc"], "left_anti")
+def sitemap_tree(docs: DataFrame, refs: DataFrame, roots: DataFrame, max_level: int | None = 3, max_docs: int | None = None) -> DataFrame:
+    """docs(doc, ok), refs(doc, child), roots(site_id, doc) -> (site_id, n_docs, complete, cut): sitemaps reached level by level, and whether
+    all of them could be read. Levels go on to the end if max_level is None; with max_docs a site keeps the first so many (by level, then
+    doc), and cut tells that there are more."""
+    from ..sources.shared import new_table
+
+    reached = roots.select("site_id", "doc").distinct().withColumn("level", F.lit(0))
+    frontier, level = reached, 0
+    while max_level is None or level < max_level:
+        level += 1
+        frontier = frontier.join(refs, "doc").select("site_id", F.col("child").alias("doc")).distinct().join(reached, ["site_id", "doc"], "left_anti").withColumn("level", F.lit(level))
+        if max_level is None:
+            frontier = new_table(frontier, "sitemap-level")
+            if frontier.isEmpty():
+                break
         reached = reached.unionByName(frontier)
-    return reached.join(docs, "doc", "left").groupBy("site_id").agg(F.count(F.lit(1)).alias("n_docs"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("complete"))
+    rank = F.row_number().over(Window.partitionBy("site_id").orderBy("level", "doc"))
+    kept = reached if max_docs is None else reached.withColumn("rank", rank).where(F.col("rank") <= max_docs + 1)
+    over = F.lit(False) if max_docs is None else F.max("rank") > max_docs
+    within = kept if max_docs is None else kept.withColumn("doc", F.when(F.col("rank") <= max_docs, F.col("doc")))
+    rows = within.join(docs, "doc", "left").groupBy("site_id").agg(F.count("doc").alias("n_docs"), F.bool_and(F.col("doc").isNull() | F.coalesce("ok", F.lit(False))).alias("read"), over.alias("cut"))
+    return rows.select("site_id", "n_docs", (F.col("read") & ~F.col("cut")).alias("complete"), "cut")
 
 
 def ingest_ct(issuances: DataFrame, cursor: int) -> DataFrame:

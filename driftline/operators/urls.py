@@ -12,9 +12,9 @@ PUBLIC_SUFFIXES = ("com", "net", "org", "io", "dev", "app", "co", "de", "fr", "e
 _IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
 
 
-def canonicalize_urls(df: DataFrame, url: str = "url") -> DataFrame:
-    """Adds canon_url; null where the URL has no identity."""
-    return df.withColumn("canon_url", u.canonical(F.col(url)))
+def canonicalize_urls(df: DataFrame, url: str = "url", base: str | None = None) -> DataFrame:
+    """Adds canon_url, relative to the column `base` if given; null where the URL has no identity."""
+    return df.withColumn("canon_url", u.canonical(F.col(url), F.col(base) if base else None))
 
 
 def dedup_by_canonical(df: DataFrame, order: str, url: str = "url") -> DataFrame:
@@ -63,7 +63,7 @@ def scope_filter(urls: DataFrame, sites: DataFrame, allow_query: bool = False) -
 
 def exclude_by_rules(urls: DataFrame, rules: list[tuple[int, str]]) -> DataFrame:
     """Rows of urls(site_id, url) that no rule of their site matches. Rules are a few lines of settings: they become one expression
-    per site, and odd ones are passed over."""
+    per site. Ones that can't be used exclude nothing; rule_problems tells them."""
     out = F.lit(False)
     for site, rule in rules:
         if (pattern := u.glob_regex(rule)) is not None:
@@ -71,6 +71,11 @@ def exclude_by_rules(urls: DataFrame, rules: list[tuple[int, str]]) -> DataFrame
     return urls.where(~out)
 
 
+def rule_problems(rules: list[tuple[int, str]]) -> list[tuple[int, str, str]]:
+    """(site_id, rule, why) of the rules that exclude nothing because they can't be used."""
+    return [(site, rule, why) for site, rule in rules if (why := u.rule_problem(rule))]
+
+
 def drop_opaque_id_urls(df: DataFrame, url: str = "url") -> DataFrame:
     return df.where(~u.has_opaque_id(F.col(url)))
 

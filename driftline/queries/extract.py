@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as u
 from ..operators import extract as ops
+from ..operators.technology_rules import RULES
 from ..operators.urls import PUBLIC_SUFFIXES
 from .base import Registry, rows, table, values_sql
 from .urls import canon_sql
@@ -29,9 +30,14 @@ def x1_route_by_content(spark, sf):
 _TITLE = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT page_id, {_TITLE} AS title, '' AS description, '' AS generator, '' AS canonical, false AS noindex FROM pages")
+@query(f"SELECT page_id, {_TITLE} AS title, 'about ' || url AS description, CASE page_id % 3 WHEN 0 THEN 'Made' || page_id WHEN 1 THEN 'Tool 2' ELSE '' END AS generator, url AS canonical, page_id % 2 = 0 AS noindex FROM pages")
 def x2_page_meta(spark, sf):
-    return _pages(spark, sf).select("page_id", *(c.alias(n) for n, c in ops.page_meta(F.col("html")).items()))
+    """The page with meta tags of every quoting and order, made of its own URL."""
+    i, url = F.col("page_id"), F.replace("url", F.lit("&"), F.lit("&amp;"))
+    text = lambda c: c.cast("string")
+    generator = F.when(i % 3 == 0, F.concat(F.lit("<meta name=generator content=Made"), text(i), F.lit(">"))).when(i % 3 == 1, "<META CONTENT='Tool  2' data-x=1 NAME='generator'/>").otherwise("")
+    head = F.concat(F.lit('<meta property="og:description" content="other"><meta content=\''), F.lit("about "), url, F.lit("' name=\"description\"><link href='"), url, F.lit("' rel='alternate canonical'>"), generator, F.when(i % 2 == 0, '<meta content="NOINDEX, follow" name=robots>').otherwise("<!-- <meta name=robots content=noindex> -->"))
+    return _pages(spark, sf).select("page_id", *(c.alias(n) for n, c in ops.page_meta(F.concat(head, "html")).items()))
 
 
 @query()
@@ -50,11 +56,11 @@ def x4_link_edges(spark, sf):
 
 def _with_assets(spark, sf):
     i = F.col("page_id").cast("string")
-    made = F.concat(F.lit('<script src="/a/app-'), i, F.lit('.js"></script><script defer src="/a/app-'), i, F.lit('.js"></script><link rel="stylesheet" href="/a/s'), (F.col("page_id") % 4).cast("string"), F.lit('.css"><link rel="preload" as="script" href="/a/p.js">'), F.col("html"))
-    return _pages(spark, sf).select("page_id", "url", made.alias("html"))
+    made = F.concat(F.lit("<script src='/a/app-"), i, F.lit('.js"></script><script defer src=/a/app-'), i, F.lit('.js></script><link href="/a/s'), (F.col("page_id") % 4).cast("string"), F.lit('.css" rel="preload stylesheet" as=style><link as="script" rel="preload" href="/a/p.js"><link rel=preload as=font href=/f.woff2><script src="data:,x"></script>'), F.col("html"))
+    return _pages(spark, sf).select("page_id", "url", F.replace(made, F.lit('.js"></script><script defer'), F.lit(".js'></script><script defer")).alias("html"))
 
 
-@query("SELECT page_id, unnest(['script', 'style', 'preload']) AS role, unnest(['/a/app-' || page_id || '.js', '/a/s' || page_id % 4 || '.css', '/a/p.js']) AS url FROM pages")
+@query("SELECT page_id, unnest(['script', 'style', 'preload', 'preload']) AS role, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || unnest(['/a/app-' || page_id || '.js', '/a/s' || page_id % 4 || '.css', '/a/s' || page_id % 4 || '.css', '/a/p.js']) AS url FROM pages")
 def x5_page_assets(spark, sf):
     return ops.page_assets(_with_assets(spark, sf))
 
@@ -71,17 +77,17 @@ def x7_host_mentions(spark, sf):
     i = F.col("page_id")
     s = lambda c: c.cast("string")
     text = F.concat(F.lit("fetch('https://api"), s(i % 9), F.lit(".Shop.co.uk/v1'); x='//cdn"), s(i % 5), F.lit(".tools.io/a.js'; // see //not.counted.com https://www.w3.org/ https://co.uk/ https://a.invalid http://schema.org "), F.when(i % 2 == 0, F.concat(F.lit('"wss://user@x'), s(i), F.lit('.vercel.app."'))).otherwise(""))
-    bodies = _pages(spark, sf).select("page_id", text.alias("text"))
+    bodies = _pages(spark, sf).select("page_id", F.concat(text, "html").alias("text"))
     return ops.host_mentions(bodies, rows(spark, "suffix string", [(x,) for x in PUBLIC_SUFFIXES]), rows(spark, "domain string", [(x,) for x in ops.NOISE_DOMAINS]))
 
 
-@query(f"""WITH m AS (SELECT page_id, {_TITLE} AS title, split_part(url, '/', 3) AS d FROM pages), l AS (SELECT page_id, string_agg('p' || n || ' of ' || url, chr(10) ORDER BY n) AS body FROM pages, range(12) r(n) GROUP BY 1),
+@query(f"""WITH m AS (SELECT page_id, {_TITLE} AS title, split_part(url, '/', 3) AS d FROM pages), l AS (SELECT page_id, replace(html, '<', chr(10) || '<') AS body FROM pages),
 t AS (SELECT page_id, CASE WHEN title <> '' THEN '# ' || title || chr(10) ELSE '' END || '> ' || d || chr(10) || body AS text FROM m JOIN l USING (page_id)) SELECT page_id, text, sha1(text) AS text_sha1 FROM t""")
 def x8_snapshots(spark, sf):
     pages = _pages(spark, sf)
     meta = pages.select("page_id", ops.page_meta(F.col("html"))["title"].alias("title"), F.split("url", "/")[2].alias("description"))
-    lines = pages.select("page_id", "url", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("line_no"))
-    return ops.snapshots(meta, lines.select("page_id", "line_no", F.concat(F.lit("p"), F.col("line_no").cast("string"), F.lit(" of "), "url").alias("line")), "page_id")
+    lines = pages.select("page_id", F.posexplode(F.split(F.replace("html", F.lit("<"), F.lit("\n<")), "\n")).alias("line_no", "line"))
+    return ops.snapshots(meta, lines, "page_id")
 
 
 @query("""SELECT event_id, unnest([0, 1, 2, 3]) AS line_no, unnest(['{', '  "k": ' || (props->>'$.k') || ',', '  "t": "' || event_type || '"', '}']) AS line FROM events WHERE event_id % 2 = 0""")
@@ -91,12 +97,15 @@ def x9_json_snapshots(spark, sf):
     return ops.json_lines(e.select("event_id", text.alias("text")), "event_id")
 
 
-_LITERALS = ["/docs/faq/", "/api/users", "/app.js", "/1/2", "/month", "/x/[id]", "/re/[a-z]+", "/foo/gi", "/a%zz", "/static/x", "/_next/y", "/v1/tokens", "/b"]
+_LITERALS = ["/docs/faq/", "/api/users", "/app.js", "/1/2", "/month", "/x/[id]", "/x/[a-z]", "/x/[0-9]", "/re/[a-z]+", "/foo/gi", "/a%zz", "/static/x", "/_next/y", "/v1/tokens", "/b", "/a.js/", "/users/@me"]
+_ROUTE_SQL = r"""length(path) >= 3 AND NOT regexp_matches(path, '(?i)^/(?:mo|yr|hr|min|mins|sec|secs|ms|px|em|rem|vh|vw|day|days|wk|week|weeks|month|months|year|years|hour|hours|kb|mb|gb|tb)$') AND NOT regexp_matches(path, '/(?:g|i|m|gi|ig|gm|mg|gim|gmi|gu|giu|gs|gy)$') AND NOT regexp_matches(path, '(?i)^/(?:static|assets)$')"""
 
 
-@query("""SELECT page_id, unnest(['/docs/faq', '/api/users', '/x/[id]', '/v1/tokens', '/p' || page_id]) AS path FROM pages""")
+@query(f"""WITH p AS (SELECT page_id, unnest(['/docs/faq', '/api/users', '/x/[id]', '/v1/tokens', '/users/@me', '/p' || page_id]) AS path FROM pages
+UNION SELECT page_id, unnest(regexp_extract_all(html, '"(/[A-Za-z0-9][A-Za-z0-9.\\-]*)"', 1)) FROM pages) SELECT DISTINCT page_id, path FROM p WHERE {_ROUTE_SQL}""")
 def x10_code_refs(spark, sf):
-    text = F.concat(F.lit("var a=[" + ",".join(f'"{x}"' for x in _LITERALS) + "],b='/p"), F.col("page_id").cast("string"), F.lit("',c=\"/docs/faq\",d='/mixed\";"))
+    """Literals of a made bundle and of the page's own markup."""
+    text = F.concat(F.lit("var a=[" + ",".join(f'"{x}"' for x in _LITERALS) + "],b='/p"), F.col("page_id").cast("string"), F.lit("',c=\"/docs/faq\",d='/mixed\";"), "html")
     return ops.code_paths(_pages(spark, sf).select("page_id", text.alias("text")), "page_id")
 
 
@@ -129,18 +138,28 @@ def x15_site_socials(spark, sf):
     return ops.site_socials(links, rows(spark, "host string, kind string", _SOCIAL_RULES))
 
 
-_TECH_RULES = [("header", "nginx", "Nginx"), ("cookie", "_ga", "Analytics"), ("generator", "wordpress", "WordPress"), ("host", "cdn.shop.io", "Shop")]
-_NEEDLES = [("Tracker", "track("), ("Nginx", "class=\"ad\""), ("Unused", "no such text")]
+_SIGNALS = """s AS (SELECT page_id AS site_id, 'header' AS kind, 'Server: nginx/1.' || page_id % 30 AS value FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'header', 'x-powered-by: PHP' FROM pages WHERE page_id % 6 = 0
+  UNION ALL SELECT page_id, 'cookie', '_ga' FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'generator', 'WordPress 6.' || page_id % 9 FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'style', '/wp-content/x.css' FROM pages WHERE page_id % 10 < 6
+  UNION ALL SELECT page_id, 'host', 'fonts.googleapis.com' FROM pages WHERE page_id % 7 = 0 UNION ALL SELECT page_id, 'html', html FROM pages)"""
+_HITS = {"Nginx": ("server", "header", "^server:\\s*nginx(?:/([\\d.]+))?"), "PHP": ("language", "header", "^x-powered-by:\\s*php(?:/([\\d.]+))?"), "Google Analytics": ("analytics", "cookie", "^_ga(?:_|$)"), "Google Fonts": ("fonts", "host", "^fonts\\.(?:googleapis|gstatic)\\.com$"), "Drift ads": ("ads", "html", "class=.ad.")}
 
 
-@query("""WITH s AS (SELECT page_id AS site_id, 'header' AS kind, 'nginx' AS value, 'Nginx' AS name, 0 AS o FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'cookie', '_ga', 'Analytics', 1 FROM pages WHERE page_id % 4 = 0
-  UNION ALL SELECT page_id, 'host', 'cdn.shop.io', 'Shop', 3 FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'html', 'track(', 'Tracker', 4 FROM pages WHERE contains(html, 'track(') UNION ALL SELECT page_id, 'html', 'class="ad"', 'Nginx', 4 FROM pages WHERE contains(html, 'class="ad"'))
-SELECT site_id, name, arg_min(kind || ' ' || value, (o, value)) AS evidence FROM s GROUP BY ALL""")
+@query(f"""WITH {_SIGNALS}, h AS ({" UNION ALL ".join(f"SELECT site_id, '{name}' AS name, '{category}' AS category, nullif(regexp_extract(value, '(?i){pattern}', {int('([' in pattern)}), {'value' if '([' not in pattern else "''"}) AS version, '{kind} {pattern}' AS evidence FROM s WHERE kind = '{kind}' AND regexp_matches(value, '(?i){pattern}')" for name, (category, kind, pattern) in _HITS.items())}
+UNION ALL SELECT site_id, 'WordPress', 'cms', max(CASE WHEN kind = 'generator' THEN substr(value, 11) END), CASE WHEN bool_or(kind = 'generator') THEN 'generator ^wordpress\\s*([\\d.]*)' ELSE 'style /wp-(?:content|includes)/(?:css/dist/[^?]*\\?ver=([\\d.]+))?' END FROM s WHERE kind IN ('generator', 'style') GROUP BY 1)
+SELECT site_id, name, category, CASE WHEN name IN ('Nginx', 'WordPress') THEN version END AS version, evidence FROM h""")
 def x16_detect_technologies(spark, sf):
-    p = _pages(spark, sf)
-    signal = lambda n, kind, value: p.where(F.col("page_id") % n == 0).select(F.col("page_id").alias("site_id"), F.lit(kind).alias("kind"), F.lit(value).alias("value"))
-    signals = signal(3, "header", "nginx").unionByName(signal(4, "cookie", "_ga")).unionByName(signal(5, "host", "cdn.shop.io")).unionByName(p.select(F.col("page_id").alias("site_id"), F.lit("html").alias("kind"), F.col("html").alias("value")))
-    return ops.detect_technologies(signals, rows(spark, "kind string, value string, name string", _TECH_RULES), _NEEDLES)
+    """Signals made for each page, and its own markup, against the rules and one more."""
+    p, i = _pages(spark, sf), F.col("page_id")
+    signal = lambda where, kind, value: p.where(where).select(i.alias("site_id"), F.lit(kind).alias("kind"), value.alias("value"))
+    numbered = lambda text, n: F.concat(F.lit(text), (i % n).cast("string"))
+    signals = [
+        signal(i % 3 == 0, "header", numbered("Server: nginx/1.", 30)), signal(i % 6 == 0, "header", F.lit("x-powered-by: PHP")), signal(i % 4 == 0, "cookie", F.lit("_ga")), signal(i % 5 == 0, "generator", numbered("WordPress 6.", 9)),
+        signal(i % 10 < 6, "style", F.lit("/wp-content/x.css")), signal(i % 7 == 0, "host", F.lit("fonts.googleapis.com")), signal(F.lit(True), "html", F.col("html")),
+    ]
+    every = signals[0]
+    for x in signals[1:]:
+        every = every.unionByName(x)
+    return ops.detect_technologies(every, [*RULES, ("Drift ads", "ads", "html", "class=.ad.")])
 
 
 _IMPLIES = [("Shop theme", "Shop"), ("Shop", "Commerce"), ("Commerce", "Database"), ("Loop a", "Loop b"), ("Loop b", "Loop a")]

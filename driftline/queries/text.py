@@ -22,21 +22,33 @@ def _line():
     return F.concat(F.lit("v1."), s(i), F.lit(" has "), s(i % 7), F.lit(" items, +"), s(i % 9), F.lit(".5% since 2026-09-"), s(10 + i % 18), tail)
 
 
-_REL = "regexp_replace(regexp_replace({0}, '[0-9]+(?:[.,][0-9]+)*[ \\t]*minutes[ \\t]+ago', '# ago', 'g'), '\\bjust[ \\t]+now\\b', '# ago', 'g')"
-_MASK = "regexp_replace(regexp_replace(regexp_replace(" + _REL + ", '(^|[^\\pL\\pN_)\\]])[-+−±]([0-9]+(?:[.,][0-9]+)*)', '\\1#', 'g'), '[0-9]+(?:[.,][0-9]+)*', '#', 'g'), '(#[ \\t]*)(\\pL{{2,}}?)s([^\\pL\\pN_]|$)', '\\1\\2\\3', 'g')"
+#: The whole text, and the made line after it.
+_TEXT_SQL = f"coalesce(text, '') || chr(10) || {_LINE_SQL}"
 
 
-@query(f"SELECT doc_id, {_MASK.format(_LINE_SQL)} AS masked FROM documents")
+def _text():
+    return F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), _line())
+
+
+_NUMBER = "\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)*"
+_REL = "regexp_replace(regexp_replace({0}, '" + _NUMBER + "[ \\t]*minutes[ \\t]+ago', '# ago', 'g'), '\\bjust[ \\t]+now\\b', '# ago', 'g')"
+_MASK = (
+    "regexp_replace(regexp_replace(regexp_replace(" + _REL + ", '(^|[^\\pL\\pN_)\\]])[-+−±](" + _NUMBER + ")', '\\1#', 'g'), '" + _NUMBER + "', '#', 'g'), "
+    "'(#[ \\t]*)(\\pL{{2,}}?)(?:s|\\(s\\))([^\\pL\\pN_]|$)', '\\1\\2\\3', 'gi')"
+)
+
+
+@query(f"SELECT doc_id, {_MASK.format(_TEXT_SQL)} AS masked FROM documents")
 def t1_mask_numbers(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.mask_numbers(_line()).alias("masked"))
+    return table(spark, sf, "documents").select("doc_id", t.mask_numbers(_text()).alias("masked"))
 
 
-@query(f"SELECT doc_id, {_REL.format(_LINE_SQL)} AS line FROM documents")
+@query(f"SELECT doc_id, {_REL.format(_TEXT_SQL)} AS line FROM documents")
 def t2_normalize_relative_times(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.normalize_relative_times(_line()).alias("line"))
+    return table(spark, sf, "documents").select("doc_id", t.normalize_relative_times(_text()).alias("line"))
 
 
-_LINES = "lines AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
+_LINES = "lines AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[1:len(a) - 1] ELSE a END AS ls FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS a FROM documents))))"
 #: The new version: one line of seven with a word more, one of eleven left out.
 _NEW = "new_lines AS (SELECT doc_id, line_no, CASE WHEN line_no % 7 = 3 THEN 'now ' || line ELSE line END AS line FROM lines WHERE line_no % 11 <> 5)"
 
@@ -52,28 +64,28 @@ def _changed(lines):
 @query(f"""WITH {_LINES}, c AS (SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(regexp_replace(line, '[ \\t\\r\\f\\v]+', ' ', 'g'), 'the ', '', 'g'), '[a-z]*x[a-z]*', '', 'g')) AS line FROM lines)
 SELECT doc_id, line_no, trim(regexp_replace(line, '[ \\t\\r\\f\\v]+', ' ', 'g')) AS line FROM c WHERE trim(line) <> ''""")
 def t3_apply_ignore_patterns(spark, sf):
-    out = _lines(spark, sf).withColumn("line", t.apply_patterns(F.col("line"), ["the ", "[a-z]*x[a-z]*"]))
-    return out.where("line <> ''").withColumn("line_no", F.col("line_no").cast("long"))
+    kept = t.kept_lines(F.col("text"), ["the ", "[a-z]*x[a-z]*"])
+    return table(spark, sf, "documents").select("doc_id", F.explode(kept).alias("l")).select("doc_id", F.col("l.line_no").cast("long").alias("line_no"), "l.line")
 
 
-@query(f"""SELECT doc_id, sha1(CASE WHEN doc_id % 2 = 0 THEN {_MASK.format(_LINE_SQL)} ELSE {_REL.format(_LINE_SQL)} END) AS cmp_hash FROM documents""")
+@query(f"""SELECT doc_id, sha1(CASE WHEN doc_id % 2 = 0 THEN {_MASK.format(_TEXT_SQL)} ELSE {_REL.format(_TEXT_SQL)} END) AS cmp_hash FROM documents""")
 def t4_compare_hash(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.sha1(F.when(docs.doc_id % 2 == 0, t.mask_numbers(_line())).otherwise(t.normalize_relative_times(_line()))).alias("cmp_hash"))
+    return docs.select("doc_id", F.sha1(F.when(docs.doc_id % 2 == 0, t.mask_numbers(_text())).otherwise(t.normalize_relative_times(_text()))).alias("cmp_hash"))
 
 
-#: Lines with a counter, old and new: every document has four, the third changes in words too.
-_TICK = "ticks AS (SELECT doc_id, n AS line_no, 'line ' || n || ' of ' || source || ': ' || (doc_id * 7 + n) AS old, CASE WHEN n = 2 AND doc_id % 2 = 0 THEN 'other words' ELSE 'line ' || n || ' of ' || source || ': ' || (doc_id * 9 + n) END AS new FROM documents, range(4) r(n))"
+#: The lines of every document with a counter behind each, old and new; the third line of documents of even id changes in words too.
+_TICK = f"{_LINES}, ticks AS (SELECT doc_id, line_no, line || ' #' || (doc_id * 7 + line_no) AS old, CASE WHEN line_no = 2 AND doc_id % 2 = 0 THEN 'other words' ELSE line || ' #' || (doc_id * 9 + line_no) END AS new FROM lines)"
 
 
 def _ticks(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("line_no"))
-    text = lambda k: F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" of "), "source", F.lit(": "), (F.col("doc_id") * k + F.col("line_no")).cast("string"))
+    lines = _lines(spark, sf)
+    text = lambda k: F.concat("line", F.lit(" #"), (F.col("doc_id") * k + F.col("line_no")).cast("string"))
     new = F.when((F.col("line_no") == 2) & (F.col("doc_id") % 2 == 0), "other words").otherwise(text(9))
-    return d.select("doc_id", "line_no", text(7).alias("line")), d.select("doc_id", "line_no", new.alias("line"))
+    return lines.select("doc_id", "line_no", text(7).alias("line")), lines.select("doc_id", "line_no", new.alias("line"))
 
 
-_MASKED = lambda c: f"regexp_replace({c}, '[0-9]+', '#', 'g')"
+_MASKED = _MASK.format
 
 
 @query(f"WITH {_TICK} SELECT DISTINCT doc_id, {_MASKED('old')} AS masked_line FROM ticks WHERE old <> new AND {_MASKED('old')} = {_MASKED('new')}")
@@ -88,15 +100,15 @@ def t6_align_numbers(spark, sf):
     return ops.align_numbers(*_ticks(spark, sf), "doc_id").withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(left(text, 400), '[\\s\\v]+', ' ', 'g')) AS one_line, CASE WHEN length(text) > 180 THEN left(text, 180) || '…' ELSE text END AS cut FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(text, '[\\s\\v]+', ' ', 'g')) AS one_line, CASE WHEN length(text) > 180 THEN left(text, 180) || '…' ELSE text END AS cut FROM documents")
 def t7_collapse_and_truncate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.collapse_blanks(F.substring("text", 1, 400)).alias("one_line"), t.truncate_line(F.col("text")).alias("cut"))
+    return table(spark, sf, "documents").select("doc_id", t.collapse_blanks(F.col("text")).alias("one_line"), t.truncate_line(F.col("text")).alias("cut"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '[\\s\\v]+', ' ', 'g')) AS one_line, CASE WHEN length(text) > 180 THEN left(text, 180) || '…' ELSE text END AS cut FROM documents")
 def t7_collapse_whole_text(spark, sf):
-    """As t7_collapse_and_truncate, of whole texts: only truncate_line caps."""
-    return table(spark, sf, "documents").select("doc_id", t.collapse_blanks(F.col("text")).alias("one_line"), t.truncate_line(F.col("text")).alias("cut"))
+    """The same as t7_collapse_and_truncate: whole texts, only truncate_line caps."""
+    return t7_collapse_and_truncate(spark, sf)
 
 
 @query("""WITH d AS (SELECT o_orderkey, o_orderkey * 977 AS s, o_orderkey * 977 * 1000 + 7 AS n FROM orders)
@@ -145,7 +157,11 @@ def d4_numeric_only(spark, sf):
     return ops.numeric_only(*_ticks(spark, sf), "doc_id")
 
 
-@query(f"""WITH {_TICK} SELECT doc_id, line_no, old, new FROM ticks""")
+_FIRST = "list_min(list_filter(range(1, greatest(length(old), length(new)) + 1), lambda i: old[i] <> new[i]))"
+_CUT = "CASE WHEN start > 1 THEN '…' ELSE '' END || substr({0}, start, 180) || CASE WHEN length({0}) >= start + 180 THEN '…' ELSE '' END"
+
+
+@query(f"""WITH {_TICK}, p AS (SELECT *, greatest(coalesce({_FIRST}, 0) - 40, 1) AS start FROM ticks) SELECT doc_id, line_no, {_CUT.format('old')} AS old, {_CUT.format('new')} AS new FROM p""")
 def d6_pair_window(spark, sf):
     old, new = _ticks(spark, sf)
     both = old.join(new.withColumnRenamed("line", "new"), ["doc_id", "line_no"])
@@ -198,15 +214,15 @@ def _decoded(spark, sf, text):
     return decode_bodies(docs).select("doc_id", "body_text")
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN regexp_replace(left(text, 300), '[^\\x{01}-\\x{FF}]', '?', 'g') ELSE left(text, 300) END AS body_text FROM documents")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN regexp_replace(text, '[^\\x{01}-\\x{FF}]', '?', 'g') ELSE text END AS body_text FROM documents")
 def s2_decode_bodies(spark, sf):
-    return _decoded(spark, sf, F.substring("text", 1, 300))
+    return _decoded(spark, sf, F.col("text"))
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN regexp_replace(text, '[^\\x{01}-\\x{FF}]', '?', 'g') ELSE text END AS body_text FROM documents")
 def s2_decode_whole_bodies(spark, sf):
-    """As s2_decode_bodies, of whole texts."""
-    return _decoded(spark, sf, F.col("text"))
+    """The same as s2_decode_bodies: whole texts."""
+    return s2_decode_bodies(spark, sf)
 
 
 @query(f"""WITH {_TICK}, s AS (SELECT doc_id, string_agg(CASE WHEN doc_id % 2 = 0 THEN {_MASKED('old')} ELSE old END, chr(10) ORDER BY line_no) AS t FROM ticks GROUP BY doc_id) SELECT doc_id, sha1(t) AS cmp_hash, doc_id % 2 = 0 AS rebased FROM s""")

@@ -1,6 +1,8 @@
 """Column functions: values, and laws that hold for any text."""
 
 import random
+import time
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -9,8 +11,11 @@ from pyspark.sql import functions as F
 
 from driftline.functions import text as t
 from driftline.functions import urls as u
-from driftline.operators.diff import edit_script, unified
+from driftline.operators.diff import edit_script, split_lines, unified
+from driftline.operators.extract import detect_technologies, implied, is_route, link_edges, page_assets, page_meta
 from driftline.operators.status import parse_retry_after
+from driftline.operators.tables import sitemap_tree
+from driftline.operators.urls import rule_problems
 
 
 def each(spark, f, values):
@@ -19,9 +24,10 @@ def each(spark, f, values):
 
 
 URLS = [
-    ("HTTPS://User:pw@Docs.A.io:443/a//b/../index.html/?b=2&utm_source=x&a=1&a=0&REF=q#top", "https://docs.a.io/a/b/..?a=1&a=0&b=2"),
+    ("HTTPS://User:pw@Docs.A.io:443/a//b/../index.html/?b=2&utm_source=x&a=1&a=0&REF=q#top", "https://docs.a.io/a?a=1&a=0&b=2"),
     ("http://a.io", "http://a.io/"), ("http://a.io:8080/x/", "http://a.io:8080/x"), ("https://a.io/index.htm", "https://a.io/"), ("https://a.io./p?", "https://a.io/p"),
     ("mailto:a@b.c", None), ("javascript:void(0)", None), ("https://", None), ("", None), ("https://a.io/" + "x" * 9000, None), ("https://a.io/a/INDEX.HTML/index.html", "https://a.io/a"),
+    ("https://bücher.de/x", "https://xn--bcher-kva.de/x"), ("https://a.io/a b", "https://a.io/a%20b"), ("https://a.io/a/./b/../c", "https://a.io/a/c"), ("https://a.io\\docs\\faq", "https://a.io/docs/faq"), ("https://a.io/../x/..", "https://a.io/"),
 ]
 
 
@@ -29,6 +35,17 @@ def test_canonical(spark):
     assert each(spark, u.canonical, [x for x, _ in URLS]) == [y for _, y in URLS]
 
 
+RELATIVE = [
+    ("/docs/faq/", "https://a.io/x/y", "https://a.io/docs/faq"), ("faq", "https://a.io/docs/", "https://a.io/docs/faq"), ("../up", "https://a.io/a/b/c", "https://a.io/a/up"), ("?page=2", "https://a.io/list", "https://a.io/list?page=2"),
+    ("#top", "https://a.io/page?q=1", "https://a.io/page?q=1"), ("//cdn.a.io/x.js", "https://a.io/", "https://cdn.a.io/x.js"), ("https://b.io/x", "not a url", "https://b.io/x"), ("mailto:hi@a.io", "https://a.io/", None), ("/x", "not a url", None), ("a:b", "https://a.io/", None),
+]
+
+
+def test_canonical_of_references(spark):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(RELATIVE)], "i int, a string, b string")
+    assert [r[0] for r in df.orderBy("i").select(u.canonical(F.col("a"), F.col("b"))).collect()] == [c for _, _, c in RELATIVE]
+
+
 def test_canonical_is_idempotent(spark):
     rng = random.Random(0)
     made = ["".join(rng.choice(["http://", "https://", "a.io", "/", "index.html", "?", "&", "utm_x=1", "b=2", "=", "#", ".", ":80", "x"]) for _ in range(rng.randint(1, 12))) for _ in range(500)]
@@ -37,11 +54,11 @@ def test_canonical_is_idempotent(spark):
 
 
 def test_url_class(spark):
-    cases = {"https://a.io/x.pdf": "file", "https://a.io/x.JS": "asset", "https://a.io/x.zip": "skip", "https://a.io/x": "page", "https://a.io/_next/x": "asset", "https://a.io/static/x": "asset", "https://a.io/static/x.html": "page", "https://a.io/manifest.json": "asset", "https://a.io/d.json": "file", "https://a.io/wp-admin/x.pdf": "skip", "ftp://a.io/x": "skip", "https://a.io/.pdf": "page"}
+    cases = {"https://a.io/x.pdf": "file", "https://a.io/x.JS": "asset", "https://a.io/x.zip": "skip", "https://a.io/x": "page", "https://a.io/_next/x": "asset", "https://a.io/static/x": "asset", "https://a.io/static/x.html": "page", "https://a.io/manifest.json": "asset", "https://a.io/d.json": "file", "https://a.io/wp-admin/x.pdf": "skip", "ftp://a.io/x": "skip", "https://a.io/.pdf": "page", "/docs/guide.pdf": "file", "https://a.io/.well-known/a.json": "asset", "https://a.io/blog/post.v2": "page", "https://a.io/static/w.pdf": "file", "https://a.io/_next/data/x.zip": "asset", "https://a.io/pkg.tar.gz": "skip"}
     assert each(spark, u.url_class, list(cases)) == list(cases.values())
 
 
-MASKS = {"$12.5M": "$#M", "+3.2%": "#%", "v1.2.3": "v#", "2026-09-28": "#-#-#", "14:43": "#:#", "5 minutes ago": "# ago", "an hour ago": "# ago", "just now": "# ago", "3h ago": "# ago", "a-5": "a-#", "4 items": "# item", "no numbers": "no numbers", "": ""}
+MASKS = {"$12.5M": "$#M", "+3.2%": "#%", "v1.2.3": "v#", "2026-09-28": "#-#-#", "14:43": "#:#", "5 minutes ago": "# ago", "an hour ago": "# ago", "just now": "# ago", "3h ago": "# ago", "a-5": "a-#", "4 items": "# item", "1,234.56": "#", "(−4)": "(#)", "TVL $1,234,567.89 (+2.5%)": "TVL $# (#%)", "1, 2, 3": "#, #, #", "version 2.": "version #.", "Updated a few seconds ago": "Updated # ago", "a couple of days ago": "# ago", "a moment ago": "# ago", "24 comment(s) x": "# comment x", "3 bass_": "# bass_", "abc-def": "abc-def", "5 Agos": "# Ago", "no numbers": "no numbers", "": ""}
 
 
 def test_mask_numbers(spark):
@@ -74,8 +91,72 @@ def test_exclude_rules(rule, url, hit):
     assert bool(re.search(u.glob_regex(rule), url)) == hit
 
 
-def test_odd_rules_are_none():
+def test_odd_rules_are_told():
     assert u.glob_regex("(x") is None and u.glob_regex("") is None and u.glob_regex("(a+)+$") is None
+    told = rule_problems([(1, "(x"), (1, "/a/*"), (2, "(a+)+$"), (2, r"\.pdf$")])
+    assert [(s, r) for s, r, _ in told] == [(1, "(x"), (2, "(a+)+$")] and "nested" in told[1][2]
+
+
+ROUTES = ["/api/v1/claim", "/api/v2/users/:id", "/app/series", "/blog/[slug]", "/docs/points", "/users/@me", "/x/[...rest]", "/x/[[...rest]]", "/docs/"]
+NO_ROUTES = ["/", "/a", "/x/", "//cdn.foo.com/x", "/a//b", "/_next/static/chunks/x", "/static/media/logo", "/static", "/node_modules/react", "/__next", "/@vite/client", "/_error", "/favicon.ico", "/sw.js", "/1/2", "/2024", "/1.0.3", "/%s", "/foo/g", "/foo/gi", "/gi", "/[a-z]", "/foo/[0-9]", "/foo/[", "/x/[a-z]", "/month", "/min", "/a b", "/" + "x" * 120, "/q?x=1", "/a.js/"]
+
+
+def test_routes(spark):
+    assert each(spark, is_route, ROUTES + NO_ROUTES) == [True] * len(ROUTES) + [False] * len(NO_ROUTES)
+
+
+HEADS = [
+    ("<meta content='d1' name='description'><META NAME=generator CONTENT=Tool/2 ><title>A</title><body><title>  </title>", ("A", "d1", "Tool/2", "", False)),
+    ('<meta name="description" content="  "><meta property="og:description" content=" OG &amp;  desc "><link href=/c rel="alternate canonical"><title>First</title><svg><title>Icon</title></svg>', ("First", "OG & desc", "", "/c", False)),
+    ('<meta name="ROBOTS" content="none"><!-- <meta name=description content=no> --><script>"<meta name=description content=no>"</script><p data-name="x" data-content="y>z">', ("", "", "", "", True)),
+]
+
+
+def test_page_meta(spark):
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(HEADS)], "i int, html string")
+    made = page_meta(F.col("html"))
+    got = df.orderBy("i").select(*(made[k] for k in ("title", "description", "generator", "canonical", "noindex"))).collect()
+    assert [tuple(r) for r in got] == [w for _, w in HEADS]
+
+
+LINKS = [
+    ("https://a.io/d/p", "<a href='/one'>1</a><a class=\"x>y\" href=two>2</a><a href=\"three\">3</a><A HREF = \"/four/\">4</A><a data-href=\"/no\">5</a><a href=\"\">6</a><a>7</a><a href='mailto:x@a.io'>8</a>", ["https://a.io/d/three", "https://a.io/d/two", "https://a.io/four", "https://a.io/one"]),
+    ("https://a.io/x/y", '<base href="https://cdn.a.io/sub/"><a href="page">x</a><script>"<a href=/no>"</script>', ["https://cdn.a.io/sub/page"]),
+    ("https://a.io/", '<base href="javascript:alert(1)"><a href="/p?a=1&amp;b=2">x</a>', ["https://a.io/p?a=1&b=2"]),
+    ("https://a.io/x", '<link rel="alternate" type="text/markdown" href="/x.md"><link rel="alternate" type="text/html" hreflang="fr" href="/fr"><link href="/de" rel=alternate><link rel=stylesheet href=/s.css><map><area href="/m"></map>', ["https://a.io/de", "https://a.io/fr", "https://a.io/m"]),
+    ("https://a.io/x", None, []),
+]
+
+
+def test_links_as_pages_write_them(spark):
+    df = spark.createDataFrame([(i, a, h) for i, (a, h, _) in enumerate(LINKS)], "page_id long, url string, html string")
+    got = link_edges(df).collect()
+    assert [sorted(r.dst for r in got if r.page_id == i) for i in range(len(LINKS))] == [w for _, _, w in LINKS]
+
+
+def test_assets(spark):
+    html = "<base href='https://cdn.a.io/s/'><script type=module src=app.js></script><script src='data:text/javascript,1'></script><link href=s.css rel=stylesheet><link as=script href='/a.js' rel=preload><link rel=modulepreload href=/b.mjs><link rel=preload as=font href=/f.woff2><link rel='stylesheet preload' as=style href=/d.css>"
+    df = spark.createDataFrame([(1, "https://a.io/x", html), (2, "https://a.io/x", None)], "page_id long, url string, html string")
+    want = {("script", "https://cdn.a.io/s/app.js"), ("style", "https://cdn.a.io/s/s.css"), ("style", "https://cdn.a.io/d.css"), ("preload", "https://cdn.a.io/a.js"), ("preload", "https://cdn.a.io/b.mjs"), ("preload", "https://cdn.a.io/d.css")}
+    assert {(r.role, r.url) for r in page_assets(df).collect()} == want
+
+
+def test_technologies(spark):
+    signals = [(1, "generator", "WordPress 6.5.2"), (1, "style", "https://b.org/wp-includes/css/dist/x.css?ver=6.5.1"), (1, "header", "Server: nginx/1.25.3"), (1, "header", "x-powered-by: PHP/8.2.14"), (1, "script", "https://b.org/wp-includes/js/jquery/jquery.min.js?ver=3.7.1")]
+    signals += [(2, "header", "server: nginx"), (2, "style", "/wp-includes/css/dist/x.css?ver=6.4.3"), (2, "header", None), (3, "html", "we like WordPress and nginx/1.2"), (4, "js", 'version:"18.3.1",rendererPackageName:"react-dom"'), (4, "script", "https://cdn.jsdelivr.net/npm/gsap@3.12.5/dist/gsap.min.js")]
+    got = {(r.site_id, r.name): (r.category, r.version) for r in detect_technologies(spark.createDataFrame(signals, "site_id long, kind string, value string")).collect()}
+    assert got == {(1, "WordPress"): ("cms", "6.5.2"), (1, "Nginx"): ("server", "1.25.3"), (1, "PHP"): ("language", "8.2.14"), (1, "jQuery"): ("ui", None), (2, "Nginx"): ("server", None), (2, "WordPress"): ("cms", "6.4.3"), (4, "React"): ("framework", "18.3.1"), (4, "GSAP"): ("ui", "3.12.5")}
+    chain = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(20)] + [("t20", "t0")], "name string, implies string")
+    assert implied(chain).count() == 21 * 20
+
+
+def test_sitemap_tree(spark):
+    refs = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(5, 0)], "doc long, child long")
+    docs, roots = spark.createDataFrame([(i, True) for i in range(10)], "doc long, ok boolean"), spark.createDataFrame([(1, 0), (2, 7), (3, 99)], "site_id long, doc long")
+    tree = lambda **k: sorted(map(tuple, sitemap_tree(docs, refs, roots, **k).collect()))
+    assert tree() == [(1, 4, True, False), (2, 3, True, False), (3, 1, False, False)]
+    assert tree(max_level=None) == [(1, 10, True, False), (2, 3, True, False), (3, 1, False, False)]
+    assert tree(max_level=None, max_docs=3) == [(1, 3, False, True), (2, 3, True, False), (3, 1, False, False)]
 
 
 lines = st.lists(st.sampled_from("abcde"), max_size=9)
@@ -96,4 +177,31 @@ def test_edit_script(a, b):
 def test_unified():
     assert unified(edit_script(list("abcdefghij"), list("abXdefghYj"))) == "  b\n- c\n+ X\n  d\n…\n  h\n- i\n+ Y\n  j"
     assert unified(edit_script(list("abc"), list("abc"))) == ""
-    assert unified(edit_script([], [str(i) for i in range(50)])).endswith("(+20 more…)")
+    assert unified(edit_script([], [str(i) for i in range(50)])).endswith("\n… (+20 more changed lines)")
+    assert unified(edit_script(["x" * 500], [])) == "- " + "x" * 180 + "…" and unified(edit_script([], ["a", "b"]), most=0) == "… (+2 more changed lines)"
+    ten = [f"l{i}" for i in range(10)]
+    two = [*ten[:2], "A", *ten[3:7], "B", *ten[8:]]
+    assert unified(edit_script(ten, two), context=0) == "- l2\n+ A\n…\n- l7\n+ B"
+
+
+def test_split_lines():
+    assert split_lines("") == [] and split_lines(None) == [] and split_lines("a\r\nb\rc\n") == ["a", "b", "c"] and split_lines("\n") == [""] and split_lines("a\n\nb") == ["a", "", "b"]
+
+
+def test_edit_script_of_long_texts():
+    """Ten thousand lines of every shape, in little time and memory."""
+    base = [f"Paragraph {i}: lorem ipsum dolor sit amet" for i in range(10_000)]
+    shuffled = list(base)
+    random.Random(42).shuffle(shuffled)
+    third = [x + " edited" if i % 3 == 0 else x for i, x in enumerate(base)]
+    shapes = {"few": (base[:10] + ["edited"] + base[11:5000] + base[5001:], 3), "third": (third, 6668), "all": ([x.upper() for x in base], 20_000), "moved": (base[5000:] + base[:5000], 10_000), "shuffled": (shuffled, None), "empty": ([], 10_000), "same": (["x"] * 10_000, 20_000)}
+    tracemalloc.start()
+    began = time.process_time()
+    for other, edits in shapes.values():
+        ops = edit_script(base, other)
+        assert [v for o, v in ops if o != "+"] == base and [v for o, v in ops if o != "-"] == other
+        assert edits is None or sum(o != "=" for o, _ in ops) == edits
+    assert sum(o == "=" for o, _ in edit_script(["x", "y"] * 3000, ["y", "x"] * 3000)) == 0
+    assert sorted(edit_script(["x"] * 3000 + ["y"], ["z"] + ["x"] * 2000)) == [("+", "z")] + [("-", "x")] * 1000 + [("-", "y")]
+    assert time.process_time() - began < 10 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
