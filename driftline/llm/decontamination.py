@@ -358,7 +358,7 @@ def _stretches(docs: DataFrame, met: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(items, pa.int64()), short, pa.array(ats, pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "text_hash", "item", "doc_words", "at", "stretch"])
 
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    return docs.join(by_doc, same).select("doc_id", "text", "text_hash", "met").mapInArrow(run, "doc_id long, text_hash long, item long, doc_words long, at long, stretch binary")
+    return docs.join(by_doc.hint("shuffle_hash"), same).select("doc_id", "text", "text_hash", "met").mapInArrow(run, "doc_id long, text_hash long, item long, doc_words long, at long, stretch binary")
 
 
 SCHEMA = "doc_id long, text_hash long, item_id long, score long, item_words long, equal_words long, doc_from long, doc_to long, item_from long, item_to long"
