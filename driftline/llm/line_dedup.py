@@ -48,10 +48,11 @@ def _text(docs: DataFrame) -> Column:
 def _chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, from, to, key, chunk) of the chunks that can be removed."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text(docs).alias("text"))
-    flat = _cut(picked.withColumn("text_hash", F.xxhash64("text"))).select("doc_id", "text_hash", "lines", F.explode("spans").alias("span"))
-    flat = flat.where(F.col("span.to") - F.col("span.from") >= MIN_LINES)
-    flat = flat.select("doc_id", "text_hash", "span.*", _joined(F.col("span.from"), F.col("span.to")).alias("chunk"))
-    return flat.where(F.length(F.translate("chunk", "\n ", "")) > 0).withColumn("key", F.xxhash64("chunk"))
+    # chunks are joined before the array is taken apart, so that conditions on them don't join them again
+    whole = F.filter("spans", lambda s: s["to"] - s["from"] >= MIN_LINES)
+    each = F.transform(whole, lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), _joined(s["from"], s["to"]).alias("chunk")))
+    flat = _cut(picked.withColumn("text_hash", F.xxhash64("text"))).select("doc_id", "text_hash", F.explode(each).alias("c")).select("doc_id", "text_hash", "c.*")
+    return flat.where(F.col("chunk").rlike("[^\\n ]")).withColumn("key", F.xxhash64("chunk"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -77,14 +78,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
     slim = docs.select(rest, F.col("doc_id").cast("long").alias("doc"), _text(docs).alias("text"), F.xxhash64(_text(docs)).alias("hash"))
     both = slim.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("hash") == F.col("gone_hash")), "left")
-    both = both.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
+    both = both.withColumn("lines", F.split("text", "\n"))
     # what stays lies between what goes
     starts, ends = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["to"])), F.concat(F.transform("gone", lambda g: g["from"]), F.array(F.size("lines")))
     stays = F.filter(F.arrays_zip(starts.alias("from"), ends.alias("to")), lambda s: s["to"] > s["from"])
     cut = both.select(
         "rest",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda s: _joined(s["from"], s["to"])), "\n")).alias("text"),
-        (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"),
+        F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.aggregate("gone", F.lit(0), lambda a, g: a + g["to"] - g["from"]), F.lit(0)).cast("long").alias("n_removed_lines"),
         F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed_chunks"),
     )
