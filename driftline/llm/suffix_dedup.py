@@ -4,15 +4,21 @@ A passage of WIDTH bytes picks one of its own bytes as anchor: the one where the
 Equal passages pick the same anchor, so only suffixes that start at anchors (one byte in about eighty) are sorted, and
 passages can only be equal if their anchors' grams are. What lies around an anchor, as far as its passages reach, is its context.
 
-Contexts that occur twice are repeated whole. Where a gram has several contexts, their suffixes are sorted; a stack scan over
-the common prefixes of neighbours gives the tree of intervals. In each interval the left contexts are compared:
-where they differ, the repeat that the interval stands for ends, for all its occurrences at once. A gram with too many
-different contexts for one task is decided by counting its passages instead, which is as exact.
+Equal contexts are one entry of the array that stands for all its places; such an entry is a repeat by itself. The entries of
+a gram are sorted; a stack scan over the common prefixes of neighbours gives the tree of right-maximal intervals. The members
+of each interval are sorted by what precedes them, and a second scan gives the intervals whose left extensions differ: a maximal
+repeat with all its occurrences for each pair of the two.
+
+A gram with too many entries for one task is parted: its passages by how far before the anchor they start, in ranges. Passages
+of one range have a longer core around the anchor in common, so a part holds the entries of one core, and is sorted and scanned like
+any other. A part that is still too large goes down to one start each, where the core is the whole passage and a part one group of
+equal passages. Parts give the same repeats as the gram as a whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +26,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import _power_tables, mixed, runs, span_hashes, utf8
+from .arrays import _power_tables, mixed, runs, utf8
 from .grouping import sorted_groups
 from .shared import written
 
 WIDTH, GRAM = 200, 40
-#: Different contexts of one gram that one task sorts; grams with more are decided by counting passages.
-SORTED = 8192
+#: Entries of a group that one task sorts; a larger one is parted into ranges of RANGE starts, then into single ones.
+SORTED, RANGE = 8192, 13
 
 
 def anchors(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -106,7 +112,7 @@ def _same(left: str, right: str):
     return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.text_hash") == F.col(f"{right}.text_hash"))
 
 
-_CONTEXT = "key long, ctx long, n long, size long, doc_id long, text_hash long, at int, shift int, before binary, after binary"
+_CONTEXT = "key long, ctx long, n long, doc_id long, text_hash long, at int, shift int, before binary, after binary"
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -121,19 +127,19 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 text, doc, text_hash = unpack(z.as_buffer()), doc.as_py(), text_hash.as_py()
                 for w in each.as_py():
                     at, lo, hi = w["at"], w["lo"], w["hi"]
-                    rows.append((w["key"], w["ctx"], w["n"], w["size"], doc, text_hash, at, at - hi, text[lo:at][::-1], text[at : hi + WIDTH]))
+                    rows.append((w["key"], w["ctx"], w["n"], doc, text_hash, at, at - hi, text[lo:at][::-1], text[at : hi + WIDTH]))
                 if len(rows) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names)
 
-    by_doc = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "ctx", "n", "size", "at", "lo", "hi")).alias("each"))
+    by_doc = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "ctx", "n", "at", "lo", "hi")).alias("each"))
     joined = docs.alias("d").join(by_doc.alias("w").hint("shuffle_hash"), _same("d", "w")).select("d.doc_id", "d.text_hash", "d.z", "w.each")
     return joined.mapInArrow(run, _CONTEXT)
 
 
-_TYPES = [pa.int64()] * 6 + [pa.int32()] * 2 + [pa.binary()] * 2
+_TYPES = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()] * 2
 
 
 def common(x: bytes, y: bytes) -> int:
@@ -164,91 +170,138 @@ def intervals(prefixes: list[int]):
             stack.append((h, first))
 
 
-def repeats(before: list[bytes], after: list[bytes]) -> list[list[tuple[int, int]]]:
-    """For each of several contexts of one gram, (least, greatest) distances from passages that another one holds too to the anchor.
+def maximal_repeats(before: list[bytes], after: list[bytes], width: int = WIDTH):
+    """(bytes before, bytes after, members) of every maximal repeat of at least `width` bytes around the anchors of several contexts:
+    `before` runs backwards from the anchor, `after` onwards.
 
-    Passages at distance d are equal if d bytes before and WIDTH - d bytes after are. An interval of suffixes with h bytes in common
-    decides the distances that its parent can't; within it, neighbours in order of the left context have the most of it in
-    common, and where that ends the occurrences' left extensions differ.
+    The members are an interval of the suffixes and, among these, one in order of what precedes them. Left- and right-maximal: their
+    extensions differ on both sides (a smaller left interval may have more in common on the right: a deeper interval has that one).
     """
-    out: list[list[tuple[int, int]]] = [[] for _ in after]
     order = sorted(range(len(after)), key=after.__getitem__)
     farthest = max(map(len, before))
     rank = [0] * len(before)
     for place, x in enumerate(sorted(range(len(before)), key=before.__getitem__)):
         rank[x] = place
-    for h, first, last, parent in intervals([common(after[x], after[y]) for x, y in zip(order, order[1:], strict=False)]):
-        if WIDTH - h > farthest:
+    for h, first, last, _ in intervals([common(after[x], after[y]) for x, y in zip(order, order[1:], strict=False)]):
+        if h + farthest < width:
             continue
         members = sorted(order[first : last + 1], key=rank.__getitem__)
         shared = [common(before[x], before[y]) for x, y in zip(members, members[1:], strict=False)]
-        for k, x in enumerate(members):
-            left = max(shared[k - 1] if k else 0, shared[k] if k < len(shared) else 0)
-            nearest, furthest = max(0, WIDTH - h), min(left, WIDTH - parent - 1)
-            if nearest <= furthest:
-                out[x].append((nearest, furthest))
-    return out
+        whole = [(0, 0, len(members) - 1, 0)] if 0 in shared else []  # the root, which the scan doesn't give
+        for left, low, high, _ in chain(whole, intervals(shared)):
+            own = members[low : high + 1]
+            if left + h >= width and _extensions_differ(before, own, left) and _extensions_differ(after, own, h):
+                yield left, h, own
 
 
-def _sorted_repeats(contexts: DataFrame) -> DataFrame:
-    def run(batches):
-        rows: list[tuple] = []
-        for group in sorted_groups(batches, ["key"]):
-            n, doc, text_hash, at = (group.column(k).to_pylist() for k in (2, 4, 5, 6))
-            found = repeats([x.as_py() for x in group.column(8)], [x.as_py() for x in group.column(9)])
-            for k, each in enumerate(found):
-                if n[k] == 1 and each:  # others are repeated whole; all passages of an anchor overlap at it, so they cover one stretch
-                    rows.append((doc[k], text_hash[k], at[k] - max(d for _, d in each), at[k] - min(d for d, _ in each) + WIDTH))
-            if len(rows) > 20_000:
-                yield _spans(rows)
-                rows = []
-        yield _spans(rows)
+def _extensions_differ(contexts: list[bytes], members: list[int], size: int) -> bool:
+    """Whether the bytes that follow the common ones aren't all the same; a context's end is like no other."""
+    seen = {contexts[x][size : size + 1] for x in members}
+    return len(seen) > 1 or seen == {b""}
+
+
+def _rows_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    named = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * len(named), named, strict=True)], [n for n, _ in named])
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, _SPAN)
 
+_GROUP = "group long, key long, ctx long, doc_id long, text_hash long, at int, left int, right int"
 
-_SPAN = "doc_id long, text_hash long, from int, to int"
 
+def _grouped(contexts: DataFrame, by: str) -> DataFrame:
+    """Members of the maximal repeats of each group of entries. `group` numbers a repeat: by its bytes, so that parts of one gram
+    that find the same repeat agree."""
+
+    def run(batches):
+        rows: list[tuple] = []
+        for group in sorted_groups(batches, [by]):
+            keys, ctx, doc, text_hash, at = (group.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
+            before, after = ([x.as_py() for x in group.column(k)] for k in (7, 8))
+            for left, right, members in maximal_repeats(before, after):
+                x = members[0]
+                number = int.from_bytes(hashlib.blake2b(before[x][:left][::-1] + after[x][:right], digest_size=8).digest(), "little", signed=True)
+                rows += [(number, keys[x], ctx[x], doc[x], text_hash[x], at[x], left, right) for x in members]
+                if len(rows) > 20_000:
+                    yield _rows_of(rows, _GROUP)
+                    rows = []
+        yield _rows_of(rows, _GROUP)
 
-def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, types, strict=True)], ["doc_id", "text_hash", "from", "to"])
+    names = [x.split()[0] for x in _CONTEXT.split(", ")]
+    dealt = contexts.select(*dict.fromkeys([*names, by])).repartition(by).sortWithinPartitions(by)
+    return dealt.mapInArrow(run, _GROUP)
 
 
-def _counted_repeats(contexts: DataFrame) -> DataFrame:
-    """The same for grams of any number of contexts: passages are hashed and counted."""
+def _parted(contexts: DataFrame, width: int) -> DataFrame:
+    """The entries of large groups, once for each range of `width` starts: their columns, `near` (the range's first start, counted back
+    from the anchor) and `core`, a hash of the bytes that all passages of the range share. Without bytes where a start is alone."""
+    schema = f"{_CONTEXT}, near long, core long"
+    names = [x.split()[0] for x in _CONTEXT.split(", ")]
 
     def run(batches):
         for batch in batches:
-            before, offsets = utf8(batch.column(8))
-            after, ends = utf8(batch.column(9))
-            for k in range(batch.num_rows):
-                text = np.concatenate([before[offsets[k] : offsets[k + 1]][::-1], after[ends[k] : ends[k + 1]]])
-                at = np.arange(len(text) - WIDTH + 1)
-                one = pa.array([k] * len(at))
-                start = (batch.column(6)[k].as_py() - (offsets[k + 1] - offsets[k]) + at).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(one), _long(span_hashes(text, at, at + WIDTH)), batch.column(4).take(one), batch.column(5).take(one), pa.array(start)], ["key", "passage", "doc_id", "text_hash", "start"])
+            rows = []
+            for values in zip(*(batch.column(k).to_pylist() for k in range(len(names))), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
+                own, (low, high) = values[:-2], values[-2:]
+                before, after = own[-2], own[-1]
+                for near in range(low, high, width):
+                    far = min(near + width, high) - 1
+                    if len(before) >= near and len(after) >= WIDTH - far:
+                        core = hashlib.blake2b(b"%d,%d,%d:" % (own[0], near, far) + before[:near][::-1] + after[: WIDTH - far], digest_size=8).digest()
+                        rows.append((*(own if width > 1 else (*own[:-2], None, None)), near, int.from_bytes(core, "little", signed=True)))
+                if len(rows) > 5000:
+                    yield _rows_of(rows, schema)
+                    rows = []
+            yield _rows_of(rows, schema)
 
-    passages = written(contexts.mapInArrow(run, "key long, passage long, doc_id long, text_hash long, start int"), "passages")
-    twice = written(passages.groupBy("key", "passage").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
-    return passages.join(twice.hint("shuffle_hash"), ["key", "passage"]).select("doc_id", "text_hash", F.col("start").alias("from"), (F.col("start") + WIDTH).alias("to"))
+    return contexts.select(*names, "low", "high").mapInArrow(run, schema)
 
 
-def repeat_spans(docs: DataFrame, sorted_most: int = SORTED) -> DataFrame:
-    """(doc_id, text_hash, from, to): stretches of repeated passages of documents (doc_id, text_hash, text); they can overlap."""
+def repeat_groups(docs: DataFrame, sorted_most: int = SORTED) -> DataFrame:
+    """(group, key, ctx, doc_id, text_hash, at, left, right): the members of every maximal repeat around an anchor, each an entry
+    that stands for all places of its context; the repeat's bytes are [at - left, at + right). Documents are (doc_id, text_hash, text)."""
     places = _placed(docs)
     keys = written(places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "gram-keys")
     met = written(places.join(keys.hint("shuffle_hash"), "key"), "anchors")
     place = F.struct("doc_id", "text_hash", "at", "lo", "hi")
     each = written(met.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p")).select("key", "ctx", "n", "p.*"), "contexts")
     whole = written(each.where("n > 1").select("key", "ctx"), "repeated-contexts")
-    full = met.join(whole.hint("shuffle_hash"), ["key", "ctx"]).select("doc_id", "text_hash", F.col("lo").alias("from"), (F.col("hi") + WIDTH).alias("to"))
-    several = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "grams")
-    wanted = each.join(several.hint("shuffle_hash"), "key")
-    contexts = written(_contexts(_squeezed(docs), wanted), "context-bytes")
-    out = full.unionByName(_sorted_repeats(contexts.where(F.col("size") <= sorted_most)))
-    large = contexts.where(F.col("size") > sorted_most)
-    return out if large.isEmpty() else out.unionByName(_counted_repeats(large))
+    # an entry of several places is a repeat from end to end: its passages' context
+    out = met.join(whole.hint("shuffle_hash"), ["key", "ctx"]).select(F.col("ctx").alias("group"), "key", "ctx", "doc_id", "text_hash", "at", (F.col("at") - F.col("lo")).alias("left"), (F.col("hi") + WIDTH - F.col("at")).alias("right"))
+
+    sizes = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "grams")
+    wanted = each.join(sizes.select("key").hint("shuffle_hash"), "key")
+    contexts = written(_contexts(_squeezed(docs), wanted), "context-bytes").join(sizes.hint("shuffle_hash"), "key")
+    out = out.unionByName(_grouped(contexts.where(F.col("size") <= sorted_most), "key"))
+    large = written(contexts.where(F.col("size") > sorted_most).withColumns({"low": F.lit(0).cast("long"), "high": F.lit(WIDTH - GRAM + 1).cast("long")}), "large-grams")
+    if large.isEmpty():
+        return out
+    parts = written(_parted(large, RANGE), "parts")
+    sizes = written(parts.groupBy("core").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "part-sizes")
+    parts = parts.join(sizes.hint("shuffle_hash"), "core")
+    out = out.unionByName(_grouped(parts.where(F.col("size") <= sorted_most), "core"))
+    large = written(parts.where(F.col("size") > sorted_most).drop("core", "size").withColumns({"low": F.col("near"), "high": F.least(F.col("near") + RANGE, F.lit(WIDTH - GRAM + 1))}).drop("near"), "large-parts")
+    if large.isEmpty():
+        return out
+    single = written(_parted(large, 1), "single-starts")
+    twice = written(single.groupBy("core").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "equal-passages")
+    equal = single.join(twice.hint("shuffle_hash"), "core")
+    return out.unionByName(equal.select(F.col("core").alias("group"), "key", "ctx", "doc_id", "text_hash", "at", F.col("near").cast("int").alias("left"), (WIDTH - F.col("near")).cast("int").alias("right")))
+
+
+def repeats_with_places(docs: DataFrame) -> DataFrame:
+    """(group, length, doc_id, text_hash, start): every place of every maximal repeat that lies around an anchor, start in bytes.
+    Documents are (doc_id, text_hash, text)."""
+    groups = written(repeat_groups(docs), "repeat-groups").select("group", "key", "ctx", "left", "right").distinct()
+    met = _placed(docs).join(groups.hint("shuffle_hash"), ["key", "ctx"])
+    return met.select("group", (F.col("left") + F.col("right")).alias("length"), "doc_id", "text_hash", (F.col("at") - F.col("left")).alias("start")).distinct()
+
+
+def repeat_spans(docs: DataFrame, sorted_most: int = SORTED) -> DataFrame:
+    """(doc_id, text_hash, from, to): stretches of repeated passages of documents (doc_id, text_hash, text); they can overlap. All repeats
+    around one anchor overlap at it, so they make one stretch. (Entries of several places are repeats as a whole, at all of them.)"""
+    by_anchor = repeat_groups(docs, sorted_most).groupBy("doc_id", "text_hash", "at").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    return by_anchor.select("doc_id", "text_hash", (F.col("at") - F.col("left")).alias("from"), (F.col("at") + F.col("right")).alias("to"))
 
 
 def suffix_dedup(docs: DataFrame, sorted_most: int = SORTED) -> DataFrame:

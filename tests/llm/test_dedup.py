@@ -12,7 +12,7 @@ import pytest
 from driftline.llm import line_dedup
 from driftline.llm.grouping import components
 from driftline.llm.jaccard_join import deduplicated, jaccard_classes
-from driftline.llm.suffix_dedup import intervals, suffix_dedup
+from driftline.llm.suffix_dedup import intervals, maximal_repeats, repeats_with_places, suffix_dedup
 
 from .common import SCHEMA, documents, frame, words
 
@@ -60,7 +60,7 @@ def plain_removal(texts, width=200):
     return out
 
 
-@pytest.mark.parametrize("most", [1, 512])
+@pytest.mark.parametrize("most", [1, 3, 8192])
 def test_suffix_dedup_is_brute_force(spark, most):
     rng = random.Random(most)
     rows = documents()
@@ -76,6 +76,40 @@ def test_suffix_dedup_is_brute_force(spark, most):
     assert suffix_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_maximal_repeats_are_brute_force():
+    """Strings over two letters around an anchor, against all pairs: what two have in common on both sides, and who else has it."""
+    rng = random.Random(17)
+    for _ in range(150):
+        pairs = list({("".join(rng.choice("ab") for _ in range(rng.randint(0, 6))).encode(), "".join(rng.choice("ab") for _ in range(rng.randint(3, 8))).encode()) for _ in range(rng.randint(2, 9))})
+        if len(pairs) < 2:
+            continue
+        before, after = [x for x, _ in pairs], [y for _, y in pairs]
+        same = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+        want = set()
+        for (b1, a1), (b2, a2) in itertools.combinations(pairs, 2):
+            left, right = same(b1, b2), same(a1, a2)
+            if right and left + right >= 6:
+                want.add((left, right, tuple(sorted(k for k in range(len(pairs)) if before[k][:left] == b1[:left] and len(before[k]) >= left and after[k][:right] == a1[:right] and len(after[k]) >= right))))
+        got = {(left, right, tuple(sorted(m))) for left, right, m in maximal_repeats(before, after, 6)}
+        assert got == want
+
+
+def test_repeats_have_all_their_places(spark):
+    rng = random.Random(18)
+    passage, other = words(rng, 100)[:300], words(rng, 100)[:260]
+    rows = [(i, f"{words(rng, 9)} {passage} {words(rng, 9)}") for i in range(5)] + [(9, f"{words(rng, 5)}|{other}|{words(rng, 5)}|{other}|{words(rng, 5)}")]
+    docs = spark.createDataFrame([(i, i, t.encode()) for i, t in rows], "doc_id long, text_hash long, text binary")
+    text, places = dict(rows), defaultdict(set)
+    for r in repeats_with_places(docs).collect():
+        places[r.group, r.length].add((r.doc_id, r.start))
+    assert places and all(length >= 200 for _, length in places)
+    for (_, length), where in places.items():
+        found = {text[d][s : s + length] for d, s in where}
+        assert len(found) == 1 and len(where) > 1
+        piece = found.pop()
+        assert where == {(d, s) for d, t in rows for s in range(len(t)) if t.startswith(piece, s)}
+
+
 def test_interval_tree():
     found = set(intervals([1, 3, 3, 0, 2]))
     assert found == {(3, 1, 3, 1), (1, 0, 3, 0), (2, 4, 5, 0)}
