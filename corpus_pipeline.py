@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the chunks that repeat; one of which nothing is left goes. n_chars follows the text."""
     # written first: a condition on the kept text would else be worked out again below the join, with all that leads to it
-    out = written(line_dedup(docs), "kept-lines").where((F.col("n_removed_chunks") == 0) | (F.length(F.trim(F.translate("text", "\n\t\r", "   "))) > 0))
+    out = written(line_dedup(docs), "kept-lines").where((F.col("n_removed_chunks") == 0) | F.col("text").rlike("[^ \n\t\r]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
