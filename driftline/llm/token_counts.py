@@ -37,8 +37,7 @@ def length_histogram(counted: DataFrame) -> DataFrame:
     truncated_total         tokens when each document is cut to L
     tokens_lost             tokens that such a cut drops
     quantile                share of documents of at most L tokens; the q-quantile is the least L with quantile >= q
-    A limit between two lengths has the figures of the next lower row, plus docs_longer for each token above it
-    in truncated_total. An empty table gives no rows; a null count counts as 0.
+    at_limit tells of limits between two lengths or under the least. An empty table gives no rows; a null count counts as 0.
     """
     n = F.coalesce(F.col("n_tokens"), F.lit(0).cast("long"))
     per = written(counted.groupBy(n.alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("g", F.expr(f"n_tokens div {GROUP}")), "lengths")
@@ -62,3 +61,18 @@ def length_histogram(counted: DataFrame) -> DataFrame:
             ((F.col("all_docs") - F.col("docs_longer")) / F.col("all_docs")).alias("quantile"),
         )
     )
+
+
+def at_limit(histogram: DataFrame, *limits: int) -> DataFrame:
+    """(limit, docs_up_to, docs_longer, truncated_total, tokens_lost) of length_histogram's rows for any limits, also ones under the
+    shortest document or between two lengths. A negative limit counts as 0; an empty histogram gives no rows."""
+    each = F.explode(F.array(*(F.lit(max(0, x)).cast("long") for x in limits))).alias("limit")
+    rows = histogram.select(each, "n_tokens", "n_docs")
+    longer = F.col("n_tokens") > F.col("limit")
+    cut = F.least("n_tokens", "limit") * F.col("n_docs")
+    return rows.groupBy("limit").agg(
+        F.sum(F.when(~longer, F.col("n_docs")).otherwise(0)).alias("docs_up_to"),
+        F.sum(F.when(longer, F.col("n_docs")).otherwise(0)).alias("docs_longer"),
+        F.sum(cut).alias("truncated_total"),
+        F.sum(F.col("n_tokens") * F.col("n_docs") - cut).alias("tokens_lost"),
+    )

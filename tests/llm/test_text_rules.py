@@ -9,7 +9,8 @@ import pytest
 from driftline.llm import chat
 from driftline.llm.decontamination import decontaminated, leaks, smith_waterman
 from driftline.llm.main_text import best_region, extracted, learned, main_text
-from driftline.llm.quality import best_threshold, quality
+from driftline.llm.arrays import span_hashes
+from driftline.llm.quality import _buckets, best_threshold, labelled_sample, quality
 
 from .common import SCHEMA, documents, frame, words
 
@@ -43,6 +44,42 @@ def test_quality(spark):
     assert sum(junk) <= 2 and sum(good) >= 78
 
 
+def test_quality_verdict_is_the_plain_ratio(spark):
+    """Scores from counts of whole n-grams in their buckets, one document after the other, and the threshold by trying all cuts. Ids
+    above 2**53 beside null ones."""
+    rng, big = random.Random(14), 1 << 60
+    rows = [(big + i, words(rng, 60), "en", "s", 1) for i in range(60)] + [(None, words(rng, 50), "en", "s", 1)]
+    rows += [(big + 100 + i, " ".join(f"{words(rng, 1)}{rng.choice(['%%', '##'])}" for _ in range(40)), "en", "s", 1) for i in range(30)]
+    labels = [(big + i, 1, 0) for i in range(40)] + [(big + 100 + i, 0, 0) for i in range(15)]
+    labelled = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {(r.doc_id, r.n_words): r for r in quality(frame(spark, rows), labelled).collect()}
+
+    def buckets(text):
+        data = text.encode()
+        array = np.frombuffer(data, np.uint8)
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        word = span_hashes(array, np.array([a for a, _ in at]), np.array([z for _, z in at]))
+        return Counter(_buckets(word, np.zeros(len(word), np.int64))[0].tolist())
+
+    good = labelled_sample(labelled, 1)
+    held_out, trusted = {int(x) for x in good[3::4]}, {int(x) for k, x in enumerate(good) if k % 4 != 3}
+    each = [(r[0], buckets(r[1])) for r in rows]
+    corpus = sum((b for _, b in each), Counter())
+    own = sum((b for i, b in each if i in trusted), Counter())
+    size, n_corpus, n_own = 1 << 16, sum(corpus.values()), sum(own.values())
+    p = lambda k: (corpus[k] + 1) / (n_corpus + size)
+    ratio = lambda k: np.log((own[k] + size * p(k)) / (n_own + size)) - np.log(p(k))
+    scores = [sum(n * ratio(k) for k, n in b.items()) / sum(b.values()) for _, b in each]
+    for (i, text, *_), score in zip(rows, scores, strict=True):
+        assert got[i, len(text.split())].score == pytest.approx(score)
+    by = dict(zip([r[0] for r in rows], scores, strict=True))
+    kept, bad = [by[i] for i in held_out], [by[i] for i, q, _ in labels if not q]
+    cost = lambda cut: 10 * np.mean([x < cut for x in kept]) + np.mean([x >= cut for x in bad])
+    cuts = [x.score for x in got.values() if x.kept]
+    assert cost(min(cuts)) == min(cost(c) for c in [*scores, max(scores) + 1])
+    assert all(x.kept == (x.score >= min(cuts)) for x in got.values() if not x.base_failed)
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept != r.base_failed for r in quality(frame(spark), none).collect())

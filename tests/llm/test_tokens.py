@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from driftline.llm.packing import pack
-from driftline.llm.token_counts import length_histogram, lengths
+from driftline.llm.token_counts import at_limit, length_histogram, lengths
 from driftline.llm.token_files import packed, read_tokens, unpacked, write_tokens
 from driftline.llm.tokenizing import WordEncoder, default_path, encoded
 
@@ -142,3 +142,7 @@ def test_token_counts(spark, encoder):
         assert (r.docs_longer, r.docs_up_to) == ((sizes > r.n_tokens).sum(), (sizes <= r.n_tokens).sum())
         assert (r.tokens_up_to, r.truncated_total, r.tokens_lost) == (sizes[sizes <= r.n_tokens].sum(), cut.sum(), (sizes - cut).sum())
         assert r.quantile == pytest.approx((sizes <= r.n_tokens).mean())
+    limits = [0, 1, 7, int(sizes.max()) - 1, int(sizes.max()) + 5]
+    for r in at_limit(length_histogram(lengths(frame(spark))), *limits).collect():
+        cut = np.minimum(sizes, r.limit)
+        assert (r.docs_up_to, r.docs_longer, r.truncated_total, r.tokens_lost) == ((sizes <= r.limit).sum(), (sizes > r.limit).sum(), cut.sum(), (sizes - cut).sum())
