@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import flagged, runs, span_hashes, utf8, windows
-from .shared import written
+from .shared import settled, written
 
 #: Words of a seed; an n-gram so many times as frequent as one beside it is none.
 SEED, RARER = 3, 16
@@ -404,7 +404,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in whose own text no passage of an item was found: rows of one doc_id, or of none, are judged each by its
     text. Columns are kept, whatever their names; no rows give no rows."""
-    bad = written(leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaked")
+    bad = settled(lambda: leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaked")
     own = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
     slim = docs.select(own.alias("own"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     return slim.join(bad, F.col("own.id").eqNullSafe(F.col("_id")) & (F.col("own.hash") == F.col("_hash")), "left_anti").select("row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrays import SPACES, mixed, pieces, runs, span_hashes, utf8, windows
 from .grouping import components, local_roots, sorted_groups
-from .shared import written
+from .shared import settled, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A set has 1 / SPLIT children on average; a pair at the bar is found with RECALL, however often its buckets are split.
@@ -320,7 +320,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     is judged by its text like others; a class of null ids alone has a null class_id. Other columns are ignored; no rows give
     no rows.
     """
-    found = written(_classes(_told_apart(docs)), "class-rows")
+    found = settled(lambda: _classes(_told_apart(docs)), "class-rows")
     names = written(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id")), "class-ids")
     return found.join(names, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links")
 
@@ -329,7 +329,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of docs for each class: that of its least doc_id (null ids last), of several texts of this id the one of the least
     hash; of rows that repeat it whole the one whose columns hash least. A text without words is only a copy of rows of its own
     doc_id without words and with the same text. Columns are kept, whatever their names; no rows give no rows."""
-    found = written(_classes(_told_apart(docs)), "class-rows")
+    found = settled(lambda: _classes(_told_apart(docs)), "class-rows")
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")
     kept = found.where("class is not null").groupBy("class").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     kept = written(kept.unionByName(found.where("class is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()), "kept-documents")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .arrays import _power_tables, mixed, runs, utf8
 from .grouping import sorted_groups
-from .shared import written
+from .shared import settled, written
 
 WIDTH, GRAM = 200, 40
 #: Entries of a group that one task sorts; a larger one is parted into ranges of RANGE starts, then into single ones.
@@ -292,7 +292,7 @@ def repeat_groups(docs: DataFrame, sorted_most: int = SORTED) -> DataFrame:
 def repeats_with_places(docs: DataFrame) -> DataFrame:
     """(group, length, doc_id, text_hash, start): every place of every maximal repeat that lies around an anchor, start in bytes.
     Documents are (doc_id, text_hash, text)."""
-    groups = written(repeat_groups(docs), "repeat-groups").select("group", "key", "ctx", "left", "right").distinct()
+    groups = settled(lambda: repeat_groups(docs), "repeat-groups").select("group", "key", "ctx", "left", "right").distinct()
     met = _placed(docs).join(groups.hint("shuffle_hash"), ["key", "ctx"])
     return met.select("group", (F.col("left") + F.col("right")).alias("length"), "doc_id", "text_hash", (F.col("at") - F.col("left")).alias("start")).distinct()
 
@@ -314,7 +314,7 @@ def suffix_dedup(docs: DataFrame, sorted_most: int = SORTED) -> DataFrame:
     """
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    spans = written(repeat_spans(docs, sorted_most), "repeat-spans")
+    spans = settled(lambda: repeat_spans(docs, sorted_most), "repeat-spans")
     by_doc = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("spans"))
 
     def run(batches):

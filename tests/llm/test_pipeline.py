@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -99,3 +99,29 @@ def test_stages_of_no_rows(spark, sf):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_stages_keep_every_document_they_should(spark, sf):
+    """Ids that several texts share, null ids, repeated rows and columns named like those the operators add, in all stages."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(77)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    text = lambda n: "\n".join(words(rng, 30) for _ in range(n))
+    same, leaked = text(3), f"{words(rng, 20)} {item} {words(rng, 20)}"
+    clean = [(1, text(2)), (1, text(2)), (None, text(2)), (None, text(2)), (2, same), (2, text(2)), (None, text(2))]
+    rows = [*clean, (3, same), (None, same), (1, leaked), (None, leaked), clean[0]]
+    extra = ("own", "row", "class", "class_id", "node", "text_hash", "_id", "_hash", "key", "rest", "lines", "gone", "kept")
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], SCHEMA).select("*", *(F.lit(c).alias(c) for c in extra))
+    stages, source = dict(corpus_pipeline.STAGES), docs
+    for name in ("quality rules", "line dedup"):
+        docs = stages[name](spark, docs, sf).persist()
+        assert docs.columns == source.columns and all(r[c] == c for r in docs.select(*extra).collect() for c in extra), name
+    docs, left = source, {}
+    for name in ("n-gram Jaccard join", "benchmark decontamination"):
+        docs = stages[name](spark, docs, sf).persist()
+        assert docs.columns == source.columns and all(r[c] == c for r in docs.select(*extra).collect() for c in extra), name
+        left[name] = Counter((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    assert left["n-gram Jaccard join"] == Counter([*clean, (1, leaked)]) and left["benchmark decontamination"] == Counter(clean)
+    packed = stages["packing"](spark, docs, sf).collect()
+    assert len({(p.doc_id, p.ids_crc32) for p in packed}) >= len(clean) and {*packed[0].asDict()} == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
