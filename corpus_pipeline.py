@@ -14,7 +14,7 @@ from driftline.llm.jaccard_join import deduplicated
 from driftline.llm.line_dedup import line_dedup
 from driftline.llm.packing import pack
 from driftline.llm.quality import kept_documents
-from driftline.llm.shared import table, written
+from driftline.llm.shared import settled, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,21 +25,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the chunks that repeat; one of which nothing is left goes. n_chars follows the text."""
     # written first: a condition on the kept text would else be worked out again below the join, with all that leads to it
-    out = written(line_dedup(docs), "kept-lines").where((F.col("n_removed_chunks") == 0) | F.col("text").rlike("[^ \n\t\r]"))
+    out = settled(lambda: line_dedup(docs), "kept-lines").where((F.col("n_removed_chunks") == 0) | F.col("text").rlike("[^ \n\t\r]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies. Null ids are judged by their texts like others; repeated rows leave one; texts without
+    words stay; extra columns are kept."""
     return deduplicated(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in whose own text no passage of the benchmark stands, whatever their id or null; extra columns are kept."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences: every row is packed, null texts as the end id alone; extra columns are left out."""
     packed = pack(docs, end_id=1)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
