@@ -11,7 +11,8 @@ from .urls import root_domain
 
 
 def top_per(df: DataFrame, keys: list[str], order: list, limit: Column | int, rank: str = "rank") -> DataFrame:
-    """The first rows of each key, with their rank. Spark keeps only that many per key and task before the shuffle."""
+    """The first rows of each key, with their rank. With a number as limit Spark keeps only so many per key and task before the shuffle;
+    with a column all rows of a key are ranked together."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= limit)
 
 
