@@ -185,3 +185,64 @@ def fold_stream(log: DataFrame, keys: list[str], step: Step) -> DataFrame:
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + EVENT_COLUMNS
     return log.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+#: When a key's timers are due, and what they tell then: (state, now_ms or None) -> (events up to now, next due ms or None).
+Ring = Callable[[dict, int | None], tuple[list[Event], int | None]]
+
+
+def page_ring(s: dict, now: int | None) -> tuple[list[Event], int | None]:
+    """A number change that has stood for its time is told, and a muted page that kept its text for long enough is trusted again."""
+    out: list[Event] = []
+    held = s["held"] + HOLD_MS if s.get("held") is not None and s.get("pending") else None
+    if held is not None and now is not None and now >= held:
+        _accept(s, {"hash": s["pending"], "mask": s["mask"], "at": held})
+        out.append((held, "number", s["hash"]))
+        held = None
+    trust = s["changed"] + TRUST_MS if s.get("muted") and not s.get("pending") else None
+    if trust is not None and now is not None and now >= trust:
+        s.update(muted=False, changes=[], ticks=[])
+        out.append((trust, "trusted", s["hash"]))
+        trust = None
+    return out, min((x for x in (held, trust) if x is not None), default=None)
+
+
+def timed_stream(log: DataFrame, keys: list[str], step: Step, ring: Ring, event_time: str, late: str) -> DataFrame:
+    """A fold over a stream in order of time, with timers: rows (keys, at, event_id, status, blocked, hash, mask) and a timestamp column
+    `event_time` of the same time as `at`.
+
+    A key's rows wait in its state until the watermark, `late` behind the latest row of all, has passed them; then they are folded in order,
+    so what comes late within that bound is folded as if it had come in time (the engine drops what is later). Timers ring when the
+    watermark passes their time, whether or not another row of the key comes. A key waits for as many rows as it gets within `late`."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kinds = {f.name: f.dataType.simpleString() for f in log.schema.fields}
+    own = ["at", "event_id", "status", "blocked", "hash", "mask"]
+
+    def run(key, frames, group):
+        state, waiting = json.loads(group.get[0]) if group.exists else ({}, [])
+        for frame in frames:
+            waiting += [[r[c] for c in own] for r in _rows(frame)]
+        waiting.sort(key=lambda r: (r[0], r[1]))
+        now = group.getCurrentWatermarkMs()
+        out: list[Event] = []
+        due = 0
+        for r in waiting:
+            if r[0] >= now:
+                break
+            out += ring(state, r[0])[0]  # timers that were due before the row
+            out += step(state, dict(zip(own, r, strict=True)))
+            due += 1
+        waiting = waiting[due:]
+        # a timer waits for rows before its time, which the watermark has passed when it rings
+        rung, following = ring(state, now - 1 if now > 0 else None)
+        out += rung
+        group.update((json.dumps([state, waiting]),))
+        times = [x for x in (following, waiting[0][0] if waiting else None) if x is not None]
+        if times:
+            group.setTimeoutTimestamp(max(min(times), now) + 1)
+        yield pd.DataFrame([(*key, *e) for e in out], columns=[*keys, "at_ms", "kind", "detail"])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + EVENT_COLUMNS
+    marked = log.withWatermark(event_time, late).groupBy(*keys)
+    return marked.applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -98,3 +98,23 @@ def test_sink_is_idempotent(spark, tmp_path):
     write(batch, 0)
     write(batch, 0)
     assert got == [2, 2] and spark.read.parquet(f"{tmp_path}/batch=0").count() == 2
+
+
+def test_timers_ring_and_late_rows_are_folded_in_order(spark, tmp_path):
+    """A held number change is told without another row of its page, a muted page is trusted, and rows that come late, but not too late,
+    count as if they had come in time."""
+    base = 1_750_000_020_000
+    minute = lambda m: base + m * MIN
+    day = 24 * 60
+    rows = {1: [(0, "a1"), (10, "a2"), (11, "a2")], 2: [(0, "a1"), (1, "b1"), (2, "c1"), (3, "d1"), (4, "e1")], 3: [(0, "a1"), (10, "b1"), (20, "b1")], 9: [(0, "z1"), (2 * day, "z1"), (2 * day + 60, "z1")]}
+    late = {(3, 10)}
+    every = [(k, minute(at), n, 200, False, h, h[0]) for k, own in rows.items() for n, (at, h) in enumerate(own)]
+    batches = [[r for r in every if r[1] < minute(60) and (r[0], (r[1] - base) // MIN) not in late], [r for r in every if (r[0], (r[1] - base) // MIN) in late], [r for r in every if r[1] == minute(2 * day)], [r for r in every if r[1] > minute(2 * day)]]
+    schema = "site_id long, at long, event_id long, status int, blocked boolean, hash string, mask string"
+    for k, part in enumerate(batches):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    out = []
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*").withColumn("ts", F.timestamp_millis("at"))
+    query = folds.timed_stream(source, ["site_id"], folds.page_step, folds.page_ring, "ts", "1 hour").writeStream.foreachBatch(lambda b, _: out.extend(map(tuple, b.collect()))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((k, (at - base) // MIN, kind) for k, at, kind, _ in out) == [(1, 13, "number"), (2, 4, "dynamic"), (2, 4 + day, "trusted"), (3, 20, "text")]
