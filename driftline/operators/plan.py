@@ -10,12 +10,28 @@ from ..sources.shared import shared_dir
 from .urls import root_domain
 
 
-def top_per(df: DataFrame, keys: list[str], order: list, limit: Column | int, rank: str = "rank") -> DataFrame:
-    """The first rows of each key, with their rank. With a number as limit Spark keeps only so many per key and task before the shuffle;
-    with a column all rows of a key are ranked together."""
+def top_per(df: DataFrame, keys: list[str], order: list, limit: int, rank: str = "rank") -> DataFrame:
+    """The first rows of each key, with their rank: Spark keeps only so many per key and task before the shuffle, up to the limit of
+    spark.sql.optimizer.windowGroupLimitThreshold."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= limit)
 
 
+def ranked(df: DataFrame, keys: list[str], order: list, steps: list[Column], rank: str = "rank") -> DataFrame:
+    """Row numbers of each key by `order` without sorting a whole key in one task. `steps` are the first parts of the order in coarse form
+    (ascending, nulls first): rows of an earlier step come earlier. A row's rank is the number of its key's rows in earlier steps, from a
+    count per step, and its place within its own step."""
+    at = F.struct(*keys, *(s.alias(f"step{k}") for k, s in enumerate(steps)))
+    marked = df.withColumn("_step", at)
+    before = F.sum("n").over(Window.partitionBy(*(F.col("_step")[k] for k in keys)).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1))
+    counts = marked.groupBy("_step").agg(F.count(F.lit(1)).alias("n")).select("_step", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = marked.withColumn("_place", F.row_number().over(Window.partitionBy("_step").orderBy(*order)))
+    return placed.join(counts, "_step").withColumn(rank, F.col("_before") + F.col("_place")).drop("_step", "_before", "_place")
+
+
+def _hour(at: Column | str) -> Column:
+    return F.floor(F.unix_timestamp(at) / 3600)
+
+
 def adopt_redirected_hosts(log: DataFrame, sites: DataFrame, suffixes: DataFrame) -> DataFrame:
     """(site_id, from_host, to_host, adopted): sites whose first good observation led to another host of the same root, which
     isn't a site's yet."""
@@ -53,12 +69,13 @@ def crawl_depths(links: DataFrame, seeds: DataFrame, max_depth: int = 4) -> Data
 def due_pages(pages: DataFrame, sites: DataFrame, now: Column) -> DataFrame:
     """Pages of sites(site_id, interval_sec, sweep_sec) to check at `now`, longest waiting first: what the time since the last check
     allows (an hour for pages that are gone), at most max(5, live pages * interval / sweep) a site."""
-    joined = pages.join(sites, "site_id")
-    live = F.count_if(~F.col("gone")).over(Window.partitionBy("site_id"))
+    live = pages.groupBy("site_id").agg(F.count_if(~F.col("gone")).alias("_live"))
+    joined = pages.join(sites.join(live, "site_id"), "site_id")
     waited = F.unix_timestamp(now) - F.unix_timestamp("last_checked")
     every = F.when(F.col("gone"), F.greatest("sweep_sec", F.lit(3600))).otherwise(F.col("sweep_sec"))
-    due = joined.withColumn("most", F.greatest(F.lit(5), F.ceil(live * F.col("interval_sec") / F.col("sweep_sec")))).where(F.col("last_checked").isNull() | (waited < 0) | (waited >= every))
-    return top_per(due, ["site_id"], [F.col("last_checked").asc_nulls_first(), "depth", "url"], F.col("most"))
+    due = joined.withColumn("most", F.greatest(F.lit(5), F.ceil(F.col("_live") * F.col("interval_sec") / F.col("sweep_sec")))).where(F.col("last_checked").isNull() | (waited < 0) | (waited >= every))
+    steps = [_hour("last_checked"), F.when(F.col("last_checked").isNull(), F.col("depth"))]
+    return ranked(due.drop("_live"), ["site_id"], [F.col("last_checked").asc_nulls_first(), "depth", "url"], steps).where("rank <= most")
 
 
 def due_files(files: DataFrame, now: Column, sweep_sec: int, most: int = 10) -> DataFrame:
@@ -74,13 +91,14 @@ def tracked_set(pages: DataFrame, most: int) -> DataFrame:
     over budget, the deepest and newest, and promoting live ones, shallowest and oldest, into what room is left."""
     kept = pages.withColumn("tracked", F.col("tracked") & F.col("in_scope"))
     live = F.col("tracked") & ~F.col("gone")
-    order = ["depth", "first_seen", "url"]
-    by = Window.partitionBy("site_id", live)
-    kept = kept.withColumn("place", F.row_number().over(by.orderBy(*order))).withColumn("live", F.count_if(live).over(Window.partitionBy("site_id")))
-    fits = F.when(live, F.col("place") <= most).otherwise(F.col("tracked"))
     can = ~F.col("tracked") & ~F.col("gone") & F.col("in_scope") & F.col("status").between(200, 299)
-    kept = kept.withColumn("can", can).withColumn("turn", F.row_number().over(Window.partitionBy("site_id", "can").orderBy(*order)))
-    return kept.select("site_id", "url", (fits | (F.col("can") & (F.col("turn") <= most - F.col("live")))).alias("tracked"))
+    # no page is both live and promotable, so one numbering serves both
+    kept = kept.withColumn("role", F.when(live, "live").when(can, "can").otherwise("rest"))
+    lives = kept.groupBy(F.col("site_id").alias("of_site")).agg(F.count_if(live).alias("n_live"))
+    placed = ranked(kept, ["site_id", "role"], ["depth", "first_seen", "url"], [F.col("depth"), _hour("first_seen")], "place")
+    placed = placed.join(lives, F.col("site_id").eqNullSafe(F.col("of_site")))
+    stays = F.when(F.col("role") == "live", F.col("place") <= most).otherwise(F.col("tracked"))
+    return placed.select("site_id", "url", (stays | ((F.col("role") == "can") & (F.col("place") <= most - F.col("n_live")))).alias("tracked"))
 
 
 def reprobe_queue(pages: DataFrame, now: Column, silent_most: int = 10) -> DataFrame:
@@ -97,8 +115,9 @@ def reprobe_queue(pages: DataFrame, now: Column, silent_most: int = 10) -> DataF
     )
     rows = pages.withColumn("tier", tier).where("tier is not null").withColumn("loud", (F.col("tier") == 2) | (F.col("first_seen") > F.col("baseline_at")))
     order = ["tier", "depth", F.col("last_checked").asc_nulls_first(), "url"]
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("site_id", "loud").orderBy(*order))).where(F.col("loud") | (F.col("nth") <= silent_most))
-    return rows.select("site_id", "url", "tier", "loud", F.row_number().over(Window.partitionBy("site_id").orderBy(*order)).alias("rank"))
+    silent = top_per(rows.where("loud is null or not loud"), ["site_id", "loud"], order, silent_most).drop("rank")
+    steps = [F.col("tier"), F.col("depth"), _hour("last_checked")]
+    return ranked(rows.where("loud").unionByName(silent), ["site_id"], order, steps).select("site_id", "url", "tier", "loud", "rank")
 
 
 def evict(pages: DataFrame, cap: int) -> DataFrame:
@@ -106,9 +125,12 @@ def evict(pages: DataFrame, cap: int) -> DataFrame:
     redirecting ones, longest unchecked."""
     never = F.col("status").isNull() & (F.col("source") == "sitemap")
     dead = F.col("gone") | F.col("status").isin(404, 410, 301)
-    rows = pages.withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("site_id"))).where(~F.col("tracked") & (never | F.coalesce(dead, F.lit(False))))
+    known = pages.groupBy(F.col("site_id").alias("of_site")).agg(F.count(F.lit(1)).alias("known")).where(F.col("known") > cap)
+    rows = pages.where(~F.col("tracked") & (never | F.coalesce(dead, F.lit(False)))).join(known, F.col("site_id").eqNullSafe(F.col("of_site")))
     order = [F.when(never, 0).otherwise(1), F.when(never, F.col("depth")).desc(), F.when(never, F.col("first_seen")).desc(), "last_checked", "url"]
-    return top_per(rows, ["site_id"], order, F.col("known") - cap).select("site_id", "url")
+    late = F.when(never, F.coalesce(-_hour("first_seen"), F.lit(2**62))).otherwise(_hour("last_checked"))
+    steps = [order[0], F.when(never, F.coalesce(-F.col("depth"), F.lit(2**62))), late]
+    return ranked(rows, ["site_id"], order, steps).where(F.col("rank") <= F.col("known") - cap).select("site_id", "url")
 
 
 def admit(candidates: DataFrame, budget: int) -> DataFrame:
@@ -116,8 +138,10 @@ def admit(candidates: DataFrame, budget: int) -> DataFrame:
     pending."""
     kind = F.when(F.col("kind") == "code", 0).when(F.col("kind") == "fresh", 1).otherwise(2)
     best = candidates.groupBy("site_id", "url").agg(F.min(F.struct(kind.alias("k"), "seen")).alias("b"))
-    rank = F.row_number().over(Window.partitionBy("site_id").orderBy("b.k", "b.seen", "url"))
-    return best.select("site_id", "url", (rank <= budget).alias("admitted"))
+    order = F.struct("b.k", "b.seen", "url")
+    last = top_per(best, ["site_id"], [order], budget).groupBy(F.col("site_id").alias("of_site")).agg(F.max(order).alias("last"))
+    best = best.join(last, F.col("site_id").eqNullSafe(F.col("of_site")), "left")
+    return best.select("site_id", "url", F.coalesce(order <= F.col("last"), F.lit(False)).alias("admitted"))
 
 
 def discover_files(edges: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:

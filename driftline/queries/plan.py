@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import hosts, plan, serve, tables
 from .base import FETCH_SQL, Registry, fetch, rows, table
-from .extract import _EDGES
+from .extract import _EDGES, _TITLE
 from .status import ntz
 
 query = Registry()
@@ -412,7 +412,9 @@ def a12_run_summary(spark, sf):
     return serve.run_summary(pages_state(spark, sf), hosts_state(spark, sf).select((F.col("id") % 30).alias("site_id"), "host"), deploys)
 
 
-@query()
+@query(f"""WITH {_EDGES}, n AS (SELECT page_id, count(*) AS internal FROM edges GROUP BY 1),
+m AS (SELECT page_id AS site_id, split_part(url, '/', 3) AS host, {_TITLE} AS title, CASE WHEN contains(html, 'track(') THEN 'Tracker' ELSE 'None' END AS technologies FROM pages)
+SELECT site_id, host, title, technologies, internal, CASE WHEN internal IS NULL THEN NULL ELSE 0::BIGINT END AS external, host IN (SELECT host FROM m WHERE site_id % 5 = 0) AS watched FROM m LEFT JOIN n ON site_id = page_id""")
 def a10_site_report(spark, sf):
     from ..operators import extract as x
 

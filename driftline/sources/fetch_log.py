@@ -98,3 +98,10 @@ FETCH_SQL = """obs AS (
   FROM (SELECT *, CASE WHEN event_type = 'error' AND k % 7 = 0 THEN 0 WHEN event_type = 'error' THEN 503 WHEN event_type = 'signup' THEN 404
       WHEN event_type = 'purchase' AND k % 4 = 0 THEN 403 WHEN event_type = 'purchase' THEN 429 ELSE 200 END AS status
     FROM (SELECT *, (props->>'$.k')::INT AS k FROM events)))"""
+
+
+def read_public_suffixes(spark: SparkSession, path: str) -> DataFrame:
+    """suffixes(suffix) from a public suffix list as published: one rule a line up to the first blank, // comments, '*.' and '!' rules kept
+    as they are written."""
+    rule = F.lower(F.regexp_extract("value", r"^\s*(\S+)", 1)).alias("suffix")
+    return spark.read.text(path).select(rule).where((F.col("suffix") != "") & ~F.col("suffix").startswith("//")).distinct()

@@ -205,3 +205,31 @@ def test_edit_script_of_long_texts():
     assert sorted(edit_script(["x"] * 3000 + ["y"], ["z"] + ["x"] * 2000)) == [("+", "z")] + [("-", "x")] * 1000 + [("-", "y")]
     assert time.process_time() - began < 10 and tracemalloc.get_traced_memory()[1] < 200e6
     tracemalloc.stop()
+
+
+def test_rank_of_a_hot_key_is_that_of_one_window(spark):
+    from pyspark.sql import Window
+
+    from driftline.operators.plan import ranked
+
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, 1).when(F.col("id") % 7 > 0, F.col("id") % 5).alias("site"), F.when(F.col("id") % 11 > 0, F.xxhash64("id") % 1000).alias("at"), "id", F.lit("kept").alias("n")
+    )
+    order = [F.col("at").asc_nulls_first(), F.col("id").desc()]
+    plain = rows.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(*order)))
+    steps = [F.floor(F.col("at") / 100), F.when(F.col("at").isNull(), -F.floor(F.col("id") / 50))]
+    for by in (steps, steps[:1]):
+        assert sorted(ranked(rows, ["site"], order, by).collect(), key=repr) == sorted(plain.collect(), key=repr)
+    assert ranked(rows.limit(0), ["site"], order, steps).count() == 0
+
+
+def test_root_domains_of_a_published_list(spark, tmp_path):
+    from driftline.operators.urls import root_domain
+    from driftline.sources.fetch_log import read_public_suffixes
+
+    (tmp_path / "list.dat").write_text("// a comment\n\ncom\nuk\nCO.UK  more\n*.ck\n!www.ck\n")
+    suffixes = read_public_suffixes(spark, str(tmp_path / "list.dat"))
+    assert {r[0] for r in suffixes.collect()} == {"com", "uk", "co.uk", "*.ck", "!www.ck"}
+    expected = {"a.b.com": "b.com", "com": "com", "a.co.uk": "a.co.uk", "x.a.co.uk": "a.co.uk", "co.uk": None, "a.b.ck": "a.b.ck", "z.a.b.ck": "a.b.ck", "b.ck": None, "www.ck": "www.ck", "x.www.ck": "www.ck", "1.2.3.4": "1.2.3.4", "host": "host", "a.b.zz": "b.zz"}
+    hosts = spark.createDataFrame([(h,) for h in expected], "host string")
+    assert {r.host: r.root_domain for r in root_domain(hosts, suffixes).collect()} == expected
