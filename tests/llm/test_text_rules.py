@@ -80,6 +80,12 @@ def test_quality_verdict_is_the_plain_ratio(spark):
     assert all(x.kept == (x.score >= min(cuts)) for x in got.values() if not x.base_failed)
 
 
+def test_toxic_documents_are_not_trusted(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, None), (4, 0, 1), (4, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(labelled_sample(labels, 1)) == [1, 3] and list(labelled_sample(labels, 0)) == [4]
+    assert sorted(labelled_sample(labels.drop("toxic"), 1)) == [1, 2, 3]
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept != r.base_failed for r in quality(frame(spark), none).collect())
