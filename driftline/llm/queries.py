@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup
+from . import chat, collocations, line_dedup, merkle
 from .shared import table
 
 
@@ -67,5 +67,19 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_format(chat.reply_pairs(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op3_suffix_dedup, op4_quality, op5_decontamination, op6_main_text, op7_jaccard_join, op8_packing, op9_token_counts, op10_preference_pairs)}
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op10_preference_pairs": chat.ORACLE_SQL}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import predicted_languages
+
+    return predicted_languages(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op3_suffix_dedup, op4_quality, op5_decontamination, op6_main_text, op7_jaccard_join, op8_packing, op9_token_counts, op10_preference_pairs, op11_language_id, op12_merkle_manifest, op13_collocations)}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op10_preference_pairs": chat.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
