@@ -215,6 +215,28 @@ def page_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return line_diff(pairs.withColumnRenamed(key, "key")).withColumnRenamed("key", key)
 
 
+def newest_masks(learned: DataFrame, key: str, most: int = 200) -> DataFrame:
+    """(key, masked_line, last_at): of learned(key, masked_line, at) the `most` lines of each key that were learned last."""
+    per = learned.groupBy(key, "masked_line").agg(F.max("at").alias("last_at"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("last_at"), "masked_line"))
+    return per.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+
+
+def compare_hashes(lines: DataFrame, learned: DataFrame, key: str, mask_all: Column | None = None, patterns: list[str] | None = None) -> DataFrame:
+    """(key, cmp_hash) of texts as tables (key, line_no, line): what is deleted by the patterns doesn't count; a line whose masked form is among
+    learned(key, masked_line) counts without its numbers, as all lines do where mask_all is true; of others only relative times
+    are put aside."""
+    own = lines.withColumn("mask_all", F.lit(False) if mask_all is None else mask_all)
+    if patterns:
+        own = own.withColumn("line", t.apply_patterns(F.col("line"), patterns)).where("line <> ''")
+    own = own.withColumn("mask", t.mask_numbers(F.col("line")))
+    known = learned.select(key, F.col("masked_line").alias("mask")).distinct().withColumn("known", F.lit(True))
+    own = own.join(known, [key, "mask"], "left")
+    plain = t.normalize_relative_times(F.col("line"))
+    out = own.select(key, "line_no", F.when(F.col("mask_all") | F.coalesce("known", F.lit(False)), F.col("mask")).otherwise(plain).alias("line"))
+    return joined(out, key, "text").select(key, F.sha1("text").alias("cmp_hash"))
+
+
 def rehash(lines: DataFrame, key: str, masked: Column) -> DataFrame:
     """(key, cmp_hash, rebased): hashes of stored texts under new rules; rebased where numbers are masked now."""
     flag = lines.select(key, masked.alias("rebased"), "line_no", F.when(masked, t.mask_numbers(F.col("line"))).otherwise(F.col("line")).alias("line"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..streaming import folds, windows
-from .base import FETCH_SQL, Registry, fetch
+from .base import FETCH_SQL, Registry, fetch, table
 from .status import _ISLANDS, ntz
+from .text import _MASK, _REL
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -23,18 +25,18 @@ n AS (SELECT *, row_number() OVER w AS nth, first_value(fetched_at) OVER w AS fi
 g AS (SELECT site_id, island, min(epoch_us(fetched_at) // 1000) FILTER (in_run) AS since, min(epoch_us(fetched_at) // 1000) FILTER (in_run AND nth >= 3 AND epoch_us(fetched_at) // 1000 - epoch_us(first_at) // 1000 >= 20000) AS down, min(epoch_us(fetched_at) // 1000) FILTER (NOT in_run) AS up FROM n GROUP BY ALL)
 SELECT site_id, down AS at_ms, 'down' AS kind, since::VARCHAR AS detail FROM g WHERE down IS NOT NULL UNION ALL SELECT site_id, up, 'up', (up - since)::VARCHAR FROM g WHERE down IS NOT NULL AND up IS NOT NULL""")
 def k1_fold_outages(spark, sf):
-    return folds.fold(fold_log(fetch(spark, sf)).drop("url"), ["site_id"], folds.outage_step)
+    return folds.fold(fold_log(fetch(spark, sf)).drop("url"), ["site_id"], folds.OUTAGES)
 
 
 @query()
 def k2_fold_page_changes(spark, sf):
     """The interplay of confirming (c5), holding (c6), learning (c7), unstable (c8), churn (c9), trust (c10), flip-flops and removal."""
-    return folds.fold(fold_log(fetch(spark, sf)), ["site_id", "url"], folds.page_step)
+    return folds.fold(fold_log(fetch(spark, sf)), ["site_id", "url"], folds.PAGES)
 
 
 @query()
 def k3_fold_deploys(spark, sf):
-    return folds.fold(fold_log(fetch(spark, sf)).drop("url"), ["site_id"], folds.deploy_step)
+    return folds.fold(fold_log(fetch(spark, sf)).drop("url"), ["site_id"], folds.DEPLOYS)
 
 
 @query(f"""WITH {FETCH_SQL}, w AS (SELECT site_id, unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, fetched_at) - INTERVAL 55 MINUTE, time_bucket(INTERVAL 5 MINUTE, fetched_at), INTERVAL 5 MINUTE)) AS start FROM obs WHERE status = 200) SELECT site_id, start, count(*) AS n FROM w GROUP BY ALL""")
@@ -75,14 +77,29 @@ def _ticker_log(spark, sf):
 @query()
 def c6_held_numeric_changes(spark, sf):
     """Number-only changes that stood long enough: the fold's 'number' events."""
-    return folds.fold(_ticker_log(spark, sf), ["site_id"], folds.page_step).where("kind = 'number'")
+    return folds.fold(_ticker_log(spark, sf), ["site_id"], folds.PAGES).where("kind = 'number'")
 
 
-@query()
+def _loads(spark, sf):
+    """Every document as a page that is loaded seven times, ten minutes apart: every seventh line ends in a counter that is moved on at every
+    second load."""
+    line = lambda x, i: F.when(i % 7 == 3, F.concat(x, F.lit(" #"), F.floor((F.col("load") + 1) / 2).cast("string"))).otherwise(x)
+    mask = lambda x, i: t.mask_numbers(F.when(i % 7 == 3, F.concat(x, F.lit(" #0"))).otherwise(x))
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.split(t.normalize_relative_times(F.col("text")), "\n").alias("x"))
+    masked = docs.withColumn("mask_text", F.transform("x", mask)).withColumn("load", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    hashes = lambda of: F.transform(of, lambda x: F.xxhash64(x))
+    one = F.lit(None).cast("string")
+    return masked.select("doc_id", (F.col("load") * 600_000).cast("long").alias("at"), F.col("load").cast("long").alias("event_id"), F.lit(200).alias("status"), F.lit(False).alias("blocked"), one.alias("hash"), one.alias("mask"), hashes(F.transform("x", line)).alias("lines"), hashes("mask_text").alias("masks"), "mask_text")
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split({_REL.format('text')}, chr(10))) AS line, generate_subscripts(string_split({_REL.format('text')}, chr(10)), 1) - 1 AS line_no FROM documents)
+SELECT DISTINCT doc_id, 3600000 AS at_ms, {_MASK.format("(line || ' #0')")} AS masked_line FROM l WHERE line_no % 7 = 3""")
 def c7_learn_ticking_lines(spark, sf):
-    """Masks that three numeric changes within six hours teach: the fold's 'learned' events, with time run 400 times as fast, as the log is
-    sparse."""
-    return folds.fold(_ticker_log(spark, sf).withColumn("at", F.floor(F.col("at") / 400)), ["site_id"], folds.page_step).where("kind = 'learned'")
+    """Lines that three numeric changes within six hours teach: the fold's 'learned' events, spelt out."""
+    log = _loads(spark, sf)
+    told = folds.fold(log.drop("mask_text"), ["doc_id"], folds.PAGES).where("kind = 'learned'").select("doc_id", "at_ms", F.col("detail").cast("long").alias("key"))
+    lines = log.where("at = 0").select("doc_id", F.explode(F.array_distinct("mask_text")).alias("masked_line")).withColumn("key", F.xxhash64("masked_line"))
+    return told.join(lines, ["doc_id", "key"]).select("doc_id", "at_ms", "masked_line")
 
 
 @query(f"WITH {FETCH_SQL} SELECT event_id, site_id, status FROM obs WHERE status >= 500")
