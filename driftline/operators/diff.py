@@ -6,13 +6,16 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 
-#: Changed lines shown; pairs of equal lines that a diff looks at, beyond which only counts of lines are compared.
-HUNK_LINES, DIFF_BUDGET = 30, 2_000_000
+#: Changed lines shown; steps (places on diagonals) of a diff, beyond which only counts of lines are compared.
+HUNK_LINES, DIFF_BUDGET = 30, 20_000_000
+#: Equal pairs for each line up to which chains of pairs are built: a part's memory stays linear in its lines.
+CHAINED = 32
 #: Characters of a line that hunks show.
 LINE_CHARS = 180
 
@@ -70,17 +73,15 @@ def split_lines(text: str | None) -> list[str]:
     return lines[:-1] if lines[-1] == "" else lines
 
 
-def _common(x: list[str], y: list[str], budget: int) -> list[tuple[int, int]] | None:
-    """Places of a longest common subsequence. Each line of x is put, at all its places in y from the last on, behind the longest chain
-    that ends before them; only the ends of the best chains are looked at. None if there are more than `budget` pairs of equal lines."""
-    at: dict[str, list[int]] = {}
-    for j, line in enumerate(y):
+def _chained(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of short runs of equal pairs. Each line of x is put, at all its places in y from the last
+    on, behind the longest chain that ends before them; only the ends of the best chains are looked at."""
+    at: dict[int, list[int]] = {}
+    for j, line in enumerate(y.tolist()):
         at.setdefault(line, []).append(j)
-    if sum(len(at.get(line, ())) for line in x) > budget:
-        return None
     ends: list[int] = []
     chains: list[tuple] = []  # of each length the chain whose end is least: (i, j, chain before)
-    for i, line in enumerate(x):
+    for i, line in enumerate(x.tolist()):
         for j in reversed(at.get(line, ())):
             k = bisect_left(ends, j)
             link = (i, j, chains[k - 1] if k else None)
@@ -96,6 +97,86 @@ def _common(x: list[str], y: list[str], budget: int) -> list[tuple[int, int]] |
     return out[::-1]
 
 
+def _reach(far: np.ndarray, ks: np.ndarray, at: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The furthest lines of x on the diagonals ks with one change more: from a neighbouring diagonal, then along equal lines. x and y end
+    in a line that nothing equals; what would leave the table is far below zero."""
+    n, m = len(x) - 1, len(y) - 1
+    right, down = far[at + ks - 1] + 1, far[at + ks + 1]
+    out = np.maximum(np.where(right <= n, right, _NOWHERE), np.where(down - ks <= m, down, _NOWHERE))
+    on = np.flatnonzero(out >= 0)
+    while len(on):
+        i = out[on]
+        on = on[x[i] == y[i - ks[on]]]
+        out[on] += 1
+    return out
+
+
+_NOWHERE = -(1 << 40)
+
+
+def _middle(x: np.ndarray, y: np.ndarray, budget: int) -> tuple[tuple[int, int] | None, int]:
+    """(a place on a shortest script from x to y with changes on both sides of it, or None if that takes more than `budget` steps; steps).
+
+    Scripts grow from both ends, all diagonals at once, until one from the front meets one from the back; no more is held than the
+    furthest place on each diagonal. x and y share neither their first nor their last line, and neither is empty."""
+    n, m = len(x), len(y)
+    at, delta, steps = n + m + 1, n - m, 0
+    ends = (np.append(x, -1), np.append(y, -2)), (np.append(x[::-1], -1), np.append(y[::-1], -2))
+    far = [np.full(2 * (n + m) + 3, _NOWHERE, np.int64) for _ in range(2)]
+    far[0][at + 1] = far[1][at + 1] = 0
+    for d in range((n + m + 1) // 2 + 1):
+        low = -d if d <= m else -m + (d - m) % 2
+        high = d if d <= n else n - (d - n) % 2
+        ks = np.arange(low, high + 1, 2)
+        for side in range(2):
+            steps += len(ks)
+            if steps > budget:
+                return None, steps
+            got = _reach(far[side], ks, at, *ends[side])
+            far[side][at + ks] = got
+            if (delta - side) % 2:  # with an odd number of changes the front one is longer
+                meets = np.flatnonzero((got >= 0) & (got + far[1 - side][at + delta - ks] >= n))
+                if len(meets):
+                    i, j = int(got[meets[0]]), int(got[meets[0]] - ks[meets[0]])
+                    return ((i, j) if side == 0 else (n - i, m - j)), steps
+    raise AssertionError("scripts from both ends meet at half of the lines")
+
+
+def _common(x: np.ndarray, y: np.ndarray, budget: int) -> list[tuple[int, int] | None]:
+    """Places of the lines that a shortest script keeps, in order; None stands for a part that takes more steps than are left of
+    `budget`. Memory is linear in the number of lines."""
+    out: list = []
+    todo: list = [(0, len(x), 0, len(y))]
+    while todo:
+        part = todo.pop()
+        if len(part) == 2:  # equal lines after a part
+            out += zip(range(*part[0]), range(*part[1]), strict=True)
+            continue
+        i, i_end, j, j_end = part
+        while i < i_end and j < j_end and x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        tail = 0
+        while i < i_end - tail and j < j_end - tail and x[i_end - 1 - tail] == y[j_end - 1 - tail]:
+            tail += 1
+        todo.append(((i_end - tail, i_end), (j_end - tail, j_end)))
+        i_end, j_end = i_end - tail, j_end - tail
+        if i == i_end or j == j_end:
+            continue
+        a, b = x[i:i_end], y[j:j_end]
+        values = int(max(a.max(), b.max())) + 1
+        if int(np.bincount(a, minlength=values) @ np.bincount(b, minlength=values)) <= CHAINED * (len(a) + len(b)):
+            out += [(i + p, j + q) for p, q in _chained(a, b)]
+            continue
+        place, steps = _middle(a, b, budget)
+        budget -= steps
+        if place is None:
+            out.append(None)
+        else:
+            todo += [(i + place[0], i_end, j + place[1], j_end), (i, i + place[0], j, j + place[1])]
+    return out
+
+
 def _counted(x: list[str], y: list[str]) -> list[tuple[str, str]]:
     """What x has more often than y, then what y has more often: the last places of each line."""
     more = lambda a, b: (Counter(a) - Counter(b), a)
@@ -111,8 +192,8 @@ def _counted(x: list[str], y: list[str]) -> list[tuple[str, str]]:
 
 
 def edit_script(a: list[str], b: list[str], budget: int = DIFF_BUDGET) -> list[tuple[str, str]]:
-    """A shortest script of ('=', '-', '+') lines from a to b, removed lines before added ones. Equal ends are cut off; with more equal
-    pairs than the budget, lines are counted instead, and only what one side has more often is told."""
+    """A shortest script of ('=', '-', '+') lines from a to b, removed lines before added ones. Lines of one side only are put aside first.
+    Of parts that take more than the budget, lines are counted, and only what one side has more often is told."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -120,16 +201,18 @@ def edit_script(a: list[str], b: list[str], budget: int = DIFF_BUDGET) -> list[t
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    pairs = _common(x, y, budget)
-    out = [("=", v) for v in a[:head]]
-    if pairs is None:
-        out += _counted(x, y)
-    else:
-        i = j = 0
-        for p, q in pairs:
-            out += [("-", v) for v in x[i:p]] + [("+", v) for v in y[j:q]] + [("=", x[p])]
-            i, j = p + 1, q + 1
-        out += [("-", v) for v in x[i:]] + [("+", v) for v in y[j:]]
+    both = {line: k for k, line in enumerate(set(x) & set(y))}
+    at_x, at_y = ([k for k, line in enumerate(side) if line in both] for side in (x, y))
+    pairs = _common(np.array([both[x[k]] for k in at_x], np.int64), np.array([both[y[k]] for k in at_y], np.int64), budget) if both else []
+    out, i, j, over = [("=", v) for v in a[:head]], 0, 0, False
+    for pair in [*pairs, (len(at_x), len(at_y))]:
+        if pair is None:
+            over = True
+            continue
+        p, q = (at[k] if k < len(at) else len(side) for at, k, side in ((at_x, pair[0], x), (at_y, pair[1], y)))
+        out += _counted(x[i:p], y[j:q]) if over else [("-", v) for v in x[i:p]] + [("+", v) for v in y[j:q]]
+        out += [("=", x[p])] if p < len(x) else []
+        i, j, over = p + 1, q + 1, False
     return out + [("=", v) for v in a[len(a) - tail :]]
 
 
