@@ -6,9 +6,10 @@ step after both of its subphrases, the one without its last word and the one wit
 read so far. Every phrase is counted for one full cycle, whichever shard it begins with, so its count is exact; what can't come
 to the threshold is never counted.
 
-Which phrases have come to the threshold is told to tasks by two bit fields of bounded size (all of them, and those of the last cycle);
-counts of phrases that pass by chance are taken out by a join with the table itself. Phrases go by 64-bit hashes of
-their words and language.
+Tasks know by a field of fixed size when phrases have come to the threshold: a cell for each range of keys, with the step in
+which the first of its phrases had. So a phrase may become active early or without need, but once its cycle has begun it stands fixed, every task
+knows it, and the counts of a cycle are those of all shards: phrases below the threshold are dropped with exact counts. Phrases go by 64-bit
+hashes of their words and language.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from .shared import new_path, settled, written
 #: Occurrences of a phrase, words of the longest, rows per language, and the percentage of a phrase's occurrences in a longer one that drops it.
 LEAST, LONGEST, TOP, SHARE = 100, 5, 2000, 100
 #: Shards of a cycle.
-SHARDS = 4
-#: A field has FIELD_BITS for each key, within 2**LEAST_FIELD and 2**MOST_FIELD bits (16 MB).
-FIELD_BITS, LEAST_FIELD, MOST_FIELD = 24, 16, 27
+SHARDS = 3
+#: Cells of the field as a power of two (a byte each), and what stands in a cell that no phrase has marked.
+FIELD_BITS, NEVER = 24, 255
 #: Windows that a task holds before it counts them and passes the counts on.
 HELD = 1 << 21
 #: Parts of a language that are ranked before the language as a whole is.
@@ -93,29 +94,19 @@ def _shards(docs: DataFrame) -> DataFrame:
     return spark.read.schema(made.schema).parquet(path)
 
 
-class Field:
-    """A bit for each of some keys; other keys may be taken for one of them."""
+def _marked(keys: DataFrame) -> np.ndarray:
+    """A flag for each cell of the field that some key of keys (key, ...) falls in."""
+    cell = f"shiftrightunsigned(key, {64 - FIELD_BITS})"
+    marked = keys.selectExpr(f"shiftrightunsigned({cell}, 6) AS at", f"shiftleft(1L, cast({cell} & 63 AS int)) AS bit")
+    got = marked.groupBy("at").agg(F.bit_or("bit").alias("word")).toPandas()  # at most 2**(FIELD_BITS - 6) rows
+    words = np.zeros(1 << (FIELD_BITS - 6), np.uint64)
+    words[got["at"].to_numpy(np.int64)] = got["word"].to_numpy(np.int64).view(np.uint64)
+    return (words[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(bool).ravel()
 
-    def __init__(self, bits: int):
-        self.words, self.shift = np.zeros(1 << (bits - 6), np.uint64), np.uint64(64 - bits)
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        number = keys >> self.shift
-        return (self.words[number >> np.uint64(6)] >> (number & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def fields(keys: DataFrame, *of: str) -> list[Field]:
-    """A field for each of the boolean columns `of`, with the keys of keys (key, ...) for which it is true."""
-    bits = min(max((FIELD_BITS * keys.count()).bit_length(), LEAST_FIELD), MOST_FIELD)
-    number = f"shiftrightunsigned(key, {64 - bits})"
-    bit = F.expr(f"shiftleft(1L, cast({number} & 63 AS int))")
-    got = keys.groupBy(F.expr(f"shiftrightunsigned({number}, 6)").alias("at")).agg(*(F.bit_or(F.when(F.col(c), bit).otherwise(0)).alias(c) for c in of)).toPandas()  # at most 2**(MOST_FIELD - 6) rows
-    out = []
-    for c in of:
-        field = Field(bits)
-        field.words[got["at"].to_numpy(np.int64)] = got[c].to_numpy(np.int64).view(np.uint64)
-        out.append(field)
-    return out
+def _looked_up(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """What the field holds in the cell of each key."""
+    return field[(keys >> np.uint64(65 - len(field).bit_length())).astype(np.int64)]
 
 
 def _windows(words: np.ndarray, longest: int):
@@ -128,97 +119,116 @@ def _windows(words: np.ndarray, longest: int):
         yield k, mixed(rolled + np.uint64(k)), valid
 
 
-def _counted(shard: DataFrame, words_too: bool, ready: list[Field] | None, longest: int) -> DataFrame:
-    """(key, k, lang, head, tail, n) of the words of a shard, and of its longer phrases that the fields take for active. head and
-    tail are the keys of the phrase without its last and its first word."""
-    sc = shard.sparkSession.sparkContext
-    shared = sc.broadcast(ready)  # two fields of at most 2**MOST_FIELD bits
-    names = ["key", "k", "lang", "head", "tail", "n"]
+def _counted(shard: DataFrame, step: int, times: np.ndarray, longest: int, n_shards: int) -> DataFrame:
+    """(key, k, since, n) of the words of a shard in the first cycle, and of its longer phrases whose cycle, which begins with step
+    `since`, goes on."""
+    shared = shard.sparkSession.sparkContext.broadcast(times)  # 2**FIELD_BITS bytes
 
     def counts(held: dict):
-        for (lang, k), parts in held.items():
-            key, head, tail = (np.concatenate(x) if x[0] is not None else None for x in zip(*parts, strict=True))
+        for k, parts in held.items():
+            key, since = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(key)
             key = key[order]
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            n, own = np.diff(np.append(at, len(key))), order[at]
-            wide = [pa.nulls(len(at), pa.int64()) if x is None else pa.array(x[own].view(np.int64)) for x in (head, tail)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(np.full(len(at), k, np.int32)), pa.array([lang] * len(at), pa.string()), *wide, pa.array(n)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(np.full(len(at), k, np.int8)), pa.array(since[order[at]].astype(np.int8)), pa.array(np.diff(np.append(at, len(key))))], ["key", "k", "since", "n"])
         held.clear()
 
     def run(batches):
-        known, held, size = shared.value, {}, 0
+        ready, held, size = shared.value, {}, 0
         for batch in batches:
-            for lang, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words, before = np.frombuffer(cells.as_buffer(), np.uint64), None
-                for k, key, valid in _windows(words, longest if known else 1):
+            for cells in batch.column(0):
+                words, below = np.frombuffer(cells.as_buffer(), np.uint64), None
+                for k, key, valid in _windows(words, longest if step > 1 else 1):
                     if k == 1:
-                        pick = np.flatnonzero(valid) if words_too else []
-                        found = (key[pick], None, None) if words_too else None
+                        pick = np.flatnonzero(valid) if step <= n_shards else np.zeros(0, np.int64)
+                        since = np.ones(len(pick), np.uint8)
                     else:
-                        below, in_all, is_new = before
-                        pick = np.flatnonzero(valid & in_all[:-1] & in_all[1:] & (is_new[:-1] | is_new[1:]))
-                        found = key[pick], below[pick], below[pick + 1]
+                        latest = np.maximum(below[:-1], below[1:])  # NEVER is greater than all steps
+                        pick = np.flatnonzero(valid & (latest < step) & (latest >= step - n_shards))
+                        since = latest[pick] + np.uint8(1)
                     if len(pick):
-                        held.setdefault((lang, k), []).append(found)
+                        held.setdefault(k, []).append((key[pick], since))
                         size += len(pick)
-                    if known:
-                        before = key, *(f.has(key) & valid for f in known)
-                        if k > 1 and not before[1].any():
-                            break
+                    if step > 1:
+                        below = np.where(valid, _looked_up(ready, key), NEVER)
                 if size >= HELD:
                     yield from counts(held)
                     size = 0
         yield from counts(held)
 
-    rows = shard.select("lang", "words").mapInArrow(run, "key long, k int, lang string, head long, tail long, n long")
-    return rows.groupBy("key").agg(F.min("k").alias("k"), F.min("lang").alias("lang"), F.min("head").alias("head"), F.min("tail").alias("tail"), F.sum("n").alias("n"))
+    return shard.select("words").mapInArrow(run, "key long, k tinyint, since tinyint, n long")
 
 
 def frequent_phrases(shards: DataFrame, least: int = LEAST, longest: int = LONGEST, n_shards: int = SHARDS) -> DataFrame:
-    """(key, k, lang, head, tail, n): all phrases of up to `longest` words that stand `least` times or more.
+    """(key, k, n): all phrases of up to `longest` words that stand `least` times or more, each counted in every shard once.
 
-    A row of the state has the step from which its phrase is counted (`start`) and the one at whose end it had come to the threshold
-    (`ready`). The last phrases to become ready end the work: at most longest * n_shards steps, usually half of that."""
-    state, spark = None, shards.sparkSession
+    At most longest * n_shards steps, usually half of that; each passes once over one shard and over the counts of cycles that go on."""
+    times = np.full(1 << FIELD_BITS, NEVER, np.uint8)
+    going, done = None, []
     for step in range(1, longest * n_shards + 1):
-        known = None
-        if state is not None:
-            ready = state.where("ready is not null").select("key", (F.col("k") < longest).alias("old"), (F.col("ready") >= step - n_shards).alias("new"))
-            known = fields(ready.where("old"), "old", "new")
-            if step > n_shards and not known[1].words.any():
-                break
-        counted = _counted(shards.where(F.col("shard") == (step - 1) % n_shards), step <= n_shards, known, longest).withColumn("start", F.when(F.col("k") == 1, 1))
-        if known:
-            since = state.where("ready is not null").select(F.col("key").alias("sub"), F.col("ready").alias("since"))
-            longer = counted.where("k > 1").join(since.select(F.col("sub").alias("head"), F.col("since").alias("since_head")), "head").join(since.select(F.col("sub").alias("tail"), F.col("since").alias("since_tail")), "tail")
-            longer = longer.withColumn("start", F.greatest("since_head", "since_tail") + 1).where(F.col("start") + n_shards > step).select(counted.columns)
-            counted = counted.where("k = 1").unionByName(longer)
-        counted = counted.withColumn("ready", F.lit(None).cast("int"))
-        if state is not None:
-            counted = counted.unionByName(state)
-        merged = counted.groupBy("key").agg(*(F.min(c).alias(c) for c in ("k", "lang", "head", "tail", "start", "ready")), F.sum("n").alias("n"))
-        # what has been through a cycle below the threshold is done with
-        merged = merged.where((F.col("n") >= least) | (F.col("start") + n_shards - 1 > step))
-        merged = merged.withColumn("ready", F.coalesce("ready", F.when(F.col("n") >= least, step)))
-        state = written(merged, "phrase-counts")
-    return state.where(F.col("n") >= least).select("key", "k", "lang", "head", "tail", "n")
-
-
-def _with_parts(phrases: DataFrame, longest: int) -> DataFrame:
-    """phrases with `words` (keys of its words), `fronts` and `backs`: counts of its first and of its last 1, 2, ... words."""
-    made = []
-    for k in range(1, longest + 1):
+        if step > n_shards and not ((times >= step - n_shards) & (times < step)).any():
+            break
+        counted = _counted(shards.where(F.col("shard") == (step - 1) % n_shards), step, times, longest, n_shards)
+        both = counted if going is None else counted.unionByName(going)
+        merged = both.groupBy("key").agg(F.min("k").alias("k"), F.min("since").alias("since"), F.sum("n").alias("n"))
+        goes_on = F.col("since") + (n_shards - 1) > step
+        state = written(merged.where(goes_on | (F.col("n") >= least)), "phrase-counts")
+        going = state.where(goes_on)
+        done.append(state.where(~goes_on))
+        times[_marked(state.where((F.col("n") >= least) & (F.col("k") < longest))) & (times == NEVER)] = step
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select("key", F.col("k").cast("int").alias("k"), "n")
+
+
+def _described(shards: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
+    """phrases of two words or more with lang, and head and tail: the keys of the phrase without its last and its first word. One more
+    scan; what only falls into the field with a phrase is taken out by the join."""
+    shared = shards.sparkSession.sparkContext.broadcast(_marked(phrases))
+
+    def distinct(held: dict):
+        for (lang, _), parts in held.items():
+            key, head, tail = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key, at = np.unique(key, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([lang] * len(at), pa.string()), *(pa.array(x[at].view(np.int64)) for x in (head, tail))], ["key", "lang", "head", "tail"])
+        held.clear()
+
+    def run(batches):
+        known, held, size = shared.value, {}, 0
+        for batch in batches:
+            for lang, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                below, passed = None, None
+                for k, key, valid in _windows(np.frombuffer(cells.as_buffer(), np.uint64), longest):
+                    hit = valid & _looked_up(known, key)
+                    if k > 1:
+                        pick = np.flatnonzero(hit & passed[:-1] & passed[1:])
+                        if len(pick):
+                            held.setdefault((lang, k), []).append((key[pick], below[pick], below[pick + 1]))
+                            size += len(pick)
+                    below, passed = key, hit
+                if size >= HELD:
+                    yield from distinct(held)
+                    size = 0
+        yield from distinct(held)
+
+    found = shards.select("lang", "words").mapInArrow(run, "key long, lang string, head long, tail long")
+    found = found.groupBy("key").agg(*(F.min(c).alias(c) for c in ("lang", "head", "tail")))
+    return phrases.where("k > 1").join(found, "key")
+
+
+def _with_parts(words: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
+    """phrases(key, k, lang, head, tail, n) of two words or more with `words` (keys of their words), `fronts` and `backs`: counts of their
+    first and of their last 1, 2, ... words."""
+    made = [words.select("key", F.array("key").alias("words"), F.array("n").alias("fronts"), F.array("n").alias("backs"))]
+    for k in range(2, longest + 1):
         own = phrases.where(F.col("k") == k)
-        if k == 1:
-            made.append(written(own.select("*", F.array("key").alias("words"), F.array("n").alias("fronts"), F.array("n").alias("backs")), "phrases"))
-            continue
         head = made[-1].select(F.col("key").alias("head"), F.col("words").alias("w"), "fronts")
         tail = made[-1].select(F.col("key").alias("tail"), F.element_at("words", -1).alias("last"), "backs")
         both = own.join(head, "head").join(tail, "tail")
         made.append(written(both.select(*phrases.columns, F.concat("w", F.array("last")).alias("words"), F.concat("fronts", F.array("n")).alias("fronts"), F.concat("backs", F.array("n")).alias("backs")), "phrases"))
-    out = made[0]
-    for more in made[1:]:
+    out = made[1]
+    for more in made[2:]:
         out = out.unionByName(more)
     return out
 
@@ -237,8 +247,7 @@ def _worst_cut(n: str) -> F.Column:
 
 def _spelled(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, word) of the words of docs (lang, text) that have these keys, by one more scan."""
-    (field,) = fields(keys.withColumn("all", F.lit(True)), "all")
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = docs.sparkSession.sparkContext.broadcast(_marked(keys))
 
     def run(batches):
         seen, own = set(), shared.value
@@ -248,7 +257,7 @@ def _spelled(docs: DataFrame, keys: DataFrame) -> DataFrame:
             for first, last in runs(offsets):
                 text_, hashes, _, _, starts, ends = _words(text[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], salts[first:last])
                 keys_ = mixed(hashes + np.uint64(1))
-                hit = np.flatnonzero(own.has(keys_))
+                hit = np.flatnonzero(_looked_up(own, keys_))
                 found, at = np.unique(keys_[hit], return_index=True)
                 fresh = [k for k, x in enumerate(found.tolist()) if x not in seen]
                 seen.update(found[fresh].tolist())
@@ -271,8 +280,13 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text"))
     shards = _shards(docs)
     totals = shards.groupBy("lang").agg(F.sum("n").alias("n_all"))  # a row per language
-    phrases = settled(lambda: _with_parts(frequent_phrases(shards, least, longest), longest), "frequent-phrases")
-    candidates = phrases.where("k > 1")
+
+    def found():
+        frequent = settled(lambda: frequent_phrases(shards, least, longest), "frequent")
+        longer = written(_described(shards, frequent, longest), "described")
+        return _with_parts(frequent.where("k = 1"), longer, longest)
+
+    candidates = settled(found, "frequent-phrases")
     longer = candidates.where("k > 2").select(F.explode(F.array("head", "tail")).alias("key"), "n").groupBy("key").agg(F.max("n").alias("longest_n"))
     # a phrase that stands in a longer one with k + 2 words stands in one with k + 1 at least as often
     alone = candidates.join(longer, "key", "left").where(F.col("longest_n").isNull() | (100 * F.col("longest_n").cast("decimal(19,0)") < share * F.col("n").cast("decimal(19,0)")))

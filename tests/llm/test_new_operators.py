@@ -235,7 +235,7 @@ def test_collocations_are_brute_force(spark, least, top):
 
 
 def test_phrases_that_come_late_are_counted_for_a_whole_cycle(spark):
-    """Whatever shard a phrase becomes active at, its count is that of all shards; a field that holds every key adds nothing."""
+    """Whatever shard a phrase becomes active at, its count is that of all shards; every phrase is found with its parts."""
     rows = phrase_rows()
     want = defaultdict(Counter)
     for _, text, lang, *_ in rows:
@@ -245,15 +245,18 @@ def test_phrases_that_come_late_are_counted_for_a_whole_cycle(spark):
                 want[lang or "und"].update(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
     docs = frame(spark, rows).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").repartition(23)
     for least in (12, 60):
-        got = collocations.frequent_phrases(collocations._shards(docs), least).collect()
-        assert Counter((r.lang, r.k, r.n) for r in got) == Counter((lang, p.count(" ") + 1, n) for lang, own in want.items() for p, n in own.items() if n >= least)
+        shards = collocations._shards(docs)
+        frequent = collocations.frequent_phrases(shards, least).cache()
+        got = collocations._described(shards, frequent, 5).collect()
+        all_ = [(lang, p.count(" ") + 1, n) for lang, own in want.items() for p, n in own.items() if n >= least]
+        assert Counter((r.k, r.n) for r in frequent.collect()) == Counter(x[1:] for x in all_)
+        assert Counter((r.lang, r.k, r.n) for r in got) == Counter(x for x in all_ if x[1] > 1)
 
 
-def test_false_hits_of_a_field_are_taken_out(spark, monkeypatch):
+def test_a_field_of_few_cells_gives_the_same(spark, monkeypatch):
     rows = phrase_rows()
     want = plain_collocations(rows, 20, 2000)
-    monkeypatch.setattr(collocations, "LEAST_FIELD", 6)
-    monkeypatch.setattr(collocations, "MOST_FIELD", 7)
+    monkeypatch.setattr(collocations, "FIELD_BITS", 7)
     assert sorted(map(tuple, collocations.collocations(frame(spark, rows), 20).collect())) == want
 
 
