@@ -15,10 +15,12 @@ hashes of their words and language.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import mixed, pieces, runs, span_hashes, utf8
@@ -104,6 +106,16 @@ def _marked(keys: DataFrame) -> np.ndarray:
     return (words[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(bool).ravel()
 
 
+def _shared(spark: SparkSession, field: np.ndarray) -> Broadcast:
+    """A field for all tasks; most of its cells are alike, so it goes packed."""
+    return spark.sparkContext.broadcast((zlib.compress(field.tobytes(), 1), field.dtype.str))
+
+
+def _unpacked(shared: Broadcast) -> np.ndarray:
+    data, kind = shared.value
+    return np.frombuffer(zlib.decompress(data), kind)
+
+
 def _looked_up(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """What the field holds in the cell of each key."""
     return field[(keys >> np.uint64(65 - len(field).bit_length())).astype(np.int64)]
@@ -119,10 +131,9 @@ def _windows(words: np.ndarray, longest: int):
         yield k, mixed(rolled + np.uint64(k)), valid
 
 
-def _counted(shard: DataFrame, step: int, times: np.ndarray, longest: int, n_shards: int) -> DataFrame:
+def _counted(shard: DataFrame, step: int, shared: Broadcast, longest: int, n_shards: int) -> DataFrame:
     """(key, k, since, n) of the words of a shard in the first cycle, and of its longer phrases whose cycle, which begins with step
     `since`, goes on."""
-    shared = shard.sparkSession.sparkContext.broadcast(times)  # 2**FIELD_BITS bytes
 
     def counts(held: dict):
         for k, parts in held.items():
@@ -134,7 +145,7 @@ def _counted(shard: DataFrame, step: int, times: np.ndarray, longest: int, n_sha
         held.clear()
 
     def run(batches):
-        ready, held, size = shared.value, {}, 0
+        ready, held, size = _unpacked(shared) if step > 1 else None, {}, 0
         for batch in batches:
             for cells in batch.column(0):
                 words, below = np.frombuffer(cells.as_buffer(), np.uint64), None
@@ -168,11 +179,13 @@ def frequent_phrases(shards: DataFrame, least: int = LEAST, longest: int = LONGE
     for step in range(1, longest * n_shards + 1):
         if step > n_shards and not ((times >= step - n_shards) & (times < step)).any():
             break
-        counted = _counted(shards.where(F.col("shard") == (step - 1) % n_shards), step, times, longest, n_shards)
+        shared = _shared(shards.sparkSession, times)
+        counted = _counted(shards.where(F.col("shard") == (step - 1) % n_shards), step, shared, longest, n_shards)
         both = counted if going is None else counted.unionByName(going)
         merged = both.groupBy("key").agg(F.min("k").alias("k"), F.min("since").alias("since"), F.sum("n").alias("n"))
         goes_on = F.col("since") + (n_shards - 1) > step
         state = written(merged.where(goes_on | (F.col("n") >= least)), "phrase-counts")
+        shared.destroy()  # the step's counts are written
         going = state.where(goes_on)
         done.append(state.where(~goes_on))
         times[_marked(state.where((F.col("n") >= least) & (F.col("k") < longest))) & (times == NEVER)] = step
@@ -185,7 +198,7 @@ def frequent_phrases(shards: DataFrame, least: int = LEAST, longest: int = LONGE
 def _described(shards: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
     """phrases of two words or more with lang, and head and tail: the keys of the phrase without its last and its first word. One more
     scan; what only falls into the field with a phrase is taken out by the join."""
-    shared = shards.sparkSession.sparkContext.broadcast(_marked(phrases))
+    shared = _shared(shards.sparkSession, _marked(phrases))
 
     def distinct(held: dict):
         for (lang, _), parts in held.items():
@@ -195,7 +208,7 @@ def _described(shards: DataFrame, phrases: DataFrame, longest: int) -> DataFrame
         held.clear()
 
     def run(batches):
-        known, held, size = shared.value, {}, 0
+        known, held, size = _unpacked(shared), {}, 0
         for batch in batches:
             for lang, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 below, passed = None, None
@@ -247,10 +260,10 @@ def _worst_cut(n: str) -> F.Column:
 
 def _spelled(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, word) of the words of docs (lang, text) that have these keys, by one more scan."""
-    shared = docs.sparkSession.sparkContext.broadcast(_marked(keys))
+    shared = _shared(docs.sparkSession, _marked(keys))
 
     def run(batches):
-        seen, own = set(), shared.value
+        seen, own = set(), _unpacked(shared)
         for batch in batches:
             _, _, salts = _salts(batch.column(0))
             text, offsets = utf8(batch.column(1))
