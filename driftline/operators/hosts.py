@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.addresses import network_prefix
+
 _LABEL = r"[a-z0-9_](?:[a-z0-9_\-]{0,61}[a-z0-9_])?"
 SOURCES = ("ct", "crtsh", "dns", "link", "code")
 
@@ -30,15 +32,33 @@ def drop_wildcard_answers(answers: DataFrame, wildcard: DataFrame) -> DataFrame:
     return per.where(~F.col("all") & ~F.coalesce("names", F.lit(False))).select("root", "host")
 
 
-def address_prefix(ip: Column) -> Column:
-    """The /24 of an IPv4 address."""
-    return F.nullif(F.regexp_extract(ip, r"^(\d{1,3}\.\d{1,3}\.\d{1,3})\.\d{1,3}$", 1), F.lit(""))
-
-
 def rotating_wildcards(probes: DataFrame, known: DataFrame, most_prefixes: int = 4) -> DataFrame:
-    """probes(root, value), known(root, value) -> (root, rotating, spread): answers outside the known set, over more prefixes than that."""
-    rows = probes.join(known.withColumn("old", F.lit(1)), ["root", "value"], "left")
-    return rows.groupBy("root").agg((F.count_if(F.col("old").isNull()) > 0).alias("rotating"), (F.count_distinct(address_prefix(F.col("value"))) > most_prefixes).alias("spread"))
+    """(root, rotating, spread) of probes(root, value) of random names, with name and kind where they are known, against
+    known(root, value): rotating if a probe has an answer outside the known set that its CNAMEs, all of them known, don't explain; spread if the
+    answers lie in more networks than that (/24 of IPv4, /48 of IPv6)."""
+    for c in ("name", "kind"):
+        probes = probes if c in probes.columns else probes.withColumn(c, F.lit(None).cast("string"))
+    rows = probes.join(known.select("root", "value").distinct().withColumn("old", F.lit(1)), ["root", "value"], "left")
+    alias = F.col("kind").eqNullSafe("CNAME")
+    per = rows.groupBy("root", "name").agg(F.bool_or(F.col("old").isNull()).alias("new"), F.bool_and(F.when(alias, F.col("old").isNotNull())).alias("explained"))
+    moved = per.groupBy("root").agg(F.bool_or(F.col("new") & ~F.coalesce("explained", F.lit(False))).alias("rotating"))
+    prefixes = probes.where(~alias).groupBy("root").agg(F.count_distinct(network_prefix(F.col("value"))).alias("n"))
+    return moved.join(prefixes, "root", "left").select("root", "rotating", (F.coalesce("n", F.lit(0)) > most_prefixes).alias("spread"))
+
+
+def drop_rotating_answers(answers: DataFrame, known: DataFrame, state: DataFrame, most_prefixes: int = 4) -> DataFrame:
+    """(root, host) of answers(root, host, kind, value) that tell more than that the wildcard known(root, kind, value) answers: as
+    drop_wildcard_answers, and under a root that state(root, rotating, spread) says rotates, not all addresses in networks of the known
+    ones. Where the pool is spread, or its networks are none or too many, answers tell nothing."""
+    left = answers.join(drop_wildcard_answers(answers, known), ["root", "host"], "left_semi")
+    own = lambda df: df.where("kind <> 'CNAME'").withColumn("prefix", network_prefix(F.col("value")))
+    pool = own(known).where("prefix is not null").select("root", "prefix").distinct()
+    size = pool.groupBy("root").agg(F.count(F.lit(1)).alias("n_prefixes"))
+    near = own(left).join(pool.withColumn("near", F.lit(True)), ["root", "prefix"], "left").groupBy("root", "host").agg(F.bool_and(F.coalesce("near", F.lit(False))).alias("all_near"))
+    rows = left.select("root", "host").distinct().join(near, ["root", "host"], "left").join(state.where("rotating").select("root", "rotating", "spread"), "root", "left").join(size, "root", "left")
+    nothing = F.col("spread") | F.col("n_prefixes").isNull() | (F.col("n_prefixes") > most_prefixes)
+    told = ~F.coalesce("rotating", F.lit(False)) | (~nothing & ~F.coalesce("all_near", F.lit(False)))
+    return rows.where(told).select("root", "host")
 
 
 def shared_answer_groups(answers: DataFrame, least: int = 25) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import addresses as ad
 from ..functions import urls as u
 
 #: A small extract of the public suffix list; pass a larger table where more is needed.
@@ -115,27 +116,41 @@ def suggest_exclude_globs(urls: DataFrame, known: DataFrame, k: int = 3) -> Data
     return globs.join(known, ["site_id", "glob"], "left_anti").withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-#: Address ranges that aren't public.
-PRIVATE_RANGES = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
+#: Ranges that aren't publicly routed. The loopback address ::1 is in the first one, as an IPv6 address that holds 0.0.0.1.
+PRIVATE_RANGES = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/4", "240.0.0.0/4", "fc00::/7", "fe80::/10", "fec0::/10", "ff00::/8")
 
 
-def ipv4_number(ip: Column) -> Column:
-    parts = F.split(ip, r"\.")
-    return F.when(ip.rlike(_IPV4), sum(F.get(parts, i).cast("long") * 256 ** (3 - i) for i in range(4)))
+def range_digits(ranges: DataFrame, cidr: str = "cidr") -> DataFrame:
+    """ranges with `bits`, and `lead`: the leading digits of its addresses; what is no range of addresses is left out."""
+    address, bits = F.split_part(cidr, F.lit("/"), F.lit(1)), F.expr(f"try_cast(split_part({cidr}, '/', 2) AS int)")
+    v4 = ~address.contains(":")
+    made = ranges.withColumn("_digits", ad.address_digits(address)).withColumn("bits", F.when(v4, bits + 96).otherwise(bits))
+    made = made.where(F.col("_digits").isNotNull() & F.col("bits").between(0, 128))
+    return made.withColumn("lead", ad.leading(F.col("_digits"), F.col("bits"))).drop("_digits")
+
+
+def longest_prefix(df: DataFrame, ranges: DataFrame, address: str = "address", cidr: str = "cidr") -> DataFrame:
+    """df with `range`: of ranges(cidr) the longest that holds the address, null if none does or it is no address.
+
+    An address is looked up by the prefix lengths that occur in the ranges only (129 at most), each by an equality join; the
+    greatest length wins. An address that holds an IPv4 one is looked up as that. Every distinct address is looked up once, and no row
+    meets a range that doesn't hold it, so the join grows with neither table's square."""
+    known = range_digits(ranges, cidr).select("bits", "lead", F.col(cidr).alias("range")).groupBy("bits", "lead").agg(F.min("range").alias("range"))
+    lengths = [r[0] for r in known.select("bits").distinct().orderBy("bits").collect()]  # 129 at most
+    # the distinct rows are worked out before prefixes are cut from them
+    each = df.select(F.col(address).alias("_address"), ad.routed_digits(ad.address_digits(F.col(address))).alias("_digits")).distinct()
+    keys = F.transform(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: F.struct(n.alias("bits"), ad.leading(F.col("_digits"), n).alias("lead")))
+    found = each.where("_digits is not null").select("_address", F.inline(keys)).join(known, ["bits", "lead"])
+    best = found.groupBy("_address").agg(F.max_by("range", "bits").alias("range"))
+    return df.join(best, F.col(address) == F.col("_address"), "left").drop("_address")
 
 
 def flag_private_targets(df: DataFrame, host: str = "host") -> DataFrame:
-    """Adds private: an IPv4 address of a range that isn't public, an IPv6 one likewise, or an internal name."""
-    n = ipv4_number(F.col(host))
-    v4 = F.lit(False)
-    for cidr in PRIVATE_RANGES:
-        address, bits = cidr.split("/")
-        low = sum(int(x) * 256 ** (3 - i) for i, x in enumerate(address.split(".")))
-        v4 = v4 | n.between(low, low + 2 ** (32 - int(bits)) - 1)
-    bare = F.lower(F.regexp_replace(host, r"^\[|\]$", ""))
-    v6 = bare.contains(":") & bare.rlike("^(::1?$|::ffff:(0\\.|10\\.|127\\.|192\\.168\\.|169\\.254\\.)|f[cd]|fe[89ab]|ff)")
-    name = F.lower(F.col(host)).rlike(r"(^|\.)(localhost|local|internal|lan|home|corp|intranet)$") | ~F.col(host).rlike(r"[.:]")
-    return df.withColumn("private", F.coalesce(v4, F.lit(False)) | v6 | name)
+    """Adds private: an address, of either family and any form, that isn't publicly routed or holds one that isn't, or an internal name."""
+    digits = ad.address_digits(F.col(host))
+    bare = F.regexp_replace(F.lower(F.trim(host)), r"\.+$", "")
+    name = digits.isNull() & ((bare == "") | bare.rlike(r"(^|\.)localhost$|\.(local|internal)$") | ~bare.contains("."))
+    return df.withColumn("private", F.coalesce(ad.in_ranges(ad.routed_digits(digits), PRIVATE_RANGES), F.lit(False)) | F.coalesce(name, F.lit(True)))
 
 
 def resolve_site_reference(queries: DataFrame, sites: DataFrame) -> DataFrame:

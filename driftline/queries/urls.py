@@ -176,6 +176,42 @@ def u14_flag_private_targets(spark, sf):
     return ops.flag_private_targets(table(spark, sf, "pages").select("page_id", host.alias("host"))).select("page_id", "host", "private")
 
 
+#: An address inside and one outside of every range, in every form that holds one, and names.
+_TARGETS = [
+    ("0.1.2.3", True), ("1.0.0.1", False), ("10.255.0.1", True), ("11.0.0.0", False), ("100.63.255.255", False), ("100.64.0.1", True), ("100.128.0.0", False), ("127.8.8.8", True), ("169.254.9.9", True), ("169.255.0.1", False),
+    ("172.15.255.255", False), ("172.31.0.1", True), ("172.32.0.0", False), ("192.0.0.8", True), ("192.0.1.0", False), ("192.168.77.1", True), ("198.19.255.255", True), ("198.20.0.0", False), ("223.255.255.255", False), ("224.0.0.1", True), ("255.255.255.255", True),
+    ("::", True), ("::1", True), ("0:0:0:0:0:0:0:1", True), ("[::1]", True), ("::2", True), ("::ffff:172.16.0.1", True), ("::ffff:100.64.0.1", True), ("::FFFF:8.8.8.8", False), ("::ffff:a00:1", True), ("::ffff:0:10.0.0.1", True), ("::ffff:0:8.8.8.8", False), ("::10.0.0.1", True), ("::9.9.9.9", False),
+    ("64:ff9b::10.0.0.1", True), ("64:ff9b::8.8.4.4", False), ("64:ff9b:1::10.0.0.1", False), ("2002:a00:1::", True), ("2002:808:808::1", False), ("fc00::1", True), ("fdff:1::", True), ("fe00::1", False), ("fe80::1%eth0", True), ("febf::", True), ("fec0::1", True), ("ff02::1", True), ("2001:db8::1", False), ("2606:4700:4700::1111", False),
+    ("1:2:3:4:5:6:7::", False), ("localhost", True), ("a.localhost", True), ("printer.local", True), ("db.internal", True), ("host", True), ("host.", True), ("www.example.com", False), ("256.1.1.1", False), ("10.0.0", False), ("1.2.3.4.5", False), ("local.example.com", False), ("mylocal.net", False),
+]
+
+
+@query(f"WITH {values_sql('t', 'i, host, private', [(i, h, str(p).lower()) for i, (h, p) in enumerate(_TARGETS)])} SELECT page_id, host, private::BOOLEAN AS private FROM pages JOIN t ON t.i = page_id % {len(_TARGETS)}")
+def u14_target_forms(spark, sf):
+    """Addresses of both families in every form, and names, against the fixed ranges."""
+    host = F.element_at(F.array(*(F.lit(h) for h, _ in _TARGETS)), (F.col("page_id") % len(_TARGETS) + 1).cast("int"))
+    return ops.flag_private_targets(table(spark, sf, "pages").select("page_id", host.alias("host"))).select("page_id", "host", "private")
+
+
+#: Networks of four lengths, nested in part, for every supplier; an address for every customer, every third one in a form of IPv6.
+_RANGES_SQL = """r AS (SELECT DISTINCT n, bits FROM (SELECT s_suppkey * 2654435761 % 4294967296 AS a FROM supplier) CROSS JOIN (VALUES (3), (9), (14), (17)) b(bits), LATERAL (SELECT (a >> (32 - bits)) << (32 - bits) AS n))"""
+_DOTTED = "(({0} >> 24) & 255) || '.' || (({0} >> 16) & 255) || '.' || (({0} >> 8) & 255) || '.' || ({0} & 255)"
+
+
+@query(f"""WITH {_RANGES_SQL}, c AS (SELECT c_custkey, c_custkey * 40503 * 2654435761 % 4294967296 AS n FROM customer),
+m AS (SELECT c_custkey, max_by({_DOTTED.format('r.n')} || '/' || bits, bits) AS range FROM c JOIN r ON (c.n >> (32 - bits)) << (32 - bits) = r.n GROUP BY c_custkey)
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '::ffff:' ELSE '' END || {_DOTTED.format('n')} AS address, range FROM c LEFT JOIN m USING (c_custkey)""")
+def u14_longest_prefix(spark, sf):
+    dotted = lambda n: F.concat_ws(".", *(F.shiftright(n, k).bitwiseAND(255).cast("string") for k in (24, 16, 8, 0)))
+    a = F.col("s_suppkey").cast("long") * 2654435761 % 4294967296
+    lengths = F.explode(F.array(*(F.lit(x) for x in (3, 9, 14, 17))))
+    first = F.expr("a - a % shiftleft(1L, 32 - bits)")
+    ranges = table(spark, sf, "supplier").select(a.alias("a"), lengths.alias("bits")).select(F.concat(dotted(first), F.lit("/"), F.col("bits").cast("string")).alias("cidr")).distinct()
+    n = F.col("c_custkey").cast("long") * 40503 * 2654435761 % 4294967296
+    address = F.concat(F.when(F.col("c_custkey") % 3 == 0, "::ffff:").otherwise(""), dotted(n))
+    return ops.longest_prefix(table(spark, sf, "customer").select("c_custkey", address.alias("address")), ranges)
+
+
 @query("""WITH s AS (SELECT s_suppkey AS site_id, lower('Site ' || (s_suppkey % 50)) AS name, 'h' || s_suppkey || '.example.com' AS host FROM supplier),
 q AS (SELECT c_custkey AS query_id, CASE c_custkey % 4 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN 'site ' || (c_custkey % 60) WHEN 2 THEN 'https://h' || c_custkey || '.example.com' ELSE 'h' || c_custkey || '.example.com' END AS t FROM customer),
 names AS (SELECT name, min(site_id) AS site_id FROM s GROUP BY name HAVING count(*) = 1)

@@ -1,5 +1,6 @@
 """Column functions: values, and laws that hold for any text."""
 
+import ipaddress
 import random
 import time
 import tracemalloc
@@ -10,13 +11,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from driftline.functions import addresses as ad
 from driftline.functions import text as t
 from driftline.functions import urls as u
 from driftline.operators.diff import edit_script, split_lines, unified
 from driftline.operators.extract import detect_technologies, implied, is_route, link_edges, page_assets, page_meta
 from driftline.operators.status import parse_retry_after
 from driftline.operators.tables import sitemap_tree
-from driftline.operators.urls import rule_problems
+from driftline.operators.urls import longest_prefix, rule_problems
 
 
 def each(spark, f, values):
@@ -265,3 +267,42 @@ def test_root_domains_of_a_published_list(spark, tmp_path):
     expected = {"a.b.com": "b.com", "com": "com", "a.co.uk": "a.co.uk", "x.a.co.uk": "a.co.uk", "co.uk": None, "a.b.ck": "a.b.ck", "z.a.b.ck": "a.b.ck", "b.ck": None, "www.ck": "www.ck", "x.www.ck": "www.ck", "1.2.3.4": "1.2.3.4", "host": "host", "a.b.zz": "b.zz"}
     hosts = spark.createDataFrame([(h,) for h in expected], "host string")
     assert {r.host: r.root_domain for r in root_domain(hosts, suffixes).collect()} == expected
+
+
+def test_addresses_of_both_families(spark):
+    rng = random.Random(6)
+    texts = ["", "1.2.3", "1.2.3.4.5", "01.2.3.4", "::", ":::", "1::2::3", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::8", "12345::", "g::1", "::1.2.3.4", "::1.2.3.456", "1.2.3.4::", "fe80::1%en0", "[::1]", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", ":1", "1:", "A::b"]
+    texts += [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(30)] + [f(ipaddress.IPv6Address(rng.getrandbits(128) >> rng.choice([0, 40, 96]) << rng.choice([0, 16, 32]) & (1 << 128) - 1)) for _ in range(60) for f in (str, lambda a: a.exploded)]
+
+    def digits(text):
+        try:
+            own = ipaddress.ip_address(text.strip("[]").partition("%")[0])
+        except ValueError:
+            return None
+        return f"{int(own) + (0xFFFF << 32 if own.version == 4 else 0):032x}"
+
+    assert each(spark, ad.address_digits, texts) == [digits(x) for x in texts]
+    assert each(spark, ad.network_prefix, ["1.2.3.4", "::ffff:1.2.3.9", "2001:db8:1:2::", "2001:db8:1::9", "x"]) == [f"{ad.MAPPED}010203"] * 2 + ["20010db80001"] * 2 + [None]
+
+
+def test_longest_prefix_is_brute_force(spark):
+    rng = random.Random(2)
+    bits = [0, 1, 5, 8, 13, 24, 31, 32]
+    ranges = [str(ipaddress.ip_network((rng.getrandbits(32) & 0xC0FF0FFF, n), strict=False)) for n in bits for _ in range(6)]
+    ranges += [str(ipaddress.ip_network((rng.getrandbits(128) & ~(0xFFFF << 96), n), strict=False)) for n in (3, 16, 47, 64, 128) for _ in range(6)] + ["nonsense", "1.2.3.4/40", "::/129", None]
+    inside = [str(ipaddress.ip_network(r)[0] + rng.randrange(4)) for r in ranges[: len(bits) * 6 - 12]]
+    addresses = inside + [str(ipaddress.IPv4Address(rng.getrandbits(32) & 0xC0FF0FFF)) for _ in range(100)] + [str(ipaddress.IPv6Address(rng.getrandbits(128) & ~(0xFFFF << 96))) for _ in range(60)] + ["x", None, "::ffff:" + inside[9], inside[3], inside[3]]
+    nets = [ipaddress.ip_network(r) for r in ranges[:-4]]
+
+    def best(text):
+        try:
+            own = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        own = getattr(own, "ipv4_mapped", None) or own
+        return min(((-n.prefixlen, str(n)) for n in nets if n.version == own.version and own in n), default=(0, None))[1]
+
+    got = longest_prefix(spark.createDataFrame([(i, a) for i, a in enumerate(addresses)], "i int, address string"), spark.createDataFrame([(r,) for r in ranges], "cidr string"))
+    assert [r.range for r in got.orderBy("i").collect()] == [best(a or "") for a in addresses]
+    nothing = longest_prefix(spark.createDataFrame([(1, "1.1.1.1")], "i int, address string"), spark.createDataFrame([], "cidr string"))
+    assert [tuple(r) for r in nothing.collect()] == [(1, "1.1.1.1", None)]
