@@ -165,11 +165,11 @@ def n4_rotating_wildcards(spark, sf):
 #: Hosts of rotating pools: IPv4 in a few networks for some roots (and a few hosts elsewhere) and in many for others, IPv6 for every fourth
 #: host, aliases for some.
 _POOL = f"""pool AS (SELECT id, root, host, CASE WHEN id % 4 = 3 THEN 'AAAA' WHEN id % 9 = 5 THEN 'CNAME' ELSE 'A' END AS kind, id % 10 < 6 AS narrow FROM hosts_state),
-pv AS (SELECT *, CASE kind WHEN 'AAAA' THEN '2001:db8:' || (CASE WHEN narrow AND id % 11 = 0 AND id % 7 >= 3 AND id % 5 <> 0 THEN 77 WHEN narrow THEN id % 2 ELSE id % 40 END) || '::' || (id % 900 + 1) WHEN 'CNAME' THEN 'c' || (id % 3) || '.net' ELSE '203.0.' || (CASE WHEN narrow AND id % 11 = 0 AND id % 7 >= 3 AND id % 5 <> 0 THEN 77 WHEN narrow THEN id % 2 ELSE id % 60 END) || '.' || (id % 200) END AS value,
-  CASE kind WHEN 'AAAA' THEN '2001:db8:' || (CASE WHEN narrow AND id % 11 = 0 AND id % 7 >= 3 AND id % 5 <> 0 THEN 77 WHEN narrow THEN id % 2 ELSE id % 40 END) WHEN 'A' THEN '203.0.' || (CASE WHEN narrow AND id % 11 = 0 AND id % 7 >= 3 AND id % 5 <> 0 THEN 77 WHEN narrow THEN id % 2 ELSE id % 60 END) END AS prefix FROM pool)"""
+pv AS (SELECT *, CASE kind WHEN 'AAAA' THEN '2001:db8:' || (CASE WHEN narrow AND id % 11 = 0 AND id % 7 >= 3 AND id % 3 <> 0 THEN 77 WHEN narrow THEN id % 2 ELSE id % 40 END) || '::' || (id % 900 + 1) WHEN 'CNAME' THEN 'c' || (id % 3) || '.net' ELSE '203.0.' || (CASE WHEN narrow AND id % 11 = 0 AND id % 7 >= 3 AND id % 3 <> 0 THEN 77 WHEN narrow THEN id % 2 ELSE id % 60 END) || '.' || (id % 200) END AS value,
+  CASE kind WHEN 'AAAA' THEN '2001:db8:' || (CASE WHEN narrow AND id % 11 = 0 AND id % 7 >= 3 AND id % 3 <> 0 THEN 77 WHEN narrow THEN id % 2 ELSE id % 40 END) WHEN 'A' THEN '203.0.' || (CASE WHEN narrow AND id % 11 = 0 AND id % 7 >= 3 AND id % 3 <> 0 THEN 77 WHEN narrow THEN id % 2 ELSE id % 60 END) END AS prefix FROM pool)"""
 
 
-@query(f"""WITH {_HOSTS}, {_POOL}, known AS (SELECT DISTINCT root, kind, value, prefix FROM pv WHERE id % 5 = 0),
+@query(f"""WITH {_HOSTS}, {_POOL}, known AS (SELECT DISTINCT root, kind, value, prefix FROM pv WHERE id % 3 = 0),
 probes AS (SELECT p.root, host, p.kind, p.prefix, k.value IS NOT NULL AS old FROM pv p LEFT JOIN known k ON k.root = p.root AND k.value = p.value WHERE id % 7 < 3),
 moved AS (SELECT root, bool_or(fresh AND NOT coalesce(explained, false)) AS rotating FROM (SELECT root, host, bool_or(NOT old) AS fresh, bool_and(old) FILTER (kind = 'CNAME') AS explained FROM probes GROUP BY ALL) GROUP BY root),
 spreads AS (SELECT root, count(DISTINCT prefix) > 4 AS spread FROM probes GROUP BY root),
@@ -183,11 +183,11 @@ def n4_rotating_pools(spark, sf):
     """What is left of hosts under rotating wildcards of both families, by the state that probes give."""
     i, s = F.col("id"), lambda c: c.cast("string")
     kind = F.when(i % 4 == 3, "AAAA").when(i % 9 == 5, "CNAME").otherwise("A")
-    outside = (i % 11 == 0) & (i % 7 >= 3) & (i % 5 != 0)  # neither probed nor known
+    outside = (i % 11 == 0) & (i % 7 >= 3) & (i % 3 != 0)  # neither probed nor known
     net = lambda n: s(F.when((i % 10 < 6) & outside, 77).when(i % 10 < 6, i % 2).otherwise(i % n))
     value = F.when(kind == "AAAA", F.concat(F.lit("2001:db8:"), net(40), F.lit("::"), s(i % 900 + 1))).when(kind == "CNAME", F.concat(F.lit("c"), s(i % 3), F.lit(".net"))).otherwise(F.concat(F.lit("203.0."), net(60), F.lit("."), s(i % 200)))
     pool = hosts_state(spark, sf).select("id", "root", "host", kind.alias("kind"), value.alias("value"))
-    known = pool.where("id % 5 = 0").select("root", "kind", "value").distinct()
+    known = pool.where("id % 3 = 0").select("root", "kind", "value").distinct()
     state = hosts.rotating_wildcards(pool.where("id % 7 < 3").withColumnRenamed("host", "name"), known)
     return hosts.drop_rotating_answers(pool.drop("id"), known, state)
 
