@@ -1,9 +1,10 @@
 """Benchmark decontamination: shared rare word n-grams propose (document, item) places, Smith-Waterman scores them.
 
-An n-gram of an item is a seed unless one beside it is many times rarer in the corpus. So any SEED + 1 words in a row that a
-document has in common with an item hold a seed, whatever the size of the corpus, while an n-gram that stands everywhere
-proposes nothing where a rare one is beside it. Seeds of documents and items meet in a join; a bit field of fixed size,
-made of the items' n-grams, keeps other n-grams of the corpus out of it.
+Every n-gram of an item is a seed, so any SEED words in a row that a document has in common with an item propose it, whatever else the
+corpus or the document holds. Of n-grams that more than STOCK items share, only distinct passages propose, each for the shortest
+item that has it: a seed's rows are bounded by the passages it stands in, not by documents times items. A document that has nothing else in common
+with an item than several such passages, none of which counts by itself, isn't compared with it. Seeds of documents and items
+meet in a join; a bit field of fixed size, made of the items' n-grams, keeps other n-grams of the corpus out of it.
 
 The words around the seeds that a document shares with an item are joined with the item and aligned, word by word; the
 alignment stands edits, insertions and left-out words. Places where common words met by chance are put aside first, by
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .arrays import flagged, runs, span_hashes, utf8, windows
 from .shared import settled, written
 
-#: Words of a seed; an n-gram so many times as frequent as one beside it is none.
-SEED, RARER = 3, 16
+#: Words of a seed; an n-gram of more items than this is wording that items share.
+SEED, STOCK = 3, 16
 #: Alignment: score of equal words, of a replaced word and of a word on one side only.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A place counts from MIN_WORDS equal words in its alignment, and from this share of the best score that its own length on the
@@ -325,13 +326,22 @@ def _hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "gram long, doc_id long, text_hash long, place long")
 
 
-def _rare(grams: DataFrame, hits: DataFrame) -> DataFrame:
-    """The seeds: grams of the items that documents hold, but those that stand beside one of the same item that is held too and
-    RARER times rarer."""
-    counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("item").orderBy("place")
-    held = grams.join(counts, "gram", "left").withColumn("beside", F.least(F.lag("n").over(order), F.lead("n").over(order)))
-    return held.where(f"n is not null and (beside is null or n < {RARER} * beside)").select("gram", "item", "m", F.col("place").alias("item_place"))
+def _seeds(grams: DataFrame) -> DataFrame:
+    """(gram, item, m, item_place): the places at which an n-gram proposes an item.
+
+    An n-gram of at most STOCK items proposes each of them. One of more items belongs to wording that items share (a question's opening), and proposes
+    every distinct wording once: n-grams of this kind that follow one another in an item are a passage, and of the items with the same
+    passage the shortest stands for all. Nothing here depends on the documents."""
+    shared = grams.groupBy("gram").agg((F.count_distinct("item") > STOCK).alias("stock"))
+    rows = grams.join(shared, "gram").withColumnRenamed("place", "item_place")
+    own = rows.where("not stock").select("gram", "item", "m", "item_place")
+    order = Window.partitionBy("item").orderBy("item_place")
+    runs_ = rows.where("stock").withColumn("run", F.col("item_place") - F.row_number().over(order))
+    passages = runs_.groupBy("item", "m", "run").agg(F.array_sort(F.collect_list(F.struct("item_place", "gram"))).alias("grams"))  # within an item
+    passages = passages.withColumn("passage", F.transform("grams", lambda x: x["gram"]))
+    each = passages.groupBy("passage").agg(F.min(F.struct("m", "item", "grams")).alias("one"))
+    spread = each.select("one.item", "one.m", F.inline("one.grams")).select("gram", "item", "m", "item_place")
+    return own.unionByName(spread).distinct()
 
 
 def _stretches(docs: DataFrame, met: DataFrame) -> DataFrame:
@@ -395,8 +405,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     low, items = _lower(docs, "doc_id"), _items(benchmark)
     grams = written(_item_grams(items), "item-grams")
-    hits = written(_hits(low, grams), "gram-hits")
-    seeds = written(_rare(grams, hits), "seeds")
+    seeds = written(_seeds(grams), "seeds")
+    hits = written(_hits(low, seeds), "gram-hits")
     stretches = written(_stretches(low, hits.join(seeds, "gram")), "stretches")
     return _aligned(stretches.join(items, "item"))
 

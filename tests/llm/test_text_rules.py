@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from driftline.llm import chat
+from driftline.llm import decontamination
 from driftline.llm.decontamination import decontaminated, leaks, smith_waterman
 from driftline.llm.main_text import best_region, extracted, learned, main_text
 from driftline.llm.arrays import span_hashes
@@ -203,6 +204,64 @@ def test_leaks_are_brute_force(spark):
     assert len(found) > 30
 
 
+def test_a_copy_elsewhere_hides_no_edited_leak(spark):
+    """Items with every fourth word changed are found alone, beside a copy word for word, and in a corpus full of the item's other words."""
+    rng = random.Random(71)
+    item = [f"q{i}" for i in range(60)]
+    edited = [" ".join(w if k % 4 != (i % 4) else f"e{i}x{k}" for k, w in enumerate(item)) for i in range(20)]
+    rows = [(i, f"{words(rng, 20)} {x} {words(rng, 20)}", "en", "s", 1) for i, x in enumerate(edited)]
+    more = [(100, " ".join(item), "en", "s", 1)]
+    flood = [(200 + i, " ".join(f"{a} {b} {c} {words(rng, 2)}" for a, b, c in zip(item, item[1:], item[2:], strict=False)), "en", "s", 1) for i in range(40)]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for corpus in (rows, rows + more, rows + more + flood):
+        assert {r.doc_id for r in leaks(frame(spark, corpus), benchmark).collect()} >= {r[0] for r in rows}
+
+
+def test_shared_wording_makes_no_pairs(spark):
+    """Documents and items that all have one opening: rows grow with the documents, and what leaks beside the opening is found."""
+    rng = random.Random(72)
+    opening = "which of the following is the best answer to this question about"
+    sizes = []
+    for n in (40, 80, 160):
+        items = [(i, f"{opening} {' '.join(f'i{i}w{k}' for k in range(50))}") for i in range(n)]
+        rows = [(i, f"{words(rng, 10)} {opening} {' '.join(f'd{i}w{k}' for k in range(30))}", "en", "s", 1) for i in range(n)]
+        rows += [(1000 + i, f"{opening} {words(rng, 20)} {' '.join(items[i][1].split()[20:50])}", "en", "s", 1) for i in range(0, n, 5)]
+        benchmark = spark.createDataFrame(items, "item_id long, text string")
+        docs = decontamination._lower(frame(spark, rows), "doc_id")
+        seeds = decontamination._seeds(decontamination._item_grams(decontamination._items(benchmark)))
+        sizes.append(decontamination._hits(docs, seeds).join(seeds, "gram").count())
+        got = {(r.doc_id, r.item_id) for r in leaks(frame(spark, rows), benchmark).collect()}
+        assert {(1000 + i, i) for i in range(0, n, 5)} <= got and {d for d, _ in got} == {1000 + i for i in range(0, n, 5)}
+    assert sizes[2] < 2.3 * sizes[1] < 2.3**2 * sizes[0]
+
+
+def test_wording_that_counts_is_found_once(spark):
+    """A passage that many items share and that is a leak by itself: every document that has it is told, for the shortest item that has it."""
+    rng = random.Random(73)
+    passage = " ".join(f"p{i}" for i in range(30))
+    items = [(i, f"{passage} {' '.join(f'i{i}w{k}' for k in range(10 + i))}") for i in range(40)]
+    rows = [(i, f"{words(rng, 15)} {passage if i % 2 else words(rng, 30)} {words(rng, 15)}", "en", "s", 1) for i in range(60)]
+    got = leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, 0) for i in range(1, 60, 2)} and len(got) == 30
+
+
+def test_recall_on_the_supplied_tables(spark):
+    """All documents against all items by the whole alignment, on supplied tables."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    found = {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()}
+    listed = lambda df, key: [(r[0], np.frombuffer(text, np.uint8)) for r in decontamination._lower(df, key).collect() for text in [r[1].encode()]]
+    split = lambda text: decontamination._words(text, np.array([0, len(text)]))[0]
+    all_items = [(i, split(x)) for i, x in listed(items, "item_id")]
+    want = set()
+    for doc, text in listed(docs, "doc_id"):
+        whole = split(text)
+        parts = [whole[k : k + 600] for k in range(0, max(1, len(whole) - 200), 400)]
+        for part in parts:
+            likely = decontamination._likely([part] * len(all_items), [w for _, w in all_items])
+            want |= {(doc, i) for (i, w), yes in zip(all_items, likely, strict=True) if yes and any(True for _ in decontamination._places(part, w))}
+    assert len(want) > 10 and want == found
+
+
 def test_leaks_of_short_and_quoted_items(spark):
     """Signs of any script part words; an item of a word or two is no leak in running text, a short one has to be whole."""
     ten = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
