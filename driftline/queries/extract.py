@@ -147,7 +147,7 @@ def x15_site_socials(spark, sf):
 _SIGNALS = """s AS (SELECT page_id AS site_id, 'header' AS kind, 'Server: nginx/1.' || page_id % 30 AS value FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'header', 'x-powered-by: PHP' FROM pages WHERE page_id % 6 = 0
   UNION ALL SELECT page_id, 'cookie', '_ga' FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'generator', 'WordPress 6.' || page_id % 9 FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'style', '/wp-content/x.css' FROM pages WHERE page_id % 10 < 6
   UNION ALL SELECT page_id, 'host', 'fonts.googleapis.com' FROM pages WHERE page_id % 7 = 0 UNION ALL SELECT page_id, 'html', html FROM pages)"""
-_HITS = {"Nginx": ("server", "header", "^server:\\s*nginx(?:/([\\d.]+))?"), "PHP": ("language", "header", "^x-powered-by:\\s*php(?:/([\\d.]+))?"), "Google Analytics": ("analytics", "cookie", "^_ga(?:_|$)"), "Google Fonts": ("fonts", "host", "^fonts\\.(?:googleapis|gstatic)\\.com$"), "Drift ads": ("ads", "html", "class=.ad.")}
+_HITS = {"Nginx": ("server", "header", "^server:\\s*nginx(?:/([\\d.]+))?"), "PHP": ("language", "header", "^x-powered-by:\\s*php(?:/([\\d.]+))?"), "Google Analytics": ("analytics", "cookie", "^_ga(?:_|$)"), "Google Fonts": ("fonts", "host", "fonts.googleapis.com"), "Drift ads": ("ads", "html", "class=.ad.")}
 
 
 @query(f"""WITH {_SIGNALS}, h AS ({" UNION ALL ".join(f"SELECT site_id, '{name}' AS name, '{category}' AS category, nullif(regexp_extract(value, '(?i){pattern}', {int('([' in pattern)}), {'value' if '([' not in pattern else "''"}) AS version, '{kind} {pattern}' AS evidence FROM s WHERE kind = '{kind}' AND regexp_matches(value, '(?i){pattern}')" for name, (category, kind, pattern) in _HITS.items())}

@@ -2,6 +2,7 @@
 
 import ipaddress
 import random
+import re
 import time
 import tracemalloc
 from collections import Counter
@@ -18,6 +19,8 @@ from driftline.operators.diff import edit_script, split_lines, unified
 from driftline.operators.extract import detect_technologies, implied, is_route, link_edges, page_assets, page_meta
 from driftline.operators.status import parse_retry_after
 from driftline.operators.tables import sitemap_tree
+from driftline.operators.technology_match import Matcher, fixed_parts
+from driftline.operators.technology_rules import RULES
 from driftline.operators.urls import longest_prefix, rule_problems
 
 
@@ -153,6 +156,48 @@ def test_technologies(spark):
     assert implied(chain).count() == 21 * 20
 
 
+def technologies(spark, *signals):
+    df = spark.createDataFrame([(1, kind, value) for kind, value in signals], "site_id long, kind string, value string")
+    return {r.name for r in detect_technologies(df).collect()}
+
+
+def test_technologies_are_not_guessed(spark):
+    """Words in code or copy, near misses, plain links and other sites' hosts say nothing; several weak signs do."""
+    code = 'const stripe = getStripe(); var phantom = true; let next = items.next(); React.createElement("div"); var wordpress = "WordPress"; var tailwind = "items-center"; var sentry = "sentry"; var webflow = "webflow";'
+    copy = "<html><body><p>We moved from WordPress to Next.js; pay with Stripe or Phantom on Solana.</p><p>Built with React and Tailwind. Ask us on Discord.</p></body></html>"
+    assert technologies(spark, ("js", code), ("html", copy)) == set()
+    assert technologies(spark, ("js", 'import "svelte-hmr"; log("GSAP is fun");'), ("host", "api-foo.vercel.app"), ("host", "notplausible.io"), ("link", "webflow.com")) == set()
+    assert technologies(spark, ("js", 'log("GSAP 3.12.5"); c = "svelte-1a2b3c"'), ("site", "x.vercel.app"), ("host", "eu.plausible.io"), ("link", "buy.stripe.com")) == {"GSAP", "Svelte", "Vercel", "Plausible", "Stripe"}
+    assert technologies(spark, ("html", '<div class="flex items-center mx-auto">'), ("html", '<div class="text-sm rounded-lg">')) == set()
+    assert technologies(spark, ("html", '<div class="flex-col items-center mx-auto"><p class="text-sm">')) == {"Tailwind CSS"}
+
+
+@given(st.lists(st.sampled_from(["server: nginx/1.2", "SERVER: NGINX", "_ga", "_ga_1", "x-powered-by: php/8.1", "/jquery-3.1.js", "/vue@3.2.1/", " ", "İ", "/_next/static/", "ng-version='15.1'", "hx-get="]), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_technology_automaton_is_every_pattern(parts):
+    """In short values, what the automaton finds is what each pattern finds by itself."""
+    value = "".join(parts)
+    for kind in ("header", "cookie", "script", "html", "js", "generator"):
+        want = {(n, (m.group(1) or None) if m.re.groups else None) for n, _, k, p in RULES if k == kind for m in [re.search(p, value, re.I | re.A)] if m}
+        assert {(n, v) for n, _, v, _ in Matcher(RULES, kind).matches(value)} == want
+
+
+def test_technology_rules_cost_one_pass():
+    """Ten times the rules, hardly more time; a pattern that ends at its window's end has to end there in the value too."""
+    text = "lorem ipsum dolor sit amet consectetur " * 60_000
+    took = []
+    for n in (300, 3000):
+        rules = [(f"T{i}", "x", "html", rf"\bmark{i:05}x=.(\d+)") for i in range(n)]
+        own = Matcher(rules, "html")
+        began = time.process_time()
+        assert [x[:3] for x in own.matches(text + " mark00007x='42'")] == [("T7", "x", "42")]
+        took.append(time.process_time() - began)
+    assert took[1] < 3 * took[0] + 0.3
+    own = Matcher([("T", "x", "html", r"needle\w*$")], "html")
+    assert list(own.matches("needle" + "a" * 300)) and not list(own.matches("needle" + "a" * 300 + " b"))
+    assert fixed_parts(r"^(?:server:\s*cloudflare|cf-ray:)") == {"cf-ray:", "cloudflare"} and fixed_parts(r"\w+") is None
+
+
 def test_sitemap_tree(spark):
     refs = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(5, 0)], "doc long, child long")
     docs, roots = spark.createDataFrame([(i, True) for i in range(10)], "doc long, ok boolean"), spark.createDataFrame([(1, 0), (2, 7), (3, 99)], "site_id long, doc long")
