@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import mixed, pieces, runs, span_hashes, utf8
-from .shared import new_path, settled, written
+from .shared import deleted, new_path, settled, written, written_at
 
 #: Occurrences of a phrase, words of the longest, rows per language, and the percentage of a phrase's occurrences in a longer one that drops it.
 LEAST, LONGEST, TOP, SHARE = 100, 5, 2000, 100
@@ -67,7 +67,7 @@ def _salts(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def _shards(docs: DataFrame) -> DataFrame:
-    """(lang, n, words, shard): hashes of the n words of a run of documents of one language, with a 0 after each piece."""
+    """(lang, salt, n, words, shard): hashes of the n words of a run of documents of one language, with a 0 after each piece."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -79,19 +79,19 @@ def _shards(docs: DataFrame) -> DataFrame:
             out = []
             for first, last in runs(offsets):
                 _, hashes, piece, of, _, _ = _words(text[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], salts[first:last])
-                code = codes[first:last][of]
+                code, salt = codes[first:last][of], salts[first:last][of]
                 for k in np.unique(code):
                     own, at = hashes[code == k], piece[code == k]
                     ends = np.append(np.diff(at) > 0, True)
                     cells = np.zeros(len(own) + int(ends.sum()), np.uint64)
                     cells[np.arange(len(own)) + np.cumsum(ends) - ends] = own
-                    out.append((names[k], len(own), cells.tobytes(), turn % SHARDS))
+                    out.append((names[k], int(salt[code == k][0].view(np.int64)), len(own), cells.tobytes(), turn % SHARDS))
                 turn += 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.int32()), strict=True)], ["lang", "n", "words", "shard"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], ["lang", "salt", "n", "words", "shard"])
 
     spark = docs.sparkSession
-    made, path = docs.mapInArrow(run, "lang string, n long, words binary, shard int"), new_path(spark, "word-shards")
+    made, path = docs.mapInArrow(run, "lang string, salt long, n long, words binary, shard int"), new_path(spark, "word-shards")
     made.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return spark.read.schema(made.schema).parquet(path)
 
@@ -132,114 +132,109 @@ def _windows(words: np.ndarray, longest: int):
 
 
 def _counted(shard: DataFrame, step: int, shared: Broadcast, longest: int, n_shards: int) -> DataFrame:
-    """(key, k, since, n) of the words of a shard in the first cycle, and of its longer phrases whose cycle, which begins with step
-    `since`, goes on."""
+    """(key, k, since, head, tail, n) of the words of a shard in the first cycle, and of its longer phrases whose cycle, which begins with
+    step `since`, goes on. In the last step of a cycle head and tail tell what a phrase is made of: the keys of it without its last and
+    without its first word; of a word, head is the salt of its language."""
 
     def counts(held: dict):
         for k, parts in held.items():
-            key, since = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key, since, head, tail = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(key)
             key = key[order]
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(np.full(len(at), k, np.int8)), pa.array(since[order[at]].astype(np.int8)), pa.array(np.diff(np.append(at, len(key))))], ["key", "k", "since", "n"])
+            n, own = np.diff(np.append(at, len(key))), order[at]
+            goes_on = since[own].astype(np.int64) + n_shards - 1 != step
+            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(np.full(len(at), k, np.int8)), pa.array(since[own].astype(np.int8)), *(pa.array(x[own].view(np.int64), mask=goes_on) for x in (head, tail)), pa.array(n)], ["key", "k", "since", "head", "tail", "n"])
         held.clear()
 
     def run(batches):
         ready, held, size = _unpacked(shared) if step > 1 else None, {}, 0
         for batch in batches:
-            for cells in batch.column(0):
-                words, below = np.frombuffer(cells.as_buffer(), np.uint64), None
+            for salt, cells in zip(batch.column(0).to_numpy().view(np.uint64), batch.column(1), strict=True):
+                words, below, before = np.frombuffer(cells.as_buffer(), np.uint64), None, None
                 for k, key, valid in _windows(words, longest if step > 1 else 1):
                     if k == 1:
                         pick = np.flatnonzero(valid) if step <= n_shards else np.zeros(0, np.int64)
-                        since = np.ones(len(pick), np.uint8)
+                        found = key[pick], np.ones(len(pick), np.uint8), np.full(len(pick), salt), np.zeros(len(pick), np.uint64)
                     else:
                         latest = np.maximum(below[:-1], below[1:])  # NEVER is greater than all steps
                         pick = np.flatnonzero(valid & (latest < step) & (latest >= step - n_shards))
-                        since = latest[pick] + np.uint8(1)
+                        found = key[pick], latest[pick] + np.uint8(1), before[pick], before[pick + 1]
                     if len(pick):
-                        held.setdefault(k, []).append((key[pick], since))
+                        held.setdefault(k, []).append(found)
                         size += len(pick)
                     if step > 1:
-                        below = np.where(valid, _looked_up(ready, key), NEVER)
+                        below, before = np.where(valid, _looked_up(ready, key), NEVER), key
                 if size >= HELD:
                     yield from counts(held)
                     size = 0
         yield from counts(held)
 
-    return shard.select("words").mapInArrow(run, "key long, k tinyint, since tinyint, n long")
+    return shard.select("salt", "words").mapInArrow(run, "key long, k tinyint, since tinyint, head long, tail long, n long")
 
 
 def frequent_phrases(shards: DataFrame, least: int = LEAST, longest: int = LONGEST, n_shards: int = SHARDS) -> DataFrame:
-    """(key, k, n): all phrases of up to `longest` words that stand `least` times or more, each counted in every shard once.
+    """(key, k, head, tail, n): all phrases of up to `longest` words that stand `least` times or more, each counted in every shard once.
+    head and tail are null for a phrase that doesn't stand in the last shard of its cycle.
 
-    At most longest * n_shards steps, usually half of that; each passes once over one shard and over the counts of cycles that go on."""
-    times = np.full(1 << FIELD_BITS, NEVER, np.uint8)
-    going, done = None, []
+    At most longest * n_shards steps, usually half of that; each passes once over one shard and over the counts so far, and the table of the
+    step before is deleted."""
+    spark, times, path, state = shards.sparkSession, np.full(1 << FIELD_BITS, NEVER, np.uint8), None, None
     for step in range(1, longest * n_shards + 1):
         if step > n_shards and not ((times >= step - n_shards) & (times < step)).any():
             break
-        shared = _shared(shards.sparkSession, times)
+        shared = _shared(spark, times)
         counted = _counted(shards.where(F.col("shard") == (step - 1) % n_shards), step, shared, longest, n_shards)
-        both = counted if going is None else counted.unionByName(going)
-        merged = both.groupBy("key").agg(F.min("k").alias("k"), F.min("since").alias("since"), F.sum("n").alias("n"))
-        goes_on = F.col("since") + (n_shards - 1) > step
-        state = written(merged.where(goes_on | (F.col("n") >= least)), "phrase-counts")
-        shared.destroy()  # the step's counts are written
-        going = state.where(goes_on)
-        done.append(state.where(~goes_on))
+        both = counted if state is None else counted.unionByName(state)
+        merged = both.groupBy("key").agg(*(F.min(c).alias(c) for c in ("k", "since", "head", "tail")), F.sum("n").alias("n"))
+        # what has been through its cycle and stayed below the threshold is done with
+        merged = merged.where((F.col("n") >= least) | (F.col("since") + (n_shards - 1) > step))
+        before, path = path, new_path(spark, "phrase-counts")
+        state = written_at(merged, path)
+        shared.destroy()
+        if before:
+            deleted(spark, before)
         times[_marked(state.where((F.col("n") >= least) & (F.col("k") < longest))) & (times == NEVER)] = step
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select("key", F.col("k").cast("int").alias("k"), "n")
+    return state.select("key", F.col("k").cast("int").alias("k"), "head", "tail", "n")
 
 
 def _described(shards: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
-    """phrases of two words or more with lang, and head and tail: the keys of the phrase without its last and its first word. One more
-    scan; what only falls into the field with a phrase is taken out by the join."""
-    shared = _shared(shards.sparkSession, _marked(phrases))
-
-    def distinct(held: dict):
-        for (lang, _), parts in held.items():
-            key, head, tail = (np.concatenate(x) for x in zip(*parts, strict=True))
-            key, at = np.unique(key, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([lang] * len(at), pa.string()), *(pa.array(x[at].view(np.int64)) for x in (head, tail))], ["key", "lang", "head", "tail"])
-        held.clear()
+    """phrases with head and tail where these are null: one more scan for what stands in no shard that told them. Keys that only fall
+    into the field with such a phrase are taken out by the join."""
+    unknown = phrases.where("head is null").select("key")
+    if not unknown.limit(1).count():
+        return phrases
+    shared = _shared(shards.sparkSession, _marked(unknown))
 
     def run(batches):
-        known, held, size = _unpacked(shared), {}, 0
+        known = _unpacked(shared)
         for batch in batches:
-            for lang, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                below, passed = None, None
-                for k, key, valid in _windows(np.frombuffer(cells.as_buffer(), np.uint64), longest):
-                    hit = valid & _looked_up(known, key)
-                    if k > 1:
-                        pick = np.flatnonzero(hit & passed[:-1] & passed[1:])
-                        if len(pick):
-                            held.setdefault((lang, k), []).append((key[pick], below[pick], below[pick + 1]))
-                            size += len(pick)
-                    below, passed = key, hit
-                if size >= HELD:
-                    yield from distinct(held)
-                    size = 0
-        yield from distinct(held)
-
-    found = shards.select("lang", "words").mapInArrow(run, "key long, lang string, head long, tail long")
-    found = found.groupBy("key").agg(*(F.min(c).alias(c) for c in ("lang", "head", "tail")))
-    return phrases.where("k > 1").join(found, "key")
-
-
-def _with_parts(words: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
-    """phrases(key, k, lang, head, tail, n) of two words or more with `words` (keys of their words), `fronts` and `backs`: counts of their
-    first and of their last 1, 2, ... words."""
-    made = [words.select("key", F.array("key").alias("words"), F.array("n").alias("fronts"), F.array("n").alias("backs"))]
+            for salt, cells in zip(batch.column(0).to_numpy().view(np.uint64), batch.column(1), strict=True):
+                before = None
+                for _, key, valid in _windows(np.frombuffer(cells.as_buffer(), np.uint64), longest):
+                    own, at = np.unique(key[valid & _looked_up(known, key)], return_index=True)
+                    if len(own):
+                        at = np.flatnonzero(valid & _looked_up(known, key))[at]
+                        parts = (np.full(len(at), salt), np.zeros(len(at), np.uint64)) if before is None else (before[at], before[at + 1])
+                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (own, *parts)], ["key", "new_head", "new_tail"])
+                    before = key
+
+    found = shards.select("salt", "words").mapInArrow(run, "key long, new_head long, new_tail long").join(unknown, "key", "left_semi")
+    found = found.groupBy("key").agg(F.min("new_head").alias("new_head"), F.min("new_tail").alias("new_tail"))
+    return phrases.join(found, "key", "left").select("key", "k", F.coalesce("head", "new_head").alias("head"), F.coalesce("tail", "new_tail").alias("tail"), "n")
+
+
+def _with_parts(phrases: DataFrame, longest: int) -> DataFrame:
+    """Phrases of two words or more with `salt` (of their language), `words` (keys of their words), `fronts` and `backs`: counts of
+    their first and of their last 1, 2, ... words."""
+    words = phrases.where("k = 1")
+    made = [words.select("key", F.col("head").alias("salt"), F.array("key").alias("words"), F.array("n").alias("fronts"), F.array("n").alias("backs"))]
     for k in range(2, longest + 1):
         own = phrases.where(F.col("k") == k)
-        head = made[-1].select(F.col("key").alias("head"), F.col("words").alias("w"), "fronts")
+        head = made[-1].select(F.col("key").alias("head"), "salt", F.col("words").alias("w"), "fronts")
         tail = made[-1].select(F.col("key").alias("tail"), F.element_at("words", -1).alias("last"), "backs")
         both = own.join(head, "head").join(tail, "tail")
-        made.append(written(both.select(*phrases.columns, F.concat("w", F.array("last")).alias("words"), F.concat("fronts", F.array("n")).alias("fronts"), F.concat("backs", F.array("n")).alias("backs")), "phrases"))
+        made.append(written(both.select(*phrases.columns, "salt", F.concat("w", F.array("last")).alias("words"), F.concat("fronts", F.array("n")).alias("fronts"), F.concat("backs", F.array("n")).alias("backs")), "phrases"))
     out = made[1]
     for more in made[2:]:
         out = out.unionByName(more)
@@ -292,18 +287,17 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text"))
     shards = _shards(docs)
-    totals = shards.groupBy("lang").agg(F.sum("n").alias("n_all"))  # a row per language
+    totals = shards.groupBy("lang", "salt").agg(F.sum("n").alias("n_all"))  # a row per language
 
     def found():
         frequent = settled(lambda: frequent_phrases(shards, least, longest), "frequent")
-        longer = written(_described(shards, frequent, longest), "described")
-        return _with_parts(frequent.where("k = 1"), longer, longest)
+        return _with_parts(written(_described(shards, frequent, longest), "described"), longest)
 
     candidates = settled(found, "frequent-phrases")
     longer = candidates.where("k > 2").select(F.explode(F.array("head", "tail")).alias("key"), "n").groupBy("key").agg(F.max("n").alias("longest_n"))
     # a phrase that stands in a longer one with k + 2 words stands in one with k + 1 at least as often
     alone = candidates.join(longer, "key", "left").where(F.col("longest_n").isNull() | (100 * F.col("longest_n").cast("decimal(19,0)") < share * F.col("n").cast("decimal(19,0)")))
-    scored = alone.withColumnRenamed("n", "a").join(totals, "lang").withColumn("cut", _worst_cut("n_all"))
+    scored = alone.withColumnRenamed("n", "a").join(totals, "salt").withColumn("cut", _worst_cut("n_all"))
     scored = scored.select("key", "lang", "k", "words", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("n_all").alias("n"), F.col("cut.score").alias("score"))
     # ties at the end of a part are all kept, as their order needs the spelling
     part = Window.partitionBy("lang", F.pmod("key", F.lit(PARTS))).orderBy(F.desc("score"), F.desc("a"))

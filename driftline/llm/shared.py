@@ -24,10 +24,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: computed once, lineage cut, any lost
     executor's share can be read again."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return written_at(df, new_path(df.sparkSession, name), codec)
+
+
+def written_at(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Takes out a work table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
@@ -38,10 +46,8 @@ def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     finally:
         paths = _given.pop()
     out = written(df, name)
-    spark = df.sparkSession
     for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        deleted(df.sparkSession, path)
     return out
 
 

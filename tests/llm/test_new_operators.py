@@ -247,10 +247,16 @@ def test_phrases_that_come_late_are_counted_for_a_whole_cycle(spark):
     for least in (12, 60):
         shards = collocations._shards(docs)
         frequent = collocations.frequent_phrases(shards, least).cache()
-        got = collocations._described(shards, frequent, 5).collect()
+        some = frequent.withColumn("head", F.when(F.col("key") % 3 != 0, F.col("head")))  # as if these stood in no last shard
+        salts = {r.salt: r.lang for r in shards.select("salt", "lang").distinct().collect()}
         all_ = [(lang, p.count(" ") + 1, n) for lang, own in want.items() for p, n in own.items() if n >= least]
         assert Counter((r.k, r.n) for r in frequent.collect()) == Counter(x[1:] for x in all_)
-        assert Counter((r.lang, r.k, r.n) for r in got) == Counter(x for x in all_ if x[1] > 1)
+        for known in (frequent, some):
+            full = collocations._described(shards, known, 5).cache()
+            assert full.where("head is null").count() == 0
+            got = collocations._with_parts(full, 5).collect()
+            assert Counter((salts[r.salt], r.k, r.n) for r in got) == Counter(x for x in all_ if x[1] > 1)
+            assert all(len(r.words) == len(r.fronts) == len(r.backs) == r.k and r.fronts[-1] == r.backs[-1] == r.n for r in got)
 
 
 def test_a_field_of_few_cells_gives_the_same(spark, monkeypatch):
