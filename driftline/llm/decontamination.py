@@ -6,7 +6,7 @@ item that has it: a seed's rows are bounded by the passages it stands in, not by
 with an item than several such passages, none of which counts by itself, isn't compared with it. Seeds of documents and items
 meet in a join; a bit field of fixed size, made of the items' n-grams, keeps other n-grams of the corpus out of it.
 
-The words around the seeds that a document shares with an item are joined with the item and aligned, word by word; the
+The words around the seeds that a document shares with an item are aligned with the item, word by word; the
 alignment stands edits, insertions and left-out words. Places where common words met by chance are put aside first, by
 the best score of their alignment, many at a time. An alignment keeps some rows of its table and works out the others again,
 so its memory grows with the root of the table's size.
@@ -37,6 +37,8 @@ MIN_WORDS, IDENTITY, COVERAGE, LONG_WORDS = 8, 0.5, 0.3, 24
 FIELD_BITS, LEAST_FIELD, MOST_FIELD = 16, 20, 27
 #: Seeds of one item further apart than this many words more than the item has are other places.
 SLACK = 20
+#: Words of documents that a task aligns at once.
+HELD = 200_000
 #: Cells of a row of the alignments scored at once; cells of an alignment's table that is kept whole.
 ROW_CELLS, WHOLE_TABLE = 50_000, 1_000_000
 
@@ -344,54 +346,56 @@ def _seeds(grams: DataFrame) -> DataFrame:
     return own.unionByName(spread).distinct()
 
 
-def _stretches(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, item, at, words): the words around the seeds that a document shares with an item, from its word `at` on."""
-    by_item = met.groupBy("doc_id", "text_hash", "item", "m").agg(F.array_sort(F.collect_set(F.col("place") - F.col("item_place"))).alias("starts"))
-    by_doc = written(by_item.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "m", "starts")).alias("met")), "met")  # of one document
-    by_doc = by_doc.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+SCHEMA = "doc_id long, text_hash long, item_id long, score long, item_words long, equal_words long, doc_from long, doc_to long, item_from long, item_to long"
 
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                text, offsets = utf8(batch.column(1).slice(k, 1))
-                words, _ = _words(text, offsets)
-                items, ats, parts = [], [], []
-                for x in batch.column(3)[k].as_py():
-                    m, starts = x["m"], np.array(x["starts"])
-                    # a passage that counts has no more put-in words than equal ones, so it takes 2 * m words of the document at most
-                    cut = np.flatnonzero(np.diff(starts) > 3 * m + 2 * SLACK)
-                    for head, tail in zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)], strict=True):
-                        low = max(0, int(head) - m - SLACK)
-                        items.append(x["item"]), ats.append(low), parts.append(words[low : int(tail) + 2 * m + SLACK].tobytes())
-                own = pa.array([k] * len(items))
-                short = pa.array([len(words)] * len(items), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(items, pa.int64()), short, pa.array(ats, pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "text_hash", "item", "doc_words", "at", "stretch"])
 
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    return docs.join(by_doc.hint("shuffle_hash"), same).select("doc_id", "text", "text_hash", "met").mapInArrow(run, "doc_id long, text_hash long, item long, doc_words long, at long, stretch binary")
+def _by_document(met: DataFrame, items: DataFrame) -> DataFrame:
+    """(_id, _hash, met): the items that a document shares seeds with, each with its words and where in the document it would start."""
+    by_item = met.groupBy("doc_id", "text_hash", "item").agg(F.array_sort(F.collect_set(F.col("place") - F.col("item_place"))).alias("starts"))
+    own = by_item.join(items, "item").select("doc_id", "text_hash", F.struct("item_id", "starts", "words").alias("one"))
+    return own.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list("one").alias("met"))  # of one document
 
 
-SCHEMA = "doc_id long, text_hash long, item_id long, score long, item_words long, equal_words long, doc_from long, doc_to long, item_from long, item_to long"
+def _stretches(words: np.ndarray, starts: np.ndarray, m: int) -> list[tuple[int, int]]:
+    """The parts of a document around the seeds that it shares with an item of m words. A passage that counts has no more put-in words than
+    equal ones, so it takes 2 * m words of the document at most."""
+    cut = np.flatnonzero(np.diff(starts) > 3 * m + 2 * SLACK)
+    ends = zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)], strict=True)
+    return [(max(0, int(head) - m - SLACK), min(len(words), int(tail) + 2 * m + SLACK)) for head, tail in ends]
 
 
-def _aligned(rows: DataFrame) -> DataFrame:
-    """The passages of rows (doc_id, text_hash, item_id, doc_words, at, stretch, words)."""
+def _aligned(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
+    """The passages of documents (doc_id, text, text_hash) and what they met."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
+    def passages(held: list[tuple]):
+        out = []
+        for k in np.flatnonzero(_likely([x[4] for x in held], [x[5] for x in held])).tolist():
+            keys, item_id, doc_words, at, stretch, item = held[k]
+            m = len(item)
+            if m >= SEED or m == doc_words:
+                out += [(*keys, item_id, s, m, e, at + a0, at + a1, b0, b1) for s, e, a0, a1, b0, b1 in _places(stretch, item)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))], names)
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
-                stretch, item = ([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(k)] for k in (5, 6))
-                keys, out = [part.column(k).to_pylist() for k in range(5)], []
-                for k in np.flatnonzero(_likely(stretch, item)).tolist():
-                    doc, text_hash, item_id, doc_words, at = (x[k] for x in keys)
-                    m = len(item[k])
-                    if m >= SEED or m == doc_words:
-                        out += [(doc, text_hash, item_id, s, m, e, at + a0, at + a1, b0, b1) for s, e, a0, a1, b0, b1 in _places(stretch[k], item[k])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))], names)
+            for k in range(batch.num_rows):
+                text, offsets = utf8(batch.column(1).slice(k, 1))
+                words, _ = _words(text, offsets)
+                for x in batch.column(3)[k].as_py():
+                    item = np.frombuffer(x["words"], np.uint64)
+                    for low, high in _stretches(words, np.array(x["starts"]), len(item)):
+                        held.append(((batch.column(0)[k].as_py(), batch.column(2)[k].as_py()), x["item_id"], len(words), low, words[low:high], item))
+                        size += high - low
+                    if size > HELD:
+                        yield passages(held)
+                        held, size = [], 0
+        if held:
+            yield passages(held)
 
-    return rows.select("doc_id", "text_hash", "item_id", "doc_words", "at", "stretch", "words").mapInArrow(run, SCHEMA)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    return docs.join(by_doc.hint("shuffle_hash"), same).select("doc_id", "text", "text_hash", "met").mapInArrow(run, SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -407,8 +411,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     grams = written(_item_grams(items), "item-grams")
     seeds = written(_seeds(grams), "seeds")
     hits = written(_hits(low, seeds), "gram-hits")
-    stretches = written(_stretches(low, hits.join(seeds, "gram")), "stretches")
-    return _aligned(stretches.join(items, "item"))
+    return _aligned(low, written(_by_document(hits.join(seeds, "gram"), items), "met"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
