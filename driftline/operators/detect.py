@@ -124,6 +124,20 @@ def unstable_asset_queries(checks: DataFrame, confirms: DataFrame, keys: list[st
     return split(checks, "a").join(split(confirms, "b"), [*keys, "path"]).where("a <> b").select(*keys, "path")
 
 
+def unstable_since(checks: DataFrame, confirms: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
+    """(keys, path, learned_at): from when on a path is known to change its query between two fetches back to back, by tables (keys, at, url)
+    whose rows of one time are a pair. A row per path, whatever the number of its fetches."""
+    return unstable_asset_queries(checks, confirms, [*keys, at]).groupBy(*keys, "path").agg(F.min(at).alias("learned_at"))
+
+
+def compared_assets(assets: DataFrame, learned: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
+    """assets(keys, at, url) with `compared`: the URL without its query once its path is known to be unstable; checks before that
+    moment stay as they are."""
+    path = F.regexp_extract("url", r"^([^?]*)", 1)
+    rows = assets.withColumn("path", path).join(learned, [*keys, "path"], "left")
+    return rows.withColumn("compared", F.when(F.col("learned_at") <= F.col(at), F.col("path")).otherwise(F.col("url"))).drop("path", "learned_at")
+
+
 def known_variants(changes: DataFrame, seen: DataFrame, hours: int = 24) -> DataFrame:
     """changes(change_id, site_id, at, url) -> (change_id, known): all its assets were seen on the site within the day before. By the hour
     bucket and equality, so that the range is only compared within two days' rows of one asset."""

@@ -6,15 +6,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(current: DataFrame, updates: DataFrame, sites: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """One row per key, the latest by `at`, updates before current rows; updates of sites that are gone are dropped. An aggregate with
-    map-side combine, no window."""
+def upsert(current: DataFrame, updates: DataFrame, sites: DataFrame, keys: list[str], at: str, by_time: bool = False) -> DataFrame:
+    """One row per key: the order of arrival decides, so updates go before current rows, and among either the latest by `at` counts. With
+    by_time the latest of all counts, an update only where it is as late, so that a batch may come late or again. Updates of sites that
+    are gone are dropped. An aggregate with map-side combine, no window."""
     fresh = updates.join(sites.select("site_id"), "site_id", "left_semi").withColumn("_new", F.lit(1))
     both = current.withColumn("_new", F.lit(0)).unionByName(fresh)
-    last = both.groupBy(*keys).agg(F.max_by(F.struct(*current.columns), F.struct("_new", at)).alias("r"))
+    last = both.groupBy(*keys).agg(F.max_by(F.struct(*current.columns), F.struct(at, "_new") if by_time else F.struct("_new", at)).alias("r"))
     return last.select("r.*")
 
 
+#: Parts of a table that is kept by site.
+SITE_BUCKETS = 64
+
+
+def with_bucket(df: DataFrame, buckets: int = SITE_BUCKETS) -> DataFrame:
+    return df.withColumn("site_bucket", F.pmod(F.xxhash64("site_id"), F.lit(buckets)).cast("int"))
+
+
+def write_by_site(df: DataFrame, path: str, buckets: int = SITE_BUCKETS) -> None:
+    """A table in folders by site bucket, a few files each."""
+    with_bucket(df, buckets).repartition("site_bucket").write.mode("overwrite").partitionBy("site_bucket").parquet(path)
+
+
+def merge_by_site(path: str, updates: DataFrame, sites: DataFrame, keys: list[str], at: str, buckets: int = SITE_BUCKETS) -> None:
+    """Puts updates into the table at `path` (one row per key, the latest by `at`): only the buckets of their sites are read and written, the
+    files of others stay. The same updates again change nothing, and a batch that comes late doesn't put older rows over newer ones."""
+    from ..sources.shared import new_table
+
+    spark = updates.sparkSession
+    fresh = new_table(with_bucket(updates, buckets), "updates")
+    touched = sorted(r[0] for r in fresh.select("site_bucket").distinct().collect())  # `buckets` at most
+    if not touched:
+        return
+    current = spark.read.schema(fresh.schema).parquet(path).where(F.col("site_bucket").isin(touched))
+    # written first, so that a bucket is replaced by a copy of rows that no longer depend on it
+    merged = new_table(upsert(current, fresh, sites, keys, at, by_time=True), "merged")
+    merged.repartition("site_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site_bucket").parquet(path)
+
+
+def merge_sink(path: str, sites: DataFrame, keys: list[str], at: str, buckets: int = SITE_BUCKETS):
+    """For foreachBatch: every batch of a stream of updates is merged, any number of times."""
+    return lambda batch, _: merge_by_site(path, batch, sites, keys, at, buckets)
+
+
 def append_events(events: DataFrame, sites: DataFrame, most: int = 4000) -> DataFrame:
     """Events of sites that exist, summaries cut; to be written in append mode by date."""
     return events.join(sites.select("site_id"), "site_id", "left_semi").withColumn("summary", F.substring("summary", 1, most))

@@ -126,6 +126,19 @@ def c18_unstable_asset_queries(spark, sf):
     return ops.unstable_asset_queries(checks, confirms, ["event_id", "site_id"]).select("site_id", "path").distinct()
 
 
+@query(f"""WITH {FETCH_SQL}, a AS (SELECT event_id, site_id, fetched_at AS t, 'https://' || host || '/a' || (k % 5) || '.js' AS path, k % 13 = 1 AS moved FROM obs WHERE status = 200),
+l AS (SELECT site_id, path, min(t) AS learned_at FROM a WHERE moved GROUP BY ALL)
+SELECT event_id, site_id, CASE WHEN l.learned_at <= a.t THEN path ELSE path || '?v=1' END AS compared FROM a LEFT JOIN l USING (site_id, path)""")
+def c18_compared_assets(spark, sf):
+    """The asset of every observation as it is compared: without its query from the first time on that a confirming fetch had another one."""
+    log = fetch(spark, sf).where("status = 200")
+    url = lambda q: F.concat(F.lit("https://"), "host", F.lit("/a"), (F.col("k") % 5).cast("string"), F.lit(".js?v="), q)
+    checks = log.select("event_id", "site_id", F.col("fetched_at").alias("at"), url(F.lit("1")).alias("url"))
+    confirms = log.select("event_id", "site_id", F.col("fetched_at").alias("at"), url(F.when(F.col("k") % 13 == 1, "2").otherwise("1")).alias("url"))
+    learned = ops.unstable_since(checks, confirms, ["site_id"])
+    return ops.compared_assets(checks, learned, ["site_id"]).select("event_id", "site_id", "compared")
+
+
 _SEEN = "seen AS (SELECT event_id, site_id, fetched_at AS t, 'app' || (k % 4) || '.js' AS url FROM obs WHERE status = 200)"
 
 

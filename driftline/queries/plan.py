@@ -254,6 +254,23 @@ def s3_upsert_pages(spark, sf):
     return ntz(tables.upsert(halves[0], halves[1], log.where("site_id % 5 <> 0").select("site_id").distinct(), ["site_id", "url"], "fetched_at"), "fetched_at")
 
 
+@query(f"""WITH {FETCH_SQL} SELECT site_id, url, arg_max(event_id, (fetched_at, event_id % 3, event_id)) AS event_id, max(fetched_at) AS fetched_at FROM obs WHERE event_id % 3 = 0 OR site_id % 5 <> 0 GROUP BY ALL""")
+def s3_merge_pages(spark, sf):
+    """A table by site into which two batches are merged, the later one first and one of them twice, read back."""
+    import uuid
+
+    from ..sources.shared import shared_dir
+
+    log = fetch(spark, sf).select("event_id", "site_id", "url", "fetched_at")
+    parts = [log.where(f"event_id % 3 = {k}") for k in range(3)]
+    path = f"{shared_dir(spark).rstrip('/')}/pages-by-site-{uuid.uuid4().hex}"
+    sites = log.where("site_id % 5 <> 0").select("site_id").distinct()
+    tables.write_by_site(tables.upsert(parts[0].limit(0), parts[0], log, ["site_id", "url"], "fetched_at"), path)
+    for k in (2, 1, 2):
+        tables.merge_by_site(path, parts[k], sites, ["site_id", "url"], "fetched_at")
+    return ntz(spark.read.parquet(path).drop("site_bucket"), "fetched_at")
+
+
 @query(f"""WITH {_HOSTS} SELECT root, host, arg_max(id, (id % 2, id)) AS id FROM hosts_state GROUP BY ALL""")
 def s4_upsert_subdomains(spark, sf):
     h = hosts_state(spark, sf).select(F.col("id"), F.col("root"), F.col("host"), F.col("id").alias("site_id"))

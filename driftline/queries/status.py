@@ -41,6 +41,17 @@ def c2_episodes(spark, sf):
     return ntz(ops.episodes(fetch(spark, sf), least=2), "start_at", "end_at")
 
 
+@query(f"""WITH RECURSIVE {FETCH_SQL}, e AS (SELECT DISTINCT site_id, CASE WHEN blocked THEN 'blocked' WHEN status = 429 THEN 'rate_limited' ELSE 'failed' END AS kind, fetched_at AS start_at FROM obs WHERE blocked OR status = 429 OR status <= 0 OR status >= 500),
+told AS (SELECT site_id, kind, min(start_at) AS start_at FROM e GROUP BY ALL UNION ALL SELECT t.site_id, t.kind, min(e.start_at) FROM told t JOIN e ON e.site_id = t.site_id AND e.kind = t.kind AND e.start_at >= t.start_at + INTERVAL 6 HOUR GROUP BY t.site_id, t.kind, t.start_at)
+SELECT site_id, kind, start_at FROM told""")
+def c2_throttled_notices(spark, sf):
+    """Every refusal and failure of a site as a notice, of which one in six hours is told of each kind."""
+    bad = fetch(spark, sf).where("blocked or status = 429 or status <= 0 or status >= 500")
+    kind = F.when(F.col("blocked"), "blocked").when(F.col("status") == 429, "rate_limited").otherwise("failed")
+    notices = bad.select("site_id", kind.alias("kind"), F.col("fetched_at").alias("start_at")).distinct()
+    return ntz(ops.throttled(notices, ["site_id", "kind"]), "start_at")
+
+
 @query(f"""WITH {FETCH_SQL}, r AS (SELECT *, status = 429 OR (status = 503 AND retry_after_ms IS NOT NULL) AS in_run FROM obs WHERE status IN (429, 200) OR (status = 503 AND retry_after_ms IS NOT NULL)),
 i AS ({_ISLANDS.format(keys='host')} FROM r), l AS (SELECT *, row_number() OVER (PARTITION BY host, island ORDER BY fetched_at, event_id) - 1 AS level FROM i WHERE in_run)
 SELECT host, fetched_at AS at, level, (epoch_us(fetched_at) // 1000) + least(1800000, coalesce(retry_after_ms, 60000 * pow(2, level)))::BIGINT AS until_ms FROM l""")

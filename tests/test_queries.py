@@ -53,3 +53,53 @@ def test_whole_texts_are_decoded_and_collapsed(spark):
     decoded = {r.doc_id: r.body_text for r in QUERIES["s2_decode_whole_bodies"](spark, SF).collect()}
     lines = {r.doc_id: r.one_line for r in QUERIES["t7_collapse_whole_text"](spark, SF).collect()}
     assert long and all(len(decoded[i]) == len(x) and len(lines[i].split()) == len(x.split()) for i, x in long.items())
+
+
+def test_a_merge_touches_only_its_buckets(spark, tmp_path):
+    """Only the folders of the updates' sites are read and written; a batch again, or late, changes nothing."""
+    import glob
+
+    from driftline.operators import tables
+
+    schema, path = "site_id long, url string, at long, text string", f"{tmp_path}/pages"
+    rows = [(s, f"u{k}", 10, "old") for s in range(200) for k in range(3)]
+    tables.write_by_site(spark.createDataFrame(rows, schema), path, 16)
+    files = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/site_bucket=*/*.parquet")}
+    bucket = lambda ids: {r[0] for r in tables.with_bucket(spark.createDataFrame([(i,) for i in ids], "site_id long"), 16).select("site_bucket").collect()}
+    before, sites = files(), spark.createDataFrame([(i,) for i in range(200)], "site_id long")
+    updates = spark.createDataFrame([(3, "u0", 20, "new"), (3, "u9", 20, "added"), (5, "u1", 5, "late"), (999, "u0", 20, "gone")], schema)
+    tables.merge_by_site(path, updates, sites, ["site_id", "url"], "at", 16)
+    touched, after = bucket([3, 5, 999]), files()
+    own = lambda f: int(f.split("site_bucket=")[1].split("/")[0])
+    assert {f: t for f, t in before.items() if own(f) not in touched} == {f: t for f, t in after.items() if own(f) not in touched}
+    want = sorted([r for r in rows if r != (3, "u0", 10, "old")] + [(3, "u0", 20, "new"), (3, "u9", 20, "added")])
+    read = lambda: sorted(map(tuple, spark.read.parquet(path).drop("site_bucket").collect()))
+    assert read() == want
+    for again in (updates, spark.createDataFrame([(3, "u0", 15, "older")], schema)):
+        tables.merge_sink(path, sites, ["site_id", "url"], "at", 16)(again, 0)
+        assert read() == want
+    plan = spark.read.parquet(path).where("site_bucket in (1, 2)")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [site_bucket" in plan
+
+
+def test_throttling_is_greedy(spark):
+    """Against a plain walk: gaps of all sizes around the six hours, and a key with thousands of notices."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from driftline.operators.status import throttled
+
+    rng, rows, hour = random.Random(9), [], 3_600_000_000
+    for key in range(30):
+        t = rng.randrange(10**15, 2 * 10**15)
+        for _ in range(rng.choice([1, 5, 40, 400])):
+            rows.append((key, t))
+            t += rng.choice([1, 6 * hour, 6 * hour - 1, 6 * hour + 1, rng.randrange(hour), rng.randrange(9 * hour), 100 * hour])
+    want, last = [], {}
+    for key, t in sorted(rows):
+        if key not in last or t - last[key] >= 6 * hour:
+            last[key] = t
+            want.append((key, t))
+    df = spark.createDataFrame(rows, "k long, t long").withColumn("at", F.timestamp_micros("t"))
+    assert sorted((r.k, r.t) for r in throttled(df, ["k"], "at").collect()) == want
