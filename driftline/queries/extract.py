@@ -71,6 +71,19 @@ def x5_page_assets(spark, sf):
     return ops.page_assets(_with_assets(spark, sf))
 
 
+@query(r"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'build-' || page_id + 1000 WHEN 1 THEN 'old_' || page_id + 10000 WHEN 2 THEN 'split' || page_id + 1000 WHEN 3 THEN 'raw-' || page_id + 10000 END AS build_id FROM pages""")
+def x6_flight_build_ids(spark, sf):
+    """Build ids in streams that scripts push: whole, as an array, parted in the middle of the id's row, unreadable, and too short."""
+    i, n = F.col("page_id") % 5, lambda k: (F.col("page_id") + k).cast("string")
+    push = lambda *x: F.concat(F.lit('<script>self.__next_f.push([1,"'), *(F.lit(v) if isinstance(v, str) else v for v in x), F.lit('"])</script>'))
+    first = F.lit("<script>(self.__next_f=self.__next_f||[]).push([0])</script>")
+    whole, listed = push(r'0:{\"b\":\"build-', n(1000), r'\",\"f\":[]}\n'), push(r'0:[\"old_', n(10000), r'\",[[\"children\"]]]\n')
+    parted = F.concat(push(r'1:\"$x\"\n0:{\"P\":null,\"c\":[\"\"],'), push(r'\"b\":\"split', n(1000), r'\"}\n'))
+    raw = F.concat(F.lit('<script>self.__next_f.push([1,"0:{\\"b\\":\\"raw-'), n(10000), F.lit('\\",}\n"]) /* no JSON */ ;;</script>'))
+    made = F.when(i == 0, whole).when(i == 1, listed).when(i == 2, parted).when(i == 3, raw).otherwise(push(r'0:{\"b\":\"short\"}\n'))
+    return _pages(spark, sf).select("page_id", ops.build_id(F.concat(first, made, "html")).alias("build_id"))
+
+
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'b' || md5(url) WHEN 1 THEN left(md5(url), 20) WHEN 2 THEN left(md5(url), 12) END AS build_id FROM pages")
 def x6_build_ids(spark, sf):
     i, m = F.col("page_id") % 4, F.md5("url")

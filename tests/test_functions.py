@@ -22,6 +22,7 @@ from driftline.operators.tables import sitemap_tree
 from driftline.operators.technology_match import Matcher, fixed_parts
 from driftline.operators.technology_rules import RULES
 from driftline.operators.urls import longest_prefix, rule_problems
+from driftline.operators.visible_text import lines_of_page
 
 
 def each(spark, f, values):
@@ -156,6 +157,64 @@ def test_technologies(spark):
     assert implied(chain).count() == 21 * 20
 
 
+def test_lines_of_preformatted_text_and_items():
+    page = lines_of_page
+    assert page("<pre>line one\n  line two</pre><p>next</p>") == ["line one", "line two", "next"]
+    assert page("<pre><code><span>a</span><span>b</span>\r\nc</code></pre>x <code>y\nz</code>") == ["ab", "c", "x y z"]
+    assert page("<nav><a>Docs</a><a>Blog</a></nav>") == ["Docs", "Blog"] and page("<nav><a>Docs</a> <a>Blog</a></nav>") == ["Docs Blog"]
+    assert page("<p><span>$</span><span>10</span></p>") == ["$10"] and page("<p><span>TVL</span><span>$1,024</span></p>") == ["TVL", "$1,024"]
+    assert page("<p><span>10 </span><span>SOL</span></p>") == ["10 SOL"] and page("<p><b>a</b><i>b</i></p>") == ["ab"]
+    assert page("<p>see <a>x</a><a>y</a></p>") == ["see xy"] and page("<div><a>x</a><svg></svg><a>y</a></div>") == ["xy"] and page("<div><a>x</a><span></span><a>y</a></div>") == ["x", "y"]
+    assert page("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><p>e<p>f") == ["a", "b", "c", "d", "e", "f"] and page("<table><tr><td>a<td>b<tr><td>c</table>") == ["a", "b", "c"]
+    assert page(None) == [] and page("<div hidden>x<p>y</div>z</b>") == ["z"] and page("<div>" * 5000 + "deep") == ["deep"]
+
+
+def plain_lines(tree, kept=False, written=False, items=False):
+    """The same by recursion over a generated tree: '\\n' marks the ends of lines."""
+    out = ""
+    for x in tree[1]:
+        if isinstance(x, str):
+            out += x if kept else re.sub(r"\s", " ", x)
+            continue
+        tag = x[0]
+        parts = items or tag in ("div", "pre", "li")
+        as_written = written or tag in ("pre", "code")
+        glued = [(a, b) for a, b in zip(x[1], x[1][1:], strict=False)] if not as_written and not any(isinstance(c, str) and c.strip() for c in x[1]) else []
+        shown = lambda c: plain_text(c)
+        full = [c for c in x[1] if isinstance(c, str) or shown(c)]
+        glued = zip(full, full[1:], strict=False) if glued else []
+        own = any(not isinstance(a, str) and not isinstance(b, str) and not {a[0], b[0]} & {"b", "code"} and any(c.isalpha() for c in shown(a) + shown(b)) and not shown(a)[-1].isspace() and not shown(b)[0].isspace() for a, b in glued)
+        text = plain_lines(x, kept or tag == "pre", as_written, own)
+        out += f"\n{text}\n" if parts else text
+    return out
+
+
+def plain_text(tree):
+    return tree if isinstance(tree, str) else "".join(map(plain_text, tree[1]))
+
+
+trees = st.recursive(st.sampled_from(["a", "b1", " ", "2", "\n", "x\ny", " c "]), lambda kids: st.tuples(st.sampled_from(["div", "span", "b", "a", "pre", "code"]), st.lists(kids, max_size=4)), max_leaves=14)
+
+
+@given(st.lists(trees, max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_lines_are_those_of_a_plain_walk(kids):
+    def merged(children):  # texts side by side are one
+        out = []
+        for c in children:
+            c = c if isinstance(c, str) else (c[0], merged(c[1]))
+            if isinstance(c, str) and out and isinstance(out[-1], str):
+                out[-1] += c
+            else:
+                out.append(c)
+        return out
+
+    kids = merged(kids)
+    html = lambda t: t if isinstance(t, str) else f"<{t[0]}>{''.join(map(html, t[1]))}</{t[0]}>"
+    want = [" ".join(x.split()) for x in plain_lines(("", kids)).split("\n")]
+    assert lines_of_page("".join(map(html, kids))) == [x for x in want if x]
+
+
 def technologies(spark, *signals):
     df = spark.createDataFrame([(1, kind, value) for kind, value in signals], "site_id long, kind string, value string")
     return {r.name for r in detect_technologies(df).collect()}
