@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls as u
+
 
 def upsert(current: DataFrame, updates: DataFrame, sites: DataFrame, keys: list[str], at: str, by_time: bool = False) -> DataFrame:
     """One row per key: the order of arrival decides, so updates go before current rows, and among either the latest by `at` counts. With
@@ -111,10 +113,9 @@ def ingest_sitemaps(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.posexplode(every).alias("pos", "e")).select("doc", "e.kind", F.col("pos").cast("long").alias("pos"), "e.loc")
 
 
-def sitemap_tree(docs: DataFrame, refs: DataFrame, roots: DataFrame, max_level: int | None = 3, max_docs: int | None = None) -> DataFrame:
-    """docs(doc, ok), refs(doc, child), roots(site_id, doc) -> (site_id, n_docs, complete, cut): sitemaps reached level by level, and whether
-    all of them could be read. Levels go on to the end if max_level is None; with max_docs a site keeps the first so many (by level, then
-    doc), and cut tells that there are more."""
+def sitemap_levels(refs: DataFrame, roots: DataFrame, max_level: int | None = None) -> DataFrame:
+    """(site_id, doc, level): the sitemaps that roots(site_id, doc) lead to by refs(doc, child), each with the least number of steps; to the
+    end if max_level is None."""
     from ..sources.shared import new_table
 
     reached = roots.select("site_id", "doc").distinct().withColumn("level", F.lit(0))
@@ -127,6 +128,33 @@ def sitemap_tree(docs: DataFrame, refs: DataFrame, roots: DataFrame, max_level:
             if frontier.isEmpty():
                 break
         reached = reached.unionByName(frontier)
+    return reached
+
+
+def sitemap_urls(levels: DataFrame, pages: DataFrame, max_urls: int | None = 5000) -> DataFrame:
+    """(site_id, url, level, doc, pos, cut): the first max_urls pages of each site, by levels(site_id, doc, level) and pages(doc, pos, url), in
+    breadth-first order (level, doc, place), each canonical URL once, where it stands first; cut tells that a site has more.
+
+    Places are running totals: of the levels before, of the documents before in the level, and within the document. No task sorts more than a
+    level's documents or a document's pages."""
+    own = levels.join(pages, "doc").withColumn("url", u.canonical(F.col("url"))).where("url is not null")
+    once = own.groupBy("site_id", "url").agg(F.min(F.struct("level", "doc", "pos")).alias("at")).select("site_id", "url", "at.*")
+    docs = once.groupBy("site_id", "level", "doc").agg(F.count(F.lit(1)).alias("n"))
+    before = lambda *by: Window.partitionBy("site_id", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    total = docs.groupBy("site_id", "level").agg(F.sum("n").alias("n_level"))
+    total = total.withColumn("levels_before", F.coalesce(F.sum("n_level").over(before("level")), F.lit(0))).withColumn("n_site", F.sum("n_level").over(Window.partitionBy("site_id")))
+    docs = docs.withColumn("docs_before", F.coalesce(F.sum("n").over(before("level", "doc")), F.lit(0))).join(total, ["site_id", "level"])
+    within = F.row_number().over(Window.partitionBy("site_id", "doc").orderBy("pos", "url"))
+    placed = once.withColumn("nth", within).join(docs.select("site_id", "doc", "docs_before", "levels_before", "n_site"), ["site_id", "doc"])
+    kept = placed if max_urls is None else placed.where(F.col("levels_before") + F.col("docs_before") + F.col("nth") <= max_urls)
+    return kept.select("site_id", "url", "level", "doc", "pos", (F.lit(False) if max_urls is None else F.col("n_site") > max_urls).alias("cut"))
+
+
+def sitemap_tree(docs: DataFrame, refs: DataFrame, roots: DataFrame, max_level: int | None = None, max_docs: int | None = None) -> DataFrame:
+    """docs(doc, ok), refs(doc, child), roots(site_id, doc) -> (site_id, n_docs, complete, cut): sitemaps reached level by level, and whether
+    all of them could be read. Levels go on to the end if max_level is None; with max_docs a site keeps the first so many (by level, then
+    doc), and cut tells that there are more."""
+    reached = sitemap_levels(refs, roots, max_level)
     rank = F.row_number().over(Window.partitionBy("site_id").orderBy("level", "doc"))
     kept = reached if max_docs is None else reached.withColumn("rank", rank).where(F.col("rank") <= max_docs + 1)
     over = F.lit(False) if max_docs is None else F.max("rank") > max_docs

@@ -344,7 +344,22 @@ SELECT site_id, count(DISTINCT doc) AS n_docs, bool_and(doc IN (SELECT page_id F
 def s12_resolve_sitemap_tree(spark, sf):
     p, i = table(spark, sf, "pages"), F.col("page_id")
     refs = p.select(i.alias("doc"), F.explode(F.array(i * 2 + 1, i * 2 + 2)).alias("child"))
-    return tables.sitemap_tree(p.select(i.alias("doc"), (i % 11 != 10).alias("ok")), refs, p.select(i.alias("site_id"), i.alias("doc")))
+    return tables.sitemap_tree(p.select(i.alias("doc"), (i % 11 != 10).alias("ok")), refs, p.select(i.alias("site_id"), i.alias("doc")), max_level=3)
+
+
+@query("""WITH RECURSIVE refs AS (SELECT page_id AS doc, page_id * 2 + 1 AS child FROM pages UNION ALL SELECT page_id, page_id * 2 + 2 FROM pages), t AS (SELECT page_id AS site_id, page_id AS doc, 0 AS level FROM pages UNION SELECT site_id, child, level + 1 FROM t JOIN refs USING (doc)),
+l AS (SELECT site_id, doc, min(level) AS level FROM t GROUP BY ALL), p AS (SELECT page_id AS doc, unnest(range(4)) AS pos FROM pages),
+o AS (SELECT site_id, 'https://s.example.com/p' || ((doc * 3 + pos) // 2) AS url, min({'lvl': level, 'doc': doc, 'pos': pos}) AS place FROM l JOIN p USING (doc) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY place, url) AS nth, count(*) OVER (PARTITION BY site_id) AS n FROM o)
+SELECT site_id, url, place.lvl AS level, place.doc AS doc, place.pos AS pos, n > 25 AS cut FROM r WHERE nth <= 25""")
+def s12_sitemap_urls(spark, sf):
+    """The first 25 pages of every site, whose sitemaps share some, in breadth-first order over all levels."""
+    p, i = table(spark, sf, "pages"), F.col("page_id")
+    refs = p.select(i.alias("doc"), F.explode(F.array(i * 2 + 1, i * 2 + 2)).alias("child"))
+    levels = tables.sitemap_levels(refs, p.select(i.alias("site_id"), i.alias("doc")))
+    pages = p.select(i.alias("doc"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.concat(F.lit("https://s.example.com/p"), F.floor((i * 3 + k) / 2).cast("string")))).alias("pos", "url"))
+    out = tables.sitemap_urls(levels, pages, 25)
+    return out.select("site_id", "url", F.col("level").cast("long").alias("level"), "doc", F.col("pos").cast("long").alias("pos"), "cut")
 
 
 @query("""SELECT DISTINCT 'r' || (c_custkey % 10) || '.com' AS root, c_custkey AS id, unnest(['a' || c_custkey || '.com', '*.b.com', 'n' || c_custkey || '.com']) AS name FROM customer WHERE c_custkey > 100""")

@@ -68,6 +68,23 @@ def k7_late_and_future_rows(spark, sf):
     return out
 
 
+@query(f"""WITH {FETCH_SQL}, b AS (SELECT event_id, event_id % 4 AS batch, epoch_us(fetched_at) // 1000 AS ms FROM obs), m AS (SELECT batch, max(ms) AS top FROM b GROUP BY batch)
+SELECT event_id, coalesce(ms <= (SELECT max(top) FROM m WHERE m.batch < b.batch) - 864000000, false) AS late FROM b""")
+def k7_late_side_table(spark, sf):
+    """The log in four batches, one of them written twice: rows that are ten days behind what came before them are put aside."""
+    import uuid
+
+    from ..sources.shared import shared_dir
+
+    path = f"{shared_dir(spark).rstrip('/')}/divided-{uuid.uuid4().hex}"
+    log = fetch(spark, sf).select("event_id", F.unix_millis("fetched_at").alias("at"))
+    write = windows.divide_late(path, "at", 864_000_000)
+    for k in (0, 1, 2, 2, 3):
+        write(log.where(F.col("event_id") % 4 == k), k)
+    read = lambda part: spark.read.schema(log.schema).parquet(*(f"{path}/{part}/batch={k}" for k in range(4))).select("event_id", F.lit(part == "late").alias("late"))
+    return read("late").unionByName(read("in_time"))
+
+
 def _ticker_log(spark, sf):
     """The log as that of pages with one ticking number: two versions, one mask."""
     version = F.when(F.col("hash").isin("v0", "v1"), "v0").when(F.col("hash").isNotNull(), "v1")

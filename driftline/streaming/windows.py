@@ -41,3 +41,23 @@ def notify_sink(path: str, deliver: Callable[[DataFrame], None] | None = None) -
             deliver(batch.sparkSession.read.parquet(f"{path}/batch={number}"))
 
     return write
+
+
+def divide_late(path: str, event_time: str, late_ms: int):
+    """For foreachBatch, before what keeps state: a batch's rows that are `late_ms` or more behind the latest row of all batches before it go
+    to path/late, all others to path/in_time, each in a folder of their batch, so that a batch may be written again. Every row comes
+    to one of both. event_time is a column of milliseconds; a row without one is late."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        from ..sources.shared import new_table
+
+        spark, own = batch.sparkSession, new_table(batch, "batch")
+        mark = own.agg(F.max(event_time).alias("at"))
+        mark.write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+        # a row per batch
+        last = spark.read.schema("at long, batch long").parquet(f"{path}/marks").where(F.col("batch") < batch_id).agg(F.max("at")).first()[0]
+        late = F.col(event_time).isNull() | (F.lit(False) if last is None else F.col(event_time) <= last - late_ms)
+        own.where(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        own.where(~late).write.mode("overwrite").parquet(f"{path}/in_time/batch={batch_id}")
+
+    return write

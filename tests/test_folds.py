@@ -175,3 +175,20 @@ def test_timers_ring_and_late_rows_are_folded_in_order(spark, tmp_path):
     schema = "site_id long, at long, event_id long, status int, blocked boolean, hash string, mask string"
     got = replayed(spark, tmp_path, [spark.createDataFrame(part, schema) for part in batches], ["site_id"], folds.PAGES, "1 hour")
     assert [(k, (at - base) // MIN, kind) for k, at, kind, _ in got] == [(1, 14, "number"), (2, 4, "dynamic"), (2, 4 + day, "trusted"), (3, 20, "text")]
+
+
+def test_late_rows_of_a_stream_are_put_aside(spark, tmp_path):
+    """All rows behind the batches before them by the bound, and no others, are in the side table; the rest is folded in order."""
+    rng, schema = random.Random(3), "event_id long, at long"
+    parts = [[(100 * k + i, (k * 60 + rng.randrange(60) - (200 if rng.random() < 0.2 else 0)) * MIN) for i in range(40)] for k in range(4)]
+    want, top = set(), None
+    for part in parts:
+        want |= {i for i, at in part if top is not None and at <= top - 90 * MIN}
+        top = max(at for _, at in part) if top is None else max(top, *(at for _, at in part))
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = source.writeStream.foreachBatch(windows.divide_late(f"{tmp_path}/out", "at", 90 * MIN)).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    ids = lambda part: [r.event_id for r in spark.read.schema(schema).parquet(f"{tmp_path}/out/{part}").collect()]
+    assert sorted(ids("late")) == sorted(want) and want and sorted(ids("late") + ids("in_time")) == sorted(i for part in parts for i, _ in part)

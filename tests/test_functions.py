@@ -261,8 +261,8 @@ def test_sitemap_tree(spark):
     refs = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(5, 0)], "doc long, child long")
     docs, roots = spark.createDataFrame([(i, True) for i in range(10)], "doc long, ok boolean"), spark.createDataFrame([(1, 0), (2, 7), (3, 99)], "site_id long, doc long")
     tree = lambda **k: sorted(map(tuple, sitemap_tree(docs, refs, roots, **k).collect()))
-    assert tree() == [(1, 4, True, False), (2, 3, True, False), (3, 1, False, False)]
-    assert tree(max_level=None) == [(1, 10, True, False), (2, 3, True, False), (3, 1, False, False)]
+    assert tree(max_level=3) == [(1, 4, True, False), (2, 3, True, False), (3, 1, False, False)]
+    assert tree() == [(1, 10, True, False), (2, 3, True, False), (3, 1, False, False)]
     assert tree(max_level=None, max_docs=3) == [(1, 3, False, True), (2, 3, True, False), (3, 1, False, False)]
 
 
