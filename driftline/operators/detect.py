@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls as u
+
 from .status import millis, usable
 
 MINUTE, HOUR = 60_000, 3_600_000
@@ -38,6 +40,16 @@ def churn(changes: DataFrame, key: list[str], most: int = 3, hours: float = 1) -
     return changes.withColumn("recent", recent).withColumn("muted", F.col("recent") > most)
 
 
+def told_changes(changes: DataFrame, key: list[str], most: int = 3, hours: float = 1, tell_last: bool = False) -> DataFrame:
+    """churn with told: changes before the first that mutes its key, and with tell_last that one too. Pages: the fourth change of an hour mutes
+    and isn't told; files (most=2, tell_last): the third one mutes and is."""
+    rows = churn(changes, key, most, hours)
+    first = rows.where("muted").groupBy(*key).agg(F.min(F.struct("fetched_at", "event_id")).alias("first"))
+    own = F.struct("fetched_at", "event_id")
+    before = own <= F.col("first") if tell_last else own < F.col("first")
+    return rows.join(first, key, "left").withColumn("told", F.col("first").isNull() | before).drop("first")
+
+
 def trust_again(log: DataFrame, key: list[str] = ["site_id", "url"], hours: int = 24) -> DataFrame:  # noqa: B006
     """(key, trusted_at): when content has stood unchanged for so long, once per stretch of equal content."""
     w = Window.partitionBy(*key).orderBy("fetched_at", "event_id")
@@ -160,9 +172,15 @@ def parameter_change(changed: DataFrame, key: str) -> DataFrame:
     return minus.select(key, "name", F.col("value").alias("from_value")).join(plus.select(key, "name", F.col("value").alias("to_value")), [key, "name"]).where("from_value <> to_value")
 
 
-def new_code_refs(refs: DataFrame, history: DataFrame, most: int = 40) -> DataFrame:
-    """refs(site_id, kind, value) that history(site_id, kind, value) lacks, `most` per kind by value; nothing for sites without history."""
-    fresh = refs.distinct().join(history, ["site_id", "kind", "value"], "left_anti").join(history.select("site_id").distinct(), "site_id", "left_semi")
+def new_code_refs(refs: DataFrame, history: DataFrame, most: int = 40, pages: DataFrame | None = None, by_kind: bool = False) -> DataFrame:
+    """refs(site_id, kind, value) that history(site_id, kind, value) lacks, `most` per kind by value; nothing for sites without history, or, by
+    kind, for kinds that a site has none of: the first time they are only taken down. Paths of known pages(site_id, path), as they stand
+    or decoded, are no news."""
+    scope = ["site_id", "kind"] if by_kind else ["site_id"]
+    fresh = refs.distinct().join(history, ["site_id", "kind", "value"], "left_anti").join(history.select(*scope).distinct(), scope, "left_semi")
+    if pages is not None:
+        known = pages.select("site_id", F.explode(F.array("path", u.decoded(F.col("path")))).alias("value")).distinct()
+        fresh = fresh.join(known, ["site_id", "value"], "left_anti").select(refs.columns)
     return fresh.withColumn("rank", F.row_number().over(Window.partitionBy("site_id", "kind").orderBy("value"))).where(F.col("rank") <= most)
 
 

@@ -34,6 +34,16 @@ def c9_churn_mute(spark, sf):
     return ops.churn(changes, ["site_id"], hours=24).select("event_id", "site_id", "recent", "muted")
 
 
+@query(f"""WITH {FETCH_SQL}, c AS (SELECT event_id, site_id, fetched_at, count(*) OVER w > 2 AS muted FROM obs WHERE hash IS NOT NULL
+WINDOW w AS (PARTITION BY site_id ORDER BY fetched_at RANGE BETWEEN INTERVAL '86399999999 microseconds' PRECEDING AND CURRENT ROW)),
+n AS (SELECT *, coalesce(sum(muted::INT) OVER (PARTITION BY site_id ORDER BY fetched_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT event_id, site_id, muted, before = 0 AS told FROM n""")
+def c9_file_changes_told(spark, sf):
+    """The rule of files over a day: the third change mutes and is told, none after it."""
+    changes = fetch(spark, sf).where("hash is not null").select("event_id", "site_id", "fetched_at")
+    return ops.told_changes(changes, ["site_id"], 2, 24, tell_last=True).select("event_id", "site_id", "muted", "told")
+
+
 @query(f"""WITH {FETCH_SQL}, c AS (SELECT *, coalesce((lag(hash) OVER w <> hash)::INT, 1) AS changed FROM obs WHERE hash IS NOT NULL WINDOW w AS (PARTITION BY site_id, url ORDER BY fetched_at, event_id)),
 s AS (SELECT *, sum(changed) OVER (PARTITION BY site_id, url ORDER BY fetched_at, event_id ROWS UNBOUNDED PRECEDING) AS stretch FROM c), b AS (SELECT *, min(fetched_at) OVER (PARTITION BY site_id, url, stretch) AS start FROM s)
 SELECT site_id, url, min(fetched_at) AS trusted_at FROM b WHERE epoch_us(fetched_at) // 1000 - epoch_us(start) // 1000 >= 86400000 GROUP BY site_id, url, stretch""")
@@ -165,6 +175,20 @@ def c21_new_code_refs(spark, sf):
     return ops.new_code_refs(refs.where("status = 200").drop("status"), history, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"""WITH {FETCH_SQL}, r AS (SELECT DISTINCT site_id, CASE WHEN k % 2 = 0 THEN 'path' ELSE 'host' END AS kind, '/a b' || k AS value FROM obs WHERE status = 200),
+h AS (SELECT DISTINCT site_id, CASE WHEN k % 2 = 0 THEN 'path' ELSE 'host' END AS kind, '/a b' || k AS value FROM obs WHERE status = 404 AND k % 2 = site_id % 2),
+f AS (SELECT * FROM r ANTI JOIN h USING (site_id, kind, value) WHERE (site_id, kind) IN (SELECT site_id, kind FROM h) AND (site_id, value) NOT IN (SELECT site_id, '/a b' || k FROM obs WHERE k % 5 = 0))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, kind ORDER BY value) AS rank FROM f) WHERE rank <= 40""")
+def c21_new_refs_by_kind(spark, sf):
+    """References that are no known page's path, which is encoded there, of kinds that their site has been searched for before."""
+    log, k = fetch(spark, sf), F.col("k").cast("string")
+    refs = log.select("status", "site_id", "k", F.when(F.col("k") % 2 == 0, "path").otherwise("host").alias("kind"), F.concat(F.lit("/a b"), k).alias("value"))
+    history = refs.where("status = 404 and k % 2 = site_id % 2").drop("status", "k").distinct()
+    pages = log.where("k % 5 = 0").select("site_id", F.concat(F.lit("/a%20b"), k).alias("path")).distinct()
+    out = ops.new_code_refs(refs.where("status = 200").drop("status", "k"), history, 40, pages, by_kind=True)
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"""WITH {FETCH_SQL}, c AS (SELECT DISTINCT site_id, '/api/' || k AS url FROM obs WHERE status = 200 AND k % 3 = 0), t AS (SELECT DISTINCT site_id, '/api/' || k AS url FROM obs WHERE k % 12 = 0), n AS (SELECT site_id, count(*) AS n FROM t GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY url) AS rank FROM c ANTI JOIN t USING (site_id, url)) SELECT site_id, url, rank FROM r LEFT JOIN n USING (site_id) WHERE rank <= 15 - coalesce(n, 0)""")
 def c22_api_endpoint_admission(spark, sf):

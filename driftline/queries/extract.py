@@ -40,6 +40,15 @@ def x2_page_meta(spark, sf):
     return _pages(spark, sf).select("page_id", *(c.alias(n) for n, c in ops.page_meta(F.concat(head, "html")).items()))
 
 
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/i/' || page_id || '.png?a=1&b=2' WHEN 1 THEN 'https://cdn.example.com/' || page_id || '.jpg' WHEN 2 THEN 'data:image/png,x' END AS image FROM pages")
+def x2_page_image(spark, sf):
+    i = F.col("page_id").cast("string")
+    meta = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<meta content=" /i/'), i, F.lit('.png?a=1&amp;b=2 " property="og:image"><meta property="og:image" content="/no.png">')))
+    meta = meta.when(F.col("page_id") % 4 == 1, F.concat(F.lit("<meta property=og:image content=''><META NAME='OG:Image' CONTENT=https://cdn.example.com/"), i, F.lit(".jpg>")))
+    meta = meta.when(F.col("page_id") % 4 == 2, '<meta property="og:image" content="data:image/png,x">').otherwise('<meta property="og:image:width" content="9">')
+    return _pages(spark, sf).select("page_id", ops.page_image(F.concat(meta, "html"), F.col("url")).alias("image"))
+
+
 #: For markup as regular as that of the supplied pages: a line for what stands between tags other than links and bold text.
 _BARE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->', '', 'g'), '</?(?:a|b)(?: [^>]*)?>', '', 'g'), '<[^>]*>', chr(1), 'g')"
 _NAMED = "regexp_replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;?', '&', 'g')"
