@@ -106,7 +106,18 @@ def x7_host_mentions(spark, sf):
     s = lambda c: c.cast("string")
     text = F.concat(F.lit("fetch('https://api"), s(i % 9), F.lit(".Shop.co.uk/v1'); x='//cdn"), s(i % 5), F.lit(".tools.io/a.js'; // see //not.counted.com https://www.w3.org/ https://co.uk/ https://a.invalid http://schema.org "), F.when(i % 2 == 0, F.concat(F.lit('"wss://user@x'), s(i), F.lit('.vercel.app."'))).otherwise(""))
     bodies = _pages(spark, sf).select("page_id", F.concat(text, "html").alias("text"))
-    return ops.host_mentions(bodies, rows(spark, "suffix string", [(x,) for x in PUBLIC_SUFFIXES]), rows(spark, "domain string", [(x,) for x in ops.NOISE_DOMAINS]))
+    return ops.host_mentions(bodies, rows(spark, "suffix string", [(x,) for x in PUBLIC_SUFFIXES]), rows(spark, "domain string", [(x,) for x in ops.SCRIPT_NOISE]))
+
+
+@query("""SELECT page_id, 'markup' AS mode, 'cdn' || page_id || '.github.com' AS host FROM pages UNION ALL SELECT page_id, mode, 'api' || page_id || '.shop.de' FROM pages CROSS JOIN (VALUES ('markup'), ('script')) m(mode)""")
+def x7_hosts_by_mode(spark, sf):
+    """The same body as markup and as a script: what tools are named in is noise in scripts only, reserved endings are none of either."""
+    i = F.col("page_id").cast("string")
+    body = F.concat(F.lit('<a href="https://cdn'), i, F.lit('.github.com/x"><svg xmlns="http://www.w3.org/2000/svg"><img src="//api'), i, F.lit('.shop.de/y"><a href="https://printer.lan/"><a href="https://db.corp/">'))
+    pages = _pages(spark, sf).select("page_id", body.alias("text"))
+    suffixes = rows(spark, "suffix string", [(x,) for x in PUBLIC_SUFFIXES])
+    made = [ops.host_mentions(pages, suffixes, ops.noise_domains(spark, mode)).withColumn("mode", F.lit(mode)) for mode in ops.NOISE]
+    return made[0].unionByName(made[1]).select("page_id", "mode", "host")
 
 
 @query(f"""WITH m AS (SELECT page_id, {_TITLE} AS title, split_part(url, '/', 3) AS d FROM pages), l AS (SELECT page_id, replace(html, '<', chr(10) || '<') AS body FROM pages),
