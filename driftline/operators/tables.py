@@ -163,6 +163,15 @@ def sitemap_tree(docs: DataFrame, refs: DataFrame, roots: DataFrame, max_level:
     return rows.select("site_id", "n_docs", (F.col("read") & ~F.col("cut")).alias("complete"), "cut")
 
 
+def ct_issuances(bodies: DataFrame) -> DataFrame:
+    """bodies(root, body) of certificate logs -> (root, id, dns_names, name_value, common_name): every whole entry of a JSON array, also of one
+    that was cut short; what is no entry is passed over. Entries may hold objects one level deep."""
+    entries = F.regexp_extract_all("body", F.lit(r"\{(?:[^{}]++|\{[^{}]*+\})*+\}"), 0)
+    rows = bodies.select("root", F.explode(entries).alias("entry"))
+    parsed = rows.select("root", F.from_json("entry", "id long, dns_names array<string>, name_value string, common_name string").alias("e"))
+    return parsed.where("e.id is not null").select("root", "e.*")
+
+
 def ingest_ct(issuances: DataFrame, cursor: int) -> DataFrame:
     """issuances(root, id, dns_names, name_value, common_name) after the cursor -> (root, id, name), lower-cased, each once."""
     names = F.array_distinct(F.concat(F.coalesce("dns_names", F.array().cast("array<string>")), F.coalesce(F.split("name_value", r"\s+"), F.array().cast("array<string>")), F.coalesce(F.array("common_name"), F.array().cast("array<string>"))))

@@ -369,6 +369,18 @@ def s13_ingest_ct(spark, sf):
     return tables.ingest_ct(made, 100)
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, 'r' || (c_custkey % 10) || '.com' AS root FROM customer)
+SELECT root, k * 3 AS id, 'a' || k || '.com' AS name FROM c UNION ALL SELECT root, k * 3, '*.b.com' FROM c UNION ALL SELECT root, k * 3 + 1, unnest(['n' || k || '.com', 'm.com', 'cn' || k || '.com']) FROM c UNION ALL SELECT root, k * 3 + 2, 'last' || k || '.com' FROM c WHERE k % 2 = 0""")
+def s13_salvaged_ct(spark, sf):
+    """Answers of certificate logs, every second one cut in the middle of its last entry."""
+    k = F.col("c_custkey")
+    s, n = k.cast("string"), lambda by: (k * 3 + by).cast("string")
+    last = F.concat(F.lit(',{"id":'), n(2), F.lit(',"dns_names":["last'), s, F.lit('.com"]}]'))
+    body = F.concat(F.lit('[{"id":'), n(0), F.lit(',"issuer":{"name":"x","id":7},"dns_names":["A'), s, F.lit('.com","*.b.com"]},{"id":'), n(1), F.lit(',"name_value":"n'), s, F.lit('.com\\nm.com","common_name":"cn'), s, F.lit('.com"}'), F.when(k % 2 == 0, last).otherwise(F.substring(last, 1, 22)))
+    made = table(spark, sf, "customer").select(F.concat(F.lit("r"), (k % 10).cast("string"), F.lit(".com")).alias("root"), body.alias("body"))
+    return tables.ingest_ct(tables.ct_issuances(made), -1)
+
+
 @query("""SELECT c_custkey AS id, '1.1.1.' || (c_custkey % 4) || ' 9.9.9.9' AS a, CASE WHEN c_custkey % 2 = 0 THEN '2001:db8::a' END AS aaaa, NULL AS cname FROM customer""")
 def s14_ingest_dns(spark, sf):
     k = F.col("c_custkey")
