@@ -228,7 +228,7 @@ def phrase_rows():
     return rows + [rows[3]] * 20 + [(500, None, "en", "s", 1), (501, "", "fr", "s", 1), (502, "Ünï ñ \x0b x" * 30, "en", "s", 1), (None, "a a a a a", None, None, None)]
 
 
-@pytest.mark.parametrize("least,top", [(20, 2000), (5, 7), (300, 2000), (10**9, 10)])
+@pytest.mark.parametrize("least,top", [(20, 2000), (5, 7), (10**9, 10)])
 def test_collocations_are_brute_force(spark, least, top):
     rows = phrase_rows()
     assert sorted(map(tuple, collocations.collocations(frame(spark, rows), least, top=top).collect())) == plain_collocations(rows, least, top)
