@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as u
 from ..operators import extract as ops
+from ..operators import socials
 from ..operators.technology_rules import RULES
 from ..operators.urls import PUBLIC_SUFFIXES
 from .base import Registry, rows, table, values_sql
@@ -163,7 +164,7 @@ def x14_cookie_names(spark, sf):
     return _pages(spark, sf).select("page_id", F.array_join(ops.cookie_names(header), " ").alias("names"))
 
 
-_SOCIAL_RULES = [("x.com", "x"), ("twitter.com", "x"), ("github.com", "github"), ("t.me", "telegram")]
+_SOCIAL_RULES = [socials.Rule(host, kind, "https://{host}/", reserved="share") for host, kind in (("x.com", "x"), ("github.com", "github"), ("t.me", "telegram"))]
 
 
 @query("""WITH l AS (SELECT page_id % 20 AS site_id, page_id AS pos, ['x.com', 'github.com', 't.me'][page_id % 3 + 1] AS host, page_id % 7 AS h FROM pages),
@@ -174,7 +175,23 @@ def x15_site_socials(spark, sf):
     host = F.get(F.array(F.lit("x.com"), F.lit("www.github.com"), F.lit("t.me")), (i % 3).cast("int"))
     handle = F.when(i % 7 == 0, "share").otherwise(F.concat(F.lit("user"), (i % 7).cast("string")))
     links = _pages(spark, sf).select((i % 20).alias("site_id"), i.alias("pos"), F.concat(F.lit("https://"), host, F.lit("/"), handle, F.lit("/posts?x=1")).alias("url"))
-    return ops.site_socials(links, rows(spark, "host string, kind string", _SOCIAL_RULES))
+    return socials.site_socials(links, _SOCIAL_RULES).select("site_id", "kind", "url")
+
+
+@query("""WITH p AS (SELECT page_id, unnest(CASE WHEN page_id % 3 = 0 THEN ['x', 'github', 'telegram', 'docs'] ELSE ['github', 'telegram', 'docs', 'x'] END) AS kind,
+  unnest(CASE WHEN page_id % 3 = 0 THEN ['x.com/u' || page_id, 'github.com/org/r' || page_id, 't.me/s/c' || page_id, split_part(url, '/', 3) || '/docs'] ELSE ['github.com/org/r' || page_id, 't.me/s/c' || page_id, split_part(url, '/', 3) || '/docs', 'x.com/card' || page_id] END) AS rest,
+  split_part(url, ':', 1) AS scheme, unnest([1, 2, 3, 4]) AS rank FROM pages)
+SELECT page_id, kind, CASE WHEN kind = 'docs' THEN scheme ELSE 'https' END || '://' || rest AS url, rank FROM p WHERE kind <> 'x' OR page_id % 3 < 2""")
+def x15_profiles_of_pages(spark, sf):
+    """Links in each page's own markup, and the account of its cards where no link tells one; reserved names, repeats and paths below a profile."""
+    i, third = F.col("page_id").cast("string"), F.col("page_id") % 3
+    link = lambda *x: F.concat(F.lit('<a href="'), *(F.lit(v) if isinstance(v, str) else v for v in x), F.lit('">x</a>'))
+    account = F.when(third == 0, link("https://twitter.com/u", i, "?ref_src=1")).when(third == 1, F.concat(F.lit("<meta content=@card"), i, F.lit(" name=twitter:creator>"))).otherwise("")
+    body = F.concat(link("https://x.com/intent/post"), account, link("https://www.github.com/org/r", i, "/issues"), link("https://t.me/s/c", i, "/5"), link("/docs"), link("https://GitHub.com/org/r", i, "/"), link("https://github.com/pricing"), F.col("html"))
+    pages = _pages(spark, sf).select("page_id", "url", body.alias("html"))
+    links = ops.link_edges(pages, places=True).select(F.col("page_id").alias("site_id"), F.col("dst").alias("url"), "pos", u.host(F.col("src")).alias("root"))
+    handles = pages.select(F.col("page_id").alias("site_id"), socials.twitter_handle(F.col("html")).alias("handle"))
+    return socials.site_socials(links, handles=handles).withColumnRenamed("site_id", "page_id")
 
 
 _SIGNALS = """s AS (SELECT page_id AS site_id, 'header' AS kind, 'Server: nginx/1.' || page_id % 30 AS value FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'header', 'x-powered-by: PHP' FROM pages WHERE page_id % 6 = 0

@@ -1,0 +1,77 @@
+"""Profiles and reports of scanned sites: known answers, and a plain walk over links in order."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from driftline.operators import socials
+
+ADDRESS = "7GCihgDB8fe6KNjn2MYtkzZcRjQy3t9GHdC8uHYmW2hr"
+
+LINKS = [
+    ("https://twitter.com/Drift?s=20", "x https://x.com/Drift"), ("https://mobile.twitter.com/a_b/status/1", "x https://x.com/a_b"), ("https://x.com/intent/post", None), ("https://x.com/name_of_16_chars", None),
+    ("https://t.me/joinchat/AbC", "telegram https://t.me/joinchat/AbC"), ("https://telegram.me/s/news/12", "telegram https://t.me/s/news"), ("https://t.me/sandbox/5", "telegram https://t.me/sandbox"), ("https://t.me/share/url?u=1", None),
+    ("https://discord.com/invite/abc", "discord https://discord.gg/abc"), ("https://discord.gg/abc/", "discord https://discord.gg/abc"), ("https://discord.com/channels/1", None), ("https://discord.com/invite", None),
+    ("https://github.com/org/repo/issues", "github https://github.com/org/repo"), ("https://www.github.com/org", "github https://github.com/org"), ("https://github.com/features/actions", None),
+    ("https://medium.com/@me/post-1", "medium https://medium.com/@me"), ("https://medium.com/pub", "medium https://medium.com/pub"), ("https://medium.com/pub/post", None), ("https://us.medium.com/x", "medium https://us.medium.com/"),
+    ("https://m.youtube.com/@me/videos", "youtube https://www.youtube.com/@me"), ("https://youtube.com/channel/UC1/about", "youtube https://www.youtube.com/channel/UC1"), ("https://youtube.com/watch?v=1", None),
+    ("https://instagram.com/p/1", None), ("https://www.tiktok.com/@me", "tiktok https://www.tiktok.com/@me"), ("https://tiktok.com/me", None), ("https://reddit.com/r/spark/top", "reddit https://www.reddit.com/r/spark"), ("https://reddit.com/r", None),
+    ("https://linkedin.com/company/x/jobs", "linkedin https://www.linkedin.com/company/x"), ("https://facebook.com/sharer.php?u=1", None), ("https://farcaster.xyz/me/0x", "farcaster https://farcaster.xyz/me"),
+    ("https://birdeye.so/solana/token/abc/x", "birdeye https://birdeye.so/solana/token/abc"), ("https://birdeye.so/token", None), ("https://pump.fun/coin/abc", "pumpfun https://pump.fun/coin/abc"), (f"https://pump.fun/{ADDRESS}", f"pumpfun https://pump.fun/coin/{ADDRESS}"), ("https://pump.fun/board", None),
+    ("https://coingecko.com/en/coins/btc", "coingecko https://www.coingecko.com/en/coins/btc"), ("https://etherscan.io/token/0x1/more", "etherscan https://etherscan.io/token/0x1"), ("https://etherscan.io/tx/0x1", None),
+    ("https://news.substack.com/p/1", "substack https://news.substack.com/"), ("https://docs.other.org:8443/a/b", "docs https://docs.other.org:8443/"), ("https://docs.google.com/d/1", None), ("https://me.gitbook.io/book/ch", "docs https://me.gitbook.io/book"), ("https://app.gitbook.com/x", None),
+    ("https://own.com/docs", "docs https://own.com/docs"), ("https://app.own.com/Documentation/", "docs https://app.own.com/Documentation"), ("https://own.com/docs/a", None), ("https://notown.com/docs", None),
+    ("https://own.com/files/WhitePaper-v2.pdf?x=1", "whitepaper https://own.com/files/WhitePaper-v2.pdf"), ("mailto:me@x.com", None), ("ftp://github.com/a", None), ("https://x.com", None), ("", None), (None, None),
+]
+
+
+def test_each_link_has_its_profile(spark):
+    links = spark.createDataFrame([(i, u, 0, "own.com") for i, (u, _) in enumerate(LINKS)], "site_id long, url string, pos int, root string")
+    got = {r.site_id: f"{r.kind} {r.url}" for r in socials.site_socials(links).collect()}
+    assert [(u, got.get(i)) for i, (u, _) in enumerate(LINKS)] == LINKS
+
+
+def test_profiles_are_taken_in_order_of_links(spark):
+    """Against a plain walk: each once, three of a kind, 40 of all, the cards' account last; no rows of sites without any."""
+    rng, rows, kinds = random.Random(4), [], [h.split()[0] for h in (r.hosts for r in socials.RULES) if not h.startswith("*")]
+    paths = {"youtube.com": "@p{}", "tiktok.com": "@p{}", "reddit.com": "r/p{}", "linkedin.com": "in/p{}", "discord.com": "invite/p{}", "dexscreener.com": "a/p{}", "birdeye.so": "token/p{}", "gmgn.ai": "token/p{}", "pump.fun": "coin/p{}", "coingecko.com": "coins/p{}", "coinmarketcap.com": "currencies/p{}"}
+    for site, n in enumerate([0, 1, 5, 60, 400, 3000]):
+        for pos in range(n):
+            host = rng.choice(kinds if site % 2 else kinds[1:])
+            path = paths.get(host, "token/p{}" if "scan" in host else "p{}").format(rng.randrange(6))
+            rows.append((site, f"https://{host}/{rng.choice([path, path.upper() if host == 'x.com' else path])}{rng.choice(['', '/'])}", pos))
+    links = spark.createDataFrame(rows, "site_id long, url string, pos int")
+    single = {(r.site_id, r.pos): (r.kind, r.url) for r in socials._with_profile(links.withColumn("root", F.lit(None).cast("string")), socials.RULES).where("p is not null").select("site_id", "pos", "p.kind", "p.url").collect()}
+    handles = [(site, "card") for site in range(6)] + [(0, None)]
+    want = []
+    for site in range(6):
+        seen, per, out = set(), {}, []
+        for pos in range(4000):
+            kind, url = single.get((site, pos), (None, None))
+            if kind is None or url.lower() in seen or per.get(kind, 0) == 3 or len(out) == 40:
+                continue
+            seen.add(url.lower())
+            per[kind] = per.get(kind, 0) + 1
+            out.append((kind, url))
+        if "x" not in per and len(out) < 40:
+            out.append(("x", "https://x.com/card"))
+        want += [(site, i + 1, *x) for i, x in enumerate(out)]
+    got = socials.site_socials(links.unionByName(links.limit(50)), handles=spark.createDataFrame(handles, "site_id long, handle string"))
+    assert sorted((r.site_id, r["rank"], r.kind, r.url) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize(
+    "html,handle",
+    [
+        ('<meta name="twitter:site" content="@Drift">', "Drift"), ("<meta content=@b_2 name=twitter:creator>", "b_2"), ('<meta name="twitter:site" content="@home"><meta name=\'twitter:creator\' content="me">', "me"),
+        ('<meta name="twitter:card" content="me">', None), ('<!-- <meta name="twitter:site" content="@a"> -->', None), ('<meta name="twitter:site" content="a b">', None), ("", None), (None, None),
+    ],
+)
+def test_accounts_of_cards(spark, html, handle):
+    assert spark.createDataFrame([(html,)], "h string").select(socials.twitter_handle(F.col("h"))).first()[0] == handle
+
+
+def test_no_links(spark):
+    none = spark.createDataFrame([], "site_id long, url string, pos int")
+    assert socials.site_socials(none, handles=spark.createDataFrame([], "site_id long, handle string")).collect() == []
