@@ -11,10 +11,11 @@ _LABEL = r"[a-z0-9_](?:[a-z0-9_\-]{0,61}[a-z0-9_])?"
 SOURCES = ("ct", "crtsh", "dns", "link", "code")
 
 
-def normalize_names(names: DataFrame) -> DataFrame:
-    """names(root, name) -> (root, host): lower-case, without dots at the ends and '*.', valid and strictly below the root."""
+def normalize_names(names: DataFrame, *also: str) -> DataFrame:
+    """names(root, name) -> (root, host): lower-case, without dots at the ends and '*.', valid and strictly below the root; columns named
+    in `also` go along."""
     host = F.regexp_replace(F.regexp_replace(F.lower(F.trim("name")), r"^(?:\*\.)+", ""), r"^\.+|\.+$", "")
-    rows = names.select("root", host.alias("host"))
+    rows = names.select("root", host.alias("host"), *also)
     return rows.where(F.col("host").rlike(rf"^(?:{_LABEL}\.)+{_LABEL}$") & (F.length("host") <= 253) & F.col("host").endswith(F.concat(F.lit("."), "root"))).distinct()
 
 

@@ -497,3 +497,49 @@ def a10_site_report(spark, sf):
     techs = pages.select(F.col("page_id").alias("site_id"), F.when(F.col("html").contains("track("), "Tracker").otherwise("None").alias("name"))
     links = x.link_counts(x.link_edges(pages)).withColumnRenamed("page_id", "site_id")
     return serve.site_report(meta, techs, links, meta.where("site_id % 5 = 0"))
+
+
+_ORIGIN, _SITE_HOST = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)", "split_part(split_part(url, '/', 3), '?', 1)"
+
+
+@query(f"""WITH {_EDGES}, m AS (SELECT page_id AS k, url, {_ORIGIN} AS origin, {_SITE_HOST} AS host, {_TITLE} AS title, page_id % 7 <> 5 AND page_id % 11 <> 4 AS had FROM pages),
+r AS (SELECT *, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS root FROM m), e AS (SELECT page_id AS k, count(*) AS n FROM edges GROUP BY 1), i AS (SELECT host, string_agg(ip, ' ' ORDER BY ip) AS ips FROM (SELECT DISTINCT host, '192.0.2.' || k % 200 AS ip FROM m) GROUP BY 1),
+t AS (SELECT k, list_sort(list_filter([struct_pack(o := 1, name := CASE WHEN had THEN 'React' END), struct_pack(o := 2, name := 'Vercel'), struct_pack(o := 15, name := CASE WHEN k % 3 = 0 THEN 'Nginx' END), struct_pack(o := 16, name := CASE WHEN had THEN 'Node' END)], lambda x: x.name IS NOT NULL)) AS l FROM r),
+w AS (SELECT r.k, coalesce(min(o.k) FILTER (o.url = r.url), min(o.k)) AS w FROM r LEFT JOIN (SELECT * FROM r WHERE k % 5 = 0) o ON regexp_replace(o.host, '^www[.]', '') = regexp_replace(r.host, '^www[.]', '') GROUP BY 1)
+SELECT k AS site_id, r.host, root AS root_domain, CASE WHEN k % 7 = 5 THEN 0 WHEN k % 11 = 4 THEN 403 ELSE 200 END AS status, CASE WHEN k % 7 = 5 THEN 'timeout' WHEN k % 11 = 4 THEN 'The site answered with a bot-protection challenge, so only headers, DNS and subdomains were checked.' END AS error,
+  CASE WHEN had AND title <> '' THEN title END AS title, CASE WHEN had THEN origin || '/og/' || k || '.png' END AS image, CASE WHEN had THEN 'build-' || k + 1000 END AS build_id, CASE WHEN had THEN 2 + k % 2 ELSE 0 END AS n_assets, CASE WHEN k % 3 = 0 THEN 'nginx/1.' || k % 5 END AS server, ips,
+  CASE WHEN had THEN '/api/p' || k || ' ' ELSE '' END || '/v1/x' || k AS api_endpoints, CASE WHEN had THEN 'api.' || root || ' cdn' || k % 4 || '.tools.io js.tools.io' ELSE 'js.tools.io' END AS code_hosts,
+  CASE WHEN had THEN 'x https://x.com/u' || k || ' docs ' || origin || '/docs' ELSE '' END AS socials, list_aggregate(list_filter(['app.' || root || ' dns+ct true', CASE WHEN had THEN 'api.' || root || ' code false' END, CASE WHEN k % 2 = 0 AND had THEN 'old.' || root || ' ct+link false' ELSE 'old.' || root || ' ct false' END], lambda x: x IS NOT NULL), 'string_agg', ', ') AS subdomains,
+  CASE WHEN had THEN coalesce(n, 0) + 1 + (k % 2 = 0)::INT ELSE 0 END AS internal, CASE WHEN had THEN 1 ELSE 0 END AS external, array_to_string([x.name FOR x IN l], ', ') AS technologies, w AS watched
+FROM r LEFT JOIN e USING (k) JOIN t USING (k) JOIN w USING (k) JOIN i USING (host)""")
+def a10_whole_report(spark, sf):
+    """A report of every page as a site: markup, headers, scripts, answers and certificates made of its own URL and id; some blocked or down."""
+    from ..operators import report
+    from ..operators import urls as ur
+    from ..operators.extract import noise_domains
+
+    pages = table(spark, sf, "pages")
+    k, s = F.col("page_id"), F.col("page_id").cast("string")
+    origin = F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1)
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    root = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    add = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    head = add('<meta property="og:image" content="/og/', s, '.png"><script src="/a/', s, '.js"></script><link rel=stylesheet href="/a/s.css?t=17000000001"><script>var x={"buildId":"build-', (k + 1000).cast("string"), '"};fetch("/api/p', s, '");y="https://cdn', (k % 4).cast("string"), '.tools.io/z";w="wss://api.', root, '"</script>', F.when(k % 2 == 1, '<link rel=modulepreload href="/a/m.js">').otherwise(""))
+    body = add('<div data-reactroot>', '<a href="https://twitter.com/u', s, '">x</a><a href="/docs">d</a>', F.when(k % 2 == 0, add('<a href="https://old.', root, '/">old</a>')).otherwise(""), F.col("html"))
+    down, blocked = k % 7 == 5, (k % 11 == 4) & (k % 7 != 5)
+    headers = F.when(k % 3 == 0, F.create_map(F.lit("server"), add("nginx/1.", (k % 5).cast("string")), F.lit("x-vercel-id"), F.lit("f"))).otherwise(F.create_map(F.lit("x-vercel-id"), F.lit("f")))
+    scans = pages.select(k.alias("site_id"), "url", F.lit(None).cast("string").alias("final_url"), F.when(down, 0).when(blocked, 403).otherwise(200).alias("status"), blocked.alias("blocked"), F.when(down, "timeout").alias("error"), F.lit("text/html").alias("content_type"), headers.alias("headers"), add(head, body).alias("html"))
+    bundles = pages.select(k.alias("site_id"), add('a("/v1/x', s, '");b="https://js.tools.io/x"').alias("text"))
+    found = pages.select(root.alias("root"), F.explode(F.array(add("app.", root, " dns"), add("app.", root, " ct"), add("old.", root, " ct"))).alias("h")).select("root", F.split("h", " ")[0].alias("host"), F.split("h", " ")[1].alias("source"))
+    addresses = pages.select(host.alias("host"), add("192.0.2.", (k % 200).cast("string")).alias("ip")).unionByName(pages.select(add("app.", root).alias("host"), F.lit("192.0.2.1").alias("ip")))
+    watches = pages.where("page_id % 5 = 0").select(k.alias("id"), add("Site ", s).alias("name"), "url", host.alias("host"))
+    rules = [("Nginx", "server", "header", r"^server:\s*nginx"), ("Vercel", "hosting", "header", "^x-vercel-id:"), ("React", "framework", "html", r"\bdata-reactroot\b")]
+    suffixes = rows(spark, "suffix string", [(v,) for v in ur.PUBLIC_SUFFIXES])
+    noise = {mode: noise_domains(spark, mode).where("domain not in ('example.com', 'example.org', 'example.net')") for mode in ("markup", "script")}
+    out = report.site_reports(scans, bundles, found, addresses, watches, suffixes, noise, rows(spark, "name string, implies string", [("React", "Node")]), rules, {"Node": "language"})
+    joined = lambda c, f, sep=" ": F.array_join(F.transform(c, f), sep)
+    return out.select(
+        "site_id", "host", "root_domain", "status", "error", "title", "image", F.col("build.id").alias("build_id"), F.col("build.assets").alias("n_assets"), F.col("server.server").alias("server"), F.array_join("server.ips", " ").alias("ips"), F.array_join("api_endpoints", " ").alias("api_endpoints"), F.array_join("code_hosts", " ").alias("code_hosts"),
+        joined("socials", lambda v: F.concat_ws(" ", v["kind"], v["url"])).alias("socials"), joined("subdomains", lambda v: F.concat_ws(" ", v["host"], F.array_join(v["sources"], "+"), v["alive"].cast("string")), ", ").alias("subdomains"),
+        F.col("links.internal").alias("internal"), F.col("links.external").alias("external"), F.array_join(F.transform("technologies", lambda v: v["name"]), ", ").alias("technologies"), F.col("watched.id").alias("watched"),
+    )

@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import socials
+from driftline.operators import report, socials
+from driftline.operators.extract import noise_domains
+from driftline.operators.urls import PUBLIC_SUFFIXES
 
 ADDRESS = "7GCihgDB8fe6KNjn2MYtkzZcRjQy3t9GHdC8uHYmW2hr"
 
@@ -75,3 +77,72 @@ def test_accounts_of_cards(spark, html, handle):
 def test_no_links(spark):
     none = spark.createDataFrame([], "site_id long, url string, pos int")
     assert socials.site_socials(none, handles=spark.createDataFrame([], "site_id long, handle string")).collect() == []
+
+
+SCANS = "site_id long, url string, final_url string, status int, blocked boolean, error string, content_type string, headers map<string,string>, html string, title string"
+HOME = """<html><head><title>Own\n site</title><meta name=generator content="Hugo 0.1"><meta name="twitter:site" content="@own"><script src="/app.js?v=1"></script><script src="https://cdn.own.com/lib.js"></script>
+<script src="https://other.com/x.js"></script><script src="/cdn-cgi/y.js"></script><link rel=preload as=script href=/pre.mjs><link rel=preload as=style href=/pre.css></head><body>
+<a href="https://docs.own.com/a">d</a><a href="/b">b</a><a href="https://github.com/own/repo">g</a><pre>gtm.js</pre><script>fetch("https://api.own.com/x"); f("/api/users/list"); f("/about")</script></body></html>"""
+LOOKS = [
+    (1, "https://own.com/", "https://www.own.com/", 200, False, None, None, {"server": " nginx/1.2 ", "set-cookie": "a=1"}, HOME, "clash"),
+    (2, "https://down.org/", None, 0, None, None, None, None, None, None),
+    (3, "https://wall.io/", "https://wall.io/", 403, True, None, "text/html", {}, HOME, None),
+    (4, "https://data.dev/", "https://data.dev/", 200, False, None, "application/json", None, '{"a": "https://x.com/me"}', None),
+    (5, None, None, None, None, None, None, None, None, None),
+    (6, "https://slow.com/", "https://slow.com/", 429, False, None, "text/html", None, "", None),
+]
+
+
+def reports(spark, scans, bundles=(), found=(), addresses=(), watches=(), **settings):
+    made = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    suffixes = made([(x,) for x in PUBLIC_SUFFIXES], "suffix string")
+    noise = {mode: noise_domains(spark, mode) for mode in ("markup", "script")}
+    out = report.site_reports(made(scans, SCANS), made(bundles, "site_id long, text string, url string"), made(found, "root string, host string, source string"), made(addresses, "host string, ip string"), made(watches, "id long, name string, url string, host string"), suffixes, noise, **settings)
+    return {r.site_id: r for r in out.collect()}
+
+
+def test_report_of_what_was_had(spark):
+    bundles = [(1, 'a("/v1/tokens"); b="https://rpc.own.com/"; c="https://github.com/x"; d="https://own.com/"', "u"), (1, None, None), (9, 'x("/v1/none")', None)]
+    found = [("own.com", "Old.own.com", "ct"), ("own.com", "old.own.com", "dns"), ("own.com", "own.com", "ct"), ("own.com", None, "ct"), ("own.com", "*.live.own.com", "ct"), ("wall.io", "a.wall.io", "dns"), (None, "x.y", "dns")]
+    addresses = [("live.own.com", "192.0.2.9"), ("www.own.com", "192.0.2.2"), ("www.own.com", "192.0.2.1"), ("own.com", "192.0.2.7"), ("down.org", None), ("wall.io", "192.0.2.3")]
+    watches = [(8, "by host", "https://www.own.com/x", "own.com"), (9, "by final url", "https://www.own.com/", "www.own.com"), (4, "walled", "https://wall.io/deep", "www.wall.io"), (3, "walled first", "https://wall.io/other", "wall.io"), (1, None, None, None)]
+    rows = reports(spark, LOOKS, bundles + bundles, found + found, addresses + addresses, watches)
+    assert sorted(rows) == [1, 2, 3, 4, 5, 6]
+    own = rows[1]
+    assert (own.host, own.root_domain, own.final_url, own.status, own.error, own.title, own.image) == ("own.com", "own.com", "https://www.own.com/", 200, None, "Own site", None)
+    assert tuple(own.build) == (None, 4, "Hugo 0.1") and tuple(own.server) == ("nginx/1.2", None, ["192.0.2.1", "192.0.2.2"])
+    assert own.api_endpoints == ["/api/users/list", "/v1/tokens"] and own.code_hosts == ["api.own.com", "cdn.own.com", "other.com", "rpc.own.com"]
+    assert [(s.kind, s.url) for s in own.socials] == [("docs", "https://docs.own.com/"), ("github", "https://github.com/own/repo"), ("x", "https://x.com/own")]
+    assert tuple(own.links) == (2, 1) and own.watched.id == 9
+    assert [(s.host, "+".join(s.sources), s.alive) for s in own.subdomains] == [
+        ("live.own.com", "ct", True), ("www.own.com", "link", True), ("api.own.com", "code", False), ("cdn.own.com", "code", False), ("docs.own.com", "link", False), ("old.own.com", "dns+ct", False), ("rpc.own.com", "code", False),
+    ]
+    names = [t.name for t in own.technologies]
+    assert "Hugo" in names and "Nginx" in names and "Google Tag Manager" not in names
+    walled = rows[3]
+    assert walled.error == report.CHALLENGED and walled.title is None and tuple(walled.links) == (0, 0) and walled.server.ips == ["192.0.2.3"] and walled.watched.id == 3 and [s.host for s in walled.subdomains] == ["a.wall.io"]
+    assert rows[2].error == "unreachable" and rows[2].status == 0 and rows[2].server.ips == [] and rows[2].watched is None and rows[2].subdomains == []
+    assert rows[4].socials == [] and rows[4].title is None and rows[4].error is None and rows[5].error == "unreachable" and rows[6].error == "HTTP 429 (rate limited)"
+
+
+def test_reports_list_the_first_of_each(spark):
+    """Live hosts go first, whoever tells of them; what is beyond the list still gives its sources to hosts that the page names."""
+    page = "<html><body>" + "".join(f'<a href="https://h{k:04}.own.com/">x</a>' for k in range(195, 230)) + "</body></html>"
+    found = [("own.com", f"h{k:04}.own.com", source) for k in range(400) for source in ("dns", "ct")]
+    bundles = [(1, "".join(f'a("/api/p{k:04}/list");' for k in range(400)), None)]
+    row = reports(spark, [(1, "https://own.com/", None, 200, False, None, "text/html", None, page, None)], bundles, found, [("h0220.own.com", "192.0.2.1"), ("h0399.own.com", "192.0.2.1")])[1]
+    assert [s.host for s in row.subdomains] == ["h0220.own.com", "h0399.own.com"] + [f"h{k:04}.own.com" for k in range(198)]
+    assert {tuple(s.sources) for s in row.subdomains[1:100]} == {("dns", "ct")} and row.subdomains[0].sources == row.subdomains[199].sources == ["dns", "ct", "link"]
+    assert row.api_endpoints == [f"/api/p{k:04}/list" for k in range(200)]
+
+
+def test_report_of_nothing(spark):
+    assert reports(spark, []) == {}
+
+
+def test_scripts_that_a_report_wants(spark):
+    scans = spark.createDataFrame(LOOKS, SCANS)
+    suffixes = spark.createDataFrame([(x,) for x in PUBLIC_SUFFIXES], "suffix string")
+    want = ["https://cdn.own.com/lib.js", "https://www.own.com/app.js?v=1", "https://www.own.com/pre.mjs"]
+    assert sorted(map(tuple, report.scan_bundles(scans, suffixes).collect())) == [(1, u) for u in want]
+    assert sorted(map(tuple, report.scan_bundles(scans, suffixes, most=2).collect())) == [(1, u) for u in want[:2]]
