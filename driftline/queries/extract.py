@@ -130,6 +130,16 @@ def x8_snapshots(spark, sf):
     return ops.snapshots(meta, lines, "page_id")
 
 
+@query(f"""WITH t AS (SELECT page_id, url, {_TITLE} AS title, list_filter([trim(regexp_replace({_NAMED}, '\\s+', ' ', 'g')) FOR x IN string_split({_BARE}, chr(1))], lambda x: x <> '') AS ls FROM pages),
+s AS (SELECT page_id, concat_ws(chr(10), CASE WHEN title <> '' THEN '# ' || title END, '> about ' || url, CASE WHEN len(ls) > 0 THEN array_to_string(ls, chr(10)) END) AS text FROM t) SELECT page_id, text, sha1(text) AS text_sha1 FROM s""")
+def x8_snapshots_of_visible_lines(spark, sf):
+    """Snapshots as versions are compared by: a page's own title, a description made of its URL, and its visible lines, whole."""
+    head = F.concat(F.lit('<meta name="description" content="about '), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">'))
+    pages = _pages(spark, sf).select("page_id", F.concat(head, "html").alias("html"))
+    meta = ops.page_meta(F.col("html"))
+    return ops.snapshots(pages.select("page_id", meta["title"].alias("title"), meta["description"].alias("description")), ops.visible_lines(pages, "page_id"), "page_id")
+
+
 @query("""SELECT event_id, unnest([0, 1, 2, 3]) AS line_no, unnest(['{', '  "k": ' || (props->>'$.k') || ',', '  "t": "' || event_type || '"', '}']) AS line FROM events WHERE event_id % 2 = 0""")
 def x9_json_snapshots(spark, sf):
     e = table(spark, sf, "events")
