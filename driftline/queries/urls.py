@@ -198,16 +198,23 @@ _RANGES_SQL = """r AS (SELECT DISTINCT n, bits FROM (SELECT s_suppkey * 26544357
 _DOTTED = "(({0} >> 24) & 255) || '.' || (({0} >> 16) & 255) || '.' || (({0} >> 8) & 255) || '.' || ({0} & 255)"
 
 
+def _spread(key, factor: int):
+    """key * factor modulo 2^32, for keys from 0 on. The factor's remainder nearest to 0 and the key's one make a product below 2^63,
+    whatever the key."""
+    whole = 1 << 32
+    return F.pmod(F.pmod(key.cast("long"), F.lit(whole)) * F.lit((factor + whole // 2) % whole - whole // 2).cast("long"), F.lit(whole))
+
+
 @query(f"""WITH {_RANGES_SQL}, c AS (SELECT c_custkey, c_custkey * 40503 * 2654435761 % 4294967296 AS n FROM customer),
 m AS (SELECT c_custkey, max_by({_DOTTED.format('r.n')} || '/' || bits, bits) AS range FROM c JOIN r ON (c.n >> (32 - bits)) << (32 - bits) = r.n GROUP BY c_custkey)
 SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '::ffff:' ELSE '' END || {_DOTTED.format('n')} AS address, range FROM c LEFT JOIN m USING (c_custkey)""")
 def u14_longest_prefix(spark, sf):
     dotted = lambda n: F.concat_ws(".", *(F.shiftright(n, k).bitwiseAND(255).cast("string") for k in (24, 16, 8, 0)))
-    a = F.col("s_suppkey").cast("long") * 2654435761 % 4294967296
+    a = _spread(F.col("s_suppkey"), 2654435761)
     lengths = F.explode(F.array(*(F.lit(x) for x in (3, 9, 14, 17))))
     first = F.expr("a - a % shiftleft(1L, 32 - bits)")
     ranges = table(spark, sf, "supplier").select(a.alias("a"), lengths.alias("bits")).select(F.concat(dotted(first), F.lit("/"), F.col("bits").cast("string")).alias("cidr")).distinct()
-    n = F.col("c_custkey").cast("long") * 40503 * 2654435761 % 4294967296
+    n = _spread(F.col("c_custkey"), 40503 * 2654435761)
     address = F.concat(F.when(F.col("c_custkey") % 3 == 0, "::ffff:").otherwise(""), dotted(n))
     return ops.longest_prefix(table(spark, sf, "customer").select("c_custkey", address.alias("address")), ranges)
 

@@ -103,3 +103,19 @@ def test_throttling_is_greedy(spark):
             want.append((key, t))
     df = spark.createDataFrame(rows, "k long, t long").withColumn("at", F.timestamp_micros("t"))
     assert sorted((r.k, r.t) for r in throttled(df, ["k"], "at").collect()) == want
+
+
+def test_addresses_of_any_key_are_looked_up(spark, tmp_path):
+    """Keys whose product with both factors passes 64 bits, against integers of any size."""
+    import ipaddress
+
+    keys, suppliers = [0, 1, 15_000, 85_000, 86_001, 900_000, 2**31, 2**32 + 7, 5 * 10**15], [1, 77, 6_000, 4 * 10**9, 3 * 10**12]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k,) for k in suppliers], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    nets = {ipaddress.ip_network((k * 2654435761 % 2**32 >> (32 - bits) << (32 - bits), bits)) for k in suppliers for bits in (3, 9, 14, 17)}
+    want = {}
+    for k in keys:
+        ip = ipaddress.ip_address(k * 40503 * 2654435761 % 2**32)
+        own = [n for n in nets if ip in n]
+        want[k] = ("::ffff:" * (k % 3 == 0) + str(ip), str(max(own, key=lambda n: n.prefixlen)) if own else None)
+    assert {r.c_custkey: (r.address, r.range) for r in QUERIES["u14_longest_prefix"](spark, str(tmp_path)).collect()} == want
