@@ -155,13 +155,19 @@ def flag_private_targets(df: DataFrame, host: str = "host") -> DataFrame:
 
 def resolve_site_reference(queries: DataFrame, sites: DataFrame) -> DataFrame:
     """(query_id, site_id) for queries(query_id, text): by id, then by the only site of that name, by URL with or without scheme (https
-    first), by the only site of that host. A step with several sites is no match; the first step that matches decides."""
-    q = queries.select("query_id", F.lower(F.trim("text")).alias("t"))
+    first), by the only site of that host. A step with several sites is no match; the first step that matches decides.
+
+    Sites that share a key are one row before queries meet them: least and greatest id, which are equal if there is one site only. A
+    query meets four rows at most, however many sites have its name."""
     bare = lambda c: F.regexp_replace(F.regexp_replace(c, "^https?://", ""), "/$", "")
-    s = sites.select("site_id", F.col("site_id").cast("string").alias("id"), F.lower("name").alias("name"), bare(F.lower("start_url")).alias("bare"), u.host(F.col("start_url")).alias("host"), u.scheme(F.col("start_url")).alias("scheme"))
-    by = lambda key, to, rank: q.join(s, key == F.col(to)).select("query_id", "site_id", "scheme", F.lit(rank).alias("rank"))
-    found = by(F.col("t"), "id", 1).unionByName(by(F.col("t"), "name", 2)).unionByName(by(bare(F.col("t")), "bare", 3)).unionByName(by(F.col("t"), "host", 4))
-    secure = F.max((F.col("scheme") == "https").cast("int")).over(Window.partitionBy("query_id", "rank"))
-    found = found.withColumn("best", secure).where((F.col("rank") != 3) | (F.col("best") == 0) | (F.col("scheme") == "https"))
-    one = found.groupBy("query_id", "rank").agg(F.count_distinct("site_id").alias("n"), F.min("site_id").alias("site_id")).where("n = 1")
+    steps = lambda *keys: F.explode(F.array(*(F.struct(F.lit(rank).alias("rank"), key.alias("key")) for rank, key in enumerate(keys, 1)))).alias("k")
+    t, url = F.lower(F.trim("text")), F.col("start_url")
+    q = queries.select("query_id", steps(t, t, bare(t), t)).select("query_id", "k.*").where("key is not null")
+    s = sites.select("site_id", (F.coalesce(u.scheme(url), F.lit("")) == "https").alias("secure"), steps(F.col("site_id").cast("string"), F.lower("name"), bare(F.lower(url)), u.host(url))).select("site_id", "secure", "k.*")
+    s = s.where("key is not null").withColumn("secure", F.col("secure") & (F.col("rank") == 3))
+    own = F.when(F.col("secure"), F.col("site_id"))
+    known = s.groupBy("rank", "key").agg(F.min("site_id").alias("least"), F.max("site_id").alias("greatest"), F.bool_or("secure").alias("secure"), F.min(own).alias("least_secure"), F.max(own).alias("greatest_secure"))
+    met = q.join(known, ["rank", "key"]).groupBy("query_id", "rank").agg(*(f(c).alias(c) for f, c in ((F.min, "least"), (F.max, "greatest"), (F.bool_or, "secure"), (F.min, "least_secure"), (F.max, "greatest_secure"))))
+    choice = lambda end: F.when(F.col("secure"), F.col(f"{end}_secure")).otherwise(F.col(end))
+    one = met.where(choice("least") == choice("greatest")).select("query_id", "rank", choice("least").alias("site_id"))
     return one.groupBy("query_id").agg(F.min_by("site_id", "rank").alias("site_id"))

@@ -135,3 +135,29 @@ def test_a_short_page_of_events_has_its_cursor(spark, tmp_path):
     log = spark.createDataFrame([(1, k) for k in range(5)], "site_id long, event_id long")
     page = lambda before, limit: [(r.event_id, r.next_cursor, r.more) for r in history(log, 1, before, limit).orderBy("event_id").collect()]
     assert page(None, 3) == [(2, 2, True), (3, 2, True), (4, 2, True)] and page(2, 3) == [(0, 0, False), (1, 0, False)]
+
+
+def most_rows(df) -> int:
+    """The most rows that a step of the executed plan of a collected table made."""
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        metric = node.metrics().get("numOutputRows")
+        found = max(found, metric.get().value() if metric.isDefined() else 0)
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
+def test_sites_of_one_name_are_one_row_for_queries(spark):
+    from driftline.operators.urls import resolve_site_reference
+
+    sites = [(k, "Same" if k < 300 else f"Own {k}", f"http{'s' * (k % 2)}://h{k // 2}.example.com/") for k in range(1, 400)]
+    asked = [(k, "same") for k in range(500)] + [(1000, " OWN 350 "), (1001, "7"), (1002, "https://h160.example.com"), (1003, "h161.example.com/"), (1004, "none"), (1005, None)]
+    out = resolve_site_reference(spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(sites, "site_id long, name string, start_url string"))
+    assert sorted(map(tuple, out.collect())) == [(1000, 350), (1001, 7), (1002, 321), (1003, 323)]
+    assert 1000 < most_rows(out) < 10_000
