@@ -420,3 +420,21 @@ def test_masks_are_worked_out_once_a_line(spark):
     masks = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(t.SIGNED)
     assert masks(ticking_lines(old, new, "k")) == 2 and masks(align_numbers(old, new, "k")) == 2
     assert lines_of(old.select("k", F.col("line").alias("text")), ["k"])._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_a_task_hands_on_differences_in_parts(spark):
+    """However many rows a batch has, results are handed on after a bounded number of characters, and none is lost."""
+    import pyarrow as pa
+
+    from driftline.operators.diff import PART_CHARS, line_diff
+
+    class Pairs:
+        where = select = lambda self, *_: self
+        mapInArrow = lambda self, run, schema: run
+
+    n, line = 300, "x" * 10_000
+    old, new = [f"{line}\n{k}" for k in range(n)], [None if k == 7 else f"{line}\n{k} now" for k in range(n)]
+    parts = list(line_diff(Pairs())([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(old), pa.array(new)], ["key", "old", "new"])]))
+    assert max(p.num_rows for p in parts) * 20_000 < PART_CHARS + 100_000
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["key"] for r in rows] == list(range(n)) and all(r["added"] == ([] if k == 7 else [f"{k} now"]) and r["removed"] == ([line, "7"] if k == 7 else [str(k)]) for k, r in enumerate(rows))
