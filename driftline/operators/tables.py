@@ -173,9 +173,13 @@ def ct_issuances(bodies: DataFrame) -> DataFrame:
 
 
 def ingest_ct(issuances: DataFrame, cursor: int) -> DataFrame:
-    """issuances(root, id, dns_names, name_value, common_name) after the cursor -> (root, id, name), lower-cased, each once."""
-    names = F.array_distinct(F.concat(F.coalesce("dns_names", F.array().cast("array<string>")), F.coalesce(F.split("name_value", r"\s+"), F.array().cast("array<string>")), F.coalesce(F.array("common_name"), F.array().cast("array<string>"))))
-    return issuances.where(F.col("id") > cursor).select("root", "id", F.explode(names).alias("name")).where("name <> ''").select("root", "id", F.lower("name").alias("name")).distinct()
+    """issuances(root, id, dns_names, name_value, common_name) after the cursor -> (root, id, name), lower-cased, each once.
+
+    Entries seldom come twice: they are dealt by id before their names are told apart, so that no task that reads answers holds all of theirs."""
+    empty = F.array().cast("array<string>")
+    names = F.concat(F.coalesce("dns_names", empty), F.coalesce(F.split("name_value", r"\s+"), empty), F.coalesce(F.array("common_name"), empty))
+    dealt = issuances.where(F.col("id") > cursor).select("root", "id", "dns_names", "name_value", "common_name").repartition("root", "id")
+    return dealt.select("root", "id", F.explode(F.array_distinct(names)).alias("name")).where("name <> ''").select("root", "id", F.lower("name").alias("name")).distinct()
 
 
 def ingest_dns(answers: DataFrame) -> DataFrame:
@@ -185,10 +189,12 @@ def ingest_dns(answers: DataFrame) -> DataFrame:
 
 
 def ingest_http_probes(probes: DataFrame) -> DataFrame:
-    """probes(host, scheme, status, title, server) -> one per host: the first that answered of https, then http; else status 0."""
+    """probes(host, scheme, status, title, server) -> one per host: the first that answered of https, then http; else status 0. Texts are
+    cut and rows dealt by host before one is chosen: a host has few, so a task that reads probes would hold nearly all of its own."""
     rank = F.when(F.col("status") == 0, 2).when(F.col("scheme") == "https", 0).otherwise(1)
-    best = probes.groupBy("host").agg(F.min_by(F.struct("scheme", "status", "title", "server"), F.struct(rank, F.when(F.col("scheme") == "https", 0).otherwise(1))).alias("p"))
-    return best.select("host", "p.scheme", "p.status", F.substring("p.title", 1, 300).alias("title"), F.substring("p.server", 1, 120).alias("server"))
+    dealt = probes.select("host", "scheme", "status", F.substring("title", 1, 300).alias("title"), F.substring("server", 1, 120).alias("server")).repartition("host")
+    best = dealt.groupBy("host").agg(F.min_by(F.struct("scheme", "status", "title", "server"), F.struct(rank, F.when(F.col("scheme") == "https", 0).otherwise(1))).alias("p"))
+    return best.select("host", "p.*")
 
 
 def seed_sites(inputs: DataFrame) -> DataFrame:

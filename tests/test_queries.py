@@ -161,3 +161,10 @@ def test_sites_of_one_name_are_one_row_for_queries(spark):
     out = resolve_site_reference(spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(sites, "site_id long, name string, start_url string"))
     assert sorted(map(tuple, out.collect())) == [(1000, 350), (1001, 7), (1002, 321), (1003, 323)]
     assert 1000 < most_rows(out) < 10_000
+
+
+@pytest.mark.parametrize("name", ["s13_ingest_ct", "s13_salvaged_ct", "s15_ingest_http_probes"])
+def test_rows_are_dealt_before_they_are_combined(spark, name):
+    """Tasks that read a table, whose size is that of its files, hold no table of their rows."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Aggregate" not in plan.split("Exchange ")[1]
