@@ -209,22 +209,33 @@ def _rows_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
 _GROUP = "group long, key long, ctx long, doc_id long, text_hash long, at int, left int, right int"
 
 
-def _grouped(contexts: DataFrame, by: str) -> DataFrame:
+def _grouped(contexts: DataFrame, by: str, widest: bool = False) -> DataFrame:
     """Members of the maximal repeats of each group of entries. `group` numbers a repeat: by its bytes, so that parts of one gram
-    that find the same repeat agree."""
+    that find the same repeat agree. Repeats can lie in each other, each with all its members; if only the `widest` reach of an entry to
+    either side is wanted, an entry is one row at most, without a number."""
 
     def run(batches):
         rows: list[tuple] = []
         for group in sorted_groups(batches, [by]):
             keys, ctx, doc, text_hash, at = (group.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
             before, after = ([x.as_py() for x in group.column(k)] for k in (7, 8))
+            reach: dict[int, tuple[int, int]] = {}
             for left, right, members in maximal_repeats(before, after):
+                if widest:
+                    for x in members:
+                        far = reach.get(x, (0, 0))
+                        reach[x] = max(far[0], left), max(far[1], right)
+                    continue
                 x = members[0]
                 number = int.from_bytes(hashlib.blake2b(before[x][:left][::-1] + after[x][:right], digest_size=8).digest(), "little", signed=True)
                 rows += [(number, keys[x], ctx[x], doc[x], text_hash[x], at[x], left, right) for x in members]
                 if len(rows) > 20_000:
                     yield _rows_of(rows, _GROUP)
                     rows = []
+            rows += [(None, keys[x], ctx[x], doc[x], text_hash[x], at[x], *far) for x, far in reach.items()]
+            if len(rows) > 20_000:
+                yield _rows_of(rows, _GROUP)
+                rows = []
         yield _rows_of(rows, _GROUP)
 
     names = [x.split()[0] for x in _CONTEXT.split(", ")]
@@ -257,9 +268,10 @@ def _parted(contexts: DataFrame, width: int) -> DataFrame:
     return contexts.select(*names, "low", "high").mapInArrow(run, schema)
 
 
-def repeat_groups(docs: DataFrame, sorted_most: int = SORTED) -> DataFrame:
+def repeat_groups(docs: DataFrame, sorted_most: int = SORTED, widest: bool = False) -> DataFrame:
     """(group, key, ctx, doc_id, text_hash, at, left, right): the members of every maximal repeat around an anchor, each an entry
-    that stands for all places of its context; the repeat's bytes are [at - left, at + right). Documents are (doc_id, text_hash, text)."""
+    that stands for all places of its context; the repeat's bytes are [at - left, at + right). Documents are (doc_id, text_hash, text).
+    With `widest` a group of entries tells of each only how far its repeats reach to either side."""
     places = _placed(docs)
     keys = written(places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "gram-keys")
     met = written(places.join(keys.hint("shuffle_hash"), "key"), "anchors")
@@ -272,14 +284,14 @@ def repeat_groups(docs: DataFrame, sorted_most: int = SORTED) -> DataFrame:
     sizes = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "grams")
     wanted = each.join(sizes.select("key").hint("shuffle_hash"), "key")
     contexts = written(_contexts(_squeezed(docs), wanted), "context-bytes").join(sizes.hint("shuffle_hash"), "key")
-    out = out.unionByName(_grouped(contexts.where(F.col("size") <= sorted_most), "key"))
+    out = out.unionByName(_grouped(contexts.where(F.col("size") <= sorted_most), "key", widest))
     large = written(contexts.where(F.col("size") > sorted_most).withColumns({"low": F.lit(0).cast("long"), "high": F.lit(WIDTH - GRAM + 1).cast("long")}), "large-grams")
     if large.isEmpty():
         return out
     parts = written(_parted(large, RANGE), "parts")
     sizes = written(parts.groupBy("core").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "part-sizes")
     parts = parts.join(sizes.hint("shuffle_hash"), "core")
-    out = out.unionByName(_grouped(parts.where(F.col("size") <= sorted_most), "core"))
+    out = out.unionByName(_grouped(parts.where(F.col("size") <= sorted_most), "core", widest))
     large = written(parts.where(F.col("size") > sorted_most).drop("core", "size").withColumns({"low": F.col("near"), "high": F.least(F.col("near") + RANGE, F.lit(WIDTH - GRAM + 1))}).drop("near"), "large-parts")
     if large.isEmpty():
         return out
@@ -300,7 +312,7 @@ def repeats_with_places(docs: DataFrame) -> DataFrame:
 def repeat_spans(docs: DataFrame, sorted_most: int = SORTED) -> DataFrame:
     """(doc_id, text_hash, from, to): stretches of repeated passages of documents (doc_id, text_hash, text); they can overlap. All repeats
     around one anchor overlap at it, so they make one stretch. (Entries of several places are repeats as a whole, at all of them.)"""
-    by_anchor = repeat_groups(docs, sorted_most).groupBy("doc_id", "text_hash", "at").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    by_anchor = repeat_groups(docs, sorted_most, widest=True).groupBy("doc_id", "text_hash", "at").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     return by_anchor.select("doc_id", "text_hash", (F.col("at") - F.col("left")).alias("from"), (F.col("at") + F.col("right")).alias("to"))
 
 

@@ -219,3 +219,19 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_an_entry_is_one_row_however_many_repeats_hold_it(spark):
+    """Passages that lie in each other: rows grow with the entries, not with the members of all repeats."""
+    from pyspark.sql import functions as F
+
+    from driftline.llm.suffix_dedup import repeat_groups
+
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    base = letters(700)
+    rows = [(k, letters(50) + base[200 - 3 * k : 420 + 4 * k] + letters(50)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("text_hash"), F.encode("text", "UTF-8").alias("text"))
+    every, few = repeat_groups(docs).count(), repeat_groups(docs, widest=True)
+    entries = few.select("doc_id", "text_hash", "at").distinct().count()
+    assert few.count() <= 2 * entries < every / 2
