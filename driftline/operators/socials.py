@@ -81,7 +81,7 @@ def _with_profile(links: DataFrame, rules) -> DataFrame:
     """links(url, root) with p: struct(kind, url), null if a link is no profile. Parts of the URL are columns of their own, worked out once."""
     url, col = F.col("url"), F.col
     segments = F.filter(F.split(u.path(url), "/"), lambda x: x != "")
-    place = F.concat(u.host(url), F.when(u.port(url) == "", "").otherwise(F.concat(F.lit(":"), u.port(url))))
+    place = F.concat(u.host(url), F.regexp_replace(F.concat(F.lit(":"), u.port(url)), r"\A:\z", ""))
     parts = links.select("*", u.scheme(url).alias("_scheme"), u.host(url).alias("_whole"), u.path(url).alias("_path"), segments.alias("_segments"), F.concat(u.scheme(url), F.lit("://"), place, F.lit("/")).alias("_origin"))
     parts = parts.where(col("_scheme").isin("http", "https")).withColumn("_host", F.regexp_replace("_whole", r"^(?:www|mobile|m)\.", ""))
     parent = F.when(col("_host").rlike(r"\..*\."), F.regexp_extract("_host", r"([^.]+\.[^.]+)$", 1))
@@ -97,7 +97,8 @@ def _with_profile(links: DataFrame, rules) -> DataFrame:
     inside = (col("_whole") == col("root")) | col("_whole").endswith(F.concat(F.lit("."), "root"))
     folder = F.when(inside & (F.size("_segments") == 1) & F.lower("_first").isin("docs", "documentation"), told("docs", F.concat("_origin", "_first")))
     paper = F.when(col("_path").rlike("(?i)(?:white|lite)paper"), told("whitepaper", F.concat("_origin", F.substr("_path", F.lit(2)))))
-    return parts.withColumn("p", F.when(col("_own").isNotNull(), F.get(made, F.lit(0))).otherwise(F.coalesce(named, hosted, folder, paper)))
+    p = F.when(col("_own").isNotNull(), F.get(made, F.lit(0))).otherwise(F.coalesce(named, hosted, folder, paper))
+    return parts.select("*", F.explode(F.array(p)).alias("p"))  # a row of its own, so that filters on p don't work it out again
 
 
 def twitter_handle(html: Column) -> Column:
