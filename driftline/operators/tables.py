@@ -131,13 +131,35 @@ def sitemap_levels(refs: DataFrame, roots: DataFrame, max_level: int | None = No
     return reached
 
 
+def _first_documents(levels: DataFrame, pages: DataFrame, max_urls: int) -> DataFrame:
+    """levels without the documents that are behind a site's first max_urls pages. Documents that come after twice as many entries are left
+    out where those before hold more than max_urls different pages; a site whose documents share so many that they don't keeps all."""
+    from ..sources.shared import new_table
+
+    counted = levels.join(pages.groupBy("doc").agg(F.count(F.lit(1)).alias("n")), "doc")
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy("site_id", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = counted.groupBy("site_id", "level").agg(F.sum("n").alias("n")).select("site_id", "level", before("level").alias("levels_before"))
+    placed = counted.withColumn("docs_before", before("level", "doc")).join(total, ["site_id", "level"])
+    near = F.col("levels_before") + F.col("docs_before") < 2 * max_urls
+    placed = new_table(placed.select("site_id", "doc", "level", near.alias("near")), "sitemap-documents")
+    urls = placed.where("near").join(placed.where("not near").select("site_id").distinct(), "site_id", "left_semi").join(pages, "doc").select("site_id", "url").distinct()
+    enough = urls.groupBy("site_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_urls).select("site_id")
+    far = placed.where("not near").join(enough, "site_id", "left_anti")
+    return placed.where("near").unionByName(far).drop("near")
+
+
 def sitemap_urls(levels: DataFrame, pages: DataFrame, max_urls: int | None = 5000) -> DataFrame:
     """(site_id, url, level, doc, pos, cut): the first max_urls pages of each site, by levels(site_id, doc, level) and pages(doc, pos, url), in
     breadth-first order (level, doc, place), each canonical URL once, where it stands first; cut tells that a site has more.
 
     Places are running totals: of the levels before, of the documents before in the level, and within the document. No task sorts more than a
-    level's documents or a document's pages."""
-    own = levels.join(pages, "doc").withColumn("url", u.canonical(F.col("url"))).where("url is not null")
+    level's documents or a document's pages. URLs are made canonical once a document, whatever the sites that it belongs to, and of a site
+    whose first documents hold more than max_urls pages the others aren't read."""
+    from ..sources.shared import new_table
+
+    named = pages.select("doc", "pos", u.canonical(F.col("url")).alias("url")).where("url is not null")
+    listed = new_table(named.groupBy("doc", "url").agg(F.min("pos").alias("pos")), "sitemap-pages")
+    own = (levels if max_urls is None else _first_documents(levels, listed, max_urls)).join(listed, "doc")
     once = own.groupBy("site_id", "url").agg(F.min(F.struct("level", "doc", "pos")).alias("at")).select("site_id", "url", "at.*")
     docs = once.groupBy("site_id", "level", "doc").agg(F.count(F.lit(1)).alias("n"))
     before = lambda *by: Window.partitionBy("site_id", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)

@@ -30,3 +30,26 @@ def test_parts_worked_out_once_are_as_before(spark):
     tags = {"<a href=\"it's\">": "it's", "<a href='\"'>": '"', "<a href=\"\" x>": "", "<a b href=x&amp;y>": "x&y", "<a b>": None, "<a data-href=1 href='2'>": "2"}
     rows = spark.createDataFrame([(k,) for k in tags], "tag string")
     assert {r.tag: r.v for r in rows.select("tag", x.attribute(F.col("tag"), "href").alias("v")).collect()} == tags
+
+
+def test_documents_behind_the_first_pages_are_left_out(spark):
+    """Of a site with pages enough only the first documents are kept; one whose documents name the same pages keeps all; nothing else changes."""
+    from driftline.operators import tables
+
+    docs = [(s, s * 100 + d, d // 3) for s in (1, 2, 3) for d in range(30)]
+    own = lambda s, d: [f"https://a.com/{d * 2 + k}" if s == 1 else f"https://a.com/{k}" if d < 29 else f"https://a.com/last{k}" for k in range(3)]
+    pages = [(doc, k, url) for s, doc, _ in docs if s < 3 for k, url in enumerate(own(s, doc - s * 100))] + [(300, 0, "https://a.com/"), (300, 1, "https://A.com"), (329, 0, "ftp://x")]
+    levels, listed = spark.createDataFrame(docs, "site_id long, doc long, level int"), spark.createDataFrame(pages, "doc long, pos int, url string")
+    want = []
+    for s in (1, 2, 3):
+        seen = {}
+        for _, doc, level in sorted((d for d in docs if d[0] == s), key=lambda d: (d[2], d[1])):
+            for d, pos, url in sorted(p for p in pages if p[0] == doc):
+                url = {"https://A.com": "https://a.com/", "ftp://x": None}.get(url, url)
+                if url:
+                    seen.setdefault(url, (s, url, level, d, pos))
+        want += [(*r, len(seen) > 5) for r in list(seen.values())[:5]]
+    got = tables.sitemap_urls(levels, listed, 5).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    kept = tables._first_documents(levels, listed, 5).groupBy("site_id").count().collect()
+    assert {r.site_id: r["count"] for r in kept} == {1: 4, 2: 30, 3: 2}
