@@ -165,7 +165,7 @@ def site_reports(
     by_header = parsed.select("site_id", F.explode("headers").alias("name", "value"))
     signals = [
         signal(by_header, "header", F.concat("name", F.lit(": "), "value")), signal(parsed.select("site_id", F.explode(x.cookie_names(F.try_element_at("headers", F.lit("set-cookie")))).alias("name")), "cookie", F.col("name")),
-        signal(parsed.where("html is not null").select("site_id", facts["generator"].alias("g")).where("g <> ''"), "generator", F.col("g")), signal(parsed, "site", F.col("final_host")), signal(assets.where("role <> 'style'"), "script", F.col("url")),
+        signal(parsed.where("html is not null").select("site_id", F.explode(F.array(facts["generator"])).alias("g")).where("g <> ''"), "generator", F.col("g")), signal(parsed, "site", F.col("final_host")), signal(assets.where("role <> 'style'"), "script", F.col("url")),
         signal(assets.where("role = 'style'"), "style", F.col("url")), signal(hosts, "host", F.col("host")), signal(link_hosts, "link", F.col("host")), signal(code, "js", F.col("text")), signal(markup, "html", x.strip_code_samples(F.col("text"))),
     ]
     every = signals[0]

@@ -53,3 +53,12 @@ def test_documents_behind_the_first_pages_are_left_out(spark):
     assert sorted(tuple(r) for r in got) == sorted(want)
     kept = tables._first_documents(levels, listed, 5).groupBy("site_id").count().collect()
     assert {r.site_id: r["count"] for r in kept} == {1: 4, 2: 30, 3: 2}
+
+
+def test_assets_read_markup_once(spark):
+    """Comments and scripts are taken out of a page once for its assets, and once where it may have a base, whatever kinds are looked for."""
+    html = '<!-- <script src=no.js> --><script src="/a.js">x="<link rel=stylesheet href=no.css>"</script><link rel="preload stylesheet" as=style href=s.css><link rel=modulepreload href=/m.js><link rel=preload as=font href=f><script>1</script><script src="data:x"></script><script src=/a.js></script>'
+    assets = x.page_assets(spark.createDataFrame([(1, "https://a.com/b/c", html), (2, "https://a.com/", None)], "page_id long, url string, html string"))
+    assert assets._jdf.queryExecution().optimizedPlan().toString().count("<!--") <= 2
+    want = [(1, "preload", "https://a.com/b/s.css"), (1, "preload", "https://a.com/m.js"), (1, "script", "https://a.com/a.js"), (1, "style", "https://a.com/b/s.css")]
+    assert sorted(tuple(r) for r in assets.collect()) == want
