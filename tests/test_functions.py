@@ -438,3 +438,65 @@ def test_a_task_hands_on_differences_in_parts(spark):
     assert max(p.num_rows for p in parts) * 20_000 < PART_CHARS + 100_000
     rows = [r for p in parts for r in p.to_pylist()]
     assert [r["key"] for r in rows] == list(range(n)) and all(r["added"] == ([] if k == 7 else [f"{k} now"]) and r["removed"] == ([line, "7"] if k == 7 else [str(k)]) for k, r in enumerate(rows))
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_page_diffs_shuffle_nothing(spark):
+    """Alignment and diff once shuffled fifteen times the input's bytes; both versions of a document come as one row."""
+    from driftline.queries.text import QUERIES
+
+    assert exchanges(QUERIES["d8_page_diff"](spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_tables_of_lines_and_pairs_are_aligned_alike(spark):
+    """Random versions with repeated lines, lines without numbers, empty ones, and pages of one version only, against a walk over each page."""
+    from driftline.operators.diff import align_numbers, align_pairs, diff_pairs, page_diff, paired
+
+    rng = random.Random(7)
+    words = ["{} items", "{} of 7", "a b", "", "{} items and {} more", "up {}%"]
+    page = lambda: [rng.choice(words).format(rng.randrange(4), rng.randrange(3)) for _ in range(rng.randrange(9))]
+    pages = {k: (page() if k % 9 else [], page() if k % 7 else []) for k in range(1, 120)}
+    pages |= {200: (["x", ""], ["x"]), 201: (["3 items"] * 3, ["4 items", "5 items"]), 202: ([None, "3 items"], ["4 items"])}
+    table = lambda side: spark.createDataFrame([(k, i, line) for k, p in pages.items() for i, line in enumerate(p[side])], "k long, line_no int, line string")
+    every = sorted({line for p in pages.values() for side in p for line in side if line is not None})
+    masks = {r.line: r.m for r in spark.createDataFrame([(x,) for x in every], "line string").select("line", t.mask_numbers(F.col("line")).alias("m")).collect()}
+
+    def walked(old, new):
+        free = [masks.get(x) if x not in old and masks.get(x) != x else None for x in new]
+        out = []
+        for line in old:
+            at = free.index(masks[line]) if line is not None and line not in new and masks[line] != line and masks[line] in free else None
+            out.append(line if at is None else new[at])
+            if at is not None:
+                free[at] = None
+        return out
+
+    want = {k: walked(*p) for k, p in pages.items()}
+    old, new = table(0), table(1)
+    got = align_numbers(old, new, "k")
+    assert got.schema["line_no"].dataType.simpleString() == "int"
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((k, i, line) for k, lines in want.items() for i, line in enumerate(lines)), key=repr)
+    rows = spark.createDataFrame([(k, *p) for k, p in pages.items()] + [(300, None, ["a"]), (301, ["1 b"], None)], "k long, old array<string>, new array<string>")
+    assert {r.k: r.old for r in align_pairs(rows, "k").collect()} == want | {300: [], 301: ["1 b"]}
+    told = {r.k: r for r in page_diff(old, new, "k").collect()}
+    whole = {k: ([x for x in want[k] if x is not None], p[1]) for k, p in pages.items()}
+    assert set(told) == {k for k, (a, b) in whole.items() if a != b} and told[200].removed == [""]
+    for k, r in told.items():
+        ops = edit_script(*whole[k])
+        assert (r.added, r.removed) == ([v for o, v in ops if o == "+"], [v for o, v in ops if o == "-"])
+    assert {r.k: r for r in diff_pairs(paired(old, new, "k"), "k").collect()} == told
+
+
+def test_aligned_rows_are_handed_on_in_parts():
+    import pyarrow as pa
+
+    from driftline.operators.diff import PART_CHARS, _aligned_batches
+
+    n, same = 900, b"x" * 10_000
+    columns = {"id": pa.array(range(n)), "old": [[same, b"%d of 3" % k] for k in range(n)], "new": [[b"%d of 4" % k] for k in range(n)], "gone": [[None, b"m"]] * n, "fresh": [[b"m"]] * n}
+    parts = list(_aligned_batches([pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))]))
+    assert max(p.num_rows for p in parts) * 10_000 < PART_CHARS + 20_000
+    assert [r for p in parts for r in p.to_pylist()] == [{"id": k, "old": [same, b"%d of 4" % k]} for k in range(n)]
